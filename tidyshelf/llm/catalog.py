@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact, media, tokens
+from . import exact, media, mixing, sharding, tokens
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (tokens.op1_token_counts, media.op2_media_columns, exact.op10_exact_dedup)}
+    return {f.__name__: f for f in (tokens.op1_token_counts, media.op2_media_columns, sharding.op6_sharding, mixing.op8_mixing, exact.op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact.OP10_SQL}
+    return {"op8_mixing": mixing.OP8_SQL, "op10_exact_dedup": exact.OP10_SQL}
