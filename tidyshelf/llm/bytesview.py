@@ -60,8 +60,9 @@ def separators(keep_only_alphanumeric: bool) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of the words of each text: a polynomial over scrambled bytes, by differences of running sums."""
 
-    def __init__(self, separator: np.ndarray):
-        self.separator = separator
+    def __init__(self, separator: np.ndarray, prefixes: tuple[int, ...] = ()):
+        """prefixes: lengths in bytes; longer words also give the hashes of their first bytes."""
+        self.separator, self.prefixes = separator, prefixes
         self.values = mixed(np.arange(1, 257, dtype=np.uint64))
         self.up = self.down = np.ones(1, np.uint64)
 
@@ -75,11 +76,11 @@ class WordHasher:
                 setattr(self, name, np.cumprod(x, dtype=np.uint64))
         return self.up[:n], self.down[:n]
 
-    def hashed(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of consecutive texts: the hash of each word, and the words before each text (n + 1)."""
+    def hashed(self, raw: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of consecutive texts: the hash of each word, and the words before each text (n + 1); the same for prefixes."""
         n = len(raw)
         if n == 0:
-            return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
+            return [(np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64))]
         word = ~self.separator[raw]
         before, after = np.empty(n, bool), np.empty(n, bool)
         before[0], before[1:] = False, word[:-1]
@@ -90,8 +91,11 @@ class WordHasher:
         up, down = self.powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(self.values[raw] * up[:n], dtype=np.uint64, out=sums[1:])
-        h = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-        return h, np.searchsorted(starts, bounds)
+        found = [(mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), np.searchsorted(starts, bounds))]
+        for k in self.prefixes:
+            at = starts[ends - starts > k]
+            found.append((mixed((sums[at + k] - sums[at]) * down[at] + np.uint64(k << 32)), np.searchsorted(at, bounds)))
+        return found
 
     def pieces(self, raw: np.ndarray, start: int, end: int) -> Iterator[tuple[int, int]]:
         """A long text in stretches that end at separators (or at the text's end)."""
@@ -107,15 +111,18 @@ class WordHasher:
         yield start, end
 
     def texts(self, a: pa.Array) -> Iterator[np.ndarray]:
-        """The word hashes of each text, in order."""
+        """The word hashes of each text, in order (then those of its prefixes)."""
         raw, offsets = content(a)
         for first, last in stretches(offsets, CHUNK):
             lo, hi = int(offsets[first]), int(offsets[last])
             if hi - lo > CHUNK:
-                yield np.concatenate([self.hashed(raw[s:e], np.array([0, e - s]))[0] for s, e in self.pieces(raw, lo, hi)])
-            else:
-                h, at = self.hashed(raw[lo:hi], offsets[first : last + 1] - lo)
-                yield from (h[at[i] : at[i + 1]] for i in range(last - first))
+                parts = [self.hashed(raw[s:e], np.array([0, e - s])) for s, e in self.pieces(raw, lo, hi)]
+                yield np.concatenate([h for kinds in zip(*parts, strict=True) for h, _ in kinds])
+                continue
+            kinds = self.hashed(raw[lo:hi], offsets[first : last + 1] - lo)
+            for i in range(last - first):
+                own = [h[at[i] : at[i + 1]] for h, at in kinds]
+                yield own[0] if len(own) == 1 else np.concatenate(own)
 
 
 def gram_counts(a: pa.Array, sizes: tuple[int, ...], bits: int) -> Iterator[tuple[int, int, np.ndarray]]:

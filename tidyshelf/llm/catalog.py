@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact, media, mixing, sharding, tokens
+from . import exact, language, media, mixing, sharding, tokens, toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (tokens.op1_token_counts, media.op2_media_columns, sharding.op6_sharding, mixing.op8_mixing, exact.op10_exact_dedup)}
+    found = (
+        tokens.op1_token_counts, media.op2_media_columns, toxicity.op4_toxicity, language.op5_language_id, sharding.op6_sharding,
+        mixing.op8_mixing, exact.op10_exact_dedup,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
