@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact, language, media, mixing, sharding, tokens, toxicity
+from . import exact, language, media, mixing, personal, sharding, tokens, toxicity
 
 
 def queries() -> dict:
     found = (
         tokens.op1_token_counts, media.op2_media_columns, toxicity.op4_toxicity, language.op5_language_id, sharding.op6_sharding,
-        mixing.op8_mixing, exact.op10_exact_dedup,
+        personal.op7_personal_data, mixing.op8_mixing, exact.op10_exact_dedup,
     )
     return {f.__name__: f for f in found}
 
