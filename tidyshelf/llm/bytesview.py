@@ -110,6 +110,17 @@ class WordHasher:
             start += int(gaps[-1]) + 1
         yield start, end
 
+    def runs(self, a: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first, last, word hashes, words before each text) for runs of rows; without prefixes."""
+        raw, offsets = content(a)
+        for first, last in stretches(offsets, CHUNK):
+            lo, hi = int(offsets[first]), int(offsets[last])
+            if hi - lo > CHUNK:
+                h = np.concatenate([self.hashed(raw[s:e], np.array([0, e - s]))[0][0] for s, e in self.pieces(raw, lo, hi)])
+                yield first, last, h, np.array([0, len(h)])
+            else:
+                yield first, last, *self.hashed(raw[lo:hi], offsets[first : last + 1] - lo)[0]
+
     def texts(self, a: pa.Array) -> Iterator[np.ndarray]:
         """The word hashes of each text, in order (then those of its prefixes)."""
         raw, offsets = content(a)

@@ -56,3 +56,10 @@ def table_at(df: DataFrame, path: str) -> DataFrame:
     """Write df as Parquet and reread it: for results with wider rows."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def matching(df: DataFrame, ids: DataFrame, id_col: str, how: str, most: int = 500_000) -> DataFrame:
+    """df semi- or anti-joined (``how``) with the one column of ids, sent to every task only if counted to be at most ``most``."""
+    ids = ids.toDF("__matching_id")
+    small = ids.limit(most + 1).count() <= most
+    return df.join(F.broadcast(ids) if small else ids, df[id_col] == F.col("__matching_id"), how)
