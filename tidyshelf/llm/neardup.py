@@ -12,11 +12,11 @@ Jaccard similarity. Only darts up to a rank are thrown at all, chosen from the t
 expected for t coordinates, however long the text; where a coordinate stays empty, the rank is doubled.
 
 Candidates. Texts of equal element sets are one representative (least id). Representatives that share a whole band of the
-signature meet in a bucket. A bucket's members are first compared with its least member only; the similarities found also
-bound those between members (Jaccard distance is a metric), so what is left to compare is the pairs of a bucket that are
-not connected yet and that the bound does not exclude. Those are compared too, so no link between texts that share a band
-is lost, while a bucket of many copies costs one comparison a member. If the pairs left in all buckets were more than
-linear in the input, further members take the hub's part, one a bucket and round, until they are not.
+signature meet in a bucket. A bucket's members are first compared with its least member only, which settles buckets of
+copies at one comparison a member. Where a bucket still holds unconnected members, each of those is compared with every
+other member: bucket and strays are dealt into blocks of about BLOCK, and each pair of blocks is one group that counts
+common elements by a matrix product and returns only links that connect something new (fewer than it has members). So no
+link between texts that share a band is lost, whatever the bucket's size, and no list of all pairs is ever made.
 
 Null texts and texts without words are each alone. Rows that repeat an id share its class. Further columns are ignored.
 """
@@ -26,17 +26,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesview import WordHasher, mixed, separators
-from .common import cut, documents, matching, new_dir, table_at, text_of
+from .common import documents, matching, new_dir, table_at, text_of
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
+BLOCK = 256
 GOLDEN = 0x9E3779B97F4A7C15
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written and reread. Rounds go on from a plain table, so plans do not grow with them as those of checkpoints can."""
+    return table_at(df, new_dir(df.sparkSession, "round"))
+
+
 def elements(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of consecutive texts: (text, element, count), each text's elements distinct and rising."""
     factors = mixed(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(GOLDEN)) | np.uint64(1)
@@ -195,66 +202,81 @@ def labelled(rows: DataFrame, labels: DataFrame, on: str) -> DataFrame:
     return rows.join(found, on, "left").withColumn("label", F.coalesce("found", on)).drop("found")
 
 
-def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS,
-    bands: int = BANDS, rows: int = ROWS, direct: float = 20.0,
-) -> DataFrame:
-    """For each row: id, class_id (least id of the class), class_size, kept (it is that id).
+def common_counts(x: list[np.ndarray], y: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """How many elements each set of x shares with each of y; sets are of distinct numbers."""
+    nx, owner = len(x), np.repeat(np.arange(len(x) + len(y)), [len(e) for e in (*x, *y)])
+    every, at, seen = np.unique(np.concatenate([*x, *y]), return_inverse=True, return_counts=True)
+    keep = seen[at] > 1
+    owner, at = owner[keep], (np.cumsum(seen > 1) - 1)[at[keep]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out = np.zeros((nx, len(y)), np.float32)
+    for start in range(0, int((seen > 1).sum()), step):
+        a, b = np.searchsorted(at, [start, start + step])
+        m = np.zeros((nx + len(y), step), np.float32)
+        m[owner[a:b], at[a:b] - start] = 1
+        out += m[:nx] @ m[nx:].T
+    return out
 
-    direct: pairs left over are compared at once if they are at most so many a representative.
-    """
-    spark = df.sparkSession
+
+def new_links(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Of one pair of blocks: links between strays and members that connect labels not connected yet."""
+    strays, members = pdf[pdf["stray"]].reset_index(drop=True), pdf[~pdf["stray"]].reset_index(drop=True)
+    out: list[tuple] = []
+    if len(strays) and len(members):
+        x, y = [[np.asarray(e, np.int64) for e in side["set"]] for side in (strays, members)]
+        shared = common_counts(x, y)
+        sizes = np.array([len(e) for e in x])[:, None] + np.array([len(e) for e in y])[None, :]
+        parent: dict = {}
+
+        def root(v):
+            while parent.setdefault(v, v) != v:
+                parent[v] = v = parent[parent[v]]
+            return v
+
+        for i, j in np.argwhere(shared >= threshold * (sizes - shared) - 1e-6):
+            a, b = root(strays["label"][i]), root(members["label"][j])
+            if a != b:
+                parent[b] = a
+                out.append((strays["rep"][i], members["rep"][j]))
+    return pd.DataFrame(out, columns=["p", "q"])
+
+
+def links_left(left: DataFrame, sets: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """(p, q): links inside buckets whose members (key, rep, label) are not all connected."""
+    sizes = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    mixed_up = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("c"), F.sum("c").alias("size")).where("size > c")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    rows = left.join(mixed_up, "key").withColumns({"across": blocks(F.col("size") - F.col("c")), "down": blocks(F.col("size")), "draw": F.xxhash64("rep")})
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    strays = rows.where(F.col("label") != F.col("main")).select("key", F.pmod("draw", "across").cast("int").alias("xb"), every("down").alias("yb"), F.lit(True).alias("stray"), "rep", "label")
+    members = rows.select("key", every("across").alias("xb"), F.pmod("draw", "down").cast("int").alias("yb"), F.lit(False).alias("stray"), "rep", "label")
+    wide = strays.unionByName(members).join(sets.withColumnRenamed("id", "rep"), "rep")
+    return wide.groupBy("key", "xb", "yb").applyInPandas(lambda pdf: new_links(pdf, threshold), f"p {kind}, q {kind}")
+
+
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """For each row: id, class_id (least id of the class), class_size, kept (it is that id)."""
+    kind = df.schema[id_col].dataType.simpleString()
     signs = cut(signed(df, id_col, text_col, words, bands, rows))
     reps = signs.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
     reps = cut(reps)
-    n_reps = reps.count()
     # buckets of two representatives or more, each with its least member as hub
     members = reps.select("rep", "n", F.explode("keys").alias("key"))
     hubs = members.groupBy("key").agg(F.min_by(F.struct("rep", "n"), "rep").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = cut(members.join(hubs.select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "key"))
-
-    def possible(x, y):
-        """Sizes alone let the similarity reach the threshold."""
-        return F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9
-
-    stars = buckets.where((F.col("rep") != F.col("hub")) & possible(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("p"), F.col("rep").alias("q")).distinct()
-    stars = cut(stars)
+    possible = F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n") - 1e-9  # sizes alone let them be alike
+    stars = buckets.where((F.col("rep") != F.col("hub")) & possible).select(F.col("hub").alias("p"), F.col("rep").alias("q")).distinct()
     wanted = cut(buckets.select(F.col("rep").alias("id")).distinct())
     chosen = matching(df.select(id_col, text_col), wanted, id_col, "left_semi").dropDuplicates([id_col])
-    sets = table_at(element_sets(chosen, id_col, text_col, words), new_dir(spark, "elements"))
-    known = cut(compared(stars, sets))
-    edges = known.where(F.col("alike") >= threshold - 1e-12).select("p", "q")
+    sets = table_at(element_sets(chosen, id_col, text_col, words), new_dir(df.sparkSession, "elements"))
+    edges = cut(compared(stars, sets).where(F.col("alike") >= threshold - 1e-12).select("p", "q"))
     labels = components(edges)
-
-    # what is left: members of a bucket that are not connected, unless the hub tells them apart
-    left = labelled(buckets.where(F.col("rep") != F.col("hub")), labels, "rep")
-    left = left.join(known.select(F.col("p").alias("hub"), F.col("q").alias("rep"), "alike"), ["hub", "rep"], "left").select("key", "rep", "n", "label", (1 - F.col("alike")).alias("apart"))
-    while True:
-        left = cut(left)
-        sizes = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-        most = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("c"), F.sum("c").alias("size")).where("size > c")
-        most = cut(most)
-        todo = most.agg(F.sum((F.col("size") - F.col("c")) * F.col("size"))).first()[0] or 0
-        if not todo:
-            break
-        active = left.join(most.select("key", "main"), "key")
-        x = active.where(F.col("label") != F.col("main")).select("key", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"), F.col("apart").alias("xa"))
-        all_at_once = todo <= direct * n_reps + 100_000
-        if not all_at_once:
-            least = x.groupBy("key").agg(F.min("x").alias("least"))
-            x = x.join(least.select("key", F.col("least").alias("x")), ["key", "x"])
-        y = active.select("key", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("label").alias("yl"), F.col("apart").alias("ya"), "main")
-        near_hub = F.coalesce(F.abs(F.col("xa") - F.col("ya")) <= 1 - threshold + 1e-9, F.lit(True))
-        once = (F.col("yl") == F.col("main")) | (F.col("x") < F.col("y")) if all_at_once else F.lit(True)
-        pairs = x.join(y, "key").where((F.col("xl") != F.col("yl")) & possible(F.col("xn"), F.col("yn")) & near_hub & once)
-        found = compared(pairs.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).distinct(), sets)
-        more = cut(found.where(F.col("alike") >= threshold - 1e-12).select("p", "q"))
-        if more.limit(1).count():
-            edges = cut(edges.union(more))
-            labels = components(edges)
-        if all_at_once:
-            break
-        left = labelled(active.join(least.select("key", F.col("least").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n", "apart"), labels, "rep")
+    more = cut(links_left(labelled(buckets.select("key", "rep"), labels, "rep"), sets, threshold, kind))
+    if more.limit(1).count():
+        labels = components(edges.union(more))
 
     classes = labelled(reps.select("a", "b", "rep", "copies"), labels, "rep")
     sizes = classes.groupBy("label").agg(F.sum("copies").alias("class_size"))
