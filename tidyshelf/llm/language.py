@@ -104,10 +104,12 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     x = np.zeros((len(found), 1 << BITS), np.float32)
     for i, (g, n) in enumerate(zip(found["grams"], found["numbers"], strict=True)):
         x[i, np.asarray(g, int)] = n
+    spoken = list(found["language"])
+    del found
     code = codewords(len(names))
     if len(names) < 2:
         return Codebook(names, code, np.zeros((1 << BITS, code.shape[1]), np.float32), np.ones(code.shape[1], np.float32))
-    at = np.array([names.index(x) for x in found["language"]])
+    at = np.array([names.index(x) for x in spoken])
     w, b = fitted(scaled(x), code[at].astype(np.float32))
     return Codebook(names, code, w, b)
 
