@@ -81,12 +81,13 @@ def from_template(title: Column, series: Column, number: Column, volume: Column)
     return F.when(volume.isNull(), xml).otherwise(set_tag(xml, "Volume", volume, after="Series"))
 
 
-def retagged(rows: DataFrame, xml: str, stem: str, parent: str, profile: str = "batch", rules: frozenset[str] = P.RULES) -> DataFrame:
+def retagged(rows: DataFrame, xml: str, stem: str, parent: str, profile: str = "batch", rules: frozenset[str] = P.RULES, only_changed: bool = False) -> DataFrame:
     """Adds ``new_xml``: what an archive's document becomes; null where nothing is to be written.
 
     The batch profile also sets number and volume; series alone being cleaned is not written. Documents that are missing
     (null) are made from the template, empty in the live profile. Steps are columns of their own, so that each is computed
-    once.
+    once. Filter with ``only_changed``: a row number in its condition keeps it above the steps, where Catalyst would else
+    write them out into the condition again and again.
     """
     x, name, up = F.col(xml), F.col(stem), F.col(parent)
     r = rows.withColumns({"__series": N.strip(get_tag(x, "Series")), "__title": F.coalesce(N.strip(get_tag(x, "Title")), F.lit("")), "__bare": N.bare_title(name, rules, profile)})
@@ -104,4 +105,8 @@ def retagged(rows: DataFrame, xml: str, stem: str, parent: str, profile: str = "
         title = F.when(~N.is_generic(F.col("__bare")) & ~N.is_gibberish(F.col("__bare")), F.col("__bare")).otherwise(up)
         changed = F.col("__new").isNotNull() | F.col("__number").isNotNull() | F.col("__volume").isNotNull()
         out = F.when(x.isNull(), from_template(title, up, F.col("__number"), F.col("__volume"))).when(changed, F.col("__xml"))
-    return r.withColumn("new_xml", out).select(*rows.columns, "new_xml")
+    r = r.withColumn("new_xml", out)
+    if only_changed:
+        r = r.withColumn("__row", F.monotonically_increasing_id())
+        r = r.where((F.col("__row") >= 0) & F.col("new_xml").isNotNull() & ~F.col("new_xml").eqNullSafe(x))
+    return r.select(*rows.columns, "new_xml")
