@@ -20,28 +20,34 @@ def runs(numbers: DataFrame, series: str, number: str) -> DataFrame:
     between = around.where(F.col("hi") - F.col("lo") > 1).select(series, "lo", "hi", (F.col("lo") + 1).alias("first"), (F.col("lo") + F.ceil(F.col("hi") - F.col("lo")) - 1).alias("last"))
     before = around.where((F.col("nth") == 1) & (F.col("lo") >= 2)).select(series, F.lit(0.0).alias("lo"), F.col("lo").alias("hi"), F.lit(1.0).alias("first"), (F.floor("lo") - 1).alias("last"))
     both = before.unionByName(between).withColumns({c: F.col(c).cast("double") for c in ("lo", "hi", "first", "last")})
-    label = F.when(F.col("first") == F.col("last"), N.format_number(F.col("first"))).otherwise(N.range_text(F.col("first"), F.col("last")))
-    return both.withColumn("missing", label)
+    return both.withColumn("missing", label(F.col("first"), F.col("last")))
+
+
+def label(first: Column, last: Column) -> Column:
+    return F.when(first == last, N.format_number(first)).otherwise(N.range_text(first, last))
 
 
 def report(files: DataFrame, series: str, number: Column, name: str, at_least: int = 2) -> DataFrame:
     """(series, first_issue, last_issue, total_found, gap_count, missing, unnumbered, has_gaps) of each series.
 
-    Of files with the same number the first by name counts; series with fewer than ``at_least`` numbers are left out.
+    Of files with the same number the first by name counts; series with fewer than ``at_least`` numbers are left out. One
+    scan: numbers are made distinct first, then one shuffle by series serves both the window and the summary.
     """
     rows = files.select(F.col(series).alias("series"), number.cast("double").alias("n"), F.col(name).alias("name"))
-    counted = rows.groupBy("series").agg(
-        F.countDistinct("n").alias("total_found"), F.count_if(F.col("n").isNull()).alias("unnumbered"), F.min("n").alias("lo"), F.max("n").alias("hi")
-    )
-    distinct = rows.where("n is not null").groupBy("series", "n").agg(F.min("name").alias("name"))
-    gaps = runs(distinct, "series", "n").groupBy("series").agg(
-        F.count(F.lit(1)).alias("gap_count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lo", "missing"))), lambda x: x["missing"]), ", ").alias("missing")
-    )
-    out = counted.where(F.col("total_found") >= at_least).join(gaps, "series", "left")
-    count = F.coalesce("gap_count", F.lit(0)).cast("long")
-    return out.select(
-        "series", N.format_number(F.col("lo")).alias("first_issue"), N.format_number(F.col("hi")).alias("last_issue"), "total_found",
-        count.alias("gap_count"), F.coalesce("missing", F.lit("")).alias("missing"), "unnumbered", (count > 0).alias("has_gaps"),
+    distinct = rows.groupBy("series", "n").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("files"))
+    w = W.partitionBy("series").orderBy(F.col("n").asc_nulls_last())
+    lo, hi = F.col("n"), F.col("hi")
+    around = distinct.withColumns({"hi": F.lead("n").over(w), "nth": F.row_number().over(w)})
+    before = F.when((F.col("nth") == 1) & (lo >= 2), F.struct(F.lit(0.0).alias("at"), label(F.lit(1.0), F.floor(lo) - 1).alias("missing")))
+    between = F.when(hi - lo > 1, F.struct(lo.alias("at"), label(lo + 1, lo + F.ceil(hi - lo) - 1).alias("missing")))
+    out = around.groupBy("series").agg(
+        F.count("n").alias("total_found"), F.coalesce(F.sum(F.when(lo.isNull(), F.col("files"))), F.lit(0)).alias("unnumbered"), F.min("n").alias("lo"), F.max("n").alias("hi"),
+        F.array_sort(F.concat(F.collect_list(before), F.collect_list(between))).alias("gaps"),
+    )
+    count = F.size("gaps").cast("long")
+    return out.where(F.col("total_found") >= at_least).select(
+        "series", N.format_number(F.col("lo")).alias("first_issue"), N.format_number(F.col("hi")).alias("last_issue"), "total_found", count.alias("gap_count"),
+        F.array_join(F.transform("gaps", lambda x: x["missing"]), ", ").alias("missing"), "unnumbered", (count > 0).alias("has_gaps"),
     )
 
 
