@@ -32,10 +32,22 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefi
     )
 
 
+SALTS = 8
+
+
+def salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+
+
+def everywhere(keys: DataFrame) -> DataFrame:
+    """Each key in SALTS places; a row looks in one of them, so that rows of one key do not meet in one task."""
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def shared(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The rows whose keys some other row has too."""
     twice = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
-    return rows.join(twice, keys, "left_semi")
+    return rows.join(everywhere(twice), [*keys, "salt"], "left_semi")
 
 
 def duplicate_groups(rows: DataFrame) -> DataFrame:
@@ -48,9 +60,8 @@ def duplicate_groups(rows: DataFrame) -> DataFrame:
 
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64) -> DataFrame:
     """For each row: id, keep_id, group_size, kept, text_sha256 of the squeezed text."""
-    rows = cut(digests(df, id_col, text_col, prefix))
-    groups = duplicate_groups(rows)
-    out = rows.join(groups, ["size", "prefix", "digest"], "left")
+    rows = salted(cut(digests(df, id_col, text_col, prefix)))
+    out = rows.join(everywhere(duplicate_groups(rows)), ["size", "prefix", "digest", "salt"], "left")
     return out.select(
         F.col("id").alias(id_col), F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("group_size").isNull() | (F.col("row") == F.col("keep_row"))).alias("kept"),
