@@ -19,6 +19,7 @@ Further columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 import zlib
@@ -36,8 +37,17 @@ from .tokens import VOCABULARY, pieces, vocabulary_path
 END_ID = 1
 
 
-def encoder(path: str | None = None):
-    """A function from a text to its ids; path: the .json file, with its ranks beside it as .tiktoken."""
+def special_strings(path: str) -> dict[str, int]:
+    """The strings that the vocabulary file names as tokens of their own."""
+    with open(path, encoding="utf-8") as f:
+        return {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+
+
+def encoder(path: str | None = None, special: dict[str, int] | None = None):
+    """A function from a text to its ids; path: the .json file, with its ranks beside it as .tiktoken.
+
+    The library is loaded only for a text that needs it.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
     import tiktoken
@@ -46,14 +56,15 @@ def encoder(path: str | None = None):
     path = path or vocabulary_path(VOCABULARY)
     with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    library = Tokenizer.from_file(path)
-    special = {x.content: i for i, x in library.get_added_tokens_decoder().items()}
+    special = special_strings(path) if special is None else special
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    beyond = re.compile("[^\x00-ɏ]")
+    beyond, library = re.compile("[^\x00-ɏ]"), []
 
     def ids(text: str) -> np.ndarray:
         if beyond.search(text):
-            return np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
+            if not library:
+                library.append(Tokenizer.from_file(path))
+            return np.array(library[0].encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(fast.encode(text, allowed_special="all"), np.uint32)
 
     return ids
@@ -80,8 +91,10 @@ def cut_up(parts: Iterator[np.ndarray], capacity: int) -> tuple[list[int], list[
 def token_pieces(df: DataFrame, capacity: int, id_col: str, text_col: str, path: str | None, piece_bytes: int = 1 << 16) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens), one row a piece."""
 
+    special = special_strings(path or vocabulary_path(VOCABULARY))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path), np.array([END_ID], np.uint32)
+        encode, end = encoder(path, special), np.array([END_ID], np.uint32)
 
         def runs(text: str) -> Iterator[np.ndarray]:
             for piece in pieces(text, piece_bytes) if text else ():
