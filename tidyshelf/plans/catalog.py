@@ -168,12 +168,20 @@ def delete_actions(spark, sf_dir):
     return keep.actions(rows.where("not keep"), "delete", F.col("p_partkey"), None, "smaller duplicate", F.col("p_retailprice"))
 
 
-@query()
+@query("""
+WITH f AS (
+  SELECT 'order ' || l_orderkey AS dir_path, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS name, CAST(l_linenumber AS VARCHAR) AS new_name, max(CAST(trunc(l_extendedprice) AS BIGINT)) AS size
+  FROM lineitem GROUP BY ALL
+)
+SELECT *, CASE WHEN row_number() OVER w = 1 THEN 'renamed' WHEN size > max(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'renamed over smaller' ELSE 'discarded' END AS outcome
+FROM f WINDOW w AS (PARTITION BY dir_path, new_name ORDER BY name)
+""")
 def rename_in_order(spark, sf_dir):
     files = table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("order "), "l_orderkey").alias("dir_path"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("name"), F.concat_ws("-", "l_linenumber").alias("new_name"), F.col("l_extendedprice").cast("long").alias("size")
-    )
-    return keep.renamed_one_by_one(files.dropDuplicates(["dir_path", "name"]))
+        F.concat(F.lit("order "), "l_orderkey").alias("dir_path"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("name"),
+        F.col("l_linenumber").cast("string").alias("new_name"), F.col("l_extendedprice").cast("long").alias("size"),
+    )
+    return keep.renamed_one_by_one(files.groupBy("dir_path", "name", "new_name").agg(F.max("size").alias("size")))
 
 
 # ---- routing
@@ -257,7 +265,7 @@ def title_decision(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", G.decided_title(title, host, stem, "batch").alias("new_title"))
 
 
-@query()
+@query(f"SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN replace(xml, '</ComicInfo>', '  <Number>' || p_size || '</Number>' || chr(10) || '</ComicInfo>') ELSE regexp_replace(xml, '<number>.*?</number>', '<Number>' || p_size || '</Number>', 'is') END AS xml FROM (SELECT *, {DOCUMENT_SQL} AS xml FROM part)")
 def retag(spark, sf_dir):
     rows = documents_of(table(spark, sf_dir, "part")).withColumn("stem", F.concat("p_name", F.lit(" v2 ch. "), "p_size"))
     return G.retagged(rows, "xml", "stem", "p_brand").select("p_partkey", F.col("new_xml").alias("xml"))
@@ -365,7 +373,7 @@ def canonical_name(spark, sf_dir):
     return tree.groups_by_base(dirs, "parent", "name").select("base", "canonical")
 
 
-@query()
+@query("SELECT p_partkey, p_name || ' ch. ' || p_size || ' Wow!! 9 word-end' AS name FROM part")
 def dup_tokens(spark, sf_dir):
     name = F.concat("p_name", F.lit(" ch. "), "p_size", F.lit(" ch."), "p_size", F.lit(" Wow! ! 9 9 word -end"))
     return table(spark, sf_dir, "part").select("p_partkey", N.without_repeats(name).alias("name"))
