@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +34,21 @@ def remainder(id_col: str, k: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset. A full URI."""
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_to:
         set_to = "file://" + tempfile.mkdtemp(prefix="tidyshelf-")
         spark.sparkContext.setCheckpointDir(set_to)
-    return set_to if "://" in set_to or not set_to.startswith("/") and ":" in set_to else "file://" + set_to
+    if "://" not in set_to:  # a path of the cluster's default store, or file:/ with one slash
+        path = spark._jvm.org.apache.hadoop.fs.Path(set_to)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        set_to = path.makeQualified(store.getUri(), store.getWorkingDirectory()).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", set_to)
+
+
+def give_back() -> None:
+    """At the end of a worker's task: memory that Arrow keeps for reuse goes back, as tasks share an executor."""
+    pa.default_memory_pool().release_unused()
 
 
 def new_dir(spark: SparkSession, kind: str) -> str:

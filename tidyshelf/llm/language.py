@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bytesview import gram_counts
-from .common import documents, remainder, text_of
+from .common import documents, give_back, remainder, text_of
 
 SIZES, BITS = (1, 2, 3, 4), 12
 
@@ -136,6 +136,7 @@ def predict(df: DataFrame, book: Codebook, id_col: str = "doc_id", text_col: str
                 [b.column(0), pa.array(["und" if i < 0 else names[i] for i in best], pa.string()), pa.array(score), pa.array(ambiguous)],
                 names=["id", "lang_pred", "score", "ambiguous"],
             )
+        give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), text_of(text_col).rlike(r"\p{L}").alias("letters"), framed(text_col).alias("raw"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, new_dir, table_at, text_of
+from .common import documents, give_back, new_dir, table_at, text_of
 
 WIDTH = 64
 #: PNG's signature, and the length of signature and first chunk together.
@@ -125,6 +125,7 @@ def write_media(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
                 names=["id", "n_bytes", "digest", "shard", "offset", "length"],
             )
         shards.close()
+        give_back()
 
     store, root = pafs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)

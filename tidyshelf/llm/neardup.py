@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesview import WordHasher, mixed, separators
-from .common import documents, matching, new_dir, table_at, text_of
+from .common import documents, give_back, matching, new_dir, table_at, text_of
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
 BLOCK = 256
@@ -150,6 +150,7 @@ def signed(df: DataFrame, id_col: str, text_col: str, words: int, bands: int, ro
             flat = np.concatenate(keys).view(np.int64)
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, bands), pa.int32()), pa.array(flat.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x)) for x in (n, a, b)), listed], names=["id", "n", "a", "b", "keys"])
+        give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
     return raw_text(df, id_col, text_col).mapInArrow(run, f"id {kind}, n long, a long, b long, keys array<long>")
@@ -166,6 +167,7 @@ def element_sets(df: DataFrame, id_col: str, text_col: str, words: int) -> DataF
                 ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=last - first))])
                 listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(element.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), listed], names=["id", "set"])
+        give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
     return raw_text(df, id_col, text_col).mapInArrow(run, f"id {kind}, set array<long>")

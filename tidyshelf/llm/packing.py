@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, documents, text_of
+from .common import cut, documents, give_back, text_of
 from .tokens import VOCABULARY, pieces, vocabulary_path
 
 END_ID = 1
@@ -109,6 +109,7 @@ def token_pieces(df: DataFrame, capacity: int, id_col: str, text_col: str, path:
             total = np.array([sum(n) for n, _ in rows], np.int64)[owner] if rows else np.zeros(0, np.int64)
             sums = np.array([c for _, s in rows for c in s], np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), pa.array(starts), pa.array(lengths), pa.array(sums), pa.array(total)], names=["id", "start", "length", "ids_crc32", "doc_tokens"])
+        give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, text_of
+from .common import documents, give_back, text_of
 
 #: Kinds in the contract's order.
 KINDS = ("email", "ip", "card", "phone")
@@ -294,6 +294,7 @@ def find(df: DataFrame, p: Potentials, id_col: str = "doc_id", text_col: str = "
                 [b.column(0), *counts, pa.array([len(x) for x in more], pa.int64()), pa.array(names, pa.string()), pa.array(digests, pa.string()), pa.array(every, pa.string())],
                 names=["id", *(f"n_{k}" for k in KINDS), "n_added", "base", "base_sha256", "spans"],
             )
+        give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesview import WordHasher, separators
-from .common import documents, labels, remainder, text_of
+from .common import documents, give_back, labels, remainder, text_of
 
 BLOCK = 64
 PREFIXES = (5, 6, 7, 8)
@@ -241,6 +241,7 @@ def score(df: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "
                 scores.append(float(index.levels[max(level, 0)]) if len(index.levels) else vote(index, at, cosine))
                 evidence.append([int(i) for i in index.ids[at[:shown]]])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], names=["id", "score", "evidence"])
+        give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
     return raw_text(df, id_col, text_col).mapInArrow(run, f"id {kind}, score double, evidence array<long>").withColumnRenamed("id", id_col)
