@@ -7,8 +7,10 @@ page addresses as paths, orders as directories and their lines as files.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -531,14 +533,23 @@ def stability(spark, sf_dir):
 # ---- sorting, logs, configuration
 
 
-@query("SELECT c_custkey, row_number() OVER (ORDER BY lower(c_name)) AS by_name, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS newest FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 100")
-def sort_modes(spark, sf_dir):
-    from pyspark.sql import Window as W
+MODES = {"newest": ("c_acctbal", True), "oldest": ("c_acctbal", False), "alpha": ("name", False), "alpha-reverse": ("name", True)}
+MODES_SQL = " UNION ALL ".join(
+    f"SELECT * FROM (SELECT '{mode}' AS mode, row_number() OVER (ORDER BY {key} {'DESC' if down else 'ASC'}, c_custkey) AS place, c_custkey FROM (SELECT *, lower(c_name) AS name FROM customer)) WHERE place <= 25"
+    for mode, (key, down) in MODES.items()
+)
 
-    top = table(spark, sf_dir, "customer")
-    ranked = top.select("c_custkey", "c_acctbal", F.row_number().over(W.orderBy(F.lower("c_name"))).cast("long").alias("by_name"))
-    first = ranked.orderBy(F.desc("c_acctbal"), "c_custkey").limit(100)
-    return first.select("c_custkey", "by_name", F.row_number().over(W.orderBy(F.desc("c_acctbal"), "c_custkey")).cast("long").alias("newest"))
+
+@query(MODES_SQL)
+def sort_modes(spark, sf_dir):
+    """The first 25 units in each order: a top-k sort, numbered only once it is 25 rows."""
+    rows = table(spark, sf_dir, "customer").withColumn("name", F.lower("c_name"))
+    out = []
+    for mode, (key, down) in MODES.items():
+        order = [F.desc(key) if down else F.asc(key), F.col("c_custkey")]
+        first = rows.orderBy(*order).limit(25)
+        out.append(first.select(F.lit(mode).alias("mode"), F.row_number().over(W.orderBy(*order)).cast("long").alias("place"), "c_custkey"))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query("SELECT conv_id, turn, CASE WHEN t LIKE '%error%' OR t LIKE '%failed%' THEN 'error' WHEN t LIKE '%warning%' OR t LIKE '%warn%' OR t LIKE '%skipping%' THEN 'warn' WHEN t LIKE '%complete%' OR t LIKE '%done%' OR t LIKE '%success%' THEN 'success' ELSE 'info' END AS severity FROM (SELECT *, lower(text) AS t FROM conversations)")
