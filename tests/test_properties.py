@@ -39,6 +39,8 @@ def test_the_largest_is_never_lost(spark):
     assert got == {k: max(s for x, s, _, _ in rows if x == k) for k in {r[0] for r in rows}}
     kept = keep.largest(spark.createDataFrame(rows, schema), ["k"], "size", "name").where("keep").collect()
     assert all(r["size"] == got[r.k] for r in kept)
+    lost = keep.losers(spark.createDataFrame(rows, schema), ["k"], "size", "name").collect()
+    assert sorted(r.name for r in lost) == sorted({r[2] for r in rows} - {r.name for r in kept} - {r[2] for r in rows if sum(x[0] == r[0] for x in rows) == 1})
 
 
 def test_cleaning_settles(spark):

@@ -15,6 +15,19 @@ def largest(files: DataFrame, keys: list[str], size: str, name: str) -> DataFram
     return ranked.where("members > 1").withColumn("keep", F.col("rank") == 1)
 
 
+def losers(files: DataFrame, keys: list[str], size: str, name: str, salts: int = 16) -> DataFrame:
+    """The files that ``largest`` would not keep, without ranking: for plans over groups of any size.
+
+    Winners are aggregated before the shuffle and sent to ``salts`` places, so that a key that holds most files is spread.
+    """
+    best = files.groupBy(*keys).agg(F.max(F.col(size)).alias("__size"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    spread = lambda df: df.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = files.withColumn("__salt", F.pmod(F.xxhash64(name, size), F.lit(salts)).cast("int"))
+    rows = rows.join(spread(best), [*keys, "__salt"])
+    first = rows.where(F.col(size) == F.col("__size")).groupBy(*keys).agg(F.min(name).alias("__name"))
+    return rows.join(spread(first), [*keys, "__salt"]).where((F.col(size) < F.col("__size")) | (F.col(name) != F.col("__name"))).select(*files.columns)
+
+
 def merged(existing: DataFrame, incoming: DataFrame, keys: list[str], size: str, order: str) -> DataFrame:
     """One row a key: an incoming file replaces what is there only if it is strictly larger; of equals the first comes first.
 

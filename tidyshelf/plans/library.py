@@ -92,7 +92,7 @@ def strip_repeats(files: DataFrame) -> DataFrame:
 def deduplicate(files: DataFrame) -> DataFrame:
     """Of archives with one key in a directory the largest stays; old-format files whose key exists as .cbz go."""
     rows = files.withColumn("key", N.dedup_key(F.col("stem")))
-    smaller = keep.largest(rows.where(F.col("ext") == ".cbz"), ["dir_path", "key"], "size", "name").where("not keep")
+    smaller = keep.losers(rows.where(F.col("ext") == ".cbz"), ["dir_path", "key"], "size", "name")
     old = tree.format_pairs(rows, "dir_path", "key", "ext", ".cbr", ".cbz")
     return union(
         keep.actions(smaller, "delete", F.col("path"), None, "smaller duplicate", F.col("size")), keep.actions(old, "delete", F.col("path"), None, "exists as .cbz", F.col("size"))
