@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesview import WordHasher, mixed, separators
-from .common import documents, give_back, matching, new_dir, table_at, text_of
+from .common import documents, drop_dir, give_back, matching, new_dir, table_at, text_of
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
 BLOCK = 256
@@ -273,12 +273,14 @@ def near_duplicates(
     stars = buckets.where((F.col("rep") != F.col("hub")) & possible).select(F.col("hub").alias("p"), F.col("rep").alias("q")).distinct()
     wanted = cut(buckets.select(F.col("rep").alias("id")).distinct())
     chosen = matching(df.select(id_col, text_col), wanted, id_col, "left_semi").dropDuplicates([id_col])
-    sets = table_at(element_sets(chosen, id_col, text_col, words), new_dir(df.sparkSession, "elements"))
+    store = new_dir(df.sparkSession, "elements")
+    sets = table_at(element_sets(chosen, id_col, text_col, words), store)
     edges = cut(compared(stars, sets).where(F.col("alike") >= threshold - 1e-12).select("p", "q"))
     labels = components(edges)
     more = cut(links_left(labelled(buckets.select("key", "rep"), labels, "rep"), sets, threshold, kind))
     if more.limit(1).count():
         labels = components(edges.union(more))
+    drop_dir(df.sparkSession, store)  # links and labels are tables of their own by now
 
     classes = labelled(reps.select("a", "b", "rep", "copies"), labels, "rep")
     sizes = classes.groupBy("label").agg(F.sum("copies").alias("class_size"))
