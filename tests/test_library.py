@@ -1,9 +1,12 @@
 """Whole plans on small libraries."""
 
+import zipfile
+
 from pyspark.sql import functions as F
 
 from tidyshelf.operators.routing import Rule
 from tidyshelf.plans import library
+from tidyshelf.sources import apply, files as sources
 from tidyshelf.sources.files import described
 
 
@@ -74,3 +77,122 @@ def test_tags_gaps_routes_and_leftovers(spark, tmp_path):
     job = library.ingest(stream, lambda b: library.route(b, "w", rules, places, "c"), lambda plan: seen.extend(r.dest for r in plan.collect()), str(tmp_path / "cp"))
     job.trigger(availableNow=True).start().awaitTermination()
     assert sorted(seen) == ["C/Y", "M/Batman"] and dirs.select(F.lit(1)).count() == 2
+
+
+def archive(path, *entries, xml=None):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    with zipfile.ZipFile(path, "w") as z:
+        for name, data in entries:
+            z.writestr(name, data)
+        if xml is not None:
+            z.writestr("ComicInfo.xml", xml)
+
+
+def tree_of(root):
+    return sorted(str(p.relative_to(root)) for p in root.rglob("*") if p.is_file())
+
+
+def entry(path, name):
+    with zipfile.ZipFile(path) as z:
+        return z.read(name).decode()
+
+
+def test_live_collisions_keep_their_names(spark):
+    files = shelf(spark, ("r/Bat/Bat ch. 005.cbz", 9), ("r/Bat/Bat ch. 5.cbz", 3), ("r/Bat/Bat ch. 05.cbz", 4))
+    meta = spark.createDataFrame([(r.path, "c.xml", "<Title>x y</Title>") for r in files.collect()], META)
+    assert plan_rows(library.clean(files, meta, profile="live")) == set()
+    got = plan_rows(library.clean(files, meta, rules=frozenset({"number_tokens"})))
+    assert got == {("rename", "r/Bat/Bat ch. 005.cbz", "r/Bat/Bat ch. 5.cbz"), ("delete", "r/Bat/Bat ch. 5.cbz", None), ("delete", "r/Bat/Bat ch. 05.cbz", None)}
+
+
+def test_each_file_is_renamed_once(spark):
+    files = shelf(spark, *[(f"r/S {b}/S ch. 0{n} [z].cbz", n) for b, ns in (("[a]", (1, 2, 3)), ("(b)", (4, 5, 15))) for n in ns])
+    got = library.clean(files, spark.createDataFrame([], META)).where("op <> 'rewrite'").collect()
+    assert len({r.src for r in got}) == len(got) == 8
+    assert {(r.op, r.src, r.dest) for r in got if r.src.count("/") == 1} == {("rename", "r/S (b)", "r/S"), ("merge_dir", "r/S [a]", "r/S")}
+    assert {r.dest for r in got} >= {"r/S (b)/S ch. 1-5.cbz", "r/S [a]/S ch. 1.cbz"}
+
+
+def test_a_cleaned_library_on_disk(spark, tmp_path):
+    root = tmp_path / "lib"
+    for n in (1, 2, 3):
+        archive(root / f"S [a]/S ch. 0{n}.cbz", ("1.jpg", "x" * n), xml="<ComicInfo><Title>S [q]</Title><Series>S [q]</Series></ComicInfo>")
+    archive(root / "S (b)/S ch. 2.cbz", ("1.jpg", "x" * 900))
+    archive(root / "S (b)/S ch. 13.cbz", ("1.jpg", "x"), xml="<ComicInfo><Number>13</Number></ComicInfo>")
+    files, meta = sources.scan(spark, f"file://{root}"), sources.metadata(spark, f"file://{root}")
+    assert apply.apply(library.clean(files, meta)) == 0
+    assert tree_of(root) == ["S/S ch. 1-3.cbz", "S/S ch. 1.cbz", "S/S ch. 2.cbz", "S/S ch. 3.cbz"]
+    assert "<Number>1-3</Number>" in entry(root / "S/S ch. 1-3.cbz", "ComicInfo.xml") and "<Series>S</Series>" in entry(root / "S/S ch. 3.cbz", "ComicInfo.xml")
+    assert len(entry(root / "S/S ch. 2.cbz", "1.jpg")) == 900
+    assert library.clean(sources.scan(spark, f"file://{root}"), sources.metadata(spark, f"file://{root}")).where("op <> 'rewrite'").count() == 0
+
+
+def test_merged_groups_on_disk(spark, tmp_path):
+    root = tmp_path / "lib"
+    archive(root / "Bat ch. 1/Chapter 1.cbz", ("1.jpg", "x"))
+    archive(root / "BAT ch. 2/deep/Own v3 ch. 2.cbz", ("1.jpg", "x"), xml="<ComicInfo>\n</ComicInfo>")
+    files, meta = sources.scan(spark, f"file://{root}"), sources.metadata(spark, f"file://{root}")
+    assert apply.apply(library.merge_groups(files, meta)) == 0
+    assert tree_of(root) == ["BAT/Bat ch. 1.cbz", "BAT/Own v3 ch. 2.cbz"]
+    xml = entry(root / "BAT/Own v3 ch. 2.cbz", "ComicInfo.xml")
+    assert all(x in xml for x in ("<Series>BAT</Series>", "<Title>Own v3 ch. 2</Title>", "<Volume>3</Volume>\n  <Number>2</Number>"))
+    assert "<Title>Bat ch. 1</Title>" in entry(root / "BAT/Bat ch. 1.cbz", "ComicInfo.xml")
+
+
+def test_rebuilt_ranges_and_packed_folders_on_disk(spark, tmp_path):
+    root = tmp_path / "lib"
+    archive(root / "S/S ch. 1-2.cbz", ("b.jpg", "old b"), ("a.jpg", "a"), xml="<x/>")
+    archive(root / "S/S ch. 1.cbz", ("p.jpg", "better a"))
+    archive(root / "S/S ch. 2.cbz", ("p.jpg", "b"))
+    url = f"file://{root}"
+    plan, actions = library.resolve_ranges(sources.scan(spark, url), sources.entries(spark, url).where("ok"))
+    plan, actions = plan.persist(), actions.persist()
+    assert actions.count() == 3
+    assert apply.apply_pages(plan) == 0 and apply.apply_pages(plan) == 0 and apply.apply(actions) == 0
+    assert tree_of(root) == ["S/Processed/S ch. 1.cbz", "S/Processed/S ch. 2.cbz", "S/S ch. 1-2.cbz"]
+    with zipfile.ZipFile(root / "S/S ch. 1-2.cbz") as z:
+        assert z.namelist() == ["ComicInfo.xml", "page_0001.jpg", "page_0002.jpg"] and z.read("page_0001.jpg") == b"better a" and z.read("page_0002.jpg") == b"old b"
+    folder = tmp_path / "pics/P"
+    folder.mkdir(parents=True)
+    for name in ("10.jpg", "9.jpg", "ComicInfo.xml"):
+        (folder / name).write_text(name)
+    pics = sources.scan(spark, f"file://{tmp_path}/pics", glob="*")
+    assert apply.apply(library.pack_folders(pics)) == 0 and tree_of(tmp_path / "pics") == ["P.cbz"]
+    with zipfile.ZipFile(tmp_path / "pics/P.cbz") as z:
+        assert z.namelist() == ["ComicInfo.xml", "9.jpg", "10.jpg"]
+
+
+def test_the_sink_takes_chains_and_repeats(spark, tmp_path):
+    for name in "abc":
+        (tmp_path / name).write_text(name)
+    rows = [("rename", f"{tmp_path}/a", f"{tmp_path}/b", "", 1), ("rename", f"{tmp_path}/b", f"{tmp_path}/a", "", 1), ("rename", f"{tmp_path}/c", f"{tmp_path}/d/e", "", 1), ("delete", f"{tmp_path}/none", None, "", 1)]
+    plan = spark.createDataFrame(rows, "op string, src string, dest string, reason string, size long")
+    assert apply.apply(plan) == 0
+    assert [(tmp_path / n).read_text() for n in ("a", "b", "d/e")] == ["b", "a", "c"]
+    bad = spark.createDataFrame([("rewrite", f"{tmp_path}/none.cbz", "c.xml", "<x/>", 1)], plan.schema)
+    assert apply.apply(bad) == 1
+
+
+def test_marked_names_that_are_taken(spark):
+    files = shelf(spark, ("r/X (Uncensored)/1.cbz", 1), ("r/x!/1.cbz", 1), ("r/_Check/x!/1.cbz", 1), ("r/_Check/x! (1)/1.cbz", 1))
+    assert plan_rows(library.separate_marked(files)) == {("move", "r/X (Uncensored)", "r/_Check/X (Uncensored)"), ("move", "r/x!", "r/_Check/x! (2)")}
+
+
+def test_risky_duplicates(spark):
+    files = shelf(spark, ("r/S/A Ch. 1.5.cbz", 5), ("r/S/A Ch. 15.cbz", 9))
+    assert [r.reason for r in library.deduplicate(files).collect()] == ["smaller duplicate, numbers differ"]
+
+
+def test_arrivals_and_logs(spark, tmp_path):
+    archive(tmp_path / "w/S/a.cbz", ("1.jpg", "x"))
+    archive(tmp_path / "w/loose.cbz", ("1.jpg", "x"))
+    stream = sources.arrivals(spark, f"file://{tmp_path}/w").select("path", "at_root")
+    q = stream.writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r.path.rpartition("/")[2], r.at_root) for r in spark.table("arrived").collect()} == {("a.cbz", False), ("loose.cbz", True)}
+    log = f"file://{tmp_path}/log"
+    sources.start_log(spark, log, "now")
+    sources.log_progress(spark.createDataFrame([("a",)], "p string"), log)
+    assert [r.p for r in sources.progress(spark, log).collect()] == ["a"]
+    sources.clear_progress(spark, log)
+    assert sources.progress(spark, log).count() == 0

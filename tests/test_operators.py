@@ -94,7 +94,9 @@ def test_greedy_absorbs_only_the_secondary(spark):
 def test_trees(spark):
     df = spark.createDataFrame([("r/a",), ("r/a/b",), ("r/c/d",), ("r/c/d/e/f",)], "dir_path string")
     assert {r[0] for r in tree.series_dirs(df, "dir_path").collect()} == {"r/a", "r/c/d"}
-    assert [r[0] for r in spark.createDataFrame([("b10",), ("b9",), ("A1",)], "x string").orderBy(tree.natural_key(F.col("x"))).collect()] == ["A1", "b9", "b10"]
+    assert [r[0] for r in spark.createDataFrame([("b10",), ("b9",), ("ComicInfo.xml",), ("A1",)], "x string").orderBy(tree.natural_key(F.col("x"))).collect()] == ["ComicInfo.xml", "A1", "b9", "b10"]
+    units = spark.createDataFrame([("b", 1), ("A", 2), ("c", 3)], "dir_name string, mtime int")
+    assert ["".join(r.dir_name for r in tree.in_order(units, m).collect()) for m in tree.ORDERS] == ["cAb", "bAc", "Abc", "cbA"]
     dirs = spark.createDataFrame([("l", "Batman ch. 1"), ("l", "BATMAN ch. 2"), ("l", "Solo 1")], "p string, n string")
     assert [tuple(r) for r in tree.groups_by_base(dirs, "p", "n").collect()] == [("l", "batman", 2, "BATMAN")]
 

@@ -76,3 +76,12 @@ TEMPLATE = """<ComicInfo
   <ty:Categories xmlns:ty="http://www.w3.org/2001/XMLSchema"></ty:Categories>
   <mh:SourceMihon xmlns:mh="http://www.w3.org/2001/XMLSchema">Komga</mh:SourceMihon>
 </ComicInfo>"""
+
+#: For archives of merged series.
+SHORT_TEMPLATE = """<ComicInfo
+  xmlns:xsd="http://www.w3.org/2001/XMLSchema"
+  xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance">
+  <Title></Title>
+  <Series></Series>
+  <Number></Number>
+</ComicInfo>"""

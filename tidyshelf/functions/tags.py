@@ -110,3 +110,17 @@ def retagged(rows: DataFrame, xml: str, stem: str, parent: str, profile: str = "
         r = r.withColumn("__row", F.monotonically_increasing_id())
         r = r.where((F.col("__row") >= 0) & F.col("new_xml").isNotNull() & ~F.col("new_xml").eqNullSafe(x))
     return r.select(*rows.columns, "new_xml")
+
+
+def series_tags(rows: DataFrame, xml: str, stem: str, series: str) -> DataFrame:
+    """Adds ``new_xml`` for files of a merged series: series and title always, volume and number where the name has them.
+
+    A number of 0 is not written. Documents that are missing (null) are made from the short template.
+    """
+    name = F.col(stem)
+    r = rows.withColumn("new_xml", F.coalesce(F.col(xml), F.lit(P.SHORT_TEMPLATE))).withColumns({"__volume": N.volume_text(name), "__number": N.chapter(name)})
+    r = r.withColumn("new_xml", set_tag(F.col("new_xml"), "Series", F.col(series), after="Title")).withColumn("new_xml", set_tag(F.col("new_xml"), "Title", name))
+    r = r.withColumn("new_xml", F.when(F.col("__volume").isNull(), F.col("new_xml")).otherwise(set_tag(F.col("new_xml"), "Volume", F.col("__volume"), after="Series")))
+    number, old = N.format_number(F.col("__number")), F.col("new_xml")
+    numbered = F.when(F.col("__volume").isNull(), set_tag(old, "Number", number, after="Series")).otherwise(set_tag(old, "Number", number, after="Volume"))
+    return r.withColumn("new_xml", F.when(F.col("__number") != 0, numbered).otherwise(old)).drop("__volume", "__number")

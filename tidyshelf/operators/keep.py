@@ -46,13 +46,19 @@ def suffixed(rows: DataFrame, keys: list[str], order: str, name: str) -> DataFra
     return rows.withColumn("nth", nth).withColumn("new_name", F.when(F.col("nth") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), F.col("nth") - 1, F.lit(")"))))
 
 
-def free_suffix(wanted: DataFrame, taken: DataFrame, name: str, most: int = 99) -> DataFrame:
-    """The first free `` (i)``, i up to ``most``, against names already taken in the destination; null if none is."""
-    used = taken.groupBy(F.regexp_extract(name, r"^(.*?)(?: \((\d+)\))?$", 1).alias("base")).agg(F.collect_set(name).alias("used"))
-    out = wanted.join(used, wanted[name] == F.col("base"), "left")
+def free_suffix(wanted: DataFrame, taken: DataFrame, name: str, keys: list[str] | None = None, order: str | None = None, most: int = 99) -> DataFrame:
+    """The first free `` (i)``, i up to ``most``, against names already taken in the destination (keys); null if none is.
+
+    With ``order``, rows that want one name take the free ones in that order.
+    """
+    keys = keys or []
+    bases = F.array_distinct(F.array(F.col(name), F.regexp_extract(name, r"^(.*?)(?: \((\d+)\))?$", 1)))
+    used = taken.select(*keys, name, F.explode(bases).alias("__base")).groupBy(*keys, "__base").agg(F.collect_set(name).alias("__used")).withColumnRenamed("__base", name)
+    out = wanted.join(used, [*keys, name], "left")
     options = F.concat(F.array(F.col(name)), F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: F.concat(F.col(name), F.lit(" ("), i.cast("string"), F.lit(")"))))
-    free = F.array_except(options, F.coalesce("used", F.array().cast("array<string>")))
-    return out.withColumn("new_name", F.get(free, 0)).drop("base", "used")
+    free = F.array_except(options, F.coalesce("__used", F.array().cast("array<string>")))
+    nth = F.row_number().over(W.partitionBy(*keys, name).orderBy(order)) - 1 if order else F.lit(0)
+    return out.withColumn("__nth", nth).withColumn("new_name", F.get(free, F.col("__nth"))).drop("__used", "__nth")
 
 
 def generic_numbering(files: DataFrame, directory: str, order: str, generic: Column, dir_name: Column) -> DataFrame:

@@ -64,6 +64,18 @@ def not_done(candidates: DataFrame, done: DataFrame, path: str) -> DataFrame:
 
 
 def natural_key(name: Column) -> Column:
-    """Orders names with numbers by value: digit runs padded, lower case."""
+    """Orders names with numbers by value, metadata first: digit runs padded, lower case."""
+    first = F.when(F.lower(name) == "comicinfo.xml", "0").otherwise("1")
     parts = F.split(F.regexp_replace(F.lower(name), r"(\d+)", "\u0001$1\u0001"), "\u0001")
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 20, "0")).otherwise(p)), "")
+    return F.concat(first, F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 20, "0")).otherwise(p)), ""))
+
+
+ORDERS = ("newest", "oldest", "alpha", "alpha-reverse")
+
+
+def in_order(dirs: DataFrame, mode: str, time: str = "mtime", name: str = "dir_name") -> DataFrame:
+    """Directories in the order they are to be worked on: newest or oldest first, or by name without case, up or down."""
+    if mode not in ORDERS:
+        raise ValueError(f"no such order: {mode}")
+    key = F.col(time) if mode in ("newest", "oldest") else F.lower(name)
+    return dirs.orderBy(key.desc() if mode in ("newest", "alpha-reverse") else key.asc(), name)

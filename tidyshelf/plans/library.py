@@ -20,7 +20,6 @@ from ..operators import gaps, keep, match, ranges, routing, tree
 from ..sources.files import is_image, stale
 
 
-
 def union(*plans: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, plans)
 
@@ -40,62 +39,118 @@ def with_new_name(rows: DataFrame, rules: frozenset[str], profile: str) -> DataF
     return rows.withColumn("new_name", F.concat("__stem", "ext")).drop("__stem")
 
 
-def collisions(rows: DataFrame) -> DataFrame:
-    """Renames of one directory onto one name: the largest gets it, of equals the file that has it, then the first; others go.
+def contested(rows: DataFrame, directory: str, profile: str = "batch") -> DataFrame:
+    """Adds ``stays`` and settles new_name where several files of a directory would take one name.
+
+    batch: the largest gets it, of equals the file that has it, then the first; the others do not stay. live: the file that
+    has the name, else the first, gets it; the others keep their own names.
+    """
+    has_it, by_name = (F.col("name") == F.col("new_name")).desc(), [F.lower("name"), F.col("name"), F.col("path")]
+    order = [F.desc("size"), has_it, *by_name] if profile == "batch" else [has_it, *by_name]
+    first = F.row_number().over(W.partitionBy(directory, "new_name").orderBy(*order)) == 1
+    rows = rows.withColumn("stays", first)
+    if profile == "live":
+        rows = rows.withColumns({"new_name": F.when(F.col("stays"), F.col("new_name")).otherwise(F.col("name")), "stays": F.lit(True)})
+    return rows
+
+
+def name_actions(rows: DataFrame) -> DataFrame:
+    """Renames inside directories, and the files that lose theirs to a larger one."""
+    moves = rows.where("stays and name <> new_name")
+    return union(
+        keep.actions(moves, "rename", F.col("path"), under(F.col("dir_path"), F.col("new_name")), "cleaned name", F.col("size")),
+        keep.actions(rows.where("not stays"), "delete", F.col("path"), None, "smaller file of the same name", F.col("size")),
+    )
+
+
+def with_ranges(rows: DataFrame, directory: str) -> DataFrame:
+    """Adds start and end; files whose number reads as a range of their directory's numbers get the range's name.
 
-    rows: (path, dir_path, name, new_name, size).
+    Judged by new_name. Of files with one number the last counts; a file that has the range's name already wins over an
+    equally large one. rows: contested; those that do not stay take no part.
     """
-    w = W.partitionBy("dir_path", "new_name").orderBy(F.desc("size"), (F.col("name") == F.col("new_name")).desc(), F.lower("name"), "name")
-    ranked = rows.withColumn("rank", F.row_number().over(w))
-    moves = keep.actions(ranked.where((F.col("rank") == 1) & (F.col("name") != F.col("new_name"))), "rename", F.col("path"), under(F.col("dir_path"), F.col("new_name")), "cleaned name", F.col("size"))
-    return union(moves, keep.actions(ranked.where("rank > 1"), "delete", F.col("path"), None, "smaller file of the same name", F.col("size")))
+    rows = rows.withColumn("number", F.when(F.col("stays"), N.chapter(N.stem(F.col("new_name")))))
+    numbered = rows.where("number is not null")
+    last = numbered.groupBy(directory, "number").agg(F.max_by("path", F.struct("new_name", "path")).alias("path"))
+    found = ranges.suspects(last, directory, "number").withColumnRenamed("suspect", "number").join(last, [directory, "number"]).select("path", "start", "end")
+    rows = rows.join(found, "path", "left")
+    name = F.concat(N.renamed_for_range(N.stem(F.col("new_name")), F.col("start"), F.col("end")), N.suffix(F.col("new_name")))
+    rows = rows.withColumn("new_name", F.when(F.col("start").isNull(), F.col("new_name")).otherwise(name))
+    again = W.partitionBy(directory, "new_name", "stays").orderBy(F.desc("size"), F.col("start").isNull().desc(), "path")
+    return rows.withColumn("stays", F.col("stays") & (F.row_number().over(again) == 1)).drop("number")
+
+
+def directory_actions(files: DataFrame, dirs: DataFrame) -> DataFrame:
+    """dirs: (dir_path, to). The first directory takes a free name; the others, and those whose name is taken, are merged."""
+    taken = files.select(F.col("dir_path").alias("to")).distinct().withColumn("taken", F.lit(True))
+    moved = dirs.where("to <> dir_path").join(taken, "to", "left")
+    nth = F.row_number().over(W.partitionBy("to").orderBy("dir_path"))
+    op = F.when(F.col("taken").isNull() & (nth == 1), "rename").otherwise("merge_dir")
+    return keep.actions(moved.withColumn("op", op), F.col("op"), F.col("dir_path"), F.col("to"), "cleaned directory")
 
 
 def clean(files: DataFrame, metadata: DataFrame, done: DataFrame | None = None, rules: frozenset[str] = P.RULES, profile: str = "batch") -> DataFrame:
     """Clean names and metadata: directories, then files in them, then documents, then numbers that are ranges.
 
-    Files of size 0, and those an earlier run has done, are left alone.
+    Names are settled as the directories will be once they are renamed and merged. Each file has at most one rename or
+    delete and one rewrite, by its path of now; the live profile looks for no ranges. Files of size 0, and those an earlier
+    run has done, are left alone.
     """
     todo = files.where((F.col("size") > 0) & (F.col("ext") == ".cbz"))
     if done is not None:
         todo = tree.not_done(todo, done.withColumnRenamed("p", "path"), "path")
-    todo = with_new_name(todo, rules, profile)
-    dirs = todo.select("dir_path", "parent_path", "dir_name", "new_dir").distinct()
-    taken = files.select(F.col("dir_path").alias("taken")).distinct()
-    renamed = dirs.where("new_dir <> dir_name").withColumn("to", under(F.col("parent_path"), F.col("new_dir")))
-    renamed = renamed.join(taken, F.col("to") == F.col("taken"), "left")
-    op = F.when(F.col("taken").isNull(), "rename").otherwise("merge_dir")
-    plans = [keep.actions(renamed, op, F.col("dir_path"), F.col("to"), "cleaned directory"), collisions(todo)]
+    todo = with_new_name(todo, rules, profile).withColumn("to", under(F.col("parent_path"), F.col("new_dir")))
+    rows = contested(todo, "to", profile)
+    rows = with_ranges(rows, "to") if profile == "batch" else rows.withColumns({"start": F.lit(None).cast("double"), "end": F.lit(None).cast("double")})
+    plans = [directory_actions(files, todo.select("dir_path", "to").distinct()), name_actions(rows)]
     if "comicinfo" in rules:
-        rows = todo.join(metadata.select("path", "entry_name", "xml"), "path", "left")
-        changed = G.retagged(rows, "xml", "stem", "new_dir", profile, rules, only_changed=True)
-        plans.append(keep.actions(changed, "rewrite", F.col("path"), F.coalesce("entry_name", F.lit("ComicInfo.xml")), F.col("new_xml"), F.col("size")))
-    return union(*plans, range_names(todo))
+        rows = rows.where("stays").join(metadata.select("path", "entry_name", "xml"), "path", "left")
+        rows = G.retagged(rows, "xml", "stem", "new_dir", profile, rules)
+        plans.append(rewrites(rows.withColumn("new_xml", F.coalesce("new_xml", "xml"))))
+    return union(*plans)
+
 
+def rewrites(rows: DataFrame) -> DataFrame:
+    """Documents that change, those of range archives with the range as their number. rows: (path, size, entry_name, xml, new_xml, start, end).
+
+    The condition on a row number keeps the filter above the steps, where Catalyst would else repeat them in it.
+    """
+    xml = F.when(F.col("start").isNull() | F.col("new_xml").isNull(), F.col("new_xml")).otherwise(G.set_range(F.col("new_xml"), F.col("start"), F.col("end")))
+    rows = rows.withColumn("new_xml", xml).withColumn("__row", F.monotonically_increasing_id())
+    changed = rows.where((F.col("__row") >= 0) & F.col("new_xml").isNotNull() & ~F.col("new_xml").eqNullSafe(F.col("xml")))
+    return keep.actions(changed, "rewrite", F.col("path"), F.coalesce("entry_name", F.lit("ComicInfo.xml")), F.col("new_xml"), F.col("size"))
 
-def range_names(files: DataFrame) -> DataFrame:
-    """Files whose number reads as a range get the range's name."""
-    rows = files.withColumn("number", N.chapter(F.col("stem"))).where("number is not null")
-    last = rows.groupBy("dir_path", "number").agg(F.max_by(F.struct("path", "stem", "ext", "size"), "path").alias("file"))
-    found = ranges.suspects(last, "dir_path", "number").withColumnRenamed("suspect", "number").join(last, ["dir_path", "number"])
-    name = F.concat(N.renamed_for_range(F.col("file.stem"), F.col("start"), F.col("end")), F.col("file.ext"))
-    return keep.actions(found, "rename", F.col("file.path"), under(F.col("dir_path"), name), F.concat(F.lit("range "), N.range_text(F.col("start"), F.col("end"))), F.col("file.size"))
+
+def range_names(files: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """Files whose number reads as a range get the range's name, and with metadata the range as their document's number."""
+    rows = with_ranges(files.withColumns({"new_name": F.col("name"), "stays": F.lit(True)}), "dir_path")
+    if metadata is None:
+        return name_actions(rows)
+    marked = rows.where("stays and start is not null").join(metadata.select("path", "entry_name", "xml"), "path")
+    return union(name_actions(rows), rewrites(marked.withColumn("new_xml", F.col("xml"))))
 
 
 def strip_repeats(files: DataFrame) -> DataFrame:
     """Names with repeated tokens, cleaned."""
     rows = files.where(F.col("ext") == ".cbz").withColumn("new_name", F.concat(N.without_repeats(F.col("stem")), F.col("ext")))
     holders = rows.select("dir_path", "new_name").where(F.col("new_name") != "").distinct()
-    return collisions(rows.join(holders, ["dir_path", "new_name"], "left_semi"))
+    return name_actions(contested(rows.join(holders, ["dir_path", "new_name"], "left_semi"), "dir_path"))
 
 
 def deduplicate(files: DataFrame) -> DataFrame:
-    """Of archives with one key in a directory the largest stays; old-format files whose key exists as .cbz go."""
+    """Of archives with one key in a directory the largest stays; old-format files whose key exists as .cbz go.
+
+    The key drops dots and hyphens, so 1.5 and 15 are one; the reason says where numbers differ.
+    """
     rows = files.withColumn("key", N.dedup_key(F.col("stem")))
-    smaller = keep.losers(rows.where(F.col("ext") == ".cbz"), ["dir_path", "key"], "size", "name")
+    archives = rows.where(F.col("ext") == ".cbz").withColumn("number", N.chapter_text(F.col("stem")))
+    smaller = keep.losers(archives, ["dir_path", "key"], "size", "name")
+    several = archives.groupBy("dir_path", "key").agg(F.min("number").alias("a"), F.max("number").alias("b")).where("a <> b").select("dir_path", "key", F.lit(True).alias("risky"))
+    smaller = smaller.join(several, ["dir_path", "key"], "left")
+    reason = F.when(F.col("risky"), "smaller duplicate, numbers differ").otherwise("smaller duplicate")
     old = tree.format_pairs(rows, "dir_path", "key", "ext", ".cbr", ".cbz")
     return union(
-        keep.actions(smaller, "delete", F.col("path"), None, "smaller duplicate", F.col("size")), keep.actions(old, "delete", F.col("path"), None, "exists as .cbz", F.col("size"))
+        keep.actions(smaller, "delete", F.col("path"), None, reason, F.col("size")), keep.actions(old, "delete", F.col("path"), None, "exists as .cbz", F.col("size"))
     )
 
 
@@ -111,21 +166,35 @@ def pack_folders(files: DataFrame, root: str | None = None) -> DataFrame:
     return keep.actions(folders, "pack", F.col("dir_path"), F.col("to"), F.concat("entries", F.lit(" entries")))
 
 
-def merge_groups(files: DataFrame) -> DataFrame:
-    """Sibling directories that differ by a number token become one; generic files take their directory's name first."""
-    dirs = files.select("parent_path", "dir_name").distinct()
-    groups = tree.groups_by_base(dirs, "parent_path", "dir_name").withColumnRenamed("parent", "parent_path")
-    rows = files.where(F.col("ext") == ".cbz").withColumn("base", N.base_name(F.col("dir_name"))).join(groups, ["parent_path", "base"])
-    w = W.partitionBy("dir_path", N.is_generic_stem(F.col("stem")))
+def merge_groups(files: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """Sibling directories that differ by a number token become one; generic files take their directory's name first.
+
+    Files of directories below go along, all into the one directory. The directory that has the name already keeps its
+    names; of equal names the largest file stays, of equals the one that is there. Then numbers that read as ranges, and
+    with metadata the documents: series, title, volume and number by the names that files have in the merged directory.
+    """
+    dirs = files.select("dir_path").distinct().select("dir_path", F.explode(F.concat(tree.ancestors(F.col("dir_path")), F.array("dir_path"))).alias("up")).where("up <> ''")
+    split = {"parent_path": F.regexp_replace("up", r"/[^/]*$", ""), "top_name": F.substring_index("up", "/", -1)}
+    dirs = dirs.withColumns(split).withColumn("base", N.base_name(F.col("top_name"))).where("base is not null")
+    groups = tree.groups_by_base(dirs.select("parent_path", "top_name").distinct(), "parent_path", "top_name").withColumnRenamed("parent", "parent_path")
+    found = dirs.join(groups, ["parent_path", "base"]).withColumn("to", under(F.col("parent_path"), F.col("canonical")))
+    inside = found.groupBy("dir_path").agg(F.min_by(F.struct("up", "top_name", "to", "canonical"), F.length("up")).alias("top")).select("dir_path", "top.*")
+    rows = files.where(F.col("ext") == ".cbz").join(inside, "dir_path")
+    generic = N.is_generic_stem(F.col("stem")) & (F.col("dir_path") == F.col("up")) & (F.col("up") != F.col("to"))
+    w = W.partitionBy("dir_path", generic)
     nth, several = F.row_number().over(w.orderBy("name")), F.count(F.lit(1)).over(w) > 1
-    named = F.when(N.is_generic_stem(F.col("stem")), F.concat("dir_name", F.when(several, F.concat(F.lit(" "), nth)).otherwise(""), F.col("ext"))).otherwise(F.col("name"))
-    rows = rows.withColumns({"new_name": named, "to": under(F.col("parent_path"), F.col("canonical"))})
+    named = F.when(generic, F.concat("top_name", F.when(several, F.concat(F.lit(" "), nth)).otherwise(""), F.col("ext"))).otherwise(F.col("name"))
     best = W.partitionBy("to", "new_name").orderBy(F.desc("size"), (F.col("dir_path") == F.col("to")).desc(), "path")
-    ranked = rows.withColumn("rank", F.row_number().over(best))
-    return union(
-        keep.actions(ranked.where("rank = 1").where(F.col("path") != under(F.col("to"), F.col("new_name"))), "move", F.col("path"), under(F.col("to"), F.col("new_name")), "merged series", F.col("size")),
-        keep.actions(ranked.where("rank > 1"), "delete", F.col("path"), None, "smaller file of the same name", F.col("size")),
-    )
+    rows = rows.withColumn("new_name", named).withColumn("stays", F.row_number().over(best) == 1)
+    rows = with_ranges(rows.withColumn("merged_stem", N.stem(F.col("new_name"))), "to").withColumn("dest", under(F.col("to"), F.col("new_name")))
+    plans = [
+        keep.actions(rows.where("stays and path <> dest"), "move", F.col("path"), F.col("dest"), "merged series", F.col("size")),
+        keep.actions(rows.where("not stays"), "delete", F.col("path"), None, "smaller file of the same name", F.col("size")),
+    ]
+    if metadata is not None:
+        tagged = rows.where("stays").join(metadata.select("path", "entry_name", "xml"), "path", "left")
+        plans.append(rewrites(G.series_tags(tagged, "xml", "merged_stem", "canonical")))
+    return union(*plans)
 
 
 def tag_numbers(files: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -167,13 +236,18 @@ def resolve_ranges(files: DataFrame, entries: DataFrame, processed: str = "Proce
 
 
 def separate_marked(files: DataFrame, check: str = "_Check", side: str = "both") -> DataFrame:
-    """Directories with a marker word and their plain twins, moved together for a look: marked, plain or both."""
-    dirs = files.select("dir_path", "parent_path", "dir_name").where(F.col("dir_name") != check).distinct()
+    """Directories with a marker word and their plain twins, moved together for a look: marked, plain or both.
+
+    Names that are taken there, or wanted twice, get a number.
+    """
+    every = files.select("dir_path", "parent_path", "dir_name").distinct()
+    dirs = every.where((F.col("dir_name") != check) & (F.substring_index("parent_path", "/", -1) != check))
     pairs = tree.marker_pairs(dirs, "dir_name").where("plain is not null")
     names = {"marked": ["marked"], "plain": ["plain"], "both": ["marked", "plain"]}[side]
     chosen = union(*(pairs.select(F.col(n).alias("dir_name")) for n in names)).distinct()
     rows = dirs.join(chosen, "dir_name").withColumn("to_dir", F.concat_ws("/", "parent_path", F.lit(check)))
-    rows = keep.suffixed(rows, ["to_dir", "dir_name"], "dir_path", "dir_name")
+    taken = every.where(F.substring_index("parent_path", "/", -1) == check).select(F.col("parent_path").alias("to_dir"), "dir_name")
+    rows = keep.free_suffix(rows, taken, "dir_name", ["to_dir"], "dir_path").where("new_name is not null")
     return keep.actions(rows, "move", F.col("dir_path"), F.concat_ws("/", "to_dir", "new_name"), "marked pair")
 
 

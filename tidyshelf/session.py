@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | None = None, partitions: int | None = None, memory: str = "8g") -> SparkSession:
@@ -25,3 +26,11 @@ def local_session(cpus: int | None = None, partitions: int | None = None, memory
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables; Spark's own reader, so any store that Spark reads will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """df written to spark.checkpoint.dir and read from there: it stays as it is, whatever happens to its sources or executors."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidyshelf-"))
+    return df.checkpoint(eager=True)

@@ -1,49 +1,183 @@
-"""The sink that carries out planned actions on files that this machine can reach. Plans never touch files themselves."""
+"""The sink that carries out planned actions on files that every worker can reach. Plans never touch files themselves.
+
+Paths may be plain or ``file:`` URIs. A task that is run again finds what it has done already and goes on: archives are
+swapped in one step, and renames go by way of a name that only their own row uses, so chains (a to b, b to c) and swaps
+are safe in any order.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import logging
 import os
+import re
 import shutil
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
+from ..functions import patterns as P
+from ..session import fixed
 
-def rewrite(path: str, entry: str | None, xml: str) -> None:
-    """One entry replaced (or added); the others keep their bytes and compression. The file is swapped in one step."""
+DOCUMENT = "comicinfo.xml"
+ARCHIVE_ENTRY = re.compile(r"(?is)^(.*?\.cbz)!(.*)$")
+
+
+def local(path: str) -> str:
+    return re.sub(r"^file:/+", "/", path)
+
+
+def swapped_in(path: str, fill: Callable[[zipfile.ZipFile], None], how: int = zipfile.ZIP_STORED) -> None:
+    """A new archive in one step; what an interrupted attempt left is written over."""
     side = path.removesuffix(".cbz") + ".tmp.cbz"
-    with zipfile.ZipFile(path) as old, zipfile.ZipFile(side, "w") as new:
-        for info in old.infolist():
-            if info.filename != entry:
-                new.writestr(info, old.read(info.filename), compress_type=info.compress_type)
-        new.writestr(entry or "ComicInfo.xml", xml, compress_type=zipfile.ZIP_DEFLATED)
+    with zipfile.ZipFile(side, "w", how) as new:
+        fill(new)
     os.replace(side, path)
 
 
-def pack(folder: str, target: str, names: Iterable[str]) -> None:
-    """A folder's files as an archive without compression; an archive that is there already stays."""
-    if not os.path.exists(target):
-        with zipfile.ZipFile(target, "w", zipfile.ZIP_STORED) as z:
-            for n in names:
-                z.write(os.path.join(folder, n), n)
+def rewrite(path: str, entry: str | None, xml: str) -> None:
+    """One entry replaced (or added); the others keep their bytes and compression."""
+
+    def fill(new: zipfile.ZipFile) -> None:
+        with zipfile.ZipFile(path) as old:
+            for info in old.infolist():
+                if info.filename != entry:
+                    new.writestr(info, old.read(info), compress_type=info.compress_type)
+        new.writestr(entry or "ComicInfo.xml", xml, compress_type=zipfile.ZIP_DEFLATED)
+
+    swapped_in(path, fill)
+
+
+def in_page_order(name: str) -> tuple:
+    """Metadata first, then names with their numbers by value."""
+    return name.lower() != DOCUMENT, [(0, int(x), "") if x.isdigit() else (1, 0, x.lower()) for x in re.split(r"(\d+)", name)]
+
+
+def pack(folder: str, target: str) -> None:
+    """A folder's files as an archive without compression, the folder then removed; an archive that is there already stays."""
+    if os.path.isdir(folder) and not os.path.exists(target):
+        names = sorted(os.listdir(folder), key=in_page_order)
+        swapped_in(target, lambda new: [new.write(os.path.join(folder, n), n) for n in names])
+        shutil.rmtree(folder)
+
+
+def is_page(name: str) -> bool:
+    return os.path.splitext(name)[1].lower() in P.IMAGE_EXTENSIONS["ranges"]
+
+
+def rebuild(path: str, pages: list[tuple[str, str, str]]) -> None:
+    """A range archive from its plan: its other entries first, then (archive, entry, new name) in order."""
+    with zipfile.ZipFile(path) as old:
+        mine = set(old.namelist())
+    lost = any(a == path and e not in mine for a, e, _ in pages)
+    if lost and {n for n in mine if is_page(n)} == {n for _, _, n in pages}:
+        return  # done by an earlier attempt
+
+    def fill(new: zipfile.ZipFile) -> None:
+        with zipfile.ZipFile(path) as old:
+            for info in old.infolist():
+                if not is_page(info.filename):
+                    new.writestr(info, old.read(info), compress_type=info.compress_type)
+        for archive, entry, name in pages:
+            with zipfile.ZipFile(archive) as z:
+                new.writestr(name, z.read(entry), compress_type=z.getinfo(entry).compress_type)
+
+    swapped_in(path, fill)
+
+
+def put(src: str, dest: str) -> None:
+    """src as dest; a file that is there gives way only to a strictly larger one."""
+    if os.path.exists(dest) and os.path.getsize(src) <= os.path.getsize(dest):
+        os.remove(src)
+    else:
+        os.makedirs(os.path.dirname(dest), exist_ok=True)
+        shutil.move(src, dest)
+
+
+def merge(src: str, dest: str) -> None:
+    """A directory under its new name, or into the one that has it, file by file."""
+    if not os.path.isdir(src):
+        return
+    if not os.path.exists(dest):
+        os.makedirs(os.path.dirname(dest), exist_ok=True)
+        shutil.move(src, dest)
+        return
+    for at, _, names in os.walk(src):
+        for n in names:
+            put(os.path.join(at, n), os.path.join(dest, os.path.relpath(at, src), n))
+    shutil.rmtree(src)
+
+
+def waiting(src: str, dest: str) -> str:
+    return f"{dest}.{hashlib.md5(src.encode()).hexdigest()[:12]}.moving"
+
+
+def set_aside(row: Row) -> None:
+    src, dest = local(row.src), local(row.dest)
+    if os.path.isfile(src):
+        os.makedirs(os.path.dirname(dest), exist_ok=True)
+        shutil.move(src, waiting(src, dest))
+
+
+def put_in_place(row: Row) -> None:
+    src, dest = local(row.src), local(row.dest)
+    if os.path.isfile(aside := waiting(src, dest)):
+        put(aside, dest)
+
+
+def delete(row: Row) -> None:
+    if os.path.isfile(local(row.src)):
+        os.remove(local(row.src))
+
+
+def each(rows: DataFrame, work: Callable[[Row], None]) -> int:
+    """work on every row, in parallel; a row that fails is logged and passed over. The number of failures."""
+    failed = rows.sparkSession.sparkContext.accumulator(0)
+
+    def run(part: Iterable[Row]) -> None:
+        for row in part:
+            try:
+                work(row)
+            except (OSError, KeyError, zipfile.BadZipFile) as e:
+                logging.getLogger(__name__).error("%s: %s", row[0], e)
+                failed.add(1)
+
+    rows.foreachPartition(run)
+    return failed.value
+
 
+def apply_pages(plan: DataFrame) -> int:
+    """Rebuild the range archives of a page plan of which some page is better elsewhere; before the actions of that plan."""
+    page = F.struct("pos", "winner_entry", "new_name")
+    archives = plan.groupBy("group").agg(F.sort_array(F.collect_list(page)).alias("pages"), F.bool_or("upgraded").alias("any")).where("any")
 
-def one(row: Row) -> None:
-    if row.op == "delete":
-        os.path.exists(row.src) and os.remove(row.src)
-    elif row.op in ("rename", "move"):
-        os.makedirs(os.path.dirname(row.dest), exist_ok=True)
-        shutil.move(row.src, row.dest)
-    elif row.op not in ("skip", "merge_dir"):
-        raise ValueError(f"no such action: {row.op}")
+    def work(row: Row) -> None:
+        found = [(*ARCHIVE_ENTRY.match(p.winner_entry).groups(), p.new_name) for p in row.pages]
+        rebuild(local(row.group), [(local(a), e, n) for a, e, n in found])
 
+    return each(archives, work)
 
-def apply(actions: DataFrame) -> None:
-    """Rows in parallel; plans give each destination once, so their order does not matter."""
 
-    def run(rows: Iterable[Row]) -> None:
-        for row in rows:
-            one(row)
+def apply(actions: DataFrame) -> int:
+    """Carry out a plan; the number of actions that failed.
 
-    actions.foreachPartition(run)
+    Documents first, as all paths are those the plan was made for; then deletions, files, packed folders, and directories
+    from the deepest up. Rows for one destination follow each other in one task.
+    """
+    actions = fixed(actions)  # carrying it out changes what it was made from
+    if odd := actions.where(~F.col("op").isin("rename", "move", "merge_dir", "delete", "rewrite", "pack", "skip")).limit(1).collect():
+        raise ValueError(f"no such action: {odd[0].op}")
+    of = lambda *ops: actions.where(F.col("op").isin(*ops))
+    by_dest = of("rename", "move", "merge_dir").repartition("dest")
+    failed = each(of("rewrite").where("dest is not null"), lambda r: rewrite(local(r.src), r.dest, r.reason))
+    failed += each(of("delete"), delete)
+    failed += each(by_dest.where("op <> 'merge_dir'"), set_aside) + each(by_dest.where("op <> 'merge_dir'"), put_in_place)
+    failed += each(of("pack"), lambda r: pack(local(r.src), local(r.dest)))
+    depth = F.size(F.split("src", "/"))
+    depths = by_dest.select(depth.alias("depth")).distinct().orderBy(F.desc("depth"))
+    for (n,) in depths.collect():  # as many as the tree is deep
+        level = by_dest.where(depth == n).sortWithinPartitions("dest", F.col("op") == "merge_dir", "src")
+        failed += each(level, lambda r: merge(local(r.src), local(r.dest)))
+    return failed

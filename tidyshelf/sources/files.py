@@ -126,6 +126,32 @@ def log_progress(done: DataFrame, path: str) -> None:
     done.select("p").write.mode("append").json(path)
 
 
+def start_log(spark: SparkSession, path: str, session: str) -> None:
+    """A new session's line."""
+    spark.createDataFrame([(session, 2)], "session string, v int").coalesce(1).write.mode("append").json(path)
+
+
+def clear_progress(spark: SparkSession, path: str) -> None:
+    spark.createDataFrame([], "p string").write.mode("overwrite").json(path)
+
+
+ARRIVAL = "path string, modificationTime timestamp, length long, content binary"
+
+
+def arrivals(spark: SparkSession, root: str, per_batch: int = 10_000) -> DataFrame:
+    """The stream of archives under a root, those already there first: (path, event_type, event_time, dir_ctime, at_root).
+
+    A file's time stands for its directory's, which Spark's readers do not tell. at_root: dropped beside the
+    directories instead of into one; such files are processed all the same.
+    """
+    reader = spark.readStream.format("binaryFile").schema(ARRIVAL).option("pathGlobFilter", "*.cbz").option("recursiveFileLookup", "true")
+    found = reader.option("maxFilesPerTrigger", per_batch).load(root)
+    time = F.col("modificationTime")
+    plain = root.rstrip("/").split(":", 1)[-1].lstrip("/")
+    at_root = F.ltrim(F.regexp_replace(F.regexp_replace("path", "^[a-z]+:", ""), r"/[^/]*$", ""), F.lit("/")) == plain
+    return found.select("path", F.lit("created").alias("event_type"), time.alias("event_time"), time.alias("dir_ctime"), at_root.alias("at_root"))
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """The gap report as one CSV file with a header; has_gaps is not a column of it."""
     report.drop("has_gaps").coalesce(1).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
