@@ -177,7 +177,9 @@ def test_buckets_that_the_hub_does_not_settle(spark):
 
 def test_near_duplicates_of_odd_rows(odd, none):
     got = {(r.doc_id, r.class_id, r.class_size) for r in neardup.near_duplicates(odd).collect()}
-    assert {(1, 1, 1), (2, 2, 1), (3, 3, 1), (4, 4, 3), (5, 4, 3), (6, 4, 3), (7, 7, 2), (12, 7, 2), (11, 11, 2)} <= got
+    assert {(1, 1, 1), (2, 2, 1), (3, 3, 1), (4, 4, 3), (5, 4, 3), (6, 4, 3), (7, 7, 2), (12, 7, 2), (11, 11, 2), (None, None, 1)} <= got
+    same = odd.where("doc_id = 8 or doc_id is null").withColumn("text", F.lit("one two three four five six"))
+    assert {(r.doc_id, r.class_id, r.class_size, r.kept) for r in neardup.near_duplicates(same).collect()} == {(8, 8, 2, True), (None, 8, 2, False)}
     assert neardup.near_duplicates(none).count() == 0
 
 

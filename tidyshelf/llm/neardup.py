@@ -18,7 +18,9 @@ other member: bucket and strays are dealt into blocks of about BLOCK, and each p
 common elements by a matrix product and returns only links that connect something new (fewer than it has members). So no
 link between texts that share a band is lost, whatever the bucket's size, and no list of all pairs is ever made.
 
-Null texts and texts without words are each alone. Rows that repeat an id share its class. Further columns are ignored.
+Null texts and texts without words are each alone. Ids name documents: rows that repeat an id and text share its class. A
+row without an id belongs to the class of an equal text that has one; else it is alone, with a null class_id and kept.
+Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -264,7 +266,7 @@ def near_duplicates(
     kind = df.schema[id_col].dataType.simpleString()
     signs = cut(signed(df, id_col, text_col, words, bands, rows))
     reps = signs.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
-    reps = cut(reps)
+    reps = cut(reps.where("rep is not null"))
     # buckets of two representatives or more, each with its least member as hub
     members = reps.select("rep", "n", F.explode("keys").alias("key"))
     hubs = members.groupBy("key").agg(F.min_by(F.struct("rep", "n"), "rep").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -287,7 +289,7 @@ def near_duplicates(
     classes = classes.join(sizes, "label").select("a", "b", F.col("label").alias("class_id"), "class_size")
     alone = F.col("n") == 0
     out = signs.select("id", "n", "a", "b").join(classes, ["a", "b"], "left")
-    out = out.withColumns({"class_id": F.when(alone, F.col("id")).otherwise(F.col("class_id")), "class_size": F.when(alone, 1).otherwise(F.col("class_size"))})
+    out = out.withColumns({"class_id": F.when(alone, F.col("id")).otherwise(F.col("class_id")), "class_size": F.when(alone, 1).otherwise(F.coalesce("class_size", F.lit(1)))})
     return out.select(F.col("id").alias(id_col), "class_id", F.col("class_size").cast("long"), F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
