@@ -190,6 +190,9 @@ def test_signatures_agree_as_often_as_weights_overlap():
     s = neardup.signatures(np.repeat([0, 1], 300), np.concatenate([shared, shared]), np.concatenate([wx, wy]), 3, t)
     assert abs((s[0] == s[1]).mean() - np.minimum(wx, wy).sum() / np.maximum(wx, wy).sum()) < 0.08
     assert (s[2] == 0).all() and (s[:2] != 0).all()
+    text, element = np.sort(rng.integers(0, 40, 900)), rng.integers(1, 1 << 62, 900).astype(np.uint64)
+    weight = 1 + rng.random(900)
+    assert (neardup.sliced_signatures(text, element, weight, 41, 50, most=7) == neardup.signatures(text, element, weight, 41, 50)).all()
 
 
 def test_common_counts_are_intersections():

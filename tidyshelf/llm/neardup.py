@@ -28,8 +28,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,6 +117,12 @@ def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, texts:
     return out
 
 
+def sliced_signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, texts: int, t: int, most: int = 256) -> np.ndarray:
+    """signatures of at most ``most`` texts at a time: each throws some t ln t + 4 t darts however short it is. text: rising."""
+    cuts = np.searchsorted(text, np.arange(0, texts + most, most))
+    return np.concatenate([signatures(text[a:b] - i, element[a:b], weight[a:b], min(most, texts - i), t) for i, a, b in zip(range(0, texts, most), cuts, cuts[1:], strict=False)])
+
+
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     keys = np.repeat(mixed(np.arange(1, bands + 1, dtype=np.uint64))[None, :], len(signature), 0)
     cells = signature.reshape(len(signature), bands, rows)
@@ -146,7 +152,7 @@ def signed(df: DataFrame, id_col: str, text_col: str, words: int, bands: int, ro
                     np.cumsum(mixed(element ^ np.uint64(salt)), dtype=np.uint64, out=sums[1:])
                     ends = np.cumsum(size)
                     out.append((sums[ends] - sums[ends - size]).view(np.int64))
-                keys.append(band_keys(signatures(text, element, 1 + np.log2(count), texts, bands * rows), bands, rows))
+                keys.append(band_keys(sliced_signatures(text, element, 1 + np.log2(count), texts, bands * rows), bands, rows))
             if not n:
                 continue
             flat = np.concatenate(keys).view(np.int64)
@@ -223,12 +229,19 @@ def common_counts(x: list[np.ndarray], y: list[np.ndarray], step: int = 4096) ->
     return out
 
 
-def new_links(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+def sets_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    lists = column.combine_chunks()
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    return np.split(lists.flatten().to_numpy(zero_copy_only=False), ends[:-1])
+
+
+def new_links(group: pa.Table, threshold: float) -> pa.Table:
     """Of one pair of blocks: links between strays and members that connect labels not connected yet."""
-    strays, members = pdf[pdf["stray"]].reset_index(drop=True), pdf[~pdf["stray"]].reset_index(drop=True)
-    out: list[tuple] = []
-    if len(strays) and len(members):
-        x, y = [[np.asarray(e, np.int64) for e in side["set"]] for side in (strays, members)]
+    strays, members = group.filter(group["stray"]), group.filter(pc.invert(group["stray"]))
+    p, q = [], []
+    if strays.num_rows and members.num_rows:
+        x, y = sets_of(strays["set"]), sets_of(members["set"])
+        label_x, label_y, rep_x, rep_y = (side[c].to_pylist() for c in ("label", "rep") for side in (strays, members))
         shared = common_counts(x, y)
         sizes = np.array([len(e) for e in x])[:, None] + np.array([len(e) for e in y])[None, :]
         parent: dict = {}
@@ -239,11 +252,13 @@ def new_links(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
             return v
 
         for i, j in np.argwhere(shared >= threshold * (sizes - shared) - 1e-6):
-            a, b = root(strays["label"][i]), root(members["label"][j])
+            a, b = root(label_x[i]), root(label_y[j])
             if a != b:
                 parent[b] = a
-                out.append((strays["rep"][i], members["rep"][j]))
-    return pd.DataFrame(out, columns=["p", "q"])
+                p.append(rep_x[i])
+                q.append(rep_y[j])
+    kind = group.schema.field("rep").type
+    return pa.table({"p": pa.array(p, kind), "q": pa.array(q, kind)})
 
 
 def links_left(left: DataFrame, sets: DataFrame, threshold: float, kind: str) -> DataFrame:
@@ -256,7 +271,7 @@ def links_left(left: DataFrame, sets: DataFrame, threshold: float, kind: str) ->
     strays = rows.where(F.col("label") != F.col("main")).select("key", F.pmod("draw", "across").cast("int").alias("xb"), every("down").alias("yb"), F.lit(True).alias("stray"), "rep", "label")
     members = rows.select("key", every("across").alias("xb"), F.pmod("draw", "down").cast("int").alias("yb"), F.lit(False).alias("stray"), "rep", "label")
     wide = strays.unionByName(members).join(sets.withColumnRenamed("id", "rep"), "rep")
-    return wide.groupBy("key", "xb", "yb").applyInPandas(lambda pdf: new_links(pdf, threshold), f"p {kind}, q {kind}")
+    return wide.groupBy("key", "xb", "yb").applyInArrow(lambda group: new_links(group, threshold), f"p {kind}, q {kind}")
 
 
 def near_duplicates(
