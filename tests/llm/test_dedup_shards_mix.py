@@ -175,6 +175,21 @@ def test_buckets_that_the_hub_does_not_settle(spark):
     assert got == classes(rows)
 
 
+def test_repeats_inside_a_text_do_not_hide_its_copies(spark):
+    """Texts pasted twice or four times, or with a passage repeated, against a slightly edited single copy."""
+    rng = random.Random(12)
+    vocabulary = [f"u{i}" for i in range(5000)]
+    rows = []
+    for g in range(60):
+        base = [rng.choice(vocabulary) for _ in range(rng.randrange(90, 200))]
+        edited = list(base)
+        edited[rng.randrange(len(edited))] = rng.choice(vocabulary)
+        pasted = (base * 2, base * 4, base[:70] * 6 + base[70:])[g % 3]
+        rows += [(len(rows), " ".join(edited)), (len(rows) + 1, " ".join(pasted))]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes(rows) and len(set(got.values())) == 60
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     got = {(r.doc_id, r.class_id, r.class_size) for r in neardup.near_duplicates(odd).collect()}
     assert {(1, 1, 1), (2, 2, 1), (3, 3, 1), (4, 4, 3), (5, 4, 3), (6, 4, 3), (7, 7, 2), (12, 7, 2), (11, 11, 2), (None, None, 1)} <= got

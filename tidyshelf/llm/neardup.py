@@ -4,11 +4,12 @@ A text's elements are its distinct runs of five words (white-space separated, lo
 one element, all of it. Two texts are linked when the Jaccard similarity of their element sets is ``threshold`` or more,
 and classes are the connected components of the links.
 
-Signatures. An element of weight w (1 + log2 of how often the text has it) owns the region [0, w) of a weight axis, in
-strips of length 1. Each strip throws darts, the same ones in every text: their ranks are the arrivals of a Poisson process,
-and a hash gives each dart a coordinate and a place across the strip. Darts beyond the element's weight miss. A text keeps
-for each coordinate the dart of least rank, so two texts agree on a coordinate with the probability of their weighted
-Jaccard similarity. Only darts up to a rank are thrown at all, chosen from the text's total weight so that t ln t + 4 t are
+Signatures. An element of weight w owns the region [0, w) of a weight axis, in strips of length 1. Each strip throws darts,
+the same ones in every text: their ranks are the arrivals of a Poisson process, and a hash gives each dart a coordinate and
+a place across the strip. Darts beyond the element's weight miss. A text keeps for each coordinate the dart of least rank,
+so two texts agree on a coordinate with the probability of their weighted Jaccard similarity. Every element weighs 1 here,
+however often a text has it: that probability is then the very similarity that links are defined by, and texts of equal
+element sets have equal signatures. Only darts up to a rank are thrown at all, chosen from the text's total weight so that t ln t + 4 t are
 expected for t coordinates, however long the text; where a coordinate stays empty, the rank is doubled.
 
 Candidates. Texts of equal element sets are one representative (least id). Representatives that share a whole band of the
@@ -144,7 +145,7 @@ def signed(df: DataFrame, id_col: str, text_col: str, words: int, bands: int, ro
             n, a, b, keys = [], [], [], []
             for first, last, h, bounds in look.runs(batch.column(1)):
                 texts = last - first
-                text, element, count = elements(h, bounds, words)
+                text, element, _ = elements(h, bounds, words)
                 size = np.bincount(text, minlength=texts)
                 n.append(size)
                 for out, salt in ((a, 0), (b, 0xA0761D6478BD642F)):
@@ -152,7 +153,7 @@ def signed(df: DataFrame, id_col: str, text_col: str, words: int, bands: int, ro
                     np.cumsum(mixed(element ^ np.uint64(salt)), dtype=np.uint64, out=sums[1:])
                     ends = np.cumsum(size)
                     out.append((sums[ends] - sums[ends - size]).view(np.int64))
-                keys.append(band_keys(sliced_signatures(text, element, 1 + np.log2(count), texts, bands * rows), bands, rows))
+                keys.append(band_keys(sliced_signatures(text, element, np.ones(len(element)), texts, bands * rows), bands, rows))
             if not n:
                 continue
             flat = np.concatenate(keys).view(np.int64)
