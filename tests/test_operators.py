@@ -101,6 +101,18 @@ def test_trees(spark):
     assert [tuple(r) for r in tree.groups_by_base(dirs, "p", "n").collect()] == [("l", "batman", 2, "BATMAN")]
 
 
+def test_places_in_each_order(spark):
+    """All rows are placed, over many ranges, with ties and nulls, as the whole sort would number them."""
+    rows = [(None if i % 50 == 7 else float(i * 37 % 11), f"{'Ab'[i % 2]}{i % 90:02}", i) for i in range(1500)]
+    units = spark.createDataFrame(rows, "mtime double, dir_name string, nr int")
+    for sampled in (2000, 300):
+        for m in tree.ORDERS:
+            want = [r.nr for r in tree.in_order(units, m, tie="nr").collect()]
+            got = tree.placed(units, m, tie="nr", ranges=8, sampled=sampled).collect()
+            assert [r.nr for r in sorted(got, key=lambda r: r.place)] == want and sorted(r.place for r in got) == list(range(1, 1501))
+    assert tree.placed(units.limit(0), "newest").count() == 0
+
+
 def test_archives(spark, tmp_path):
     (tmp_path / "S").mkdir()
     with zipfile.ZipFile(tmp_path / "S/a ch. 1.cbz", "w") as z:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -73,9 +74,51 @@ def natural_key(name: Column) -> Column:
 ORDERS = ("newest", "oldest", "alpha", "alpha-reverse")
 
 
-def in_order(dirs: DataFrame, mode: str, time: str = "mtime", name: str = "dir_name") -> DataFrame:
-    """Directories in the order they are to be worked on: newest or oldest first, or by name without case, up or down."""
+def order_of(mode: str, time: str, name: str, tie: str) -> tuple[Column, bool, list[Column]]:
+    """The key of a mode, whether it falls, and the whole order."""
     if mode not in ORDERS:
         raise ValueError(f"no such order: {mode}")
-    key = F.col(time) if mode in ("newest", "oldest") else F.lower(name)
-    return dirs.orderBy(key.desc() if mode in ("newest", "alpha-reverse") else key.asc(), name)
+    key, down = F.col(time) if mode in ("newest", "oldest") else F.lower(name), mode in ("newest", "alpha-reverse")
+    return key, down, [key.desc() if down else key.asc(), F.col(tie).asc()]
+
+
+def in_order(dirs: DataFrame, mode: str, time: str = "mtime", name: str = "dir_name", tie: str | None = None) -> DataFrame:
+    """Directories in the order they are to be worked on: newest or oldest first, or by name without case, up or down."""
+    return dirs.orderBy(*order_of(mode, time, name, tie or name)[2])
+
+
+def placed(dirs: DataFrame, mode: str, time: str = "mtime", name: str = "dir_name", tie: str | None = None, ranges: int = 32, sampled: int = 2000) -> DataFrame:
+    """Every directory with its place (from 1) in ``in_order``.
+
+    Rows are numbered inside ranges of the order, whose bounds come from a sample, and shifted by the counts of the ranges
+    before. Rows equal in key and tie share a range.
+    """
+    tie = tie or name
+    key, down, order = order_of(mode, time, name, tie)
+    share = min(1.0, sampled / max(1, dirs.count()))
+    seen = in_order(dirs.sample(share, seed=1) if share < 1 else dirs, mode, time, name, tie).select(key.alias("k"), F.col(tie).alias("t")).collect()
+    step = max(1, len(seen) // ranges)
+
+    def after(bound) -> Column:
+        """Whether a row stands at the bound or after it; nulls are least."""
+        k, t = F.lit(bound.k), F.lit(bound.t)
+        if bound.k is None:
+            beyond = F.lit(False) if down else key.isNotNull()
+        else:
+            beyond = key.isNull() | (key < k) if down else key > k
+        same = key.isNull() if bound.k is None else key.eqNullSafe(k)
+        later = F.lit(True) if bound.t is None else F.col(tie) >= t
+        return F.coalesce(beyond, F.lit(False)) | (same & F.coalesce(later, F.lit(False)))
+
+    number = F.lit(0)
+    for bound in seen[step::step]:
+        number = number + after(bound).cast("int")
+    rows = dirs.withColumn("__range", number)
+    counts = dict(rows.groupBy("__range").count().collect())
+    before, total = {}, 0
+    for r in sorted(counts):
+        before[r], total = total, total + counts[r]
+    if not counts:
+        return dirs.withColumn("place", F.lit(0).cast("long"))
+    shift = F.create_map(*[F.lit(x).cast("long") for pair in before.items() for x in pair])
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("__range").orderBy(*order)) + shift[F.col("__range").cast("long")]).drop("__range")

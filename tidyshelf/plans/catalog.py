@@ -552,6 +552,17 @@ def sort_modes(spark, sf_dir):
     return reduce(DataFrame.unionByName, out)
 
 
+@query(" UNION ALL ".join(
+    f"SELECT '{mode}' AS mode, row_number() OVER (ORDER BY {key} {'DESC' if down else 'ASC'}, c_custkey) AS place, c_custkey FROM (SELECT *, lower(c_name) AS name FROM customer)"
+    for mode, (key, down) in MODES.items()
+))
+def sort_modes_whole(spark, sf_dir):
+    """Every unit with its place in each order."""
+    rows = table(spark, sf_dir, "customer")
+    out = (tree.placed(rows, mode, "c_acctbal", "c_name", "c_custkey").select(F.lit(mode).alias("mode"), "place", "c_custkey") for mode in MODES)
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("SELECT conv_id, turn, CASE WHEN t LIKE '%error%' OR t LIKE '%failed%' THEN 'error' WHEN t LIKE '%warning%' OR t LIKE '%warn%' OR t LIKE '%skipping%' THEN 'warn' WHEN t LIKE '%complete%' OR t LIKE '%done%' OR t LIKE '%success%' THEN 'success' ELSE 'info' END AS severity FROM (SELECT *, lower(text) AS t FROM conversations)")
 def log_classify(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", N.log_severity(F.col("text")).alias("severity"))
