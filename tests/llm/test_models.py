@@ -116,6 +116,21 @@ def test_mentions_far_apart_get_one_label():
     assert personal.added_spans([alone], [[]], personal.fitted(counts), 0.5) == [[]]
 
 
+def test_an_observed_mention_reaches_all_others_whatever_stands_beside():
+    long, short = personal.shape("4111111111111111"), personal.shape("9999")
+    counts = {("shape", long, 3): 5, ("shape", long, 0): 6, ("shape", short, 0): 50, ("skip", 3, 3): 40, ("skip", 0, 0): 40, ("chain", 0, 0): 20, ("chain", 3, 0): 5, ("chain", 0, 3): 5}
+    p = personal.fitted(counts)
+    hidden, seen = "again 4111111111111111 9999 ok " + "filler " * 5, "pay 4111-1111-1111-1111 then "
+    for text in (seen + hidden * 150, hidden * 150 + seen):
+        base = personal.base_spans(text)
+        g = personal.graph([text], [base])
+        m = personal.marginals(g, p)
+        assert len(base) == 1 and len(personal.added_spans([text], [base], p, 0.5)[0]) == 150
+        other = "call 4111111111111111 9999 now"
+        both = personal.marginals(personal.graph([other, text], [personal.base_spans(other), base]), p)
+        assert (both[:2] == personal.marginals(personal.graph([other], [personal.base_spans(other)]), p)).all() and (both[2:] == m).all()
+
+
 def test_messages_equal_enumeration_on_a_tree():
     rng = np.random.default_rng(1)
     p = personal.Potentials(rng.normal(size=(personal.N_SHAPES, 5)), rng.normal(size=(5, 5)), np.ones((5, 5)))

@@ -6,8 +6,9 @@ Base spans follow the contract's four patterns, leftmost and without overlap for
 The field's variables are the labels (none, email, ip, card, phone) of tokens that hold a digit, ``@`` or ``+``; all other
 tokens are none. Tokens touched by a base span are observed. Neighbouring tokens share a chain potential; tokens of a
 document whose letters and digits are the same, or whose digits are the same, share a skip potential, each with its
-next such token, so a repeated name of an entity pulls its other mentions to the same label however far away. Loopy
-sum-product messages run until they settle, for all documents of a batch at once; hidden tokens whose label other than
+next such token and each hidden one with the nearest observed one on either side, so a repeated name of an entity pulls its
+other mentions to the same label however far away. Loopy sum-product messages run until each document settles, or for
+50 rounds and twice its longest run of neighbours, whatever stands beside it in a batch; hidden tokens whose label other than
 none reaches ``threshold`` become added spans, adjoining ones of a phone number, or of a card of at most 19 digits, as one. The potentials are fitted piece by piece
 on at most ``sample_rows`` documents (a bound by parameter; rows of lowest hash): a softmax regression over token shapes,
 and log ratios of label pairs on chain and skip edges.
@@ -143,6 +144,8 @@ def graph(texts: list[str], bases: list[list[Span]], label_free_tokens: int = -1
             continue
         marks = sorted((s, e, k + 1) for k, s, e in base)
         last: dict[str, int] = {}
+        known: dict[str, int] = {}  # the last observed mention
+        waiting: dict[str, list[int]] = {}  # hidden mentions since then
         at, before = 0, None
         for m in TOKEN.finditer(text):
             if not SIGNAL.search(m[0]):
@@ -159,10 +162,18 @@ def graph(texts: list[str], bases: list[list[Span]], label_free_tokens: int = -1
             if before is not None:
                 g.chain.append((before, n))
             before = n
+            far: set[tuple[int, int]] = set()
             for key in keys(m[0]):
                 if key in last and (last[key], n) != (before, n):
                     g.skip.append((last[key], n))
+                if g.labels[n] < 0:
+                    far.update((j, n) for j in (known.get(key),) if j is not None and j != last[key])
+                    waiting.setdefault(key, []).append(n)
+                else:
+                    far.update((j, n) for j in waiting.pop(key, []) if j != last[key])
+                    known[key] = n
                 last[key] = n
+            g.skip.extend(sorted(far))
     return g
 
 
@@ -215,17 +226,27 @@ def marginals(g: Graph, p: Potentials, rounds: int = 50, damping: float = 0.3) -
         table = np.stack([e[2] for e in edges] + [e[2].T for e in edges])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
         message = np.zeros((len(source), n))
-        for _ in range(rounds):
+        owner = np.array(g.owner)
+        own, most = owner[source], np.full(owner.max() + 1, rounds)
+        run = np.ones(len(owner), int)
+        for i, j in g.chain:
+            run[j] = max(run[j], run[i] + 1)
+        longest = np.zeros(len(most), int)
+        np.maximum.at(longest, owner, run)
+        most += 2 * longest
+        live, done = np.arange(len(source)), 0
+        while len(live):  # edges of documents that have not settled
             belief = unary.copy()
-            np.add.at(belief, target, message)
-            into = (belief[source] - message[back])[:, :, None] + table
+            np.add.at(belief, target[live], message[live])
+            into = (belief[source[live]] - message[back[live]])[:, :, None] + table[live]
             top = into.max(1, keepdims=True)
             new = (top + np.log(np.exp(into - top).sum(1, keepdims=True)))[:, 0]
             new -= new.max(1, keepdims=True)
-            step = np.abs(new - message).max()
-            message = damping * message + (1 - damping) * new
-            if step < 1e-4:
-                break
+            step = np.zeros(len(most))
+            np.maximum.at(step, own[live], np.abs(new - message[live]).max(1))
+            message[live] = damping * message[live] + (1 - damping) * new
+            done += 1
+            live = live[((step >= 1e-4) & (done < most))[own[live]]]
         np.add.at(unary, target, message)
     unary -= unary.max(1, keepdims=True)
     return np.exp(unary) / np.exp(unary).sum(1, keepdims=True)
