@@ -1,8 +1,10 @@
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidyshelf.llm import language, personal, toxicity
 
@@ -53,19 +55,68 @@ def test_grams_do_not_depend_on_stretches(monkeypatch):
 
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(6)
-    terms = np.sort(rng.choice(1 << 40, 30, replace=False).astype(np.uint64))
-    dims = np.full((30, len(toxicity.LEVELS)), -1)
-    dims[:, 0] = np.arange(30)
-    idf = 1 + rng.random(30)
-    texts = [(i, int(rng.random() < 0.4), rng.choice(terms, rng.integers(0, 9))) for i in range(400)]
-    index = toxicity.indexed(texts, terms, dims, idf, {0: 1.0, 1: 1.0}, 15)
-    dense = index.postings.transpose(0, 2, 1).reshape(-1, 30)
-    for _ in range(200):
-        places, w = toxicity.vector(rng.choice(terms, rng.integers(1, 9)), terms, dims, idf)
-        at, cosine = toxicity.nearest(index, places, w, 15)
-        every = np.round(dense[:, places] @ w, 9)
-        order = [i for i in np.lexsort((np.arange(len(every)), -every)) if every[i] > 1e-9][:15]
-        assert at.tolist() == order and np.allclose(cosine, every[order])
+    popularity = 1 / np.arange(1, 301)
+
+    def vectors(n):
+        rows = [np.sort(rng.choice(300, rng.integers(0, 25), replace=False, p=popularity / popularity.sum())) for _ in range(n)]
+        text, term = np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate(rows)
+        return toxicity.weighted(text, term, rng.integers(1, 9, len(text)), weight, n)
+
+    def dense(v, n):
+        out = np.zeros((n, 300))
+        out[v[0], v[1]] = v[2]
+        return out
+
+    weight = rng.random(300)
+    for n in (1, 90, 700):
+        held, asked = vectors(n), vectors(200)
+        at, cosine = toxicity.Postings(held, n, 300).nearest(asked, 200, 15)
+        every = np.rint(dense(asked, 200) @ dense(held, n).T * toxicity.PARTS) / toxicity.PARTS
+        for row, a, c in zip(every, at, cosine, strict=True):
+            best = np.sort(row[row > 0])[::-1][:15]
+            assert np.allclose(c[: len(best)], best, atol=2e-9) and (a[len(best) :] == -1).all() and len(set(a[: len(best)])) == len(best) and np.allclose(row[a[: len(best)]], best, atol=2e-9)
+
+
+def test_the_whole_query_equals_brute_force(spark, larger):
+    """Neighbours and votes from plain dictionaries over every word and stem of the texts."""
+    docs, marks = larger.where("doc_id < 500"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("doc_id < 500")
+    index = toxicity.learn(docs, marks)
+    texts = {r.doc_id: (r.text or "").lower().encode() for r in docs.collect()}
+
+    def terms(raw):
+        words = re.findall(rb"(?:[0-9a-z]|[\x80-\xff])+", raw)
+        return Counter([(0, w) for w in words] + [(k, w[:k]) for k in toxicity.STEMS for w in words if len(w) > k])
+
+    bags = {i: terms(t) for i, t in texts.items()}
+    label = {}
+    for r in marks.collect():
+        label[r.doc_id] = max(label.get(r.doc_id, 0), r.toxic)
+    examples = sorted(i for i in label if i in texts and held(i, 3) != 1)
+    assert index.ids == examples
+    n1 = sum(label[i] for i in examples)
+    n0, n = len(examples) - n1, len(examples)
+    df = Counter(t for b in bags.values() for t in b)
+    a, b = (Counter(t for i in examples if label[i] == y for t in bags[i]) for y in (1, 0))
+    s1, s0 = toxicity.PRIOR * n1 / n, toxicity.PRIOR * n0 / n
+    weight = {t: np.log((1 + len(texts)) / (1 + df[t])) * abs(np.log((a[t] + s1) / (n1 + s1)) - np.log((b[t] + s0) / (n0 + s0))) for t in a | b}
+    assert len(weight) == len(index.terms)
+
+    def vector(bag):
+        v = {t: (1 + np.log(c)) * weight[t] for t, c in bag.items() if weight.get(t, 0) > 0}
+        length = sum(x * x for x in v.values()) ** 0.5
+        return {t: x / length for t, x in v.items()}
+
+    vectors = {i: vector(bags[i]) for i in examples}
+    got = {r.doc_id: r for r in toxicity.score(docs, index, shown=15).collect()}
+    for i in sorted(texts)[::7]:
+        v = vector(bags[i])
+        cosine = {e: sum(x * w.get(t, 0.0) for t, x in v.items()) for e, w in vectors.items()}
+        best = sorted(cosine.values(), reverse=True)[:15]
+        near = got[i].evidence
+        assert np.allclose([cosine[e] for e in near], [c for c in best if c > 1e-9], atol=1e-8)
+        if near:
+            vote = sum(cosine[e] * label[e] for e in near) / sum(cosine[e] for e in near)
+            assert abs(got[i].score - index.levels[max(np.searchsorted(index.steps, vote + 1e-9, "right") - 1, 0)]) < 1e-9 or np.abs(index.steps - vote).min() < 1e-6
 
 
 def test_monotone_fit():
@@ -78,10 +129,13 @@ def test_toxic_rows_held_out(spark, larger, odd, none):
     index = toxicity.learn(larger, marks)
     score = {r.doc_id: r.score for r in toxicity.score(larger, index).collect()}
     english = {r.doc_id for r in larger.where("lang = 'en'").collect()}
-    rows = [(r.toxic, score[r.doc_id]) for r in marks.collect() if held(r.doc_id, 3) == 1 and r.doc_id in english]
-    assert np.mean([s >= 0.7 for t, s in rows if t]) > 0.8 and np.mean([s >= 0.7 for t, s in rows if not t]) < 0.02
+    rows = [(r.toxic, score[r.doc_id], r.doc_id in english) for r in marks.collect() if held(r.doc_id, 3) == 1]
+    assert np.mean([s >= 0.7 for t, s, e in rows if t and e]) > 0.8 and np.mean([s >= 0.7 for t, s, _ in rows if t]) > 0.7 and np.mean([s >= 0.7 for t, s, _ in rows if not t]) < 0.02
     rows = toxicity.score(odd, index).collect()
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows) and toxicity.score(none, index).count() == 0
+    named = larger.limit(300).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    named_marks = marks.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert {type(i) for r in toxicity.score(named, toxicity.learn(named, named_marks)).collect() for i in r.evidence} == {str}
     nothing = toxicity.learn(none, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in toxicity.score(odd, nothing).collect()} == {0.0}
 
