@@ -38,8 +38,8 @@ STEMS = (4, 5, 6)
 PRIOR = 4.0
 #: From this share of the examples on, a term has a full row.
 FULL = 1 / 12
-#: Cosines are rounded to this many parts, so that they do not depend on what is computed together.
-PARTS = 10**9
+#: Weights are 32-bit numbers; cosines are rounded to this many parts, so that they do not depend on what is computed together.
+PARTS = 10**6
 
 Vectors = tuple[np.ndarray, np.ndarray, np.ndarray]  # text, term, weight
 
@@ -65,7 +65,7 @@ def weighted(text: np.ndarray, term: np.ndarray, tf: np.ndarray, weight: np.ndar
     w = (1 + np.log(tf)) * weight[term]
     length = np.sqrt(np.bincount(text, w * w, n))
     keep = w > 0
-    return text[keep], term[keep], (w / np.maximum(length, 1e-12)[text])[keep]
+    return text[keep], term[keep], (w / np.maximum(length, 1e-12)[text])[keep].astype(np.float32)
 
 
 def contrasts(text: np.ndarray, term: np.ndarray, toxic: np.ndarray, n_terms: int) -> np.ndarray:
@@ -92,32 +92,34 @@ class Postings:
         full = np.flatnonzero(held > max(8, FULL * n))
         self.full_at = np.full(n_terms, -1, np.int32)
         self.full_at[full] = np.arange(len(full))
-        rows = np.zeros((n, len(full)))
+        rows = np.zeros((n, len(full)), np.float32)
         is_full = self.full_at[term] >= 0
         rows[text[is_full], self.full_at[term[is_full]]] = w[is_full]
         self.order = alike_together(rows)
-        place = np.empty(n, np.int64)
+        place = np.empty(n, np.int32)
         place[self.order] = np.arange(n)
-        padded = np.zeros((self.blocks * BLOCK, len(full)))
-        padded[:n] = rows[self.order]
-        self.full = np.ascontiguousarray(padded.reshape(self.blocks, BLOCK, len(full)).transpose(0, 2, 1))  # block x term x example
+        self.full = np.zeros((self.blocks, len(full), BLOCK), np.float32)
+        for i in range(self.blocks):
+            some = self.order[i * BLOCK : (i + 1) * BLOCK]
+            self.full[i, :, : len(some)] = rows[some].T
+        del rows
         self.full_most = self.full.max(2).T
-        at, term, w = place[text[~is_full]], term[~is_full], w[~is_full]
-        by_term = np.lexsort((at, term))
+        at, term, w = place[text[~is_full]], term[~is_full].astype(np.int32), w[~is_full]
+        by_term = np.argsort(term.astype(np.int64) * n + at)
         at, term, self.weight = at[by_term], term[by_term], w[by_term]
-        self.inside = (at % BLOCK).astype(np.int32)
-        group = term * self.blocks + at // BLOCK  # postings of one term and block follow one another
-        self.first = np.flatnonzero(np.diff(group, prepend=-1))
-        self.many = np.diff(np.append(self.first, len(group)))
+        self.inside = (at % BLOCK).astype(np.uint8)
+        group = term.astype(np.int64) * self.blocks + at // BLOCK  # postings of one term and block follow one another
+        self.first = np.flatnonzero(np.diff(group, prepend=-1)).astype(np.int32)
+        self.many = np.diff(np.append(self.first, len(group))).astype(np.int32)
         self.block = (group[self.first] % self.blocks).astype(np.int32)
-        self.most = np.maximum.reduceat(self.weight, self.first) if len(group) else np.zeros(0)
-        self.of_term = np.searchsorted(group[self.first] // self.blocks, np.arange(n_terms + 1))
+        self.most = np.maximum.reduceat(self.weight, self.first) if len(group) else np.zeros(0, np.float32)
+        self.of_term = np.searchsorted(group[self.first] // self.blocks, np.arange(n_terms + 1)).astype(np.int32)
 
     def nearest(self, vectors: Vectors, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """n x k: the examples nearest to each of n texts and their cosines by falling cosine; -1 and 0 where there are fewer."""
         text, term, w = vectors
         is_full = self.full_at[term] >= 0
-        query = np.zeros((n, self.full.shape[1]))
+        query = np.zeros((n, self.full.shape[1]), np.float32)
         query[text[is_full], self.full_at[term[is_full]]] = w[is_full]
         text, term, w = text[~is_full], term[~is_full], w[~is_full]
         many = self.of_term[term + 1] - self.of_term[term]
@@ -130,7 +132,7 @@ class Postings:
         done, width = 0, 1
         while done < self.blocks:
             kth = np.maximum(best[:, -1] // size, 0) / PARTS
-            chosen = (rank >= done) & (rank < done + width) & (bound > 1e-9) & (bound >= kth[:, None] - 1e-8)
+            chosen = (rank >= done) & (rank < done + width) & (bound > 0) & (bound >= kth[:, None] - 2 / PARTS)
             if chosen.any():
                 found = self.cosines(chosen, query, pair, group, w[source])
                 q, b = np.nonzero(chosen)
@@ -170,7 +172,7 @@ def alike_together(rows: np.ndarray, directions: int = 6) -> np.ndarray:
         basis = orthogonal(rows.T @ (rows @ orthogonal(basis)))
     along = rows @ basis
     side = np.abs(along).argmax(1)
-    far = np.round(along[np.arange(n), side], 9)
+    far = np.round(along[np.arange(n), side], 4)
     return np.lexsort((np.arange(n), far, far > 0, side))
 
 
@@ -249,6 +251,7 @@ def indexed(ids: list, toxic: np.ndarray, counts: Vectors, terms: np.ndarray, id
                 near, cosine = postings.nearest(weighted(place[text[asked]] - start, term[asked], tf[asked], weight, len(some)), len(some), k)
                 alone[some] = near[:, 0] < 0
                 vote[some] = votes(near, cosine, toxic[others], share[others])
+            del postings
     weight = idf * contrasts(text, term, toxic, len(terms))
     index = Index(terms, weight, ids, toxic, share, Postings(weighted(text, term, tf, weight, n), n, len(terms)), k)
     if not alone.all():
@@ -327,13 +330,17 @@ def learn(df: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str
     ids, toxic = [found["id"][int(i)].as_py() for i in order], found["toxic"].to_numpy().astype(float)[order]
     if not 0 < toxic.sum() < len(toxic):
         return nothing
-    words = [found["words"][int(i)].values.to_numpy().view(np.uint64) for i in order]
+    words = np.concatenate([found["words"][int(i)].values.to_numpy().view(np.uint64) for i in order])
     tf = np.concatenate([found["counts"][int(i)].values.to_numpy() for i in order])
-    terms, at = np.unique(np.concatenate(words), return_inverse=True)
+    example = np.repeat(np.arange(len(ids), dtype=np.int32), found["words"].combine_chunks().value_lengths().to_numpy()[order])
+    del found
+    terms = np.unique(words)
+    at = np.searchsorted(terms, words).astype(np.int32)
+    del words
     texts, df_of = frequencies(rows, terms)
     share = np.where(toxic == 1, counts[1] / toxic.sum(), counts[0] / (1 - toxic).sum())
     idf = np.log((1 + texts) / (1 + df_of))
-    return indexed(ids, toxic, (np.repeat(np.arange(len(ids)), [len(w) for w in words]), at, tf), terms, idf, share, k)
+    return indexed(ids, toxic, (example, at, tf), terms, idf, share, k)
 
 
 def score(df: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", shown: int = 5) -> DataFrame:
