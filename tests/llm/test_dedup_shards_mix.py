@@ -95,6 +95,25 @@ def test_seats_by_highest_quotients(spark):
     assert got.where("quota < 0").count() == 0 and {r.n for r in got.groupBy("shard").agg(F.sum("quota").alias("n")).collect()} <= {seats // 4, seats // 4 + 1}
 
 
+def test_shards_of_the_mix_hold_their_quotas(docs):
+    """Each shard's words of a source are its quota of blocks, those of the stream's short last block aside."""
+    rows = mixing.mix(docs).collect()
+    size, words = Counter(), Counter()
+    for r in rows:
+        size[r.source] += r["size"]
+        assert sum(x.words for x in r.shards) == r.taken and [x.shard for x in r.shards] == sorted({x.shard for x in r.shards})
+        for x in r.shards:
+            words[r.source, x.shard] += x.words
+    quotas = mixing.apportioned(mixing.targets(mixing.measured(docs, "mix", "doc_id", "text", "source")), 32, 16).collect()
+    assert len(quotas) == 16 * len({q.source for q in quotas})
+    upto = Counter()
+    for q in sorted(quotas, key=lambda q: q.shard):
+        n = -(-size[q.source] // 32)
+        blocks = range(min(upto[q.source], 3 * n), min(upto[q.source] + q.quota, 3 * n))
+        assert words[q.source, q.shard] == sum(min(32, size[q.source] - b % n * 32) for b in blocks)
+        upto[q.source] += q.quota
+
+
 def test_mix(odd, none, docs):
     for df in (odd, docs):
         rows = mixing.mix(df).collect()

@@ -1,15 +1,16 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
 Sources in code-point order, null last, weigh 1, 2, 3, 1, ... and share all words; a target stops at ``most`` times its
-source's words and the excess is shared again by weight. The mix is a number of blocks of ``block`` words. For each mix
-shard, blocks go to sources by highest quotient target / (2 k - 1), so that quotas are integers and the shards' quotas add
-up to the apportionment of the whole. A source's documents stand in an order that a seed fixes and form one stream of
-words, cut into blocks; a quota of q blocks over a stream of n takes the whole stream q div n times and its first q mod n
-blocks once more.
+source's words and the excess is shared again by weight. The mix is a number of blocks of ``block`` words, dealt to
+``shards``. For each mix shard, blocks go to sources by highest quotient target / (2 k - 1), so that quotas are integers and
+the shards' quotas add up to the apportionment of the whole. A source's documents stand in an order that a seed fixes and
+form one stream of words, cut into blocks and repeated as often as it takes (``most`` times at most); each shard takes its
+quota of blocks from where the shard before it stopped. Rows tell which shards take how many of their words.
 
 Positions in a stream come from two sums: documents are dealt to 4,096 buckets by a hash of their id, added up there, and
-shifted by the buckets before. A source that holds most rows is thus spread over thousands of partitions; only one row
-for each source and bucket, or source and shard, meets in one place.
+shifted by the buckets before; a source's quotas travel with its buckets' shifts. A source that holds most rows is thus spread
+over thousands of partitions; only one row for each source and bucket, or source and shard, meets in one place. Targets and
+quotas are windows over one row a source (and shard).
 
 Null and empty texts have no words and are never taken. Rows that repeat an id stand next to each other and each count.
 Sources without words get the target 0. Further columns are ignored.
@@ -74,38 +75,55 @@ def apportioned(sources: DataFrame, block: int, shards: int) -> DataFrame:
     return upto.select("source", (F.col("house") - 1).alias("shard"), (F.col("upto") - before).cast("long").alias("quota"))
 
 
-def positions(rows: DataFrame) -> DataFrame:
-    """rows with ``start``: the words before each in its source's seeded stream."""
+def positions(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows with ``start``, the words before each in its source's seeded stream, and what plan (s, ...) holds of its source."""
     rows = rows.withColumn("bucket", F.substring("order", 1, 3))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
     before = F.coalesce(F.sum("size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), before.alias("before"))
+    offsets = sums.withColumn("before", before).join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("source", "size").withColumnRenamed("bucket", "b")
     inside = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("order", "id", "size").rowsBetween(W.unboundedPreceding, W.currentRow))
     rows = rows.withColumn("upto", inside)
     rows = rows.join(offsets, rows.source.eqNullSafe(offsets.s) & (rows.bucket == offsets.b))
     return rows.withColumn("start", F.col("before") + F.col("upto") - F.col("size")).drop("s", "b", "before", "upto", "bucket")
 
 
+def of_shards(block: int, most: int) -> Column:
+    """(shard, words) of the shards that take from a row: in pass r of the stream the blocks from r n on are its blocks again."""
+    n, start, end = F.col("n"), F.col("start"), F.col("start") + F.col("size")
+
+    def words(upto: Column, shard: Column) -> Column:
+        first = F.when(shard == 0, F.lit(0)).otherwise(F.get("ends", shard - 1))
+        inside = lambda x, r: F.least(F.greatest(x - r * n, F.lit(0)), n) * block
+        parts = [F.greatest(F.lit(0), F.least(end, inside(upto, r)) - F.greatest(start, inside(first, r))) for r in range(most)]
+        return F.struct(shard.cast("int").alias("shard"), sum(parts[1:], parts[0]).cast("long").alias("words"))
+
+    return F.filter(F.transform("ends", words), lambda x: x["words"] > 0)
+
+
 def mix(df: DataFrame, seed: str = "mix", block: int = 32, most: int = 3, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """For each row: id, source, size, source_size, target, taken (words of it in the mix) and copies (whole ones)."""
+    """For each row: id, source, size, source_size, target, taken (words of it in the mix), copies (whole ones) and shards
+    (which mix shards take how many of those words)."""
     rows = cut(measured(df, seed, id_col, text_col, source_col))
     goals = targets(rows, most)
-    quotas = apportioned(goals, block, shards).groupBy("source").agg(F.sum("quota").alias("quota"))
-    # one row a source, with its stream's length in blocks
-    plan = goals.alias("g").join(quotas.alias("q"), F.col("g.source").eqNullSafe(F.col("q.source")), "left").select(
-        F.col("g.source").alias("s"), "source_size", "target", F.coalesce("quota", F.lit(0)).alias("quota"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / block)).alias("n")
+    upto = F.sum("quota").over(W.partitionBy("source").orderBy("shard"))
+    ends = apportioned(goals, block, shards).withColumn("upto", upto).groupBy("source").agg(F.array_sort(F.collect_list("upto")).alias("ends"))
+    # one row a source, with its stream's length in blocks and the block at which each shard stops
+    plan = goals.alias("g").join(ends.alias("q"), F.col("g.source").eqNullSafe(F.col("q.source")), "left").select(
+        F.col("g.source").alias("s"), "source_size", "target", F.coalesce("ends", F.array(F.lit(0).cast("long"))).alias("ends"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / block)).alias("n")
     )
-    plan = plan.withColumns({"quota": F.least("quota", most * F.col("n"))}).withColumns({"whole": F.floor(F.col("quota") / F.col("n")), "more": F.col("quota") % F.col("n") * block})
-    rows = positions(rows)
-    rows = rows.join(plan, rows.source.eqNullSafe(plan.s))
-    once_more = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), F.col("more")) - F.col("start"))
-    taken = (F.col("whole") * F.col("size") + once_more).cast("long")
+    plan = plan.withColumn("ends", F.transform("ends", lambda x: F.least(x, most * F.col("n"))))
+    quota = F.element_at("ends", -1)
+    plan = plan.withColumns({"whole": F.floor(quota / F.col("n")), "more": quota % F.col("n") * block})
+    rows = positions(rows, plan).withColumn("shards", of_shards(block, most))
+    taken = F.aggregate("shards", F.lit(0).cast("long"), lambda total, x: total + x["words"])
+    once_more = taken - F.col("whole") * F.col("size")
     copies = (F.col("whole") + ((2 * once_more >= F.col("size")) & (F.col("size") > 0) & (F.col("more") > 0)).cast("int")).cast("int")
-    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"))
+    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"), "shards")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    words_of = F.array_join(F.transform("shards", lambda x: F.concat_ws(":", x["shard"], x["words"])), ",")
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", words_of.alias("shard_words"))
 
 
 OP8_SQL = r"""
@@ -128,15 +146,22 @@ WITH r AS (
   SELECT *, sum(target) OVER () AS total, count(*) OVER () AS n, ceil(sum(target) OVER () / 32) AS seats FROM s3
 ), c AS (
   SELECT source, nth, target, seats, k FROM h, generate_series(1, CAST(floor(target / total * seats + 0.5) + ceil(target / total * n / 2) + 1 AS BIGINT)) g(k) WHERE target > 0
+), k AS (SELECT source, seats, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, nth, k) AS rank FROM c
 ), q AS (
-  SELECT source, count(*) AS quota FROM (SELECT *, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, nth, k) AS rank FROM c) WHERE rank <= seats GROUP BY source
+  SELECT source, list(upto ORDER BY shard) AS ends
+  FROM (SELECT source, shard, count(*) FILTER (rank <= floor(seats * (shard + 1) / 16)) AS upto FROM k, generate_series(0, 15) g(shard) GROUP BY ALL) GROUP BY source
 ), p AS (
-  SELECT s3.source, source_size, target, least(coalesce(quota, 0), 3 * greatest(1, ceil(source_size / 32))) AS quota, greatest(1, ceil(source_size / 32)) AS n
+  SELECT s3.source, source_size, target, CAST(greatest(1, ceil(source_size / 32)) AS BIGINT) AS n, coalesce(ends, list_value(0)) AS ends
   FROM s3 LEFT JOIN q ON s3.source IS NOT DISTINCT FROM q.source
 ), w AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY ord, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM r
+), x AS (
+  SELECT doc_id, size, source_size, target, list_transform(range(0, len(ends)), lambda h: CAST(list_sum(list_transform([0, 1, 2], lambda r:
+           greatest(0, least(start + size, least(greatest(least(ends[h + 1], 3 * n) - r * n, 0), n) * 32)
+                       - greatest(start, least(greatest(CASE WHEN h = 0 THEN 0 ELSE least(ends[h], 3 * n) END - r * n, 0), n) * 32)))) AS BIGINT)) AS taken_of
+  FROM w JOIN p ON w.source IS NOT DISTINCT FROM p.source
 )
-SELECT doc_id, size, source_size, target,
-       CAST(floor(quota / n) * size + greatest(0, least(start + size, quota % n * 32) - start) AS BIGINT) AS taken
-FROM w JOIN p ON w.source IS NOT DISTINCT FROM p.source
+SELECT doc_id, size, source_size, target, CAST(list_sum(taken_of) AS BIGINT) AS taken,
+       array_to_string(list_transform(list_filter(range(0, len(taken_of)), lambda h: taken_of[h + 1] > 0), lambda h: h || ':' || taken_of[h + 1]), ',') AS shard_words
+FROM x
 """

@@ -153,7 +153,7 @@ class Postings:
         pair, group, w = pair[hit], group[hit], w[hit]
         many = self.many[group]
         at = ranges(self.first[group], many)
-        out = np.bincount(np.repeat(number[pair] * BLOCK, many) + self.inside[at], np.repeat(w, many) * self.weight[at], (number[-1] + 1) * BLOCK).reshape(-1, BLOCK)
+        out = np.bincount(np.repeat(number[pair] * BLOCK, many) + self.inside[at], np.repeat(w, many) * self.weight[at], (number[-1] + 1) * BLOCK).astype(float).reshape(-1, BLOCK)
         if query.shape[1]:
             for b in np.flatnonzero(chosen.any(0)):
                 rows = np.flatnonzero(chosen[:, b])
