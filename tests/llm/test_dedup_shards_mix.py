@@ -39,6 +39,12 @@ def test_exact_groups(odd, none):
     assert exact.exact_duplicates(none).count() == 0
 
 
+def test_exact_groups_by_name(spark):
+    rows = [("b", "x y"), ("a", "xy"), ("c", "x  y"), ("d", "x  y"), (None, "x  y"), ("e", None)]
+    got = {(r.doc_id, r.keep_id, r.kept) for r in exact.exact_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {("a", "c", False), ("b", "c", False), ("c", "c", True), ("d", "c", False), (None, "c", False), ("e", "e", True)}
+
+
 def smallest(sizes, shards):
     """Brute force: the least possible largest shard."""
     best = {0: 0}
@@ -217,6 +223,33 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_ids_with_two_texts_and_names_for_ids(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join(f"t{rng.randrange(900)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [("k1", a), ("k1", b), ("k2", a + " end"), ("k3", b + " end"), ("k4", c), ("k4", c), ("k5", c + " end")]
+    got = sorted((r.doc_id, r.class_id, r.class_size) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert got == [("k1", "k1", 4), ("k1", "k1", 4), ("k2", "k1", 4), ("k3", "k1", 4), ("k4", "k4", 3), ("k4", "k4", 3), ("k5", "k4", 3)]
+
+
+def test_links_of_the_tables_are_found(spark):
+    """Every link of similarity 0.8 between documents of a table lies inside a class, whatever the partitioning."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    sets, holders = {i: shingles(t) for i, t in rows}, defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    common = Counter()
+    for held in holders.values():
+        common.update((a, b) for n, a in enumerate(held) for b in held[n + 1 :])
+    links = [(a, b) for (a, b), n in common.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    got = {r.doc_id: (r.class_id, r.class_size) for r in neardup.near_duplicates(docs).collect()}
+    assert len(links) > 50 and all(got[a] == got[b] for a, b in links)
+    assert {i: c for i, (c, _) in got.items() if c != i}.keys() <= {i for link in links for i in link}
+    assert {r.doc_id: (r.class_id, r.class_size) for r in neardup.near_duplicates(docs.repartition(13)).collect()} == got
+
+
 def test_signatures_agree_as_often_as_weights_overlap():
     rng = np.random.default_rng(3)
     shared, t = rng.integers(1, 1 << 62, 300).astype(np.uint64), 600

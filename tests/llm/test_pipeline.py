@@ -42,7 +42,7 @@ def test_run_keeps_what_it_should(spark, tmp_path):
 
 def test_stages_take_odd_and_empty_tables(spark, odd, none):
     for _, stage in corpus_pipeline.STAGES:
-        for docs in (odd.where("doc_id is null or doc_id <> 8"), none):
+        for docs in (odd, none):
             out = stage(spark, docs, "")
             assert out.count() >= 0 and (stage is corpus_pipeline.packing or out.columns == docs.columns)
 

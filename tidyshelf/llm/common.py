@@ -34,9 +34,11 @@ def remainder(id_col: str, k: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset. A full URI."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs on one machine. A full URI."""
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_to:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("a cluster has to name a folder that all its machines share in spark.checkpoint.dir")
         set_to = "file://" + tempfile.mkdtemp(prefix="tidyshelf-")
         spark.sparkContext.setCheckpointDir(set_to)
     if "://" not in set_to:  # a path of the cluster's default store, or file:/ with one slash
@@ -76,7 +78,7 @@ def table_at(df: DataFrame, path: str) -> DataFrame:
 
 
 def matching(df: DataFrame, ids: DataFrame, id_col: str, how: str, most: int = 500_000) -> DataFrame:
-    """df semi- or anti-joined (``how``) with the one column of ids, sent to every task only if counted to be at most ``most``."""
-    ids = ids.toDF("__matching_id")
+    """df joined (``how``) with ids, whose first column is the id, sent to every task only if counted to be at most ``most``."""
+    ids = ids.toDF("__matching_id", *ids.columns[1:])
     small = ids.limit(most + 1).count() <= most
     return df.join(F.broadcast(ids) if small else ids, df[id_col] == F.col("__matching_id"), how)

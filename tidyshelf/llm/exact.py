@@ -53,9 +53,9 @@ def shared(rows: DataFrame, keys: list[str]) -> DataFrame:
 def duplicate_groups(rows: DataFrame) -> DataFrame:
     """(size, prefix, digest, keep_id, keep_row, group_size) of every group of two rows or more."""
     left = shared(shared(rows, ["size"]), ["size", "prefix"])
-    best = F.max(F.struct(F.col("points"), F.col("id").isNotNull(), -F.col("id"), -F.col("row"))).alias("best")
+    best = F.min(F.struct(-F.col("points"), F.col("id").isNull(), "id", "row")).alias("best")
     groups = left.groupBy("size", "prefix", "digest").agg(F.count(F.lit(1)).alias("group_size"), best).where("group_size > 1")
-    return groups.select("size", "prefix", "digest", (-F.col("best.col3")).alias("keep_id"), (-F.col("best.col4")).alias("keep_row"), "group_size")
+    return groups.select("size", "prefix", "digest", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
 
 
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64) -> DataFrame:

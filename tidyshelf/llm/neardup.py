@@ -19,7 +19,8 @@ other member: bucket and strays are dealt into blocks of about BLOCK, and each p
 common elements by a matrix product and returns only links that connect something new (fewer than it has members). So no
 link between texts that share a band is lost, whatever the bucket's size, and no list of all pairs is ever made.
 
-Null texts and texts without words are each alone. Ids name documents: rows that repeat an id and text share its class. A
+Null texts and texts without words are each alone. Ids name documents: rows that repeat an id and text share its class, and
+those with other texts fall together in one class. A
 row without an id belongs to the class of an equal text that has one; else it is alone, with a null class_id and kept.
 Further columns are ignored.
 """
@@ -39,6 +40,7 @@ from .common import documents, drop_dir, give_back, matching, new_dir, table_at,
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
 BLOCK = 256
+SALTS = 16
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -148,11 +150,8 @@ def signed(df: DataFrame, id_col: str, text_col: str, words: int, bands: int, ro
                 text, element, _ = elements(h, bounds, words)
                 size = np.bincount(text, minlength=texts)
                 n.append(size)
-                for out, salt in ((a, 0), (b, 0xA0761D6478BD642F)):
-                    sums = np.zeros(len(element) + 1, np.uint64)
-                    np.cumsum(mixed(element ^ np.uint64(salt)), dtype=np.uint64, out=sums[1:])
-                    ends = np.cumsum(size)
-                    out.append((sums[ends] - sums[ends - size]).view(np.int64))
+                for out, x in zip((a, b), fingerprints(element, np.cumsum(size), size), strict=True):
+                    out.append(x)
                 keys.append(band_keys(sliced_signatures(text, element, np.ones(len(element)), texts, bands * rows), bands, rows))
             if not n:
                 continue
@@ -165,21 +164,33 @@ def signed(df: DataFrame, id_col: str, text_col: str, words: int, bands: int, ro
     return raw_text(df, id_col, text_col).mapInArrow(run, f"id {kind}, n long, a long, b long, keys array<long>")
 
 
-def element_sets(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, set): the distinct elements of each text."""
+def fingerprints(element: np.ndarray, ends: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Two sums over scrambled elements of each text; ends: of each text's elements."""
+    out = []
+    for salt in (0, 0xA0761D6478BD642F):
+        sums = np.zeros(len(element) + 1, np.uint64)
+        np.cumsum(mixed(element ^ np.uint64(salt)), dtype=np.uint64, out=sums[1:])
+        out.append((sums[ends] - sums[ends - size]).view(np.int64))
+    return out
+
+
+def element_sets(df: DataFrame, words: int) -> DataFrame:
+    """(id, raw, a, b) -> (id, set, a): the distinct elements of each text that has the fingerprint a, b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = WordHasher(separators(False))
         for batch in batches:
             for first, last, h, bounds in look.runs(batch.column(1)):
                 text, element, _ = elements(h, bounds, words)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=last - first))])
-                listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(element.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), listed], names=["id", "set"])
+                size = np.bincount(text, minlength=last - first)
+                ends = np.cumsum(size)
+                a, b = fingerprints(element, ends, size)
+                mine = (a == batch.column(2).slice(first, last - first).to_numpy()) & (b == batch.column(3).slice(first, last - first).to_numpy())
+                listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(element.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), listed, pa.array(a)], names=["id", "set", "a"]).filter(pa.array(mine))
         give_back()
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return raw_text(df, id_col, text_col).mapInArrow(run, f"id {kind}, set array<long>")
+    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, set array<long>, a long")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -289,10 +300,13 @@ def near_duplicates(
     buckets = cut(members.join(hubs.select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "key"))
     possible = F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n") - 1e-9  # sizes alone let them be alike
     stars = buckets.where((F.col("rep") != F.col("hub")) & possible).select(F.col("hub").alias("p"), F.col("rep").alias("q")).distinct()
-    wanted = cut(buckets.select(F.col("rep").alias("id")).distinct())
-    chosen = matching(df.select(id_col, text_col), wanted, id_col, "left_semi").dropDuplicates([id_col])
+    wanted = cut(reps.select(F.col("rep").alias("id"), "a", "b").join(buckets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+    chosen = matching(raw_text(df, id_col, text_col), wanted, "id", "inner")
     store = new_dir(df.sparkSession, "elements")
-    sets = table_at(element_sets(chosen, id_col, text_col, words), store)
+    sets = element_sets(chosen.select("id", "raw", "a", "b"), words)
+    if signs.where("n > 0").join(wanted.select("id", "a", "b"), ["id", "a", "b"], "left_semi").groupBy("id", "a", "b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count():
+        sets = sets.dropDuplicates(["id", "a"])  # rows that repeat an id and text; without such rows no text is shuffled
+    sets = table_at(sets.drop("a"), store)
     edges = cut(compared(stars, sets).where(F.col("alike") >= threshold - 1e-12).select("p", "q"))
     labels = components(edges)
     more = cut(links_left(labelled(buckets.select("key", "rep"), labels, "rep"), sets, threshold, kind))
@@ -302,11 +316,14 @@ def near_duplicates(
 
     classes = labelled(reps.select("a", "b", "rep", "copies"), labels, "rep")
     sizes = classes.groupBy("label").agg(F.sum("copies").alias("class_size"))
-    classes = classes.join(sizes, "label").select("a", "b", F.col("label").alias("class_id"), "class_size")
-    alone = F.col("n") == 0
-    out = signs.select("id", "n", "a", "b").join(classes, ["a", "b"], "left")
-    out = out.withColumns({"class_id": F.when(alone, F.col("id")).otherwise(F.col("class_id")), "class_size": F.when(alone, 1).otherwise(F.coalesce("class_size", F.lit(1)))})
-    return out.select(F.col("id").alias(id_col), "class_id", F.col("class_size").cast("long"), F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    # only classes of two rows or more are looked up, each in SALTS places, so that copies of one text do not meet in one task
+    classes = classes.join(sizes.where("class_size > 1"), "label").select("a", "b", F.col("label").alias("class_id"), "class_size", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    signs = signs.select("id", "n", "a", "b")
+    salt = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+    out = signs.where("n > 0").withColumn("salt", salt).join(classes, ["a", "b", "salt"], "left").select("id", "class_id", "class_size")
+    out = out.unionByName(signs.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
+    out = out.withColumns({"class_id": F.coalesce("class_id", "id"), "class_size": F.coalesce("class_size", F.lit(1)).cast("long")})
+    return out.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ Base spans follow the contract's four patterns, leftmost and without overlap for
 
 The field's variables are the labels (none, email, ip, card, phone) of tokens that hold a digit, ``@`` or ``+``; all other
 tokens are none. Tokens touched by a base span are observed. Neighbouring tokens share a chain potential; tokens of a
-document whose letters and digits are the same, or whose digits are the same, share a skip potential, each with its
+document whose letters and digits are the same, or whose digits (or last eight of them) are, share a skip potential, each with its
 next such token and each hidden one with the nearest observed one on either side, so a repeated name of an entity pulls its
 other mentions to the same label however far away. Loopy sum-product messages run until each document settles, or for
 50 rounds and twice its longest run of neighbours, whatever stands beside it in a batch; hidden tokens whose label other than
@@ -117,11 +117,17 @@ def shape(token: str) -> int:
 N_SHAPES = 17
 
 
-def keys(token: str) -> list[str]:
-    """What makes two mentions the same: letters and digits without case, or the digits alone."""
+def keys(token: str, whole: str = "") -> list[str]:
+    """What makes two mentions the same: letters and digits without case, the digits alone, or the last digits of a long number.
+
+    whole: the observed span that the token is part of, whose digits count as the token's too.
+    """
     core = "".join(c for c in token.lower() if c.isalnum() or c == "@")
-    digits = "".join(c for c in core if "0" <= c <= "9")
-    return ([core] if len(core) > 3 and any(c.isdigit() or c == "@" for c in core) else []) + ([f"#{digits}"] if len(digits) > 5 and digits != core else [])
+    out = [core] if len(core) > 3 and any(c.isdigit() or c == "@" for c in core) else []
+    for x in (core, whole):
+        digits = "".join(c for c in x if "0" <= c <= "9")
+        out += [f"#{digits}"] * (len(digits) > 5) + [f"~{digits[-8:]}"] * (len(digits) > 8)
+    return list(dict.fromkeys(out))
 
 
 @dataclass
@@ -137,12 +143,17 @@ class Graph:
 
 
 def graph(texts: list[str], bases: list[list[Span]], label_free_tokens: int = -1) -> Graph:
-    """label_free_tokens: the label of tokens without a base span: hidden, or none when fitting."""
+    """label_free_tokens: the label of tokens without a base span: hidden, or none when fitting.
+
+    When fitting, tokens that share a key with an observed one are likely mentions that the patterns leave out: they are hidden.
+    """
     g = Graph([], [], [], [], [], [])
     for i, (text, base) in enumerate(zip(texts, bases, strict=True)):
         if not SIGNAL.search(text):
             continue
         marks = sorted((s, e, k + 1) for k, s, e in base)
+        first = len(g.owner)
+        holders: dict[str, list[int]] = {}
         last: dict[str, int] = {}
         known: dict[str, int] = {}  # the last observed mention
         waiting: dict[str, list[int]] = {}  # hidden mentions since then
@@ -161,19 +172,24 @@ def graph(texts: list[str], bases: list[list[Span]], label_free_tokens: int = -1
             g.labels.append(found[0] if found else label_free_tokens)
             if before is not None:
                 g.chain.append((before, n))
-            before = n
-            far: set[tuple[int, int]] = set()
-            for key in keys(m[0]):
-                if key in last and (last[key], n) != (before, n):
-                    g.skip.append((last[key], n))
+            far: set[int] = set()  # each pair once, whichever keys make it
+            whole = next((text[s:e] for s, e, _ in marks[at : at + 4] if s < m.end() and e > m.start()), "")
+            for key in keys(m[0], whole):
+                holders.setdefault(key, []).append(n)
+                far.update(at_key[key] for at_key in (last, known) if key in at_key and (at_key is last or g.labels[n] < 0))
                 if g.labels[n] < 0:
-                    far.update((j, n) for j in (known.get(key),) if j is not None and j != last[key])
                     waiting.setdefault(key, []).append(n)
                 else:
-                    far.update((j, n) for j in waiting.pop(key, []) if j != last[key])
+                    far.update(waiting.pop(key, []))
                     known[key] = n
                 last[key] = n
-            g.skip.extend(sorted(far))
+            g.skip.extend((j, n) for j in sorted(far) if j != before)  # neighbours have their chain edge
+            before = n
+        if label_free_tokens == 0 and any(g.labels[first:]):
+            for same in holders.values():
+                if any(g.labels[j] > 0 for j in same):
+                    for j in same:
+                        g.labels[j] = g.labels[j] or -1
     return g
 
 
@@ -287,9 +303,9 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
         for b in batches:
             texts = b.column(0).to_pylist()
             g = graph(texts, [base_spans(t) for t in texts], 0)
-            total.update(("shape", s, y) for s, y in zip(g.shapes, g.labels, strict=True))
-            total.update(("chain", g.labels[i], g.labels[j]) for i, j in g.chain)
-            total.update(("skip", g.labels[i], g.labels[j]) for i, j in g.skip)
+            total.update(("shape", s, y) for s, y in zip(g.shapes, g.labels, strict=True) if y >= 0)
+            for kind, edges in (("chain", g.chain), ("skip", g.skip)):
+                total.update((kind, g.labels[i], g.labels[j]) for i, j in edges if min(g.labels[i], g.labels[j]) >= 0)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int64()), pa.array([k[2] for k in total], pa.int64()), pa.array(list(total.values()), pa.int64())],
             names=["kind", "a", "b", "n"],

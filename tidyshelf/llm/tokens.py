@@ -1,10 +1,11 @@
 """Token counts and token ids by public tokenizers, in Arrow batches.
 
 Only lengths (or digests of ids) leave the Python workers. Inside a worker, texts are encoded in batches of about
-``batch_bytes``; a text over ``piece_bytes`` goes as several pieces, cut where the tokenizer itself always cuts: before
-a single space between two plain ASCII characters. No alternative of the byte-level pattern runs from a visible
-character into a space, and no special string holds a space, so the pieces' ids are the text's ids. A long text without
-such a place stays whole.
+``batch_bytes`` of UTF-8; a text over ``piece_bytes`` characters goes as several pieces, cut where the tokenizer itself always
+cuts: before a single space or line end between two visible characters, and after a full-width stop or comma before a kana
+or ideograph. No alternative of the byte-level pattern runs from a visible character into white space or from such a mark
+into a letter, and no special string holds a space, a line end or such a mark, so the pieces' ids are the text's ids. A long
+text without such a place stays whole.
 
 Null and empty texts have 0 tokens. Repeated rows are counted each. Further columns of the input are ignored.
 """
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import documents, give_back, text_of
 
 VOCABULARY = "byte_bpe_50k.json"
+IDEOGRAPHS = "\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff"
+SAFE = re.compile(rf"[!-~\u00c0-\u024f\u0370-\u03ff\u0400-\u04ff{IDEOGRAPHS}](?=[ \n][!-~\u00c0-\u024f\u0370-\u03ff\u0400-\u04ff{IDEOGRAPHS}])|[。、！？，；：](?=[{IDEOGRAPHS}])")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -34,9 +37,8 @@ def pieces(text: str, most: int) -> list[str]:
     """The text cut at safe places, each piece at least ``most`` characters unless the text ends."""
     if len(text) <= most:
         return [text]
-    safe = re.compile(r"[0-9A-Za-z.,](?= [0-9A-Za-z])")
     out, start = [], 0
-    while len(text) - start > most and (m := safe.search(text, start + most - 1)):
+    while len(text) - start > most and (m := SAFE.search(text, start + most - 1)):
         out.append(text[start : m.end()])
         start = m.end()
     out.append(text[start:])
@@ -76,12 +78,13 @@ def lengths(texts: Iterator[str], count, batch_bytes: int, piece_bytes: int) ->
     for text in texts:
         out.append(0)
         for piece in pieces(text, piece_bytes) if text else ():
-            if batch and held + len(piece) > batch_bytes:
+            size = len(piece.encode())
+            if batch and held + size > batch_bytes:
                 flush()
                 held = 0
             batch.append(piece)
             owner.append(len(out) - 1)
-            held += len(piece)
+            held += size
     if batch:
         flush()
     return out
