@@ -115,6 +115,8 @@ def shape(token: str) -> int:
 
 
 N_SHAPES = 17
+#: Pairs of equal labels that skip edges are taken to have shown before any are counted: mentions of one entity agree.
+AGREE = 4.0
 
 
 def keys(token: str, whole: str = "") -> list[str]:
@@ -219,6 +221,8 @@ def fitted(counts: dict[tuple[str, int, int], int]) -> Potentials:
     pairs = []
     for kind in ("chain", "skip"):
         t = np.full((n, n), 0.5)
+        if kind == "skip":
+            t += AGREE * np.eye(n)
         for (k, a, b), c in counts.items():
             if k == kind:
                 t[a, b] += c
