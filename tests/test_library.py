@@ -25,7 +25,7 @@ def test_clean(spark):
     files = shelf(spark, ("r/Bat [x]/Bat ch. 005.cbz", 9), ("r/Bat [x]/Bat ch. 5 (y).cbz", 3), ("r/Ok/a.cbz", 0), ("r/Ok/Own.cbz", 2))
     meta = spark.createDataFrame([("r/Ok/Own.cbz", "c.xml", "<Title>Own</Title>")], META)
     done = spark.createDataFrame([("r/none",)], "p string")
-    got = plan_rows(library.clean(files, meta, done))
+    got = plan_rows(library.clean(files, meta, done, profile="batch"))
     assert ("rename", "r/Bat [x]", "r/Bat") in got and ("rename", "r/Bat [x]/Bat ch. 005.cbz", "r/Bat [x]/Bat ch. 5.cbz") in got
     assert ("delete", "r/Bat [x]/Bat ch. 5 (y).cbz", None) in got and ("rewrite", "r/Bat [x]/Bat ch. 005.cbz", "ComicInfo.xml") in got
     assert not any("Ok" in r[1] for r in got)
@@ -101,13 +101,13 @@ def test_live_collisions_keep_their_names(spark):
     files = shelf(spark, ("r/Bat/Bat ch. 005.cbz", 9), ("r/Bat/Bat ch. 5.cbz", 3), ("r/Bat/Bat ch. 05.cbz", 4))
     meta = spark.createDataFrame([(r.path, "c.xml", "<Title>x y</Title>") for r in files.collect()], META)
     assert plan_rows(library.clean(files, meta, profile="live")) == set()
-    got = plan_rows(library.clean(files, meta, rules=frozenset({"number_tokens"})))
+    got = plan_rows(library.clean(files, meta, rules=frozenset({"number_tokens"}), profile="batch"))
     assert got == {("rename", "r/Bat/Bat ch. 005.cbz", "r/Bat/Bat ch. 5.cbz"), ("delete", "r/Bat/Bat ch. 5.cbz", None), ("delete", "r/Bat/Bat ch. 05.cbz", None)}
 
 
 def test_each_file_is_renamed_once(spark):
     files = shelf(spark, *[(f"r/S {b}/S ch. 0{n} [z].cbz", n) for b, ns in (("[a]", (1, 2, 3)), ("(b)", (4, 5, 15))) for n in ns])
-    got = library.clean(files, spark.createDataFrame([], META)).where("op <> 'rewrite'").collect()
+    got = library.clean(files, spark.createDataFrame([], META), profile="batch").where("op <> 'rewrite'").collect()
     assert len({r.src for r in got}) == len(got) == 8
     assert {(r.op, r.src, r.dest) for r in got if r.src.count("/") == 1} == {("rename", "r/S (b)", "r/S"), ("merge_dir", "r/S [a]", "r/S")}
     assert {r.dest for r in got} >= {"r/S (b)/S ch. 1-5.cbz", "r/S [a]/S ch. 1.cbz"}
@@ -120,11 +120,11 @@ def test_a_cleaned_library_on_disk(spark, tmp_path):
     archive(root / "S (b)/S ch. 2.cbz", ("1.jpg", "x" * 900))
     archive(root / "S (b)/S ch. 13.cbz", ("1.jpg", "x"), xml="<ComicInfo><Number>13</Number></ComicInfo>")
     files, meta = sources.scan(spark, f"file://{root}"), sources.metadata(spark, f"file://{root}")
-    assert apply.apply(library.clean(files, meta)) == 0
+    assert apply.apply(library.clean(files, meta, profile="batch")) == 0
     assert tree_of(root) == ["S/S ch. 1-3.cbz", "S/S ch. 1.cbz", "S/S ch. 2.cbz", "S/S ch. 3.cbz"]
     assert "<Number>1-3</Number>" in entry(root / "S/S ch. 1-3.cbz", "ComicInfo.xml") and "<Series>S</Series>" in entry(root / "S/S ch. 3.cbz", "ComicInfo.xml")
     assert len(entry(root / "S/S ch. 2.cbz", "1.jpg")) == 900
-    assert library.clean(sources.scan(spark, f"file://{root}"), sources.metadata(spark, f"file://{root}")).where("op <> 'rewrite'").count() == 0
+    assert library.clean(sources.scan(spark, f"file://{root}"), sources.metadata(spark, f"file://{root}"), profile="batch").where("op <> 'rewrite'").count() == 0
 
 
 def test_merged_groups_on_disk(spark, tmp_path):
@@ -196,3 +196,58 @@ def test_arrivals_and_logs(spark, tmp_path):
     assert [r.p for r in sources.progress(spark, log).collect()] == ["a"]
     sources.clear_progress(spark, log)
     assert sources.progress(spark, log).count() == 0
+
+
+def test_names_that_clean_to_nothing_stay(spark):
+    files = shelf(spark, ("r/漫画/第一話.cbz", 9), ("r/漫画/第二話.cbz", 3), ("r/漫画/漫画.cbz", 1), ("r/Foo/012 - Foo ch. 3 -.cbz", 1))
+    meta = spark.createDataFrame([], META)
+    rules = library.P.RULES - {"comicinfo"}
+    assert plan_rows(library.clean(files, meta, rules=rules, profile="batch")) == {("rename", "r/Foo/012 - Foo ch. 3 -.cbz", "r/Foo/Foo ch. 3.cbz")}
+    assert plan_rows(library.clean(files, meta, rules=rules)) == set()
+    numbered = plan_rows(library.clean(files, meta, rules=rules, number_nameless=True))
+    assert numbered == {("rename", f"r/漫画/{a}.cbz", f"r/漫画/漫画 {i}.cbz") for i, a in enumerate(sorted(("第一話", "第二話", "漫画")), 1)}
+    dirs = spark.createDataFrame([("w/A/漫画",), ("w/B/Batman",)], "dir_path string")
+    assert plan_rows(library.route(dirs, "w", [Rule("source", "a", "m")], {"m": "/out"}, "none")) == {("move", "w/A/漫画", "/out/漫画"), ("skip", "w/B/Batman", None)}
+    rows = library.route(spark.createDataFrame([("w/X (EN)/T",)], "dir_path string"), "w", [Rule("source", "* (en)", "m")], {"m": "M", "c": "C"}, "c", cleaned=True)
+    assert plan_rows(rows) == {("move", "w/X (EN)/T", "C/T")}
+
+
+def test_no_plan_deletes_another_work(spark):
+    """Whatever is deleted has a file with its key beside it that stays, or the reason says that numbers differ."""
+    names = ["Bat ch. 005", "Bat ch. 5", "Bat ch. 05 (x)", "Chapter 1", "Chapter 2", "漫画 1", "漫画 2", "漫", "第", "[a]", "(b)", "012 - Bat ch. 5 -", "Other"]
+    files = shelf(spark, *[(f"r/Bat/{n}.cbz", i + 1) for i, n in enumerate(names)])
+    for profile in ("live", "batch"):
+        plan = library.clean(files, spark.createDataFrame([], META), rules=library.P.RULES - {"comicinfo"}, profile=profile).collect()
+        gone = [r for r in plan if r.op == "delete"]
+        assert profile == "batch" or not gone
+        assert {r.src.rpartition("/")[2] for r in gone if "differ" not in r.reason} <= {f"{n}.cbz" for n in names[:3]} | {"012 - Bat ch. 5 -.cbz"}
+
+
+def test_merges_plan_what_they_leave_behind(spark):
+    files = shelf(spark, ("r/Bat ch. 1/Bat 1.cbz", 1), ("r/BAT ch. 2/Chapter 2.cbz", 2), ("r/BAT ch. 2/notes.txt", 1), ("r/Solo/n.txt", 1))
+    got = plan_rows(library.merge_groups(files))
+    assert ("delete", "r/BAT ch. 2/notes.txt", None) in got and not any("Solo" in r[1] for r in got)
+    assert [(r.to, r.directories, r.archives, r.generic) for r in library.group_counts(files).collect()] == [("r/BAT", 2, 2, 1)]
+
+
+def test_damaged_archives_are_rows(spark, tmp_path):
+    archive(tmp_path / "l/S/good.cbz", ("1.jpg", "x"), xml="<x/>")
+    whole = (tmp_path / "l/S/good.cbz").read_bytes()
+    (tmp_path / "l/S/cut.cbz").write_bytes(whole[: len(whole) // 2])
+    locked = bytearray(whole)
+    for at in range(len(locked) - 4):  # the encryption bit of each entry, in its header and in the directory
+        if locked[at : at + 4] in (b"PK\x03\x04", b"PK\x01\x02"):
+            locked[at + (6 if locked[at + 2] == 3 else 8)] |= 1
+    (tmp_path / "l/S/locked.cbz").write_bytes(bytes(locked))
+    url = f"file://{tmp_path}/l"
+    listed = {(r.path.rpartition("/")[2], r.entry, r.ok) for r in sources.entries(spark, url).collect()}
+    assert listed == {("good.cbz", "1.jpg", True), ("good.cbz", "ComicInfo.xml", True), ("locked.cbz", "1.jpg", True), ("locked.cbz", "ComicInfo.xml", True), ("cut.cbz", None, False)}
+    read = {r.path.rpartition("/")[2]: (r.xml, r.ok) for r in sources.metadata(spark, url).collect()}
+    assert read == {"good.cbz": ("<x/>", True), "locked.cbz": (None, False), "cut.cbz": (None, False)}
+    assert {r.src.rpartition("/")[2] for r in library.clean(sources.scan(spark, url), sources.metadata(spark, url)).collect()} <= {"good.cbz"}
+
+
+def test_a_file_is_never_put_over_itself(tmp_path):
+    (tmp_path / "a").write_text("x")
+    apply.put(str(tmp_path / "a"), str(tmp_path / "a"))
+    assert (tmp_path / "a").read_text() == "x"

@@ -35,7 +35,7 @@ def merged(existing: DataFrame, incoming: DataFrame, keys: list[str], size: str,
     """
     cols = [c for c in existing.columns if c not in keys]
     both = existing.withColumn("is_existing", F.lit(1)).unionByName(incoming.withColumn("is_existing", F.lit(0)))
-    best = F.max_by(F.struct(*cols, "is_existing"), F.struct(F.col(size), F.col("is_existing"), -F.col(order)))
+    best = F.min_by(F.struct(*cols, "is_existing"), F.struct(-F.col(size), -F.col("is_existing"), F.col(order)))
     out = both.groupBy(*keys).agg(best.alias("best"), F.count(F.lit(1)).alias("contenders"))
     return out.select(*keys, "best.*", "contenders").withColumn("replaced", (F.col("is_existing") == 0) & (F.col("contenders") > 1))
 
@@ -72,21 +72,31 @@ def generic_numbering(files: DataFrame, directory: str, order: str, generic: Col
 def renamed_one_by_one(files: DataFrame) -> DataFrame:
     """(dir_path, name, new_name, size) -> (…, outcome): renames in name order, where later files see earlier ones.
 
-    Outcomes: unchanged, renamed, replaced (the holder of the new name was smaller and goes), discarded. Rows are
-    sorted by directory inside partitions; a directory's listing, not its files' content, has to fit a task.
+    Outcomes: unchanged, renamed, renamed over smaller (the file that had the name goes), discarded (it goes itself), replaced
+    (its own name, which it was to keep, has gone to an earlier and larger file). In directories where no file is to take the
+    name of another one, only files that want one name meet: a window over them. The others go by directory, in order, through
+    Python; their listings, not their files' content, have to fit a task.
     """
+    rows = files.select("dir_path", "name", "new_name", F.col("size").cast("long").alias("size"))
+    wanted = rows.where("new_name <> name").select("dir_path", F.col("new_name").alias("name")).distinct()
+    chained = rows.select("dir_path", "name").join(wanted, ["dir_path", "name"], "left_semi").select("dir_path").distinct()
+    w = W.partitionBy("dir_path", "new_name").orderBy("name")
+    largest_before = F.max("size").over(w.rowsBetween(W.unboundedPreceding, -1))
+    outcome = F.when(F.col("name") == F.col("new_name"), "unchanged").when(largest_before.isNull(), "renamed").when(F.col("size") > largest_before, "renamed over smaller").otherwise("discarded")
+    return rows.join(chained, "dir_path", "left_anti").withColumn("outcome", outcome).unionByName(in_turn(rows.join(chained, "dir_path", "left_semi")))
 
+
+def in_turn(rows: DataFrame) -> DataFrame:
     def settled(rows: list[tuple]) -> list[tuple]:
-        holder, out = {r[1]: r[3] for r in rows}, []
+        holder, lost, out = {r[1]: r[3] for r in rows}, set(), []
         for directory, name, new, size in rows:
-            if name not in holder:
-                outcome = "replaced"  # by an earlier file
-            elif new == name:
-                outcome = "unchanged"
+            if new == name:
+                outcome = "replaced" if name in lost else "unchanged"
             elif new not in holder:
                 outcome, holder[new] = "renamed", holder.pop(name)
             elif holder[name] > holder[new]:
                 outcome, holder[new] = "renamed over smaller", holder.pop(name)
+                lost.add(new)
             else:
                 outcome = "discarded"
                 holder.pop(name)
@@ -105,8 +115,8 @@ def renamed_one_by_one(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=[*pdf.columns, "outcome"])
         yield pd.DataFrame(settled(held), columns=["dir_path", "name", "new_name", "size", "outcome"])
 
-    rows = files.select("dir_path", "name", "new_name", F.col("size").cast("long").alias("size")).repartition("dir_path").sortWithinPartitions("dir_path", "name")
-    return rows.mapInPandas(run, "dir_path string, name string, new_name string, size long, outcome string")
+    ordered = rows.repartition("dir_path").sortWithinPartitions("dir_path", "name")
+    return ordered.mapInPandas(run, "dir_path string, name string, new_name string, size long, outcome string")
 
 
 def outcomes(rows: DataFrame, outcome: Column) -> DataFrame:

@@ -34,11 +34,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
+    from . import jobs  # noqa: F401  adds its own
+
     return QUERIES
 
 
 def oracle_sql() -> dict:
-    return SQL
+    return SQL if queries() else {}
 
 
 # ---- missing numbers
@@ -408,13 +410,13 @@ def range_overlap(spark, sf_dir):
 
 
 @query("""
-WITH n AS (SELECT DISTINCT p_brand AS series, CAST(p_size AS DOUBLE) AS n FROM part WHERE p_size BETWEEN 1 AND 9), g AS (SELECT series, n, lead(n) OVER (PARTITION BY series ORDER BY n) - n AS gap FROM n)
-SELECT series, CAST(15 AS DOUBLE) AS suspect, CAST(1 AS DOUBLE) AS "start", CAST(5 AS DOUBLE) AS "end" FROM g GROUP BY series
-HAVING max(n) >= 5 AND bool_or(n = 1) AND 15 - max(n) > 2 * coalesce(median(gap), 1)
+WITH n AS (SELECT DISTINCT p_brand AS series, CAST(p_size AS DOUBLE) AS n FROM part), g AS (SELECT series, n, lead(n) OVER (PARTITION BY series ORDER BY n) - n AS gap FROM n)
+SELECT series, CAST(150 AS DOUBLE) AS suspect, CAST(1 AS DOUBLE) AS "start", CAST(50 AS DOUBLE) AS "end" FROM g GROUP BY series
+HAVING max(n) >= 50 AND bool_or(n = 1) AND 150 - max(n) > 2 * coalesce(median(gap), 1)
 """)
 def range_suspect(spark, sf_dir):
     sizes = table(spark, sf_dir, "part").select("p_brand", "p_size")
-    numbers = sizes.where("p_size between 1 and 9").unionByName(sizes.withColumn("p_size", F.lit(15)))
+    numbers = sizes.unionByName(sizes.withColumn("p_size", F.lit(150)))
     return ranges.suspects(numbers, "p_brand", "p_size").select(F.col("p_brand").alias("series"), "suspect", "start", "end")
 
 
@@ -535,34 +537,24 @@ def stability(spark, sf_dir):
 
 MODES = {"newest": ("c_acctbal", True), "oldest": ("c_acctbal", False), "alpha": ("name", False), "alpha-reverse": ("name", True)}
 MODES_SQL = " UNION ALL ".join(
-    f"SELECT * FROM (SELECT '{mode}' AS mode, row_number() OVER (ORDER BY {key} {'DESC' if down else 'ASC'}, c_custkey) AS place, c_custkey FROM (SELECT *, lower(c_name) AS name FROM customer)) WHERE place <= 25"
+    f"SELECT '{mode}' AS mode, row_number() OVER (ORDER BY {key} {'DESC' if down else 'ASC'}, c_custkey) AS place, c_custkey FROM (SELECT *, lower(c_name) AS name FROM customer)"
     for mode, (key, down) in MODES.items()
 )
 
 
 @query(MODES_SQL)
 def sort_modes(spark, sf_dir):
-    """The first 25 units in each order: a top-k sort, numbered only once it is 25 rows."""
-    rows = table(spark, sf_dir, "customer").withColumn("name", F.lower("c_name"))
-    out = []
-    for mode, (key, down) in MODES.items():
-        order = [F.desc(key) if down else F.asc(key), F.col("c_custkey")]
-        first = rows.orderBy(*order).limit(25)
-        out.append(first.select(F.lit(mode).alias("mode"), F.row_number().over(W.orderBy(*order)).cast("long").alias("place"), "c_custkey"))
-    return reduce(DataFrame.unionByName, out)
-
-
-@query(" UNION ALL ".join(
-    f"SELECT '{mode}' AS mode, row_number() OVER (ORDER BY {key} {'DESC' if down else 'ASC'}, c_custkey) AS place, c_custkey FROM (SELECT *, lower(c_name) AS name FROM customer)"
-    for mode, (key, down) in MODES.items()
-))
-def sort_modes_whole(spark, sf_dir):
     """Every unit with its place in each order."""
     rows = table(spark, sf_dir, "customer")
     out = (tree.placed(rows, mode, "c_acctbal", "c_name", "c_custkey").select(F.lit(mode).alias("mode"), "place", "c_custkey") for mode in MODES)
     return reduce(DataFrame.unionByName, out)
 
 
+@query(MODES_SQL)
+def sort_modes_whole(spark, sf_dir):
+    return sort_modes(spark, sf_dir)
+
+
 @query("SELECT conv_id, turn, CASE WHEN t LIKE '%error%' OR t LIKE '%failed%' THEN 'error' WHEN t LIKE '%warning%' OR t LIKE '%warn%' OR t LIKE '%skipping%' THEN 'warn' WHEN t LIKE '%complete%' OR t LIKE '%done%' OR t LIKE '%success%' THEN 'success' ELSE 'info' END AS severity FROM (SELECT *, lower(text) AS t FROM conversations)")
 def log_classify(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", N.log_severity(F.col("text")).alias("severity"))

@@ -28,15 +28,33 @@ def under(directory: Column, name: Column) -> Column:
     return F.concat(directory, F.lit("/"), name)
 
 
-def with_new_name(rows: DataFrame, rules: frozenset[str], profile: str) -> DataFrame:
-    """Adds new_dir and new_name. Steps are columns of their own, so that each is computed once."""
+def or_else(cleaned: Column, name: Column | str) -> Column:
+    """The cleaned name, or the old one where cleaning leaves nothing."""
+    return F.coalesce(F.nullif(cleaned, F.lit("")), name)
+
+
+def with_new_name(rows: DataFrame, rules: frozenset[str], profile: str, number_nameless: bool = False) -> DataFrame:
+    """Adds new_dir and new_name. Steps are columns of their own, so that each is computed once.
+
+    A file of whose stem nothing is left keeps its name; with ``number_nameless`` it takes its directory's, numbered by name
+    where there are several such files.
+    """
     rows = rows.withColumn("new_dir", N.clean_directory(F.col("dir_name"))).withColumn("__stem", N.sanitize(F.col("stem"), rules))
-    rows = rows.withColumn("new_dir", F.coalesce(F.nullif("new_dir", F.lit("")), "dir_name"))
+    rows = rows.withColumns({"new_dir": or_else(F.col("new_dir"), "dir_name"), "__nameless": F.col("__stem") == ""})
+    if "leading_nums" in rules and profile == "batch":
+        rows = rows.withColumn("__stem", N.strip(N.without(F.col("__stem"), P.LEADING_NUMBER[profile])))
     if "normalize_stem" in rules:
         rows = rows.withColumn("__stem", N.normal_stem(F.col("__stem"), F.col("new_dir"), profile))
     if "number_tokens" in rules:
         rows = rows.withColumn("__stem", N.number_tokens(F.col("__stem")))
-    return rows.withColumn("new_name", F.concat("__stem", "ext")).drop("__stem")
+    if "trailing_junk" in rules and profile == "batch":
+        rows = rows.withColumn("__stem", N.strip(N.without(F.col("__stem"), P.TRAILING_JUNK)))
+    kept = F.when(F.col("__nameless") | (F.col("__stem") == ""), F.col("name")).otherwise(F.concat("__stem", "ext"))
+    if number_nameless:
+        w = W.partitionBy("dir_path", "__nameless")
+        nth, several = F.row_number().over(w.orderBy("name")), F.count(F.lit(1)).over(w) > 1
+        kept = F.when(F.col("__nameless"), F.concat("new_dir", F.when(several, F.concat(F.lit(" "), nth)).otherwise(""), "ext")).otherwise(kept)
+    return rows.withColumn("new_name", kept).drop("__stem", "__nameless")
 
 
 def contested(rows: DataFrame, directory: str, profile: str = "batch") -> DataFrame:
@@ -49,6 +67,10 @@ def contested(rows: DataFrame, directory: str, profile: str = "batch") -> DataFr
     order = [F.desc("size"), has_it, *by_name] if profile == "batch" else [has_it, *by_name]
     first = F.row_number().over(W.partitionBy(directory, "new_name").orderBy(*order)) == 1
     rows = rows.withColumn("stays", first)
+    if profile == "batch":  # a name that says nothing may stand for several numbers
+        of_name = W.partitionBy(directory, "new_name")
+        number = N.chapter(F.col("stem"))
+        rows = rows.withColumn("risky", F.coalesce(F.min(number).over(of_name) < F.max(number).over(of_name), F.lit(False)))
     if profile == "live":
         rows = rows.withColumns({"new_name": F.when(F.col("stays"), F.col("new_name")).otherwise(F.col("name")), "stays": F.lit(True)})
     return rows
@@ -59,10 +81,15 @@ def name_actions(rows: DataFrame) -> DataFrame:
     moves = rows.where("stays and name <> new_name")
     return union(
         keep.actions(moves, "rename", F.col("path"), under(F.col("dir_path"), F.col("new_name")), "cleaned name", F.col("size")),
-        keep.actions(rows.where("not stays"), "delete", F.col("path"), None, "smaller file of the same name", F.col("size")),
+        keep.actions(rows.where("not stays"), "delete", F.col("path"), None, smaller_reason(rows), F.col("size")),
     )
 
 
+def smaller_reason(rows: DataFrame) -> Column:
+    plain = F.lit("smaller file of the same name")
+    return F.when(F.col("risky"), F.lit("smaller file of the same name, numbers differ")).otherwise(plain) if "risky" in rows.columns else plain
+
+
 def with_ranges(rows: DataFrame, directory: str) -> DataFrame:
     """Adds start and end; files whose number reads as a range of their directory's numbers get the range's name.
 
@@ -89,9 +116,12 @@ def directory_actions(files: DataFrame, dirs: DataFrame) -> DataFrame:
     return keep.actions(moved.withColumn("op", op), F.col("op"), F.col("dir_path"), F.col("to"), "cleaned directory")
 
 
-def clean(files: DataFrame, metadata: DataFrame, done: DataFrame | None = None, rules: frozenset[str] = P.RULES, profile: str = "batch") -> DataFrame:
+def clean(files: DataFrame, metadata: DataFrame, done: DataFrame | None = None, rules: frozenset[str] = P.RULES, profile: str = "live", number_nameless: bool = False) -> DataFrame:
     """Clean names and metadata: directories, then files in them, then documents, then numbers that are ranges.
 
+    The live profile deletes nothing. In the batch profile files of a directory that come to one name contest it, and the
+    reason says where their numbers differ; a name that cleans to nothing stays (see ``with_new_name``).
+
     Names are settled as the directories will be once they are renamed and merged. Each file has at most one rename or
     delete and one rewrite, by its path of now; the live profile looks for no ranges. Files of size 0, and those an earlier
     run has done, are left alone.
@@ -99,17 +129,23 @@ def clean(files: DataFrame, metadata: DataFrame, done: DataFrame | None = None,
     todo = files.where((F.col("size") > 0) & (F.col("ext") == ".cbz"))
     if done is not None:
         todo = tree.not_done(todo, done.withColumnRenamed("p", "path"), "path")
-    todo = with_new_name(todo, rules, profile).withColumn("to", under(F.col("parent_path"), F.col("new_dir")))
+    todo = with_new_name(todo, rules, profile, number_nameless).withColumn("to", under(F.col("parent_path"), F.col("new_dir")))
     rows = contested(todo, "to", profile)
     rows = with_ranges(rows, "to") if profile == "batch" else rows.withColumns({"start": F.lit(None).cast("double"), "end": F.lit(None).cast("double")})
     plans = [directory_actions(files, todo.select("dir_path", "to").distinct()), name_actions(rows)]
     if "comicinfo" in rules:
-        rows = rows.where("stays").join(metadata.select("path", "entry_name", "xml"), "path", "left")
+        rows = rows.where("stays").join(readable(metadata), "path", "left").where("readable is null or readable").drop("readable")
         rows = G.retagged(rows, "xml", "stem", "new_dir", profile, rules)
         plans.append(rewrites(rows.withColumn("new_xml", F.coalesce("new_xml", "xml"))))
     return union(*plans)
 
 
+def readable(metadata: DataFrame) -> DataFrame:
+    """(path, entry_name, xml, readable): damaged archives are told apart from those without a document, which get one."""
+    ok = F.col("ok") if "ok" in metadata.columns else F.lit(True)
+    return metadata.select("path", "entry_name", "xml", ok.alias("readable"))
+
+
 def rewrites(rows: DataFrame) -> DataFrame:
     """Documents that change, those of range archives with the range as their number. rows: (path, size, entry_name, xml, new_xml, start, end).
 
@@ -166,19 +202,33 @@ def pack_folders(files: DataFrame, root: str | None = None) -> DataFrame:
     return keep.actions(folders, "pack", F.col("dir_path"), F.col("to"), F.concat("entries", F.lit(" entries")))
 
 
+def merged_directories(files: DataFrame) -> DataFrame:
+    """(dir_path, up, top_name, to, canonical): directories in or below one of a group of siblings, and where they go."""
+    dirs = files.select("dir_path").distinct().select("dir_path", F.explode(F.concat(tree.ancestors(F.col("dir_path")), F.array("dir_path"))).alias("up")).where("up <> ''")
+    split = {"parent_path": F.regexp_replace("up", r"/[^/]*$", ""), "top_name": F.substring_index("up", "/", -1)}
+    dirs = dirs.withColumns(split).withColumn("base", N.base_name(F.col("top_name"))).where("base is not null")
+    groups = tree.groups_by_base(dirs.select("parent_path", "top_name").distinct(), "parent_path", "top_name").withColumnRenamed("parent", "parent_path")
+    found = dirs.join(groups, ["parent_path", "base"]).withColumn("to", under(F.col("parent_path"), F.col("canonical")))
+    return found.groupBy("dir_path").agg(F.min_by(F.struct("up", "top_name", "to", "canonical"), F.length("up")).alias("top")).select("dir_path", "top.*")
+
+
+def group_counts(files: DataFrame) -> DataFrame:
+    """(to, directories, archives, generic): what a merge of each group would take together, without doing it."""
+    inside = merged_directories(files)
+    generic = N.is_generic_stem(F.col("stem")) & (F.col("dir_path") == F.col("up"))
+    rows = files.where(F.col("ext") == ".cbz").join(inside, "dir_path")
+    return rows.groupBy("to").agg(F.countDistinct("up").alias("directories"), F.count(F.lit(1)).alias("archives"), F.count_if(generic).alias("generic"))
+
+
 def merge_groups(files: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     """Sibling directories that differ by a number token become one; generic files take their directory's name first.
 
     Files of directories below go along, all into the one directory. The directory that has the name already keeps its
     names; of equal names the largest file stays, of equals the one that is there. Then numbers that read as ranges, and
     with metadata the documents: series, title, volume and number by the names that files have in the merged directory.
+    Only archives are merged: each other file of a directory that ends is a deletion of its own.
     """
-    dirs = files.select("dir_path").distinct().select("dir_path", F.explode(F.concat(tree.ancestors(F.col("dir_path")), F.array("dir_path"))).alias("up")).where("up <> ''")
-    split = {"parent_path": F.regexp_replace("up", r"/[^/]*$", ""), "top_name": F.substring_index("up", "/", -1)}
-    dirs = dirs.withColumns(split).withColumn("base", N.base_name(F.col("top_name"))).where("base is not null")
-    groups = tree.groups_by_base(dirs.select("parent_path", "top_name").distinct(), "parent_path", "top_name").withColumnRenamed("parent", "parent_path")
-    found = dirs.join(groups, ["parent_path", "base"]).withColumn("to", under(F.col("parent_path"), F.col("canonical")))
-    inside = found.groupBy("dir_path").agg(F.min_by(F.struct("up", "top_name", "to", "canonical"), F.length("up")).alias("top")).select("dir_path", "top.*")
+    inside = merged_directories(files)
     rows = files.where(F.col("ext") == ".cbz").join(inside, "dir_path")
     generic = N.is_generic_stem(F.col("stem")) & (F.col("dir_path") == F.col("up")) & (F.col("up") != F.col("to"))
     w = W.partitionBy("dir_path", generic)
@@ -190,9 +240,10 @@ def merge_groups(files: DataFrame, metadata: DataFrame | None = None) -> DataFra
     plans = [
         keep.actions(rows.where("stays and path <> dest"), "move", F.col("path"), F.col("dest"), "merged series", F.col("size")),
         keep.actions(rows.where("not stays"), "delete", F.col("path"), None, "smaller file of the same name", F.col("size")),
+        keep.actions(files.where(F.col("ext") != ".cbz").join(inside.where("up <> to"), "dir_path"), "delete", F.col("path"), None, "left in a merged directory", F.col("size")),
     ]
     if metadata is not None:
-        tagged = rows.where("stays").join(metadata.select("path", "entry_name", "xml"), "path", "left")
+        tagged = rows.where("stays").join(readable(metadata), "path", "left").where("readable is null or readable")
         plans.append(rewrites(G.series_tags(tagged, "xml", "merged_stem", "canonical")))
     return union(*plans)
 
@@ -251,9 +302,16 @@ def separate_marked(files: DataFrame, check: str = "_Check", side: str = "both")
     return keep.actions(rows, "move", F.col("dir_path"), F.concat_ws("/", "to_dir", "new_name"), "marked pair")
 
 
-def gap_report(files: DataFrame, root: str | None = None) -> DataFrame:
-    """Gaps of every series directory, in report order."""
-    series = tree.series_dirs(files.where(F.col("ext") == ".cbz"), "dir_path", root)
+def gap_report(files: DataFrame, root: str | None = None, mode: str = "mixed") -> DataFrame:
+    """Gaps of every series directory, in report order.
+
+    mode: ``series`` takes the root as one series, ``folder`` the series in it, ``mixed`` both.
+    """
+    archives = files.where(F.col("ext") == ".cbz")
+    series = tree.series_dirs(archives, "dir_path", root)
+    if root is not None:
+        own = archives.where(F.col("dir_path") == root).select("dir_path").distinct()
+        series = {"series": own, "folder": series, "mixed": series.union(own)}[mode]
     rows = files.where(F.col("ext") == ".cbz").join(series, "dir_path", "left_semi")
     found = gaps.report(rows, "dir_path", N.issue_number(F.col("stem")), "name")
     return gaps.in_report_order(found.withColumns({"path": F.col("series"), "series": F.substring_index("series", "/", -1)}))
@@ -263,11 +321,21 @@ def leftovers(files: DataFrame) -> DataFrame:
     return keep.actions(files.where(stale(F.col("name"))), "delete", F.col("path"), None, "left by an interrupted rewrite", F.col("size"))
 
 
-def route(dirs: DataFrame, root: str, rules: list[routing.Rule], destinations: dict[str, str], default: str) -> DataFrame:
-    """Settled directories to their destination, by the raw name of the source they came from."""
-    source, title = routing.source_name(F.col("dir_path"), root), F.substring_index("dir_path", "/", -1)
-    dest = routing.routed(rules, {"source": source, "title": title}, destinations, default)
-    return keep.actions(dirs, "move", F.col("dir_path"), under(dest, N.clean_directory(title)), "routed")
+def route(dirs: DataFrame, root: str, rules: list[routing.Rule], destinations: dict[str, str], default: str, cleaned: bool = False) -> DataFrame:
+    """Settled directories to their destination, by the raw names of the source they came from and of themselves.
+
+    With ``cleaned`` rules see cleaned names. A name that cleans to nothing stays; without a destination nothing moves.
+    """
+    raw = F.substring_index("dir_path", "/", -1)
+    rows = dirs.withColumns({"__title": raw, "__source": routing.source_name(F.col("dir_path"), root)})
+    rows = rows.withColumn("__name", or_else(N.clean_directory(F.col("__title")), F.col("__title")))
+    if cleaned:
+        rows = rows.withColumns({"__title": F.col("__name"), "__source": or_else(N.clean_directory(F.col("__source")), F.col("__source"))})
+    dest = routing.routed(rules, {"source": F.col("__source"), "title": F.col("__title")}, destinations, default)
+    rows = rows.withColumn("__dest", F.nullif(dest, F.lit("")))
+    known = F.col("__dest").isNotNull()
+    reason = F.when(known, "routed").otherwise("no destination")
+    return keep.actions(rows, F.when(known, "move").otherwise("skip"), F.col("dir_path"), under(F.col("__dest"), F.col("__name")), reason)
 
 
 def ingest(ready: DataFrame, plan: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame], None], checkpoint: str):

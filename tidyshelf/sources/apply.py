@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..session import fixed
+from .files import BAD_ARCHIVE
 
 DOCUMENT = "comicinfo.xml"
 ARCHIVE_ENTRY = re.compile(r"(?is)^(.*?\.cbz)!(.*)$")
@@ -88,7 +89,9 @@ def rebuild(path: str, pages: list[tuple[str, str, str]]) -> None:
 
 
 def put(src: str, dest: str) -> None:
-    """src as dest; a file that is there gives way only to a strictly larger one."""
+    """src as dest; a file that is there gives way only to a strictly larger one, and never to itself."""
+    if os.path.exists(dest) and os.path.samefile(src, dest):
+        return
     if os.path.exists(dest) and os.path.getsize(src) <= os.path.getsize(dest):
         os.remove(src)
     else:
@@ -140,7 +143,7 @@ def each(rows: DataFrame, work: Callable[[Row], None]) -> int:
         for row in part:
             try:
                 work(row)
-            except (OSError, KeyError, zipfile.BadZipFile) as e:
+            except (KeyError, *BAD_ARCHIVE) as e:
                 logging.getLogger(__name__).error("%s: %s", row[0], e)
                 failed.add(1)
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import io
 import json
+import re
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,28 +51,52 @@ def stale(name: Column) -> Column:
     return name.endswith(".tmp.cbz") | name.endswith(".bak.cbz")
 
 
+#: What a damaged, truncated, encrypted or oddly packed archive raises.
+BAD_ARCHIVE = (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError, zlib.error, EOFError, ValueError, UnicodeDecodeError)
+
+
+def range_opener() -> Callable[[str], pa.NativeFile]:
+    """Opens a path as Spark lists it for reads of ranges; a store is looked up once."""
+    stores: dict = {}
+
+    def opened(path: str) -> pa.NativeFile:
+        at = re.match(r"^(?:([a-zA-Z][a-zA-Z0-9+.-]*):(//[^/]*)?)?(/.*)$", path)
+        scheme, place, rest = at[1] or "file", at[2] or "", at[3]
+        if (scheme, place) not in stores:
+            stores[scheme, place] = (pafs.LocalFileSystem(), "") if scheme == "file" else pafs.FileSystem.from_uri(f"{scheme}:{place}/")
+        store, root = stores[scheme, place]
+        return store.open_input_file(root.rstrip("/") + rest)
+
+    return opened
+
+
+def archives(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.cbz").option("recursiveFileLookup", str(recursive).lower())
+    return reader.load(root).select("path")
+
+
 def entries(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """(path, entry, ext, size, compress_type, ord, ok): what archives list; nothing is decompressed.
+    """(path, entry, ext, size, compress_type, ord, ok): what archives list; only their directories are read, by ranges.
 
     An archive that cannot be opened gives one row with ok false.
     """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = range_opener()
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for path in b.column(0).to_pylist():
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    with opened(path) as f, zipfile.ZipFile(f) as z:
                         infos = z.infolist()
                     rows = [(path, i.filename, i.file_size, i.compress_type, n, True) for n, i in enumerate(infos)]
-                except (zipfile.BadZipFile, OSError):
+                except BAD_ARCHIVE:
                     rows = [(path, None, None, None, None, False)]
                 if rows:
                     columns = list(zip(*rows, strict=True))
                     kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "entry", "size", "compress_type", "ord", "ok"])
 
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.cbz").option("recursiveFileLookup", str(recursive).lower())
-    found = reader.load(root).select("path", "content").mapInArrow(listed, "path string, entry string, size long, compress_type int, ord int, ok boolean")
+    found = archives(spark, root, recursive).mapInArrow(listed, "path string, entry string, size long, compress_type int, ord int, ok boolean")
     return found.withColumn("ext", F.lower(N.suffix(F.substring_index("entry", "/", -1))))
 
 
@@ -79,30 +106,32 @@ def pages(listed: DataFrame) -> DataFrame:
 
 
 def metadata(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """(path, entry_name, xml): each archive's document, whatever the case of its name; null without one.
+    """(path, entry_name, xml, ok): each archive's document, whatever the case of its name; null without one.
 
-    The first such name in archive order counts; of names that differ only in case the last. Bad bytes are replaced.
+    The first such name in archive order counts; of names that differ only in case the last. Bad bytes are replaced. Only an
+    archive's directory and its document are read. ok is false where the archive or its document cannot be.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = range_opener()
         for b in batches:
-            names, texts = [], []
-            for content in b.column(1):
-                name = xml = None
+            names, texts, fine = [], [], []
+            for path in b.column(0).to_pylist():
+                name, xml, ok = None, None, True
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    with opened(path) as f, zipfile.ZipFile(f) as z:
                         real = {n.lower(): n for n in z.namelist()}
                         key = next((k for k in real if k.rpartition("/")[2] == "comicinfo.xml"), None)
                         if key:
                             name, xml = real[key], z.read(real[key]).decode("utf-8", errors="replace")
-                except (zipfile.BadZipFile, OSError):
-                    pass
+                except BAD_ARCHIVE:
+                    name, xml, ok = None, None, False
                 names.append(name)
                 texts.append(xml)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["path", "entry_name", "xml"])
+                fine.append(ok)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(texts, pa.string()), pa.array(fine)], names=["path", "entry_name", "xml", "ok"])
 
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.cbz").option("recursiveFileLookup", str(recursive).lower())
-    return reader.load(root).select("path", "content").mapInArrow(read, "path string, entry_name string, xml string")
+    return archives(spark, root, recursive).mapInArrow(read, "path string, entry_name string, xml string, ok boolean")
 
 
 def routing(path: str) -> tuple[list[Rule], dict[str, str], str]:
@@ -152,6 +181,13 @@ def arrivals(spark: SparkSession, root: str, per_batch: int = 10_000) -> DataFra
     return found.select("path", F.lit("created").alias("event_type"), time.alias("event_time"), time.alias("dir_ctime"), at_root.alias("at_root"))
 
 
+REPORT = ("series", "first_issue", "last_issue", "total_found", "gap_count", "missing", "unnumbered", "path")
+
+
+def report_path(folder: str, at: datetime) -> str:
+    return f"{folder.rstrip('/')}/gaps_{at:%Y%m%d_%H%M%S}"
+
+
 def write_report(report: DataFrame, path: str) -> None:
-    """The gap report as one CSV file with a header; has_gaps is not a column of it."""
-    report.drop("has_gaps").coalesce(1).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+    """The gap report as one CSV file with a header: its columns alone, whatever else the rows hold."""
+    report.select(*(c for c in REPORT if c in report.columns)).coalesce(1).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
