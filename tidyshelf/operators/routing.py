@@ -55,3 +55,8 @@ def source_name(path: Column, root: str) -> Column:
 
 def is_inside(child: Column, parent: Column) -> Column:
     return (child == parent) | child.startswith(F.concat(parent, F.lit("/")))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Whether one path is the other, holds it or lies in it."""
+    return is_inside(a, b) | is_inside(b, a)

@@ -313,10 +313,11 @@ def network_paths(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", sources.to_backslashes(F.regexp_replace("url", "^https?:", "")).alias("path"))
 
 
-@query("SELECT p_partkey, p_size % 3 <> 2 AS inside FROM part")
+@query("SELECT p_partkey, p_size % 3 <> 2 AS inside, p_size % 3 <> 2 AS overlap, true AS below FROM part")
 def inside_directories(spark, sf_dir):
     child = one_of(SIZE, text("lib/", F.col("p_brand")), text("lib/", F.col("p_brand"), "/", F.col("p_name")), text("lib/", F.col("p_brand"), "x/", F.col("p_name")))
-    return table(spark, sf_dir, "part").select("p_partkey", routing.is_inside(child, text("lib/", F.col("p_brand"))).alias("inside"))
+    parent = text("lib/", F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", routing.is_inside(child, parent).alias("inside"), routing.overlap(parent, child).alias("overlap"), routing.overlap(F.lit("lib"), child).alias("below"))
 
 
 @query("SELECT p_partkey, p_size % 4 < 2 AS ranges, p_size % 4 < 3 AS dedup FROM part")
@@ -338,10 +339,11 @@ def archive_arrivals(spark, sf_dir):
     return settle.archive_events(events).select("event_id", "dir_path")
 
 
-@query("SELECT event_id FROM events WHERE user_id % 3 <> 0")
+@query("SELECT event_id FROM events WHERE user_id % 3 <> 0 AND event_id % 10 <> 9")
 def events_outside(spark, sf_dir):
     """Events that no directory under work equals, holds or lies in."""
-    events = table(spark, sf_dir, "events").select("event_id", text("w/u", F.col("user_id"), F.when(F.col("event_id") % 2 == 0, "/deep").otherwise("")).alias("dir_path"), "user_id")
+    directory = F.when(F.col("event_id") % 10 == 9, "w").otherwise(text("w/u", F.col("user_id"), F.when(F.col("event_id") % 2 == 0, "/deep").otherwise("")))
+    events = table(spark, sf_dir, "events").select("event_id", directory.alias("dir_path"), "user_id")
     busy = events.where("user_id % 3 = 0").select(text("w/u", F.col("user_id")).alias("dir_path")).distinct()
     return settle.outside(events.drop("user_id"), busy).select("event_id")
 

@@ -18,6 +18,7 @@ from ..functions import patterns as P
 from ..functions import tags as G
 from ..operators import gaps, keep, match, ranges, routing, tree
 from ..sources.files import is_image, stale
+from ..streaming import settle
 
 
 def union(*plans: DataFrame) -> DataFrame:
@@ -338,6 +339,10 @@ def route(dirs: DataFrame, root: str, rules: list[routing.Rule], destinations: d
     return keep.actions(rows, F.when(known, "move").otherwise("skip"), F.col("dir_path"), under(F.col("__dest"), F.col("__name")), reason)
 
 
-def ingest(ready: DataFrame, plan: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame], None], checkpoint: str):
-    """The streaming job: each batch of settled directories through a plan to a sink. Restarts go on from the checkpoint."""
-    return ready.writeStream.foreachBatch(lambda batch, _: sink(plan(batch))).option("checkpointLocation", checkpoint).outputMode("append")
+def ingest(ready: DataFrame, plan: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame], None], checkpoint: str, busy: Callable[[], DataFrame] | None = None):
+    """The streaming job: each batch of settled directories through a plan to a sink. Restarts go on from the checkpoint.
+
+    busy: gives (dir_path) of directories that other jobs work on; batches go on without those that overlap them.
+    """
+    free = lambda batch: batch if busy is None else settle.outside(batch, busy())
+    return ready.writeStream.foreachBatch(lambda batch, _: sink(plan(free(batch)))).option("checkpointLocation", checkpoint).outputMode("append")
