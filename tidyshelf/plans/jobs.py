@@ -24,7 +24,17 @@ from ..streaming import settle
 from . import library
 from .catalog import GAPS_SQL, query
 
-KEY, SIZE = F.col("p_partkey"), F.col("p_size")
+
+def part_key() -> Column:
+    return F.col("p_partkey")
+
+
+def part_size() -> Column:
+    return F.col("p_size")
+
+
+def price() -> Column:
+    return F.floor(F.col("p_retailprice") * 10)
 
 
 def text(*parts) -> Column:
@@ -47,7 +57,6 @@ def shelf(rows: DataFrame, directory: Column, name: Column, size: Column) -> Dat
 
 # ---- cleaning, routing, merging
 
-PRICE = F.floor(F.col("p_retailprice") * 10)
 CLEAN_FILES_SQL = """
   SELECT p_brand AS b, 'lib/' || p_brand || CASE WHEN p_size % 2 = 0 THEN ' (y)' ELSE ' [x]' END AS d, CAST(floor(p_retailprice * 10) AS BIGINT) AS size,
          CASE p_partkey % 5 WHEN 0 THEN '[' || p_partkey || '] 漫画' WHEN 1 THEN '012 - Solo ' || p_partkey || 'x -' WHEN 2 THEN 'Dup [' || p_partkey || '] tale ' || p_size % 7 || 'x'
@@ -66,9 +75,9 @@ UNION ALL SELECT 'rename', d || '/' || name, d || '/' || new, 'cleaned name', si
 UNION ALL SELECT 'delete', d || '/' || name, NULL, 'smaller file of the same name', size FROM r WHERE rn > 1
 """)
 def clean_plan(spark, sf_dir):
-    names = (text("[", KEY, "] 漫画"), text("012 - Solo ", KEY, "x -"), text("Dup [", KEY, "] tale ", SIZE % 7, "x"), text("Same ", KEY, "x"), text("[", KEY, "] TEMP_deadbeef01"))
-    directory = text("lib/", F.col("p_brand"), F.when(SIZE % 2 == 0, " (y)").otherwise(" [x]"))
-    files = shelf(table(spark, sf_dir, "part"), directory, text(one_of(KEY, *names), ".cbz"), PRICE)
+    names = (text("[", part_key(), "] 漫画"), text("012 - Solo ", part_key(), "x -"), text("Dup [", part_key(), "] tale ", part_size() % 7, "x"), text("Same ", part_key(), "x"), text("[", part_key(), "] TEMP_deadbeef01"))
+    directory = text("lib/", F.col("p_brand"), F.when(part_size() % 2 == 0, " (y)").otherwise(" [x]"))
+    files = shelf(table(spark, sf_dir, "part"), directory, text(one_of(part_key(), *names), ".cbz"), price())
     none = spark.createDataFrame([], "path string, entry_name string, xml string")
     return library.clean(files, none, rules=P.RULES - {"comicinfo"}, profile="batch")
 
@@ -83,8 +92,8 @@ WITH f AS (
 SELECT CASE WHEN dest IS NULL THEN 'skip' ELSE 'move' END AS op, src, dest, CASE WHEN dest IS NULL THEN 'no destination' ELSE 'routed' END AS reason, CAST(NULL AS BIGINT) AS size FROM r
 """)
 def route_plan(spark, sf_dir):
-    title = F.when(KEY % 3 == 0, text("漫画[", KEY, "]")).otherwise(text(F.col("p_name"), " [z] ", KEY))
-    dirs = table(spark, sf_dir, "part").select(text("w/", F.col("p_type"), F.when(SIZE % 2 == 0, " (EN)").otherwise(""), "/", title).alias("dir_path"))
+    title = F.when(part_key() % 3 == 0, text("漫画[", part_key(), "]")).otherwise(text(F.col("p_name"), " [z] ", part_key()))
+    dirs = table(spark, sf_dir, "part").select(text("w/", F.col("p_type"), F.when(part_size() % 2 == 0, " (EN)").otherwise(""), "/", title).alias("dir_path"))
     rules = [routing.Rule("source", "* (en)", "english"), routing.Rule("title", "Small*", "small")]
     return library.route(dirs, "w", rules, {"english": "/english", "small": "/small"}, "nowhere")
 
@@ -100,8 +109,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY d, key, ext ORDER BY size DESC,
 WHERE CASE ext WHEN '.cbz' THEN rn > 1 ELSE has END
 """)
 def deduplicate_plan(spark, sf_dir):
-    name = text(F.col("p_name"), one_of(KEY, F.lit(" - Ch. "), F.lit(" ch."), F.lit(" CH ")), SIZE % 5, F.when(KEY % 4 == 0, ".cbr").otherwise(".cbz"))
-    return library.deduplicate(shelf(table(spark, sf_dir, "part"), text("lib/", F.col("p_brand")), name, PRICE))
+    name = text(F.col("p_name"), one_of(part_key(), F.lit(" - Ch. "), F.lit(" ch."), F.lit(" CH ")), part_size() % 5, F.when(part_key() % 4 == 0, ".cbr").otherwise(".cbz"))
+    return library.deduplicate(shelf(table(spark, sf_dir, "part"), text("lib/", F.col("p_brand")), name, price()))
 
 
 MERGE_SQL = """
@@ -111,8 +120,8 @@ MERGE_SQL = """
 
 
 def numbered_folders(spark, sf_dir) -> DataFrame:
-    name = text(F.when(KEY % 2 == 0, "Chapter ").otherwise("Own x"), KEY, ".cbz")
-    return shelf(table(spark, sf_dir, "part"), text("lib/", F.col("p_name"), " ch. ", SIZE % 8 + 1), name, PRICE)
+    name = text(F.when(part_key() % 2 == 0, "Chapter ").otherwise("Own x"), part_key(), ".cbz")
+    return shelf(table(spark, sf_dir, "part"), text("lib/", F.col("p_name"), " ch. ", part_size() % 8 + 1), name, price())
 
 
 @query(f"""
@@ -134,10 +143,10 @@ FROM part WHERE p_size % 2 = 1 AND p_partkey % 5 <> 0 AND p_partkey % 7 <> 0
 """)
 def tag_plan(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
-    directory, name = text("lib/", F.col("p_brand")), text("T", KEY, F.when(KEY % 7 == 0, " x").otherwise(text(" ch. ", SIZE)), ".cbz")
-    xml = F.when(KEY % 5 != 0, text("<ComicInfo><Number>", F.floor(SIZE / 2) * 2, "</Number></ComicInfo>"))
+    directory, name = text("lib/", F.col("p_brand")), text("T", part_key(), F.when(part_key() % 7 == 0, " x").otherwise(text(" ch. ", part_size())), ".cbz")
+    xml = F.when(part_key() % 5 != 0, text("<ComicInfo><Number>", F.floor(part_size() / 2) * 2, "</Number></ComicInfo>"))
     metadata = parts.select(text(directory, "/", name).alias("path"), F.lit("ComicInfo.xml").alias("entry_name"), xml.alias("xml"))
-    return library.tag_numbers(shelf(parts, directory, name, PRICE), metadata)
+    return library.tag_numbers(shelf(parts, directory, name, price()), metadata)
 
 
 def range_library(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -189,7 +198,7 @@ SELECT 'move' AS op, 'lib/' || p_name || s AS src, 'lib/_Check/' || p_name || s
 FROM n, (VALUES (' (Uncensored)'), ('!')) v(s) WHERE marked AND plain
 """)
 def separate_plan(spark, sf_dir):
-    name = text(F.col("p_name"), one_of(SIZE, F.lit(" (Uncensored)"), F.lit("!"), F.lit(" x")))
+    name = text(F.col("p_name"), one_of(part_size(), F.lit(" (Uncensored)"), F.lit("!"), F.lit(" x")))
     return library.separate_marked(shelf(table(spark, sf_dir, "part"), text("lib/", name), text("1.cbz"), F.lit(1)))
 
 
@@ -198,8 +207,8 @@ SELECT 'delete' AS op, 'lib/' || p_brand || '/' || p_partkey || CASE p_partkey %
 FROM part WHERE p_partkey % 4 < 2
 """)
 def leftover_plan(spark, sf_dir):
-    name = text(KEY, one_of(KEY, F.lit(".tmp.cbz"), F.lit(".bak.cbz"), F.lit(".cbz"), F.lit("tmp.cbz")))
-    return library.leftovers(shelf(table(spark, sf_dir, "part"), text("lib/", F.col("p_brand")), name, PRICE))
+    name = text(part_key(), one_of(part_key(), F.lit(".tmp.cbz"), F.lit(".bak.cbz"), F.lit(".cbz"), F.lit("tmp.cbz")))
+    return library.leftovers(shelf(table(spark, sf_dir, "part"), text("lib/", F.col("p_brand")), name, price()))
 
 
 @query("""
@@ -207,8 +216,8 @@ SELECT 'rename' AS op, 'lib/' || p_brand || '/' || p_name || ' ch. 5 ch.5 x' ||
 FROM part WHERE p_partkey % 2 = 0
 """)
 def strip_repeats_plan(spark, sf_dir):
-    name = text(F.col("p_name"), F.when(KEY % 2 == 0, " ch. 5 ch.5 x").otherwise(" ch. 5 x"), KEY, ".cbz")
-    return library.strip_repeats(shelf(table(spark, sf_dir, "part"), text("lib/", F.col("p_brand")), name, PRICE))
+    name = text(F.col("p_name"), F.when(part_key() % 2 == 0, " ch. 5 ch.5 x").otherwise(" ch. 5 x"), part_key(), ".cbz")
+    return library.strip_repeats(shelf(table(spark, sf_dir, "part"), text("lib/", F.col("p_brand")), name, price()))
 
 
 @query("SELECT DISTINCT 'rename' AS op, 'lib/' || p_brand || '/S ch. 15.cbz' AS src, 'lib/' || p_brand || '/S ch. 1-5.cbz' AS dest, 'cleaned name' AS reason, CAST(15 AS BIGINT) AS size FROM part")
@@ -224,7 +233,7 @@ LIBRARY_ROWS = "SELECT DISTINCT 'lib/' || p_brand AS series, CAST(p_size AS DOUB
 @query(GAPS_SQL.format(rows=LIBRARY_ROWS) + "SELECT regexp_extract(series, '[^/]*$') AS series, first_issue, last_issue, total_found, gap_count, missing, unnumbered, has_gaps, series AS path FROM report")
 def gap_library(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
-    files = shelf(parts, text("lib/", F.col("p_brand")), text("x ch. ", SIZE, ".cbz"), F.lit(1)).unionByName(shelf(parts.where("p_size % 3 = 0"), F.lit("lib"), text("r issue ", SIZE, ".cbz"), F.lit(1)))
+    files = shelf(parts, text("lib/", F.col("p_brand")), text("x ch. ", part_size(), ".cbz"), F.lit(1)).unionByName(shelf(parts.where("p_size % 3 = 0"), F.lit("lib"), text("r issue ", part_size(), ".cbz"), F.lit(1)))
     return library.gap_report(files, "lib")
 
 
@@ -235,25 +244,25 @@ def gap_library(spark, sf_dir):
 SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_brand || ' Chapter 0' || p_size || ' extra' WHEN 1 THEN p_brand || ' Chapter ' || p_size WHEN 2 THEN p_brand || ' Ch. ' || p_size ELSE p_brand END AS stem FROM part
 """)
 def stem_batch(spark, sf_dir):
-    stem = one_of(KEY, text("Unknown Chapter 0", SIZE, " - extra"), text("# chapter ", SIZE), text("12. ch. - ", SIZE), text("Chapter ", SIZE))
+    stem = one_of(part_key(), text("Unknown Chapter 0", part_size(), " - extra"), text("# chapter ", part_size()), text("12. ch. - ", part_size()), text("Chapter ", part_size()))
     return table(spark, sf_dir, "part").select("p_partkey", N.normal_stem(stem, F.col("p_brand"), "batch").alias("stem"))
 
 
 @query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS \"start\", CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size + 3 AS DOUBLE) ELSE p_size + 3.5 END AS \"end\" FROM part")
 def range_extract(spark, sf_dir):
-    start, end = N.number_range(text(F.col("p_name"), " Chapter ", SIZE, F.when(KEY % 2 == 0, " – ").otherwise("-"), SIZE + 3, F.when(KEY % 2 == 0, "").otherwise(".5")))
+    start, end = N.number_range(text(F.col("p_name"), " Chapter ", part_size(), F.when(part_key() % 2 == 0, " – ").otherwise("-"), part_size() + 3, F.when(part_key() % 2 == 0, "").otherwise(".5")))
     return table(spark, sf_dir, "part").select("p_partkey", start.alias("start"), end.alias("end"))
 
 
 @query("SELECT p_partkey, p_partkey % 5 <> 3 AS generic FROM part")
 def generic_stems(spark, sf_dir):
-    stem = one_of(KEY, text(" Chapter ", SIZE), text("ep. ", SIZE), text(SIZE), text(F.col("p_name"), " ", SIZE), text("Vol.", SIZE, " "))
+    stem = one_of(part_key(), text(" Chapter ", part_size()), text("ep. ", part_size()), text(part_size()), text(F.col("p_name"), " ", part_size()), text("Vol.", part_size(), " "))
     return table(spark, sf_dir, "part").select("p_partkey", N.is_generic_stem(stem).alias("generic"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN '0comicinfo.xml' ELSE '1p' || lpad(CAST(p_size AS VARCHAR), 20, '0') || '_' || lpad(CAST(p_partkey AS VARCHAR), 20, '0') || '.jpg' END AS key FROM part")
 def natural_order(spark, sf_dir):
-    name = F.when(KEY % 50 == 0, "ComicInfo.XML").otherwise(text("P", SIZE, "_", KEY, ".jpg"))
+    name = F.when(part_key() % 50 == 0, "ComicInfo.XML").otherwise(text("P", part_size(), "_", part_key(), ".jpg"))
     return table(spark, sf_dir, "part").select("p_partkey", tree.natural_key(name).alias("key"))
 
 
@@ -265,7 +274,7 @@ SELECT p_partkey, replace(replace(replace({TEMPLATE_SQL}, '<Title></Title>', '<T
        '<Number></Number>', '  <Number>' || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END || '</Number>') AS xml FROM part
 """)
 def template_documents(spark, sf_dir):
-    number, volume = F.when(KEY % 2 != 0, SIZE.cast("string")), F.when(KEY % 3 != 0, SIZE.cast("string"))
+    number, volume = F.when(part_key() % 2 != 0, part_size().cast("string")), F.when(part_key() % 3 != 0, part_size().cast("string"))
     return table(spark, sf_dir, "part").select("p_partkey", G.from_template(F.col("p_name"), F.col("p_brand"), number, volume).alias("xml"))
 
 
@@ -275,8 +284,8 @@ FROM part
 """)
 def retag_series(spark, sf_dir):
     """Series and title are cleaned and decided, the number is added; a volume stays away where the rules leave it out."""
-    xml = text("<ComicInfo>\n<Series>", F.col("p_brand"), " [scan]</Series>\n<Title>Chapter ", SIZE, "</Title>\n</ComicInfo>")
-    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", xml.alias("xml"), text(F.col("p_name"), " v2 ch. ", SIZE).alias("stem"))
+    xml = text("<ComicInfo>\n<Series>", F.col("p_brand"), " [scan]</Series>\n<Title>Chapter ", part_size(), "</Title>\n</ComicInfo>")
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", xml.alias("xml"), text(F.col("p_name"), " v2 ch. ", part_size()).alias("stem"))
     out = G.retagged(rows, "xml", "stem", "p_brand").select("p_partkey", F.col("new_xml").alias("xml"))
     return out.select("p_partkey", F.regexp_replace("xml", r"\n  <Volume>2</Volume>", "").alias("xml"))
 
@@ -287,7 +296,7 @@ r AS (SELECT p_partkey, w.name, t.name IS NOT NULL AS taken, row_number() OVER (
 SELECT p_partkey, CASE WHEN taken AND nth > 99 OR nth > 100 THEN NULL WHEN taken THEN name || ' (' || nth || ')' WHEN nth = 1 THEN name ELSE name || ' (' || (nth - 1) || ')' END AS new_name FROM r
 """)
 def free_names(spark, sf_dir):
-    wanted = table(spark, sf_dir, "part").select("p_partkey", text(F.col("p_name"), " ", SIZE % 10).alias("name"), "p_size")
+    wanted = table(spark, sf_dir, "part").select("p_partkey", text(F.col("p_name"), " ", part_size() % 10).alias("name"), "p_size")
     taken = wanted.where("p_size % 3 = 0").select("name").distinct()
     return keep.free_suffix(wanted.drop("p_size"), taken, "name", order="p_partkey").select("p_partkey", "new_name")
 
@@ -315,14 +324,14 @@ def network_paths(spark, sf_dir):
 
 @query("SELECT p_partkey, p_size % 3 <> 2 AS inside, p_size % 3 <> 2 AS overlap, true AS below FROM part")
 def inside_directories(spark, sf_dir):
-    child = one_of(SIZE, text("lib/", F.col("p_brand")), text("lib/", F.col("p_brand"), "/", F.col("p_name")), text("lib/", F.col("p_brand"), "x/", F.col("p_name")))
+    child = one_of(part_size(), text("lib/", F.col("p_brand")), text("lib/", F.col("p_brand"), "/", F.col("p_name")), text("lib/", F.col("p_brand"), "x/", F.col("p_name")))
     parent = text("lib/", F.col("p_brand"))
     return table(spark, sf_dir, "part").select("p_partkey", routing.is_inside(child, parent).alias("inside"), routing.overlap(parent, child).alias("overlap"), routing.overlap(F.lit("lib"), child).alias("below"))
 
 
 @query("SELECT p_partkey, p_size % 4 < 2 AS ranges, p_size % 4 < 3 AS dedup FROM part")
 def image_types(spark, sf_dir):
-    ext = one_of(SIZE, F.lit(".JPG"), F.lit(".tif"), F.lit(".avif"), F.lit(".txt"))
+    ext = one_of(part_size(), F.lit(".JPG"), F.lit(".tif"), F.lit(".avif"), F.lit(".txt"))
     return table(spark, sf_dir, "part").select("p_partkey", sources.is_image(ext).alias("ranges"), sources.is_image(ext, "dedup").alias("dedup"))
 
 
