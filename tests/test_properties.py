@@ -43,6 +43,22 @@ def test_the_largest_is_never_lost(spark):
     assert sorted(r.name for r in lost) == sorted({r[2] for r in rows} - {r.name for r in kept} - {r[2] for r in rows if sum(x[0] == r[0] for x in rows) == 1})
 
 
+def test_ranks_of_a_group_that_holds_most_rows(spark):
+    rng = random.Random(4)
+    rows = [(None if i % 50 == 0 else "hot" if i % 3 else f"k{i % 400}", rng.randrange(40), f"f{i:04}") for i in range(3000)]
+    want = {}
+    for key in {r[0] for r in rows}:
+        group = sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2]))
+        want.update({r[2]: (n, len(group), n == 1) for n, r in enumerate(group, 1) if len(group) > 1})
+    df = spark.createDataFrame(rows, "k string, size long, name string")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    for adaptive in ("true", "false"):  # with and without small ranges put together
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        got = keep.largest(df, ["k"], "size", "name").collect()
+        assert len(got) == len(want) and {r.name: (r["rank"], r.members, r.keep) for r in got} == want
+    spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def test_cleaning_settles(spark):
     df = spark.createDataFrame([(x,) for x in names()], "x string")
     once = df.select(N.without_repeats(N.without_repeats(F.col("x"))).alias("x"))

@@ -2,17 +2,37 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import fixed
+
+
+def largest(files: DataFrame, keys: list[str], size: str, name: str, salts: int = 16) -> DataFrame:
+    """Groups of two or more: rank 1 (the largest, then the first name) stays. Adds rank, members, keep. Null keys are a group.
 
-def largest(files: DataFrame, keys: list[str], size: str, name: str) -> DataFrame:
-    """Groups of two or more: rank 1 (the largest, then the first name) stays. Adds rank, members, keep."""
-    w = W.partitionBy(*keys)
-    ranked = files.withColumns({"members": F.count(F.lit(1)).over(w), "rank": F.row_number().over(w.orderBy(F.desc(size), name))})
-    return ranked.where("members > 1").withColumn("keep", F.col("rank") == 1)
+    Rows of groups are dealt to ranges of the whole order and numbered inside each, so that a group that holds most files is
+    ranked by many tasks. Only the group that a range begins in the middle of is shifted, by its counts in the ranges before.
+    """
+    same = lambda other: reduce(and_, (F.col(k).eqNullSafe(F.col(f"__{other}{i}")) for i, k in enumerate(keys)))
+    renamed = lambda df, to: df.withColumnsRenamed({k: f"__{to}{i}" for i, k in enumerate(keys)})
+    groups = renamed(files.groupBy(*keys).agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "g")
+    groups = groups.withColumn("__place", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = files.withColumn("__salt", F.pmod(F.xxhash64(name, size), F.lit(salts)).cast("int"))
+    rows = fixed(rows.join(groups, same("g") & (F.col("__salt") == F.col("__place"))).select(*files.columns, "members"))  # ranges are sampled from these
+    order = [F.desc(size), F.asc(name)]
+    rows = fixed(rows.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id()))
+    earlier = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    shifts = rows.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.sum("__n").over(earlier)).where("__before > 0")
+    shifts = F.broadcast(renamed(shifts.drop("__n").withColumnRenamed("__range", "__r"), "s"))  # at most one row a range
+    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy(*keys, "__range").orderBy(*order)))
+    rows = rows.join(shifts, same("s") & (F.col("__range") == F.col("__r")), "left").withColumn("rank", F.col("rank") + F.coalesce("__before", F.lit(0)))
+    return rows.select(*files.columns, "members", "rank", (F.col("rank") == 1).alias("keep"))
 
 
 def losers(files: DataFrame, keys: list[str], size: str, name: str, salts: int = 16) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import tags as G
 from ..operators import gaps, keep, match, ranges, routing, tree
-from ..session import table
+from ..session import fixed, table
 from ..streaming import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,7 +98,7 @@ WINDOW w AS (PARTITION BY k ORDER BY n_chars DESC, doc_id) QUALIFY count(*) OVER
 """)
 def dedup_keep_largest(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.sha2(N.dedup_key(F.col("text")), 256).alias("key"))
-    return keep.largest(docs, ["key"], "n_chars", "doc_id").select("doc_id", "n_chars", F.col("rank").cast("long").alias("rank"), "members", "keep")
+    return keep.largest(fixed(docs), ["key"], "n_chars", "doc_id").select("doc_id", "n_chars", F.col("rank").cast("long").alias("rank"), "members", "keep")
 
 
 @query("""
@@ -168,8 +168,8 @@ def outcome_counts(spark, sf_dir):
 
 @query("SELECT 'delete' AS op, CAST(p_partkey AS VARCHAR) AS src, CAST(NULL AS VARCHAR) AS dest, 'smaller duplicate' AS reason, CAST(p_retailprice AS BIGINT) AS size FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_retailprice DESC, p_partkey) AS k FROM (SELECT p_partkey, p_name, floor(p_retailprice) AS p_retailprice FROM part)) WHERE k > 1")
 def delete_actions(spark, sf_dir):
-    rows = keep.largest(table(spark, sf_dir, "part").withColumn("p_retailprice", F.floor("p_retailprice")), ["p_name"], "p_retailprice", "p_partkey")
-    return keep.actions(rows.where("not keep"), "delete", F.col("p_partkey"), None, "smaller duplicate", F.col("p_retailprice"))
+    rows = keep.losers(table(spark, sf_dir, "part").withColumn("p_retailprice", F.floor("p_retailprice")), ["p_name"], "p_retailprice", "p_partkey")
+    return keep.actions(rows, "delete", F.col("p_partkey"), None, "smaller duplicate", F.col("p_retailprice"))
 
 
 @query("""
