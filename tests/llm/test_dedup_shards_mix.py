@@ -18,7 +18,8 @@ DATA = "/root/testdata/sf0.001"
 def test_queries_equal_their_sql(spark, tmp_path, name):
     catalog.queries()[name](spark, DATA).write.parquet(str(tmp_path / "out"))
     c = duckdb.connect()
-    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     sql, got = f"({catalog.oracle_sql()[name]})", f"'{tmp_path}/out/*.parquet'"
     cols = ", ".join(f'"{x[0]}"' for x in sorted(c.sql(f"DESCRIBE SELECT * FROM {sql}").fetchall()))
     for a, b in ((sql, got), (got, sql)):
