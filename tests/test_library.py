@@ -8,6 +8,7 @@ from tidyshelf.operators.routing import Rule
 from tidyshelf.plans import library
 from tidyshelf.sources import apply, files as sources
 from tidyshelf.sources.files import described
+from tidyshelf.sources.stores import Stores
 
 
 def shelf(spark, *rows):
@@ -249,5 +250,5 @@ def test_damaged_archives_are_rows(spark, tmp_path):
 
 def test_a_file_is_never_put_over_itself(tmp_path):
     (tmp_path / "a").write_text("x")
-    apply.put(str(tmp_path / "a"), str(tmp_path / "a"))
+    apply.put(Stores(), str(tmp_path / "a"), str(tmp_path / "a"))
     assert (tmp_path / "a").read_text() == "x"

@@ -128,7 +128,8 @@ def test_archives(spark, tmp_path):
     assert listed.where("not ok").count() == 1
     xml = {r.path.rpartition("/")[2]: r.xml for r in files.metadata(spark, root).collect()}
     assert "�" in xml["a%20ch.%201.cbz" if "a%20ch.%201.cbz" in xml else "a ch. 1.cbz"] and xml["bad.cbz"] is None
-    apply.rewrite(str(tmp_path / "S/a ch. 1.cbz"), "COMICINFO.xml", "<new/>")
+    rewriting = spark.createDataFrame([("rewrite", str(tmp_path / "S/a ch. 1.cbz"), "COMICINFO.xml", "<new/>", 1)], "op string, src string, dest string, reason string, size long")
+    assert [r.outcome for r in apply.carried_out(rewriting).collect()] == ["done"]
     with zipfile.ZipFile(tmp_path / "S/a ch. 1.cbz") as z:
         assert z.read("COMICINFO.xml") == b"<new/>" and z.namelist()[:2] == ["2.png", "1.jpg"]
     plan = keep.actions(spark.createDataFrame([(str(tmp_path / "S/bad.cbz"),)], "p string"), "delete", F.col("p"), None, "bad")

@@ -34,7 +34,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from . import jobs  # noqa: F401  adds its own
+    from . import jobs, store_jobs  # noqa: F401  add their own
 
     return QUERIES
 

@@ -17,6 +17,7 @@ def local_session(cpus: int | None = None, partitions: int | None = None, memory
         .config("spark.sql.shuffle.partitions", str(partitions or n))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.python.filterPushdown.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

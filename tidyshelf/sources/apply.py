@@ -1,54 +1,80 @@
-"""The sink that carries out planned actions on files that every worker can reach. Plans never touch files themselves.
-
-Paths may be plain or ``file:`` URIs. A task that is run again finds what it has done already and goes on: archives are
-swapped in one step, and renames go by way of a name that only their own row uses, so chains (a to b, b to c) and swaps
-are safe in any order.
+"""The sink that carries out planned actions: a data source writer that stages in tasks and swaps when all tasks are done.
+
+Tasks do what costs: they read archives and write new ones beside their targets, under names that only their attempt uses
+(``*.tmp.cbz``, which the plan for leftovers removes). Nothing of the library changes until the commit, which takes the tasks'
+lists in order of kinds: new archives in, deletions, files aside and into place (so chains and swaps are safe), packed folders
+away, directories from the deepest up. A task that is lost or fails leaves the library as it was. A commit that is cut off can
+be followed by the same plan again: what is done already is found to be done.
+
+Plans may be of millions of rows: lists are files in the report folder, read line by line, and each row's outcome is written
+there: ``done``, ``already`` (an earlier run did it), ``kept`` (a file as large was there, so only the source went), ``absent``
+(neither source nor result is there), ``skipped`` or ``failed`` with the reason. Any store that pyarrow reaches will do; a path in another
+raises before anything is changed.
 """
 
 from __future__ import annotations
 
 import hashlib
-import logging
-import os
+import json
 import re
-import shutil
+import uuid
 import zipfile
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from ..functions import patterns as P
-from ..session import fixed
-from .files import BAD_ARCHIVE
+from ..session import fixed, shared_folder
+from .archives import BAD_ARCHIVE, DOCUMENT
+from .stores import Stores, Unreachable
 
-DOCUMENT = "comicinfo.xml"
 ARCHIVE_ENTRY = re.compile(r"(?is)^(.*?\.cbz)!(.*)$")
+PLAN = "op string, src string, dest string, reason string, size long, pages array<struct<archive: string, entry: string, name: string>>"
+OUTCOME = "op string, src string, dest string, outcome string, why string"
+OPS = ("rename", "move", "merge_dir", "delete", "rewrite", "pack", "skip", "rebuild")
+THREADS = 16
+
+
+# ---- what tasks write
 
 
-def local(path: str) -> str:
-    return re.sub(r"^file:/+", "/", path)
+def side_of(path: str, attempt: str) -> str:
+    return re.sub(r"(?i)\.cbz$", "", path) + f".{attempt}.tmp.cbz"
 
 
-def swapped_in(path: str, fill: Callable[[zipfile.ZipFile], None], how: int = zipfile.ZIP_STORED) -> None:
-    """A new archive in one step; what an interrupted attempt left is written over."""
-    side = path.removesuffix(".cbz") + ".tmp.cbz"
-    with zipfile.ZipFile(side, "w", how) as new:
-        fill(new)
-    os.replace(side, path)
+def written(stores: Stores, side: str, fill: Callable[[zipfile.ZipFile], None]) -> None:
+    """A new archive under a name of its own; gone again if it cannot be finished."""
+    store, at = stores.at(side)
+    store.create_dir(at.rpartition("/")[0] or "/", recursive=True)
+    try:
+        with store.open_output_stream(at) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as new:
+            fill(new)
+    except BaseException:
+        if stores.is_file(side):
+            stores.remove(side)
+        raise
 
 
-def rewrite(path: str, entry: str | None, xml: str) -> None:
+def copied(stores: Stores, path: str, new: zipfile.ZipFile, keep: Callable[[str], bool]) -> None:
+    with stores.open(path) as f, zipfile.ZipFile(f) as old:
+        for info in old.infolist():
+            if keep(info.filename):
+                new.writestr(info, old.read(info), compress_type=info.compress_type)
+
+
+def rewritten(stores: Stores, path: str, entry: str | None, xml: str, side: str) -> None:
     """One entry replaced (or added); the others keep their bytes and compression."""
 
     def fill(new: zipfile.ZipFile) -> None:
-        with zipfile.ZipFile(path) as old:
-            for info in old.infolist():
-                if info.filename != entry:
-                    new.writestr(info, old.read(info), compress_type=info.compress_type)
+        copied(stores, path, new, lambda name: name != entry)
         new.writestr(entry or "ComicInfo.xml", xml, compress_type=zipfile.ZIP_DEFLATED)
 
-    swapped_in(path, fill)
+    written(stores, side, fill)
 
 
 def in_page_order(name: str) -> tuple:
@@ -56,131 +82,276 @@ def in_page_order(name: str) -> tuple:
     return name.lower() != DOCUMENT, [(0, int(x), "") if x.isdigit() else (1, 0, x.lower()) for x in re.split(r"(\d+)", name)]
 
 
-def pack(folder: str, target: str) -> None:
-    """A folder's files as an archive without compression, the folder then removed; an archive that is there already stays."""
-    if os.path.isdir(folder) and not os.path.exists(target):
-        names = sorted(os.listdir(folder), key=in_page_order)
-        swapped_in(target, lambda new: [new.write(os.path.join(folder, n), n) for n in names])
-        shutil.rmtree(folder)
+def packed(stores: Stores, folder: str, side: str) -> None:
+    """A folder's files as an archive without compression."""
+    found = sorted((p for p, _, _ in stores.files(folder, recursive=False)), key=lambda p: in_page_order(p.rpartition("/")[2]))
+
+    def fill(new: zipfile.ZipFile) -> None:
+        for path in found:
+            with stores.open(path) as f:
+                new.writestr(path.rpartition("/")[2], f.read())
+
+    written(stores, side, fill)
 
 
 def is_page(name: str) -> bool:
-    return os.path.splitext(name)[1].lower() in P.IMAGE_EXTENSIONS["ranges"]
+    return ("." + name.rpartition(".")[2]).lower() in P.IMAGE_EXTENSIONS["ranges"]
 
 
-def rebuild(path: str, pages: list[tuple[str, str, str]]) -> None:
-    """A range archive from its plan: its other entries first, then (archive, entry, new name) in order."""
-    with zipfile.ZipFile(path) as old:
+def rebuilt(stores: Stores, path: str, pages: list, side: str) -> bool:
+    """A range archive from its plan: its other entries first, then its pages in order. False where an earlier run did it."""
+    with stores.open(path) as f, zipfile.ZipFile(f) as old:
         mine = set(old.namelist())
-    lost = any(a == path and e not in mine for a, e, _ in pages)
-    if lost and {n for n in mine if is_page(n)} == {n for _, _, n in pages}:
-        return  # done by an earlier attempt
+    lost = any(p.archive == path and p.entry not in mine for p in pages)
+    if lost and {n for n in mine if is_page(n)} == {p.name for p in pages}:
+        return False
 
     def fill(new: zipfile.ZipFile) -> None:
-        with zipfile.ZipFile(path) as old:
-            for info in old.infolist():
-                if not is_page(info.filename):
-                    new.writestr(info, old.read(info), compress_type=info.compress_type)
-        for archive, entry, name in pages:
-            with zipfile.ZipFile(archive) as z:
-                new.writestr(name, z.read(entry), compress_type=z.getinfo(entry).compress_type)
-
-    swapped_in(path, fill)
-
-
-def put(src: str, dest: str) -> None:
+        copied(stores, path, new, lambda name: not is_page(name))
+        for p in pages:
+            with stores.open(p.archive) as f, zipfile.ZipFile(f) as z:
+                new.writestr(p.name, z.read(p.entry), compress_type=z.getinfo(p.entry).compress_type)
+
+    written(stores, side, fill)
+    return True
+
+
+def staged(stores: Stores, row: Row, attempt: str) -> dict:
+    """The row's line for the commit; the work on bytes is done here."""
+    line = {"op": row.op, "src": row.src, "dest": row.dest, "side": None, "outcome": None, "why": None}
+    for path in (row.src, row.dest if row.op in ("rename", "move", "merge_dir", "pack") else None):
+        if path is not None and row.op != "skip":
+            stores.at(path)  # raises where it is out of reach
+    try:
+        if row.op == "rewrite" and row.dest is None:
+            line |= {"outcome": "skipped", "why": "its page plan does it"}
+        elif row.op in ("rewrite", "rebuild"):
+            side = side_of(row.src, attempt)
+            fresh = rebuilt(stores, row.src, row.pages, side) if row.op == "rebuild" else rewritten(stores, row.src, row.dest, row.reason, side)
+            line |= {"outcome": "already"} if fresh is False else {"side": side}
+        elif row.op == "pack" and stores.is_dir(row.src) and not stores.exists(row.dest):
+            line["side"] = side_of(row.dest, attempt)
+            packed(stores, row.src, line["side"])
+        elif row.op == "pack":
+            line["outcome"] = "already" if stores.exists(row.dest) else "absent"
+        elif row.op == "skip":
+            line["outcome"] = "skipped"
+    except Unreachable:
+        raise
+    except (KeyError, *BAD_ARCHIVE) as e:
+        line |= {"side": None, "outcome": "failed", "why": f"{type(e).__name__}: {e}"}
+    return line
+
+
+# ---- what the commit does
+
+
+def put(stores: Stores, src: str, dest: str) -> str:
     """src as dest; a file that is there gives way only to a strictly larger one, and never to itself."""
-    if os.path.exists(dest) and os.path.samefile(src, dest):
-        return
-    if os.path.exists(dest) and os.path.getsize(src) <= os.path.getsize(dest):
-        os.remove(src)
-    else:
-        os.makedirs(os.path.dirname(dest), exist_ok=True)
-        shutil.move(src, dest)
-
-
-def merge(src: str, dest: str) -> None:
-    """A directory under its new name, or into the one that has it, file by file."""
-    if not os.path.isdir(src):
-        return
-    if not os.path.exists(dest):
-        os.makedirs(os.path.dirname(dest), exist_ok=True)
-        shutil.move(src, dest)
-        return
-    for at, _, names in os.walk(src):
-        for n in names:
-            put(os.path.join(at, n), os.path.join(dest, os.path.relpath(at, src), n))
-    shutil.rmtree(src)
+    if src == dest:
+        return "already"
+    there = stores.info(dest)
+    if there.is_file and stores.info(src).size <= there.size:
+        stores.remove(src)
+        return "kept"
+    stores.move(src, dest)
+    return "done"
 
 
 def waiting(src: str, dest: str) -> str:
     return f"{dest}.{hashlib.md5(src.encode()).hexdigest()[:12]}.moving"
 
 
-def set_aside(row: Row) -> None:
-    src, dest = local(row.src), local(row.dest)
-    if os.path.isfile(src):
-        os.makedirs(os.path.dirname(dest), exist_ok=True)
-        shutil.move(src, waiting(src, dest))
+def swap_in(stores: Stores, x: dict) -> str:
+    stores.move(x["side"], x["src"])
+    return "done"
 
 
-def put_in_place(row: Row) -> None:
-    src, dest = local(row.src), local(row.dest)
-    if os.path.isfile(aside := waiting(src, dest)):
-        put(aside, dest)
+def delete(stores: Stores, x: dict) -> str:
+    if not stores.is_file(x["src"]):
+        return "already"
+    stores.remove(x["src"])
+    return "done"
 
 
-def delete(row: Row) -> None:
-    if os.path.isfile(local(row.src)):
-        os.remove(local(row.src))
+def set_aside(stores: Stores, x: dict) -> None:
+    if stores.is_file(x["src"]) and x["src"] != x["dest"]:
+        stores.move(x["src"], waiting(x["src"], x["dest"]))
 
 
-def each(rows: DataFrame, work: Callable[[Row], None]) -> int:
-    """work on every row, in parallel; a row that fails is logged and passed over. The number of failures."""
-    failed = rows.sparkSession.sparkContext.accumulator(0)
+def put_in_place(stores: Stores, x: dict) -> str:
+    if stores.is_file(aside := waiting(x["src"], x["dest"])):
+        return put(stores, aside, x["dest"])
+    if stores.is_dir(x["src"]):
+        return merge(stores, x)
+    return "already" if stores.exists(x["dest"]) else "absent"
 
-    def run(part: Iterable[Row]) -> None:
-        for row in part:
-            try:
-                work(row)
-            except (KeyError, *BAD_ARCHIVE) as e:
-                logging.getLogger(__name__).error("%s: %s", row[0], e)
-                failed.add(1)
 
-    rows.foreachPartition(run)
-    return failed.value
+def finish_pack(stores: Stores, x: dict) -> str:
+    stores.move(x["side"], x["dest"])
+    stores.remove_dir(x["src"])
+    return "done"
 
 
-def apply_pages(plan: DataFrame) -> int:
-    """Rebuild the range archives of a page plan of which some page is better elsewhere; before the actions of that plan."""
-    page = F.struct("pos", "winner_entry", "new_name")
-    archives = plan.groupBy("group").agg(F.sort_array(F.collect_list(page)).alias("pages"), F.bool_or("upgraded").alias("any")).where("any")
+def merge(stores: Stores, x: dict) -> str:
+    """A directory under its new name, or into the one that has it, file by file."""
+    src, dest = x["src"], x["dest"]
+    if not stores.is_dir(src) or src == dest:
+        return "already" if stores.exists(dest) else "absent"
+    if not stores.exists(dest):
+        stores.move(src, dest)
+        return "done"
+    for path, _, _ in list(stores.files(src)):
+        put(stores, path, dest + path.removeprefix(src))
+    stores.remove_dir(src)
+    return "done"
+
+
+@dataclass
+class Listed(WriterCommitMessage):
+    """Where a task's lines are."""
+
+    path: str
+
+
+class ActionWriter(DataSourceWriter):
+    def __init__(self, options: dict[str, str]):
+        self.folder = options["path"]
+
+    def write(self, iterator: Iterator[Row]) -> Listed:
+        stores, attempt = Stores(), uuid.uuid4().hex[:12]
+        lines = f"{self.folder}/lists/{attempt}.jsonl"
+        store, at = stores.at(lines)
+        store.create_dir(at.rpartition("/")[0], recursive=True)
+        sides: list[str] = []
+        try:
+            with store.open_output_stream(at) as out:
+                for row in iterator:
+                    line = staged(stores, row, attempt)
+                    if line["side"]:
+                        sides.append(line["side"])
+                    out.write((json.dumps(line) + "\n").encode())
+        except BaseException:
+            for side in sides:
+                if stores.is_file(side):
+                    stores.remove(side)
+            raise
+        return Listed(lines)
+
+    def lines(self, stores: Stores, messages: list) -> Iterator[dict]:
+        for m in filter(None, messages):
+            with stores.open(m.path) as f:
+                held = b""
+                while chunk := f.read(1 << 20):
+                    *whole, held = (held + chunk).split(b"\n")
+                    yield from map(json.loads, filter(None, whole))
+
+    def commit(self, messages: list) -> None:
+        stores = Stores()
+        _, at = stores.at(f"{self.folder}/outcomes/part-{uuid.uuid4().hex}.jsonl")
+        store = stores.at(self.folder)[0]
+        store.create_dir(at.rpartition("/")[0], recursive=True)
+        with store.open_output_stream(at) as out, ThreadPoolExecutor(THREADS) as pool:
+
+            def tell(x: dict, outcome: str, why: str | None = None) -> None:
+                out.write((json.dumps({"op": x["op"], "src": x["src"], "dest": x["dest"], "outcome": outcome, "why": why}) + "\n").encode())
+
+            def tried(work: Callable, share: list[dict]) -> list[tuple[dict, str | None, str | None]]:
+                done = []
+                for x in share:
+                    try:
+                        done.append((x, work(stores, x), None))
+                    except OSError as e:
+                        done.append((x, "failed", f"{type(e).__name__}: {e}"))
+                return done
+
+            def each(wanted: Iterable[dict], work: Callable, silent: bool = False) -> None:
+                """work on every line, those of one destination one after another; a bounded number of lines at a time."""
+
+                def run(held: list[dict]) -> None:
+                    shares: list[list[dict]] = [[] for _ in range(THREADS)]
+                    for x in held:
+                        shares[hash(x["dest"] or x["src"]) % THREADS].append(x)
+                    for done in pool.map(lambda s: tried(work, s), shares):
+                        for x, outcome, why in done:
+                            if not silent or outcome == "failed":
+                                tell(x, outcome, why)
+
+                held: list[dict] = []
+                for x in wanted:
+                    held.append(x)
+                    if len(held) >= 20_000:
+                        run(held)
+                        held = []
+                run(held)
+
+            open_ = lambda *ops: (x for x in self.lines(stores, messages) if x["op"] in ops and x["outcome"] is None)
+            for x in self.lines(stores, messages):
+                if x["outcome"]:
+                    tell(x, x["outcome"], x["why"])
+            each(open_("rewrite", "rebuild"), swap_in)
+            each(open_("delete"), delete)
+            each(open_("rename", "move"), set_aside, silent=True)
+            depth = lambda x: x["src"].count("/")
+            files = lambda x: stores.is_file(waiting(x["src"], x["dest"])) or not stores.is_dir(x["src"])
+            each((x for x in open_("rename", "move") if files(x)), put_in_place)
+            each(open_("pack"), finish_pack)
+            for n in sorted({depth(x) for x in open_("rename", "move", "merge_dir")}, reverse=True):  # as many as the tree is deep
+                each((x for x in open_("rename", "move") if depth(x) == n and stores.is_dir(x["src"])), merge)
+                each((x for x in open_("merge_dir") if depth(x) == n), merge)
+
+    def abort(self, messages: list) -> None:
+        """Nothing has been swapped; what finished tasks have written goes."""
+        stores = Stores()
+        for x in self.lines(stores, messages):
+            if x["side"] and stores.is_file(x["side"]):
+                stores.remove(x["side"])
+
+
+class LibraryActions(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "library_actions"
+
+    def schema(self) -> str:
+        return PLAN
+
+    def writer(self, schema: StructType, overwrite: bool) -> ActionWriter:
+        return ActionWriter(self.options)
+
+
+def carried_out(plan: DataFrame, report: str | None = None) -> DataFrame:
+    """Carry out a plan of actions; (op, src, dest, outcome, why) of each. report: a new folder for lists and outcomes."""
+    spark: SparkSession = plan.sparkSession
+    report = report or f"{shared_folder(spark)}/actions-{uuid.uuid4().hex}"
+    plan = fixed(plan)  # carrying it out changes what it was made from
+    if odd := plan.where(~F.col("op").isin(*OPS)).limit(1).collect():
+        raise ValueError(f"no such action: {odd[0].op}")
+    if "pages" not in plan.columns:
+        plan = plan.withColumn("pages", F.lit(None).cast("array<struct<archive: string, entry: string, name: string>>"))
+    spark.dataSource.register(LibraryActions)
+    plan.select("op", "src", "dest", "reason", F.col("size").cast("long").alias("size"), "pages").write.format("library_actions").mode("append").save(report)
+    return spark.read.schema(OUTCOME).json(f"{report}/outcomes")
 
-    def work(row: Row) -> None:
-        found = [(*ARCHIVE_ENTRY.match(p.winner_entry).groups(), p.new_name) for p in row.pages]
-        rebuild(local(row.group), [(local(a), e, n) for a, e, n in found])
 
-    return each(archives, work)
+def failures(outcomes: DataFrame) -> int:
+    return outcomes.where("outcome in ('failed', 'absent')").count()
 
 
 def apply(actions: DataFrame) -> int:
-    """Carry out a plan; the number of actions that failed.
+    """Carry out a plan; the number of actions that failed."""
+    return failures(carried_out(actions))
 
-    Documents first, as all paths are those the plan was made for; then deletions, files, packed folders, and directories
-    from the deepest up. Rows for one destination follow each other in one task.
-    """
-    actions = fixed(actions)  # carrying it out changes what it was made from
-    if odd := actions.where(~F.col("op").isin("rename", "move", "merge_dir", "delete", "rewrite", "pack", "skip")).limit(1).collect():
-        raise ValueError(f"no such action: {odd[0].op}")
-    of = lambda *ops: actions.where(F.col("op").isin(*ops))
-    by_dest = of("rename", "move", "merge_dir").repartition("dest")
-    failed = each(of("rewrite").where("dest is not null"), lambda r: rewrite(local(r.src), r.dest, r.reason))
-    failed += each(of("delete"), delete)
-    failed += each(by_dest.where("op <> 'merge_dir'"), set_aside) + each(by_dest.where("op <> 'merge_dir'"), put_in_place)
-    failed += each(of("pack"), lambda r: pack(local(r.src), local(r.dest)))
-    depth = F.size(F.split("src", "/"))
-    depths = by_dest.select(depth.alias("depth")).distinct().orderBy(F.desc("depth"))
-    for (n,) in depths.collect():  # as many as the tree is deep
-        level = by_dest.where(depth == n).sortWithinPartitions("dest", F.col("op") == "merge_dir", "src")
-        failed += each(level, lambda r: merge(local(r.src), local(r.dest)))
-    return failed
+
+def page_actions(plan: DataFrame) -> DataFrame:
+    """A page plan as actions: one a range archive of which some page is better elsewhere."""
+    at = lambda k: F.regexp_extract("winner_entry", ARCHIVE_ENTRY.pattern, k)
+    page = F.struct("pos", F.struct(at(1).alias("archive"), at(2).alias("entry"), F.col("new_name").alias("name")).alias("page"))
+    found = plan.groupBy("group").agg(F.sort_array(F.collect_list(page)).alias("p"), F.bool_or("upgraded").alias("any")).where("any")
+    none = F.lit(None).cast("string")
+    return found.select(F.lit("rebuild").alias("op"), F.col("group").alias("src"), none.alias("dest"), none.alias("reason"), F.lit(None).cast("long").alias("size"), F.col("p.page").alias("pages"))
+
+
+def apply_pages(plan: DataFrame) -> int:
+    """Rebuild the range archives of a page plan; before the actions of that plan. The number that failed."""
+    return failures(carried_out(page_actions(plan)))

@@ -1,16 +1,10 @@
-"""Libraries as tables: files, archive entries, routing rules, progress logs."""
+"""Libraries as tables: files, routing rules, progress logs. Archives and their documents: ``archives``; changes: ``events``."""
 
 from __future__ import annotations
 
 import json
-import re
-import zipfile
-import zlib
-from collections.abc import Callable, Iterator
 from datetime import datetime
 
-import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,11 +12,12 @@ from pyspark.sql import types as T
 from ..functions import names as N
 from ..functions import patterns as P
 from ..operators.routing import Rule
+from .archives import entries, metadata  # noqa: F401  sources of the library like the others
 
-FILE_KIND = "(?i)\\.cbz$"
+ARCHIVES = "*.[cC][bB][zZ]"
 
 
-def scan(spark: SparkSession, root: str, glob: str = "*.cbz", recursive: bool = True) -> DataFrame:
+def scan(spark: SparkSession, root: str, glob: str = ARCHIVES, recursive: bool = True) -> DataFrame:
     """(path, dir_path, dir_name, parent_path, name, stem, ext, size, mtime); content is never read."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower())
     return described(reader.load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime")))
@@ -51,89 +46,11 @@ def stale(name: Column) -> Column:
     return name.endswith(".tmp.cbz") | name.endswith(".bak.cbz")
 
 
-#: What a damaged, truncated, encrypted or oddly packed archive raises.
-BAD_ARCHIVE = (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError, zlib.error, EOFError, ValueError, UnicodeDecodeError)
-
-
-def range_opener() -> Callable[[str], pa.NativeFile]:
-    """Opens a path as Spark lists it for reads of ranges; a store is looked up once."""
-    stores: dict = {}
-
-    def opened(path: str) -> pa.NativeFile:
-        at = re.match(r"^(?:([a-zA-Z][a-zA-Z0-9+.-]*):(//[^/]*)?)?(/.*)$", path)
-        scheme, place, rest = at[1] or "file", at[2] or "", at[3]
-        if (scheme, place) not in stores:
-            stores[scheme, place] = (pafs.LocalFileSystem(), "") if scheme == "file" else pafs.FileSystem.from_uri(f"{scheme}:{place}/")
-        store, root = stores[scheme, place]
-        return store.open_input_file(root.rstrip("/") + rest)
-
-    return opened
-
-
-def archives(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.cbz").option("recursiveFileLookup", str(recursive).lower())
-    return reader.load(root).select("path")
-
-
-def entries(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """(path, entry, ext, size, compress_type, ord, ok): what archives list; only their directories are read, by ranges.
-
-    An archive that cannot be opened gives one row with ok false.
-    """
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened = range_opener()
-        for b in batches:
-            for path in b.column(0).to_pylist():
-                try:
-                    with opened(path) as f, zipfile.ZipFile(f) as z:
-                        infos = z.infolist()
-                    rows = [(path, i.filename, i.file_size, i.compress_type, n, True) for n, i in enumerate(infos)]
-                except BAD_ARCHIVE:
-                    rows = [(path, None, None, None, None, False)]
-                if rows:
-                    columns = list(zip(*rows, strict=True))
-                    kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "entry", "size", "compress_type", "ord", "ok"])
-
-    found = archives(spark, root, recursive).mapInArrow(listed, "path string, entry string, size long, compress_type int, ord int, ok boolean")
-    return found.withColumn("ext", F.lower(N.suffix(F.substring_index("entry", "/", -1))))
-
-
 def pages(listed: DataFrame) -> DataFrame:
     """Image entries with their place in entry order."""
     return listed.where(is_image(F.col("ext"))).select("path", "entry", "ext", "size", "compress_type")
 
 
-def metadata(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """(path, entry_name, xml, ok): each archive's document, whatever the case of its name; null without one.
-
-    The first such name in archive order counts; of names that differ only in case the last. Bad bytes are replaced. Only an
-    archive's directory and its document are read. ok is false where the archive or its document cannot be.
-    """
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened = range_opener()
-        for b in batches:
-            names, texts, fine = [], [], []
-            for path in b.column(0).to_pylist():
-                name, xml, ok = None, None, True
-                try:
-                    with opened(path) as f, zipfile.ZipFile(f) as z:
-                        real = {n.lower(): n for n in z.namelist()}
-                        key = next((k for k in real if k.rpartition("/")[2] == "comicinfo.xml"), None)
-                        if key:
-                            name, xml = real[key], z.read(real[key]).decode("utf-8", errors="replace")
-                except BAD_ARCHIVE:
-                    name, xml, ok = None, None, False
-                names.append(name)
-                texts.append(xml)
-                fine.append(ok)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(texts, pa.string()), pa.array(fine)], names=["path", "entry_name", "xml", "ok"])
-
-    return archives(spark, root, recursive).mapInArrow(read, "path string, entry_name string, xml string, ok boolean")
-
-
 def routing(path: str) -> tuple[list[Rule], dict[str, str], str]:
     """(rules, destinations, default) from a JSON file; entries without a pattern are remarks."""
     with open(path, encoding="utf-8") as f:
@@ -173,7 +90,7 @@ def arrivals(spark: SparkSession, root: str, per_batch: int = 10_000) -> DataFra
     A file's time stands for its directory's, which Spark's readers do not tell. at_root: dropped beside the
     directories instead of into one; such files are processed all the same.
     """
-    reader = spark.readStream.format("binaryFile").schema(ARRIVAL).option("pathGlobFilter", "*.cbz").option("recursiveFileLookup", "true")
+    reader = spark.readStream.format("binaryFile").schema(ARRIVAL).option("pathGlobFilter", ARCHIVES).option("recursiveFileLookup", "true")
     found = reader.option("maxFilesPerTrigger", per_batch).load(root)
     time = F.col("modificationTime")
     plain = root.rstrip("/").split(":", 1)[-1].lstrip("/")
