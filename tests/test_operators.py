@@ -176,3 +176,49 @@ def test_empty_tables(spark):
     assert gaps.report(empty, "s", F.col("n"), "name").count() == 0 and ranges.suspects(empty, "s", "n").count() == 0
     assert match.matches(empty, "s", "name").count() == 0 and tree.series_dirs(empty, "s").count() == 0
     assert empty.select(N.sanitize(F.col("name"))).count() == 0
+
+
+def test_ranges_of_any_length(spark):
+    """Against listing every number; halves, hot series, and a range that no list could hold."""
+    import random
+
+    rng = random.Random(11)
+    spans, singles = [], []
+    for k in range(60):
+        s = "hot" if k % 3 else f"s{k % 5}"
+        start = rng.choice((0.0, 1.0, 2.5, 7.0, 100.0))
+        spans.append((s, f"r{k}", start, start + rng.choice((0, 1, 3, 8, 31, 64, 0.5))))
+    spans.append(("hot", "back", 5.0, 3.0))
+    for s in ("hot", "s0", "s3"):
+        singles += [(s, float(n), f"p{n}") for n in range(0, 140) if rng.random() < 0.9] + [(s, n + 0.5, f"h{n}") for n in range(30)] + [(s, 3.0, "p3b"), (s, 1.25, "odd")]
+    a = spark.createDataFrame(spans, "series string, id string, start double, end double")
+    b = spark.createDataFrame(singles, "series string, number double, path string")
+    has = {}
+    for s, n, p in singles:
+        has[s, n] = max(p, has.get((s, n), ""))
+    want = {}
+    for s, i, x, y in spans:
+        numbers = [round(x + k, 1) for k in range(int(y - x + 0.001) + 1)] if y >= x else []
+        found = [n for n in numbers if (s, n) in has]
+        if found:
+            want[s, i] = (found, [n for n in numbers if (s, n) not in has])
+    got = {(r.series, r.id): (r.found, r.missing) for r in ranges.overlap(a, b, "series").collect()}
+    assert got == want
+    rows = ranges.members(a, b, "series")
+    assert {(r.series, r.id) for r in ranges.whole(rows, "series").collect()} == {k for k, (_, m) in want.items() if not m}
+    assert all(r.path == has[r.series, r.number] for r in rows.collect())
+    huge = spark.createDataFrame([("s0", "h", 1.0, 9999999999.0), ("s0", "far", 1e300, 2e300), ("s0", "none", 5e5, 6e5)], a.schema)
+    few = spark.createDataFrame([("s0", 3.0, "x"), ("s0", 4.0, "y"), ("s0", 9.0, "z")], b.schema)
+    [r] = ranges.overlap(huge, few, "series").collect()
+    assert (r.found, r.missing, [(x["from"], x["to"]) for x in r.runs]) == ([3.0, 4.0, 9.0], None, [(1.0, 2.0), (5.0, 8.0), (10.0, 9999999999.0)])
+
+
+def test_a_huge_range_does_not_end_a_plan(spark):
+    from tidyshelf.plans import library
+
+    rows = [("l/S/S ch. 1-9999999999.cbz", 1), ("l/S/S ch. 1-2.cbz", 1), ("l/S/S ch. 1.cbz", 1), ("l/S/S ch. 2.cbz", 1)]
+    found = files.described(spark.createDataFrame(rows, "path string, size long"))
+    entries = spark.createDataFrame([("l/S/S ch. 1-2.cbz", "a.jpg", ".jpg", 1), ("l/S/S ch. 1-2.cbz", "b.jpg", ".jpg", 1), ("l/S/S ch. 1.cbz", "a.jpg", ".jpg", 2), ("l/S/S ch. 2.cbz", "a.jpg", ".jpg", 1)], "path string, entry string, ext string, size long")
+    plan, actions = library.resolve_ranges(found, entries)
+    assert plan.count() == 2 and sorted(r.op for r in actions.collect()) == ["move", "move", "rewrite"]
+    assert [(r.id, r.missing) for r in library.incomplete_ranges(found).collect()] == [("l/S/S ch. 1-9999999999.cbz", "3-9999999999")]

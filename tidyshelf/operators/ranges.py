@@ -1,31 +1,111 @@
-"""Archives that hold a range of chapters: overlap with single ones, pages, and numbers that look like ranges."""
+"""Archives that hold a range of chapters: overlap with single ones, pages, and numbers that look like ranges.
+
+A range is never listed to find which of its numbers exist: it is cut into aligned intervals whose lengths are powers of two,
+at most two of a length, and a single number falls into one interval of each length. So a range of ten thousand million
+numbers costs some sixty keys, and what an equi-join on those keys returns are the numbers that do exist. Their count
+against the range's own decides whether it is whole; runs that are missing follow from neighbours in the series.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 
+#: Numbers of a range that may be listed one by one where a list is asked for.
+LISTED = 100_000
+
+
+def steps_of(start: Column, end: Column) -> Column:
+    """How many steps of 1 a range has; null where a long does not hold it."""
+    return F.floor(end - start + 0.001).try_cast("long")
+
+
+def expanded(ranges: DataFrame, start: str = "start", end: str = "end", block: int = 10_000) -> DataFrame:
+    """One row a number of the range, in steps of 1, rounded to one decimal; made in blocks, so that none is a long array."""
+    ok = ranges.withColumn("__steps", steps_of(F.col(start), F.col(end))).where(F.col(start).isNotNull() & (F.col("__steps") >= 0))
+    ok = ok.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__steps"), F.lit(block).cast("long"))))
+    ok = ok.withColumn("__step", F.explode(F.sequence(F.col("__block"), F.least(F.col("__steps"), F.col("__block") + (block - 1)))))
+    return ok.withColumn("number", F.round(F.col(start) + F.col("__step"), 1)).drop("__step", "__block", "__steps")
+
+
+def tenths(number: Column) -> Column:
+    """The number at one decimal, as a whole number of tenths."""
+    return F.round(F.round(number, 1) * 10).try_cast("long")
+
+
+def intervals(first: Column, last: Column) -> Column:
+    """The aligned intervals that make up the whole numbers from first to last: an array of (level, place), 2**level long."""
+    none = F.array().cast("array<struct<level:int,place:bigint>>")
+    start = F.struct(first.alias("lo"), (last + 1).alias("hi"), none.alias("out"))
+
+    def up(s: Column, level: Column) -> Column:
+        lo, hi, out = s["lo"], s["hi"], s["out"]
+        cell = lambda place: F.array(F.struct(level.alias("level"), place.alias("place")))
+        low = (lo < hi) & (F.pmod(lo, F.lit(2)) == 1)
+        high = (F.when(low, lo + 1).otherwise(lo) < hi) & (F.pmod(hi, F.lit(2)) == 1)
+        out = F.concat(out, F.when(low, cell(lo)).otherwise(none), F.when(high, cell(hi - 1)).otherwise(none))
+        return F.struct(F.shiftright(F.when(low, lo + 1).otherwise(lo), 1).alias("lo"), F.shiftright(F.when(high, hi - 1).otherwise(hi), 1).alias("hi"), out.alias("out"))
 
-def expanded(ranges: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
-    """One row a number of the range, in steps of 1, rounded to one decimal."""
-    steps = F.floor(F.col(end) - F.col(start) + 0.001)
-    ok = ranges.where((F.col(start).isNotNull()) & (steps >= 0))
-    return ok.withColumn("__step", F.explode(F.sequence(F.lit(0), steps.cast("int")))).withColumn("number", F.round(F.col(start) + F.col("__step"), 1)).drop("__step")
+    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), start, up, lambda s: s["out"])
+
+
+def members(ranges: DataFrame, singles: DataFrame, series: str) -> DataFrame:
+    """(series, id, first, last, class, q, number, path): the numbers of each range that exist singly.
+
+    ranges: (series, id, start, end); singles: (series, number, path), of equal numbers the last path counts. Numbers are
+    q + class tenths; first and last are the range's own q. Ranges that a long does not hold have no members.
+    """
+    spans = ranges.withColumns({"__t": tenths(F.col("start")), "__steps": steps_of(F.col("start"), F.col("end"))}).where("__t is not null and __steps >= 0")
+    first = F.floor(F.col("__t") / 10).cast("long")
+    spans = spans.select(series, "id", F.pmod("__t", F.lit(10)).alias("class"), first.alias("first"), F.try_add(first, F.col("__steps")).alias("last")).where("last is not null")
+    cells = spans.withColumn("cell", F.explode(intervals(F.col("first"), F.col("last")))).select("*", "cell.level", "cell.place").drop("cell")
+    own = singles.where(F.col("number") == F.round("number", 1)).withColumn("__t", tenths(F.col("number"))).where("__t is not null")
+    own = own.groupBy(series, "number", "__t").agg(F.max("path").alias("path"))
+    own = own.select(series, F.pmod("__t", F.lit(10)).alias("class"), F.floor(F.col("__t") / 10).cast("long").alias("q"), "number", "path")
+    levels = cells.groupBy(series, "class").agg(F.collect_set("level").alias("levels"))  # at most 63 a series and class
+    keyed = own.join(levels, [series, "class"]).withColumn("level", F.explode("levels")).drop("levels")
+    keyed = keyed.withColumn("place", F.floor(F.col("q") / F.pow(F.lit(2.0), "level")).cast("long"))
+    return cells.join(keyed, [series, "class", "level", "place"]).select(series, "id", "first", "last", "class", "q", "number", "path")
+
+
+def whole(found: DataFrame, series: str) -> DataFrame:
+    """(series, id) of ranges all of whose numbers exist; found: as ``members`` gives them."""
+    counts = found.groupBy(series, "id", "first", "last", "class").agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("n") == F.col("last") - F.col("first") + 1).select(series, "id")
+
+
+def missing_runs(found: DataFrame, singles: DataFrame, series: str) -> DataFrame:
+    """(series, id, from, to, missing): the runs of numbers of each range that do not exist singly; only ranges of which some do.
+
+    What follows a number up to its next neighbour in the series is known without looking at any range; a range cuts that
+    off at its end, and begins with what lies before its first member.
+    """
+    numbers = singles.where(F.col("number") == F.round("number", 1)).select(series, "number").distinct().withColumn("__t", tenths(F.col("number"))).where("__t is not null")
+    numbers = numbers.select(series, F.pmod("__t", F.lit(10)).alias("class"), F.floor(F.col("__t") / 10).cast("long").alias("q"))
+    following = numbers.withColumn("next", F.lead("q").over(W.partitionBy(series, "class").orderBy("q")))
+    after = found.join(following, [series, "class", "q"]).where("q < last and (next is null or next > q + 1)")
+    after = after.select(series, "id", "class", (F.col("q") + 1).alias("a"), F.least(F.coalesce("next", F.col("last") + 1) - 1, "last").alias("b"))
+    before = found.groupBy(series, "id", "class", "first").agg((F.min("q") - 1).alias("b")).where("b >= first").select(series, "id", "class", F.col("first").alias("a"), "b")
+    number = lambda c: F.col(c) + F.col("class") / 10
+    runs = after.unionByName(before).select(series, "id", number("a").alias("from"), number("b").alias("to"))
+    return runs.withColumn("missing", F.when(F.col("from") == F.col("to"), N.format_number(F.col("from"))).otherwise(N.range_text(F.col("from"), F.col("to"))))
 
 
 def overlap(ranges: DataFrame, singles: DataFrame, series: str) -> DataFrame:
-    """(series, range id, found, missing): which numbers of each range exist singly; only ranges of which some do.
+    """(series, range id, found, missing, runs): which numbers of each range exist singly; only ranges of which some do.
 
-    ranges: (series, id, start, end); singles: (series, number, path), of equal numbers the last path counts.
+    missing is null where more than LISTED numbers are missing; the runs, arrays of (from, to), are always there.
     """
-    last = singles.groupBy(series, "number").agg(F.max("path").alias("path"))
-    rows = expanded(ranges).join(last, [series, "number"], "left")
-    numbers = lambda keep: F.array_sort(F.collect_list(F.when(keep, F.col("number"))))
-    out = rows.groupBy(series, "id").agg(numbers(F.col("path").isNotNull()).alias("found"), numbers(F.col("path").isNull()).alias("missing"))
-    return out.where(F.size("found") > 0)
+    rows = members(ranges, singles, series)
+    found = rows.groupBy(series, "id").agg(F.array_sort(F.collect_list("number")).alias("found"))
+    gaps = missing_runs(rows, singles, series).groupBy(series, "id").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("runs"))
+    out = found.join(gaps, [series, "id"], "left").withColumn("runs", F.coalesce("runs", F.array().cast("array<struct<from:double,to:double>>")))
+    total = F.aggregate("runs", F.lit(0.0), lambda n, r: n + r["to"] - r["from"] + 1)
+    listed = F.flatten(F.transform("runs", lambda r: F.transform(F.sequence(F.lit(0), F.round(r["to"] - r["from"]).cast("int")), lambda k: F.round(r["from"] + k, 1))))
+    return out.withColumn("missing", F.when(total <= LISTED, listed)).select(series, "id", "found", "missing", "runs")
 
 
 def page_plan(range_pages: DataFrame, single_pages: DataFrame, group: str) -> DataFrame:

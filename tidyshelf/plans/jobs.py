@@ -150,37 +150,56 @@ def tag_plan(spark, sf_dir):
 
 
 def range_library(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber in (1, 2)")
+    """An archive of two pages for each line number of an order, and one of the range of them all."""
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber is not null").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("long").alias("size"))
     directory = text("lib/o", F.col("l_orderkey"))
-    singles = lines.select(text(directory, "/S ch. ", F.col("l_linenumber"), ".cbz").alias("path"), F.lit("p.jpg").alias("entry"), F.lit(".jpg").alias("ext"), F.col("l_quantity").cast("long").alias("size"))
-    singles = singles.groupBy("path", "entry", "ext").agg(F.max("size").alias("size"))
-    page = F.explode(F.array(F.lit("a.jpg"), F.lit("b.jpg")))
-    ranges = lines.select(text(directory, "/S ch. 1-2.cbz").alias("path")).distinct().select("path", page.alias("entry"), F.lit(".jpg").alias("ext"), F.lit(20).cast("long").alias("size"))
-    entries = ranges.unionByName(singles)
+    jpg = F.lit(".jpg").alias("ext")
+    singles = lines.select(text(directory, "/S ch. ", F.col("l_linenumber"), ".cbz").alias("path"), F.explode(F.array(F.lit("p.jpg"), F.lit("q.jpg"))).alias("entry"), jpg, "size")
+    last = lines.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("n"))
+    pages = last.where("n > 1").select(text(directory, "/S ch. 1-", F.col("n"), ".cbz").alias("path"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int") * 2)).alias("k"))
+    pages = pages.select("path", text(F.lpad(F.col("k").cast("string"), 2, "0"), ".jpg").alias("entry"), jpg, F.lit(20).cast("long").alias("size"))
+    entries = pages.unionByName(singles)
     return sources.described(entries.groupBy("path").agg(F.sum("size").alias("size"))), entries
 
 
 RANGES_SQL = """
-WITH s AS (SELECT 'lib/o' || l_orderkey AS d, l_linenumber AS n, max(CAST(l_quantity AS BIGINT)) AS q FROM lineitem WHERE l_linenumber IN (1, 2) GROUP BY ALL),
-g AS (SELECT d FROM s GROUP BY 1 HAVING count(*) = 2), p AS (SELECT s.*, q > 20 AS up FROM s JOIN g USING (d))
+WITH s AS (SELECT 'lib/o' || l_orderkey AS d, l_linenumber AS n, CAST(max(l_quantity) AS BIGINT) AS q FROM lineitem WHERE l_linenumber IS NOT NULL GROUP BY ALL),
+g AS (SELECT d, max(n) AS m FROM s GROUP BY 1 HAVING max(n) > 1 AND count(*) = max(n)),
+p AS (SELECT s.*, m, q > 20 AS up, d || '/S ch. 1-' || m || '.cbz' AS r, CAST((n - 1) * 2 + e AS BIGINT) AS pos, e FROM s JOIN g USING (d), (VALUES (1), (2)) v(e))
 """
 
 
 @query(RANGES_SQL + """
-SELECT 'rewrite' AS op, d || '/S ch. 1-2.cbz' AS src, CAST(NULL AS VARCHAR) AS dest, count(*) FILTER (up) || ' of 2 pages' AS reason, CAST(NULL AS BIGINT) AS size FROM p GROUP BY d HAVING bool_or(up)
-UNION ALL SELECT 'move', d || '/S ch. ' || n || '.cbz', d || '/Processed/S ch. ' || n || '.cbz', 'in a range archive', NULL FROM p
+SELECT 'rewrite' AS op, r AS src, CAST(NULL AS VARCHAR) AS dest, count(*) FILTER (up) || ' of ' || 2 * m || ' pages' AS reason, CAST(NULL AS BIGINT) AS size FROM p GROUP BY r, m HAVING bool_or(up)
+UNION ALL SELECT 'move', d || '/S ch. ' || n || '.cbz', d || '/Processed/S ch. ' || n || '.cbz', 'in a range archive', NULL FROM p WHERE e = 1
 """)
 def resolve_plan(spark, sf_dir):
     return library.resolve_ranges(*range_library(spark, sf_dir))[1]
 
 
 @query(RANGES_SQL + """
-SELECT d || '/S ch. 1-2.cbz' AS "group", CAST(n AS BIGINT) AS pos, CASE WHEN up THEN d || '/S ch. ' || n || '.cbz!p.jpg' ELSE d || '/S ch. 1-2.cbz!' || chr(96 + n) || '.jpg' END AS winner_entry, 'page_000' || n || '.jpg' AS new_name, up AS upgraded FROM p
+SELECT r AS "group", pos, CASE WHEN up THEN d || '/S ch. ' || n || '.cbz!' || chr(111 + e) || '.jpg' ELSE r || '!' || lpad(CAST(pos AS VARCHAR), 2, '0') || '.jpg' END AS winner_entry, 'page_' || lpad(CAST(pos AS VARCHAR), 4, '0') || '.jpg' AS new_name, up AS upgraded FROM p
 """)
 def resolve_pages(spark, sf_dir):
     return library.resolve_ranges(*range_library(spark, sf_dir))[0].select("group", "pos", "winner_entry", "new_name", "upgraded")
 
 
+@query("""
+WITH s AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n FROM lineitem WHERE l_linenumber % 2 = 1 OR l_orderkey % 3 = 0),
+r AS (SELECT o, n, lead(n) OVER (PARTITION BY o ORDER BY n) AS nx, row_number() OVER (PARTITION BY o ORDER BY n) AS k FROM s),
+m AS (SELECT o, n + 1 AS a, coalesce(nx - 1, 9999999999) AS b FROM r WHERE nx IS NULL OR nx > n + 1 UNION ALL SELECT o, 0, n - 1 FROM r WHERE k = 1)
+SELECT 'lib/o' || o AS series, CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END AS missing FROM m
+""")
+def range_missing(spark, sf_dir):
+    """Each order is a range of ten thousand million numbers, of which a few exist."""
+    lines = table(spark, sf_dir, "lineitem")
+    directory = text("lib/o", F.col("l_orderkey"))
+    singles = lines.where("l_linenumber % 2 = 1 or l_orderkey % 3 = 0").select(text(directory, "/S ch. ", F.col("l_linenumber"), ".cbz").alias("path"))
+    spans = lines.select(text(directory, "/S ch. 0-9999999999.cbz").alias("path"))
+    files = sources.described(singles.unionByName(spans).distinct().withColumn("size", F.lit(1).cast("long")))
+    return library.incomplete_ranges(files).select("series", "missing")
+
+
 @query("""
 WITH f AS (SELECT DISTINCT 'lib/o' || l_orderkey AS d, CASE l_returnflag WHEN 'A' THEN 'ComicInfo.xml' ELSE l_linenumber || '-' || l_partkey || CASE l_returnflag WHEN 'R' THEN '.JPG' ELSE '.txt' END END AS name FROM lineitem)
 SELECT 'pack' AS op, d AS src, d || '.cbz' AS dest, count(*) || ' entries' AS reason, CAST(NULL AS BIGINT) AS size FROM f GROUP BY d HAVING bool_or(name LIKE '%.JPG') AND NOT bool_or(name LIKE '%.txt')

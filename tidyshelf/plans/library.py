@@ -17,6 +17,7 @@ from ..functions import names as N
 from ..functions import patterns as P
 from ..functions import tags as G
 from ..operators import gaps, keep, match, ranges, routing, tree
+from ..session import fixed
 from ..sources.files import is_image, stale
 from ..streaming import settle
 
@@ -267,19 +268,21 @@ def match_series(files: DataFrame, auto: float = P.AUTO_RATIO) -> DataFrame:
 def resolve_ranges(files: DataFrame, entries: DataFrame, processed: str = "Processed") -> tuple[DataFrame, DataFrame]:
     """(page plans, actions): range archives rebuilt from the better pages, the single archives moved away.
 
-    Only where every number of the range exists singly and the page counts agree.
+    Only where every number of the range exists singly and the page counts agree. What files and pages a plan is made of is
+    written to the checkpoint folder once.
     """
     start, end = N.number_range(F.col("stem"))
     rows = files.where(F.col("ext") == ".cbz").withColumns({"start": start, "end": end, "number": N.chapter(F.col("stem"))})
     spans = rows.where("start is not null").select(F.col("dir_path").alias("series"), F.col("path").alias("id"), "start", "end")
     singles = rows.where("start is null and number is not null").groupBy(F.col("dir_path").alias("series"), "number").agg(F.max("path").alias("path"))
-    whole = ranges.overlap(spans, singles, "series").where(F.size("missing") == 0).select("series", "id")
-    parts = ranges.expanded(spans.join(whole, ["series", "id"])).join(singles, ["series", "number"])
+    found = fixed(ranges.members(spans, singles, "series"))
+    parts = fixed(found.join(ranges.whole(found, "series"), ["series", "id"]).select("series", "id", "number", "path"))
+    whole = parts.select("series", "id").distinct()
     pages = entries.where(is_image(F.col("ext")))
     page = [F.concat_ws("!", "path", "entry").alias("entry"), "ext", "size"]
     mine = pages.join(whole.select(F.col("id").alias("path")), "path").select(F.col("path").alias("group"), F.lit(0.0).alias("order"), *page)
     other = pages.join(parts.select("path", "id", "number"), "path").select(F.col("id").alias("group"), F.col("number").alias("order"), *page)
-    plan = ranges.page_plan(mine, other, "group")
+    plan = fixed(ranges.page_plan(mine, other, "group"))
     better = plan.groupBy("group").agg(F.count_if("upgraded").alias("upgraded"), F.max("total_pages").alias("pages"))
     rebuilt = keep.actions(better.where("upgraded > 0"), "rewrite", F.col("group"), None, F.format_string("%d of %d pages", F.col("upgraded"), F.col("pages")))
     name = F.substring_index("path", "/", -1)
@@ -287,6 +290,15 @@ def resolve_ranges(files: DataFrame, entries: DataFrame, processed: str = "Proce
     return plan, union(rebuilt, moved)
 
 
+def incomplete_ranges(files: DataFrame) -> DataFrame:
+    """(series, id, missing): runs of chapters that a range archive holds and no single archive does, where some single one does."""
+    start, end = N.number_range(F.col("stem"))
+    rows = files.where(F.col("ext") == ".cbz").withColumns({"start": start, "end": end, "number": N.chapter(F.col("stem"))})
+    spans = rows.where("start is not null").select(F.col("dir_path").alias("series"), F.col("path").alias("id"), "start", "end")
+    singles = fixed(rows.where("start is null and number is not null").groupBy(F.col("dir_path").alias("series"), "number").agg(F.max("path").alias("path")))
+    return ranges.missing_runs(fixed(ranges.members(spans, singles, "series")), singles, "series").select("series", "id", "missing")
+
+
 def separate_marked(files: DataFrame, check: str = "_Check", side: str = "both") -> DataFrame:
     """Directories with a marker word and their plain twins, moved together for a look: marked, plain or both.
 
