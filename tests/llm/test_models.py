@@ -3,10 +3,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidyshelf.llm import language, personal, toxicity
+from tidyshelf.llm.bytesview import gram_counts
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +20,34 @@ def held(i, k):
     return zlib.crc32(str(i).encode()) % k
 
 
+def test_predictions_equal_plain_python(spark):
+    """The whole query's decoding against n-grams, scaling and losses written out; a namesake's label is not learned."""
+    rng = np.random.default_rng(2)
+    words = {"aa": "lorem ipsum dolor amet".split(), "bb": "quick brown foxes jump".split(), "cc": "zwei drei vier fünf".split()}
+    rows = [(i, " ".join(rng.choice(words[lang], 12)), lang) for i in range(120) for lang in [list(words)[i % 3]]]
+    rows += [(i, "зовсім інше тут", None) for i in range(0, 120, 7)] + [(500, "lorem vier quick", None), (501, "12 !!", None), (502, None, "aa"), (503, "fünf " * 40_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    book = language.learn(df)
+    assert book.languages == ["aa", "bb", "cc"]
+
+    got = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in language.predict(df, book).join(df.select("doc_id", "text").distinct(), "doc_id").collect()}
+    for doc_id, text, _ in rows:
+        raw = pa.array([f" {(text or '').lower()} ".encode()], pa.binary())
+        [(_, _, counts)] = list(gram_counts(raw, language.SIZES, language.BITS))
+        x = [float(c) ** 0.5 for c in counts[0]]
+        length = sum(v * v for v in x) ** 0.5 or 1.0
+        losses = []
+        for word in book.code:
+            margins = [sum(v / length * float(w) for v, w in zip(x, book.weights[:, k], strict=True) if v) + float(book.bias[k]) for k in range(len(word))]
+            losses.append(sum(np.log1p(np.exp(-b * m)) for b, m in zip(word, margins, strict=True)))
+        share = [np.exp(min(losses) - v) for v in losses]
+        if not any(c.isalpha() for c in text or ""):
+            continue
+        if sum(1 for r in rows if r[0] == doc_id) == 1:
+            pred, score = got[doc_id, text]
+            assert pred == book.languages[int(np.argmin(losses))] and abs(score - 1 / sum(share)) < 1e-4
+
+
 def test_languages_of_held_out_rows(larger, odd, none):
     book = language.learn(larger)
     found = {r.doc_id: r for r in language.predict(larger, book).collect()}
@@ -256,6 +286,23 @@ def test_messages_equal_enumeration_on_a_tree():
     assert np.allclose(personal.marginals(g, p, rounds=500), total / total.sum(1, keepdims=True), atol=1e-3)
 
 
+def test_long_texts_of_numbers_take_little_memory():
+    """Some hundreds of bytes a token, and the same spans whatever stands beside the text."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    text = "mail jo.81@mail7.example.com or 4111-1111-1111-1111 then " + " ".join(map(str, rng.integers(0, 10**7, 40_000))) + " again 4111111111111111x"
+    base = personal.base_spans(text)
+    p = personal.fitted({("shape", personal.shape("4111111111111111"), 3): 5, ("shape", personal.shape("9999"), 0): 50, ("skip", 3, 3): 40, ("skip", 0, 0): 40, ("chain", 0, 0): 20})
+    tracemalloc.start()
+    added = personal.added_spans([text], [base], p, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 600 * 40_000 and [text[s:e] for _, s, e in added[0]] == ["4111111111111111x"]
+    other = "call 12345 or 4111111111111111"
+    assert personal.added_spans([other, text, other], [personal.base_spans(other), base, personal.base_spans(other)], p, 0.5)[1] == added[0]
+
+
 def test_personal_data_of_odd_rows(docs, odd, none):
     p = personal.learn(docs)
     rows = {r.doc_id: r for r in personal.find(odd, p).collect()}

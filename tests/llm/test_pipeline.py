@@ -47,5 +47,30 @@ def test_stages_take_odd_and_empty_tables(spark, odd, none):
             assert out.count() >= 0 and (stage is corpus_pipeline.packing or out.columns == docs.columns)
 
 
+def test_rows_are_dropped_for_their_own_sake(spark, tmp_path):
+    """Ids that repeat with several texts, and null ids: no copy passes, and no clean row goes with its namesake."""
+    filler = [(100 + i, f"a clean text number {i} of its own with many words {'ab'[i % 2] * (i + 3)} and more", "en", "s", 0) for i in range(20)]
+    rows = [(1, "alpha beta", "en", "s", 0), (1, "gamma delta", "en", "s", 0), (0, "gamma delta", "en", "s", 0), (None, "gamma  delta", "en", "s", 0), (None, "own text here", "en", "s", 0), (None, "12 34", "en", "s", 0), (100, "56 78", "en", "s", 0), *filler]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    df.write.parquet(str(tmp_path / "docs"))
+    for docs in (df, spark.read.parquet(str(tmp_path / "docs"))):
+        assert docs.columns == stages.keep_languages(docs).columns
+        left = {(r.doc_id, r.text) for r in stages.keep_languages(docs).collect()}
+        assert (None, "12 34") not in left and (100, "56 78") not in left and (None, "own text here") in left and (100, filler[0][1]) in left
+        once = [(r.doc_id, r.text) for r in stages.keep_first_copies(docs).collect()]
+        assert sorted(once, key=str) == sorted({(r[0], r[1]) for r in rows} - {(1, "gamma delta"), (0, "gamma delta")}, key=str)  # the longer original stays
+    long = " ".join(f"word{i}" for i in range(200))
+    near = [(5, long, "en", "s", 0), (4, long + " tail", "en", "s", 0), (4, "quite another text than that with words of its own", "en", "s", 0), (None, "x " + long, "en", "s", 0), (None, "short", "en", "s", 0)]
+    kept = {(r.doc_id, r.text) for r in stages.keep_one_of_near_copies(spark.createDataFrame(near, SCHEMA)).collect()}
+    assert kept == {(4, long + " tail"), (4, near[2][1]), (None, "short")}
+
+
+def test_row_numbers(spark, tmp_path, odd):
+    spark.range(1000).repartition(7).write.parquet(str(tmp_path / "t"))
+    for docs in (spark.read.parquet(str(tmp_path / "t")), odd):
+        rows = stages.by_row(docs)
+        assert rows.columns == [*docs.columns, stages.ROW] and rows.select(stages.ROW).distinct().count() == docs.count()
+
+
 def test_five_stages_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mixing", "packing"] and language is not None

@@ -22,12 +22,12 @@ def squeezed(text: Column) -> Column:
     return F.translate(text, SPACES, "")
 
 
-def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64) -> DataFrame:
-    """The narrow rows: row, id, points (code points of the original), length and prefix hash and digest of the rest."""
+def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, also: tuple[str, ...] = ()) -> DataFrame:
+    """The narrow rows: row, id, points (code points of the original), length and prefix hash and digest of the rest; also: columns that come along."""
     bare = squeezed(text_of(text_col))
-    rows = df.select(F.col(id_col).alias("id"), F.length(text_of(text_col)).alias("points"), bare.alias("bare"))
+    rows = df.select(F.col(id_col).alias("id"), F.length(text_of(text_col)).alias("points"), bare.alias("bare"), *also)
     return rows.select(
-        F.monotonically_increasing_id().alias("row"), "id", "points", F.octet_length("bare").alias("size"),
+        *also, F.monotonically_increasing_id().alias("row"), "id", "points", F.octet_length("bare").alias("size"),
         F.xxhash64(F.substring("bare", 1, prefix)).alias("prefix"), F.unhex(F.sha2(F.col("bare").cast("binary"), 256)).alias("digest"),
     )
 
@@ -58,14 +58,14 @@ def duplicate_groups(rows: DataFrame) -> DataFrame:
     return groups.select("size", "prefix", "digest", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
 
 
-def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64) -> DataFrame:
-    """For each row: id, keep_id, group_size, kept, text_sha256 of the squeezed text."""
-    rows = salted(cut(digests(df, id_col, text_col, prefix)))
+def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, also: tuple[str, ...] = ()) -> DataFrame:
+    """For each row: id, keep_id, group_size, kept, text_sha256 of the squeezed text, and the columns named in also."""
+    rows = salted(cut(digests(df, id_col, text_col, prefix, also)))
     out = rows.join(everywhere(duplicate_groups(rows)), ["size", "prefix", "digest", "salt"], "left")
     return out.select(
         F.col("id").alias(id_col), F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("group_size").isNull() | (F.col("row") == F.col("keep_row"))).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+        F.lower(F.hex("digest")).alias("text_sha256"), *also,
     )
 
 

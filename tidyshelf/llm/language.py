@@ -7,7 +7,8 @@ widest least distance is kept.
 
 Every label that occurs is a language. Learning takes at most ``per_language`` rows of each, fewer (8 at least) where that
 would be more than ``sample_rows`` in all (bounds by parameter; the rows of lowest hash, so that the choice is the same at every
-run), and only rows whose crc32 of the id mod 4 is not 2. Examples reach the driver as sparse counts and are fitted in slices.
+run), and only rows whose crc32 of the id mod 4 is not 2. Examples reach the driver as sparse counts and are fitted in slices: sample_rows of them, or
+8 a language where there are more languages than that.
 Prediction reads every text whole, in one pass without a shuffle.
 
 Null texts and texts without a letter are ``und`` with score 0. With no labelled rows every text is ``und``. Equal
@@ -111,9 +112,11 @@ def sample(df: DataFrame, id_col: str, lang_col: str, per_language: int, sample_
     return likely.withColumn("nth", nth).where(F.col("nth") <= each).select("id", "language")
 
 
-def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 512, sample_rows: int = 16_384) -> Codebook:
-    chosen = sample(df, id_col, lang_col, per_language, sample_rows).withColumnRenamed("language", "chosen_language")
-    rows = df.select(F.col(id_col).alias("id"), framed(text_col).alias("raw")).join(F.broadcast(chosen.distinct()), "id").select("chosen_language", "raw")
+def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 512, sample_rows: int = 16_384, most_sent: int = 500_000) -> Codebook:
+    chosen = cut(sample(df, id_col, lang_col, per_language, sample_rows).distinct())
+    rows = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("language"), framed(text_col).alias("raw"))
+    small = chosen.limit(most_sent + 1).count() <= most_sent
+    rows = rows.join(F.broadcast(chosen) if small else chosen, ["id", "language"]).select("language", "raw")  # a namesake of another language is no example
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

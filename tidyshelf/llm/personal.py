@@ -8,8 +8,9 @@ tokens are none. Tokens touched by a base span are observed. Neighbouring tokens
 document whose letters and digits are the same, or whose digits (or last eight of them) are, share a skip potential, each with its
 next such token and each hidden one with the nearest observed one on either side, so a repeated name of an entity pulls its
 other mentions to the same label however far away. Loopy sum-product messages run until each document settles, or for
-50 rounds and twice its longest run of neighbours, whatever stands beside it in a batch; hidden tokens whose label other than
-none reaches ``threshold`` become added spans, adjoining ones of a phone number, or of a card of at most 19 digits, as one. The potentials are fitted piece by piece
+100 messages an edge on average, whatever stands beside it in a batch: after the first round only what still changes is sent
+again. Texts are taken some million characters at a time, a longer one alone, and its graph lies in flat arrays. Hidden tokens whose
+label other than none reaches ``threshold`` become added spans, adjoining ones of a phone number, or of a card of at most 19 digits, as one. The potentials are fitted piece by piece
 on at most ``sample_rows`` documents (a bound by parameter; rows of lowest hash): a softmax regression over token shapes,
 and log ratios of label pairs on chain and skip edges.
 
@@ -21,9 +22,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +40,11 @@ from .common import documents, give_back, text_of
 KINDS = ("email", "ip", "card", "phone")
 SIGNAL = re.compile(r"[0-9@+]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: Repeated groups are possessive: nothing follows them that could take characters back, and long runs leave no stack behind.
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
-DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*+")
+DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 Span = tuple[int, int, int]  # kind's number, start, end
@@ -132,67 +137,101 @@ def keys(token: str, whole: str = "") -> list[str]:
     return list(dict.fromkeys(out))
 
 
+class Pairs(Sequence):
+    """Pairs of numbers in one array."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> tuple[int, int]:
+        return int(self.rows[i, 0]), int(self.rows[i, 1])
+
+    def __add__(self, other: Sequence) -> list[tuple[int, int]]:
+        return [*self, *other]
+
+
 @dataclass
 class Graph:
-    """Tokens of many documents: label (0 none, -1 hidden), shape, and edges between them."""
+    """Tokens of documents: label (0 none, -1 hidden), shape, and edges between them."""
+
+    owner: Sequence[int]
+    spans: Sequence[tuple[int, int]]
+    shapes: Sequence[int]
+    labels: Sequence[int]
+    chain: Sequence[tuple[int, int]]
+    skip: Sequence[tuple[int, int]]
 
-    owner: list[int]
-    spans: list[tuple[int, int]]
-    shapes: list[int]
-    labels: list[int]
-    chain: list[tuple[int, int]]
-    skip: list[tuple[int, int]]
+
+def skip_edges(key: np.ndarray, token: np.ndarray, label: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """Pairs of tokens with a key in common: each with the next one, hidden ones with the nearest observed on either side.
+
+    key, token: one entry a key of a token. Each pair once, whichever keys make it; neighbours have their chain edge.
+    """
+    order = np.lexsort((token, key))
+    key, token = key[order], token[order]
+    at = np.arange(len(key))
+    first = np.r_[True, key[1:] != key[:-1]]
+    start = np.maximum.accumulate(np.where(first, at, 0))
+    known = label[token] >= 0
+    before = np.r_[-1, np.maximum.accumulate(np.where(known, at, -1))[:-1]]
+    after = np.r_[np.minimum.accumulate(np.where(known, at, len(at))[::-1])[::-1][1:], len(at)]
+    same_after = (after < len(at)) & (start[np.minimum(after, len(at) - 1)] == start)
+    pairs = [(at[~first] - 1, at[~first]), (before[m := (before >= start) & ~known], at[m]), (at[m := same_after & ~known], after[m])]
+    rows = np.concatenate([np.stack([token[i], token[j]], 1) for i, j in pairs])
+    rows = np.unique(rows, axis=0)
+    return rows[~((rows[:, 0] == rows[:, 1] - 1) & linked[rows[:, 1]])]
 
 
 def graph(texts: list[str], bases: list[list[Span]], label_free_tokens: int = -1) -> Graph:
     """label_free_tokens: the label of tokens without a base span: hidden, or none when fitting.
 
     When fitting, tokens that share a key with an observed one are likely mentions that the patterns leave out: they are hidden.
+    Everything is kept in flat arrays, some 60 bytes a token.
     """
-    g = Graph([], [], [], [], [], [])
+    owner, spans, shapes, labels, linked = array("i"), array("i"), array("i"), array("i"), array("b")
+    skips = []
     for i, (text, base) in enumerate(zip(texts, bases, strict=True)):
         if not SIGNAL.search(text):
             continue
         marks = sorted((s, e, k + 1) for k, s, e in base)
-        first = len(g.owner)
-        holders: dict[str, list[int]] = {}
-        last: dict[str, int] = {}
-        known: dict[str, int] = {}  # the last observed mention
-        waiting: dict[str, list[int]] = {}  # hidden mentions since then
-        at, before = 0, None
+        first, key, token = len(owner), array("q"), array("i")
+        at, beside = 0, 0
         for m in TOKEN.finditer(text):
             if not SIGNAL.search(m[0]):
-                before = None
+                beside = 0
                 continue
-            n = len(g.owner)
+            n = len(owner)
             while at < len(marks) and marks[at][1] <= m.start():
                 at += 1
-            found = [k for s, e, k in marks[at : at + 4] if s < m.end() and e > m.start()]
-            g.owner.append(i)
-            g.spans.append(m.span())
-            g.shapes.append(shape(m[0]))
-            g.labels.append(found[0] if found else label_free_tokens)
-            if before is not None:
-                g.chain.append((before, n))
-            far: set[int] = set()  # each pair once, whichever keys make it
-            whole = next((text[s:e] for s, e, _ in marks[at : at + 4] if s < m.end() and e > m.start()), "")
-            for key in keys(m[0], whole):
-                holders.setdefault(key, []).append(n)
-                far.update(at_key[key] for at_key in (last, known) if key in at_key and (at_key is last or g.labels[n] < 0))
-                if g.labels[n] < 0:
-                    waiting.setdefault(key, []).append(n)
-                else:
-                    far.update(waiting.pop(key, []))
-                    known[key] = n
-                last[key] = n
-            g.skip.extend((j, n) for j in sorted(far) if j != before)  # neighbours have their chain edge
-            before = n
-        if label_free_tokens == 0 and any(g.labels[first:]):
-            for same in holders.values():
-                if any(g.labels[j] > 0 for j in same):
-                    for j in same:
-                        g.labels[j] = g.labels[j] or -1
-    return g
+            found = [(s, e, k) for s, e, k in marks[at : at + 4] if s < m.end() and e > m.start()]
+            owner.append(i)
+            spans.extend(m.span())
+            shapes.append(shape(m[0]))
+            labels.append(found[0][2] if found else label_free_tokens)
+            linked.append(beside)
+            for k in keys(m[0], text[found[0][0] : found[0][1]] if found else ""):
+                key.append(hash(k))
+                token.append(n)
+            beside = 1
+        mine = np.array(labels[first:], np.int32)
+        keyed, of = np.array(key, np.int64), np.array(token, np.int64) - first
+        if len(keyed):
+            edges = skip_edges(keyed, of, mine, np.array(linked[first:], bool))
+            skips.append((edges + first).astype(np.int32))
+        if label_free_tokens == 0 and len(keyed) and (mine > 0).any():
+            order = np.argsort(keyed, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(keyed[order]) != 0])
+            likely = np.repeat(np.maximum.reduceat(mine[of[order]], starts) > 0, np.diff(np.r_[starts, len(order)]))
+            for j in np.unique(of[order][likely]):
+                labels[first + int(j)] = labels[first + int(j)] or -1
+    chain = np.flatnonzero(np.array(linked, bool)).astype(np.int32)
+    return Graph(
+        np.array(owner, np.int32), Pairs(np.array(spans, np.int32).reshape(-1, 2)), np.array(shapes, np.int32), np.array(labels, np.int32),
+        Pairs(np.stack([chain - 1, chain], 1)), Pairs(np.concatenate(skips) if skips else np.zeros((0, 2), np.int32)),
+    )
 
 
 @dataclass
@@ -232,44 +271,64 @@ def fitted(counts: dict[tuple[str, int, int], int]) -> Potentials:
     return Potentials(w, *pairs)
 
 
-def marginals(g: Graph, p: Potentials, rounds: int = 50, damping: float = 0.3) -> np.ndarray:
-    """Label marginals of every token by loopy sum-product messages over chain and skip edges."""
+def pair_rows(pairs: Sequence[tuple[int, int]]) -> np.ndarray:
+    return pairs.rows if isinstance(pairs, Pairs) else np.array(pairs, np.int32).reshape(-1, 2)
+
+
+def marginals(g: Graph, p: Potentials, rounds: int = 50, damping: float = 0.3, step: int = 1 << 16) -> np.ndarray:
+    """Label marginals of every token by loopy sum-product messages over chain and skip edges.
+
+    After the first round only messages whose source has heard something new are sent again, so a document's work follows
+    what still changes in it; it ends when nothing moves by 1e-4, or after twice ``rounds`` messages an edge on average.
+    Edges keep the kind of their potential, not the potential; messages are made ``step`` at a time.
+    """
     n = p.unary.shape[1]
-    unary, labels = bits(g.shapes) @ p.unary, np.array(g.labels)
+    shapes, at = np.unique(np.asarray(g.shapes), return_inverse=True)
+    belief, labels = (bits(shapes) @ p.unary).astype(np.float32)[at], np.asarray(g.labels)
     seen = np.flatnonzero(labels >= 0)
-    unary[seen] = -50.0
-    unary[seen, labels[seen]] = 0.0
-    edges = [(i, j, p.chain) for i, j in g.chain] + [(i, j, p.skip) for i, j in g.skip]
-    if edges:
-        source = np.array([e[0] for e in edges] + [e[1] for e in edges])
-        target = np.array([e[1] for e in edges] + [e[0] for e in edges])
-        table = np.stack([e[2] for e in edges] + [e[2].T for e in edges])
-        back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-        message = np.zeros((len(source), n))
-        owner = np.array(g.owner)
-        own, most = owner[source], np.full(owner.max() + 1, rounds)
-        run = np.ones(len(owner), int)
-        for i, j in g.chain:
-            run[j] = max(run[j], run[i] + 1)
-        longest = np.zeros(len(most), int)
-        np.maximum.at(longest, owner, run)
-        most += 2 * longest
-        live, done = np.arange(len(source)), 0
-        while len(live):  # edges of documents that have not settled
-            belief = unary.copy()
-            np.add.at(belief, target[live], message[live])
-            into = (belief[source[live]] - message[back[live]])[:, :, None] + table[live]
-            top = into.max(1, keepdims=True)
-            new = (top + np.log(np.exp(into - top).sum(1, keepdims=True)))[:, 0]
-            new -= new.max(1, keepdims=True)
-            step = np.zeros(len(most))
-            np.maximum.at(step, own[live], np.abs(new - message[live]).max(1))
-            message[live] = damping * message[live] + (1 - damping) * new
-            done += 1
-            live = live[((step >= 1e-4) & (done < most))[own[live]]]
-        np.add.at(unary, target, message)
-    unary -= unary.max(1, keepdims=True)
-    return np.exp(unary) / np.exp(unary).sum(1, keepdims=True)
+    belief[seen] = -50.0
+    belief[seen, labels[seen]] = 0.0
+    chain, skip = pair_rows(g.chain), pair_rows(g.skip)
+    half = len(chain) + len(skip)
+    if half:
+        source = np.concatenate([chain[:, 0], skip[:, 0], chain[:, 1], skip[:, 1]])
+        target = np.concatenate([source[half:], source[:half]])
+        kinds = np.cumsum([0, len(chain), len(skip), len(chain), len(skip)])  # edges of one kind and direction stand together
+        tables = [np.exp(t).astype(np.float32) for t in (p.chain, p.skip, p.chain.T, p.skip.T)]
+        alone = [len(np.unique(x := target[kinds[k] : kinds[k + 1]])) == len(x) for k in range(4)]  # one edge a target, as in chains
+        message = np.zeros((2 * half, n), np.float32)
+        whose = np.asarray(g.owner)[source]
+        left = 2 * rounds * np.bincount(whose)  # messages each document may send
+        live = np.arange(2 * half)
+        while len(live):
+            change = np.empty((len(live), n), np.float32)
+            ends = np.searchsorted(live, kinds)
+            for k, table in enumerate(tables):
+                for s in range(ends[k], ends[k + 1], step):
+                    here = slice(s, min(s + step, ends[k + 1]))
+                    e = live[here]
+                    into = belief[source[e]] - message[e + half if k < 2 else e - half]
+                    into -= into.max(1, keepdims=True)
+                    new = np.log(np.exp(into, out=into) @ table)
+                    change[here] = (1 - damping) * (new - new.max(1, keepdims=True) - message[e])
+            left -= np.bincount(whose[live], minlength=len(left))
+            message[live] += change
+            for k in range(4):
+                here = slice(ends[k], ends[k + 1])
+                if alone[k]:
+                    belief[target[live[here]]] += change[here]
+                else:
+                    np.add.at(belief, target[live[here]], change[here])
+            moving = np.abs(change).max(1) >= 1e-4 * (1 - damping)
+            heard = np.zeros(len(belief), bool)
+            heard[target[live[moving]]] = True
+            again = heard[source]
+            again[live[moving]] = True  # what is damped has not arrived yet
+            live = np.flatnonzero(again & (left > 0)[whose])
+    belief -= belief.max(1, keepdims=True)
+    np.exp(belief, out=belief)
+    belief /= belief.sum(1, keepdims=True)
+    return belief
 
 
 def continues(kind: int, text: str) -> bool:
@@ -277,25 +336,54 @@ def continues(kind: int, text: str) -> bool:
     return kind in (2, 3) and sum(c.isdigit() for c in text) <= (19 if kind == 2 else 15)
 
 
+def portions(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` characters, a longer text alone."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        if i > start and held + len(t) > most:
+            yield start, i
+            start, held = i, 0
+        held += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def added_spans(texts: list[str], bases: list[list[Span]], p: Potentials, threshold: float) -> list[list[Span]]:
+    out: list[list[Span]] = []
+    for a, b in portions(texts):
+        out += added_in(texts[a:b], bases[a:b], p, threshold)
+    return out
+
+
+def added_in(texts: list[str], bases: list[list[Span]], p: Potentials, threshold: float) -> list[list[Span]]:
     g = graph(texts, bases)
     out: list[list[Span]] = [[] for _ in texts]
-    if not g.owner or min(g.labels) >= 0:
+    if not len(g.owner) or min(g.labels) >= 0:
         return out
     m = marginals(g, p)
-    best, linked = m.argmax(1), set(g.chain)
+    best, linked = m.argmax(1), np.zeros(len(g.owner), bool)
+    linked[pair_rows(g.chain)[:, 1]] = True  # to the token before
     previous = -1
-    for i in np.flatnonzero((np.array(g.labels) < 0) & (best > 0) & (m.max(1) >= threshold)):
+    for i in np.flatnonzero((g.labels < 0) & (best > 0) & (m.max(1) >= threshold)).tolist():
         (s, e), kind, text = g.spans[i], int(best[i]) - 1, texts[g.owner[i]]
         token = text[s:e]
         s, e = s + len(token) - len(token.lstrip(".,;:!?*#$%&\"'[]{}<>|")), e - (len(token) - len(token.rstrip(".,;:!?*#$%&\"'[]{}<>|")))
         mine = out[g.owner[i]]
-        if mine and previous == i - 1 and (previous, i) in linked and mine[-1][0] == kind and continues(kind, text[mine[-1][1] : e]):
+        if mine and previous == i - 1 and linked[i] and mine[-1][0] == kind and continues(kind, text[mine[-1][1] : e]):
             mine[-1] = (kind, mine[-1][1], e)
         elif e > s:
             mine.append((kind, s, e))
         previous = i
-    return [sorted(x for x in own if not any(x[1] < e and x[2] > s for _, s, e in base)) for own, base in zip(out, bases, strict=True)]
+    return [without(own, base) for own, base in zip(out, bases, strict=True)]
+
+
+def without(own: list[Span], base: list[Span]) -> list[Span]:
+    """The spans that touch none of base, sorted."""
+    if not own or not base:
+        return sorted(own)
+    marks = sorted((s, e) for _, s, e in base)
+    starts, reach = [s for s, _ in marks], list(accumulate((e for _, e in marks), max))
+    return sorted(x for x in own if not (k := bisect_left(starts, x[2])) or reach[k - 1] <= x[1])
 
 
 def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 4096) -> Potentials:
@@ -304,12 +392,15 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            g = graph(texts, [base_spans(t) for t in texts], 0)
-            total.update(("shape", s, y) for s, y in zip(g.shapes, g.labels, strict=True) if y >= 0)
-            for kind, edges in (("chain", g.chain), ("skip", g.skip)):
-                total.update((kind, g.labels[i], g.labels[j]) for i, j in edges if min(g.labels[i], g.labels[j]) >= 0)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for first, last in portions(texts):
+                g = graph(texts[first:last], [base_spans(t) for t in texts[first:last]], 0)
+                shapes, labels = np.asarray(g.shapes), np.asarray(g.labels)
+                total.update(("shape", s, y) for s, y in zip(shapes[labels >= 0].tolist(), labels[labels >= 0].tolist(), strict=True))
+                for kind, edges in (("chain", g.chain), ("skip", g.skip)):
+                    a, b = labels[pair_rows(edges).T]
+                    total.update((kind, x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if min(x, y) >= 0)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int64()), pa.array([k[2] for k in total], pa.int64()), pa.array(list(total.values()), pa.int64())],
             names=["kind", "a", "b", "n"],
