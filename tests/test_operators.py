@@ -222,3 +222,59 @@ def test_a_huge_range_does_not_end_a_plan(spark):
     plan, actions = library.resolve_ranges(found, entries)
     assert plan.count() == 2 and sorted(r.op for r in actions.collect()) == ["move", "move", "rewrite"]
     assert [(r.id, r.missing) for r in library.incomplete_ranges(found).collect()] == [("l/S/S ch. 1-9999999999.cbz", "3-9999999999")]
+
+
+def walked(pairs, files, auto=0.9):
+    """The walk over pairs, one after another."""
+    gone, out = set(), []
+    for ratio, a, b in sorted(pairs, key=lambda x: (-x[0], x[1], x[2])):
+        if a in gone or b in gone:
+            continue
+        p, s = sorted((a, b), key=lambda n: (-files.get(n, 0), -len(n), n))
+        if ratio >= auto:
+            gone.add(s)
+        out.append((p, s, ratio, "auto" if ratio >= auto else "review"))
+    return out
+
+
+def test_absorption_in_rounds_equals_the_walk(spark):
+    """Random graphs with ties, and a name that absorbs hundreds in one round."""
+    import random
+
+    rng = random.Random(4)
+    pairs, counts, want = [], [], set()
+    for k in range(12):
+        names = [f"n{i}{'x' * rng.randrange(3)}" for i in range(25)]
+        files = {n: rng.choice((0, 1, 1, 2, 9)) for n in names if rng.random() < 0.9}
+        own = {(a, b): rng.choice((0.8, 0.85, 0.9, 0.92, 0.92, 0.95, 1.0)) for a in names for b in names if a < b and rng.random() < 0.3}
+        pairs += [(f"p{k}", a, b, r) for (a, b), r in own.items()]
+        counts += [(f"p{k}", n, c) for n, c in files.items()]
+        want |= {(f"p{k}", *x) for x in walked([(r, a, b) for (a, b), r in own.items()], files)}
+    hub = [(0.9 + i / 10_000, "hub", f"s{i:03}") for i in range(300)]
+    pairs += [("h", a, b, r) for r, a, b in hub]
+    counts.append(("h", "hub", 5))
+    want |= {("h", *x) for x in walked(hub, {"hub": 5})}
+    got = match.greedy(spark.createDataFrame(pairs, "parent string, name_a string, name_b string, ratio double"), spark.createDataFrame(counts, "parent string, name string, files long"))
+    rows = got.collect()
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+
+
+def test_candidates_lose_nothing_and_are_few(spark, monkeypatch):
+    """Equal to the double loop, with crowds dealt to several tasks; far fewer pairs than all."""
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(12)
+    monkeypatch.setattr(match, "PER_TASK", 7)
+    words = ["".join(rng.choice("etaoinshrdlucmfwypvbgkqjxz") for _ in range(rng.randrange(3, 9))) for _ in range(150)]
+    names = {" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))) for _ in range(300)}
+    for n in list(names)[:120]:
+        at = rng.randrange(len(n))
+        names.add(n[:at] + rng.choice("abc ") + n[at + 1 :])
+    names |= {"a", "b", "ab", "aa", "é", "日本語の名前"}
+    df = spark.createDataFrame([("p", n) for n in sorted(names)], "parent string, name string")
+    key = {r.name: r.key for r in df.select("name", N.compare_key(F.col("name")).alias("key")).collect() if r.key}
+    want = {(a, b) for a in key for b in key if a < b and SequenceMatcher(None, key[a], key[b]).ratio() >= 0.8}
+    assert {(r.name_a, r.name_b) for r in match.matches(df, "parent", "name").collect()} == want
+    found = match.candidates(df, "parent", "name")
+    assert found.count() == found.distinct().count() < len(key) * (len(key) - 1) / 2 / 20

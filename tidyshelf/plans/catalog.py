@@ -489,12 +489,49 @@ def fuzzy_edit(spark, sf_dir):
     return match.edit_matches(part_names(spark, sf_dir), "parent", "name")
 
 
-@query()
+def block_sql(a: str, b: str, alo: str, ahi: str, blo: str, bhi: str) -> str:
+    """The longest block that a[alo:ahi] and b[blo:bhi] share, of those the first in a: a struct (k, i) with i negative."""
+    part = f"substr({b}, CAST({blo} AS BIGINT) + 1, CAST({bhi} - {blo} AS BIGINT))"
+    return (
+        f"list_max(flatten(list_transform(range({alo}, {ahi}), lambda i: list_transform(range(1, least({ahi} - i, {bhi} - {blo}) + 1),"
+        f" lambda k: CASE WHEN contains({part}, substr({a}, i + 1, k)) THEN struct_pack(k := k, i := -i) END))))"
+    )
+
+
+#: The matching blocks of each pair, split left and right of the longest again and again.
+FUZZY_SQL = f"""
+WITH RECURSIVE n AS (SELECT DISTINCT p_type AS parent, p_name AS name FROM part UNION SELECT DISTINCT p_type, p_name || 's' FROM part WHERE p_size % 7 = 0),
+c AS (SELECT a.parent, a.name AS a, b.name AS b FROM n a JOIN n b ON a.parent = b.parent AND a.name < b.name WHERE 2.0 * least(length(a.name), length(b.name)) / (length(a.name) + length(b.name)) >= 0.8),
+s AS (
+  SELECT parent, a, b, CAST(0 AS BIGINT) AS alo, CAST(length(a) AS BIGINT) AS ahi, CAST(0 AS BIGINT) AS blo, CAST(length(b) AS BIGINT) AS bhi, {block_sql("a", "b", "0", "length(a)", "0", "length(b)")} AS m FROM c
+  UNION ALL
+  SELECT parent, a, b, x.alo, x.ahi, x.blo, x.bhi, {block_sql("a", "b", "x.alo", "x.ahi", "x.blo", "x.bhi")} FROM (
+    SELECT parent, a, b, unnest([struct_pack(alo := alo, ahi := -m.i, blo := blo, bhi := j), struct_pack(alo := m.k - m.i, ahi := ahi, blo := j + m.k, bhi := bhi)]) AS x
+    FROM (SELECT *, blo + strpos(substr(b, blo + 1, bhi - blo), substr(a, 1 - m.i, m.k)) - 1 AS j FROM s WHERE m IS NOT NULL)
+  ) WHERE x.alo < x.ahi AND x.blo < x.bhi
+), r AS (SELECT parent, a AS name_a, b AS name_b, 2.0 * sum(m.k) / (length(a) + length(b)) AS ratio FROM s WHERE m IS NOT NULL GROUP BY parent, a, b HAVING 2.0 * sum(m.k) / (length(a) + length(b)) >= 0.8)
+"""
+
+
+@query(FUZZY_SQL + "SELECT parent, name_a, name_b, CAST(ratio AS DOUBLE) AS ratio, CASE WHEN ratio >= 0.9 THEN 'auto' ELSE 'review' END AS decision FROM r")
 def fuzzy_match(spark, sf_dir):
     return match.matches(part_names(spark, sf_dir), "parent", "name")
 
 
-@query()
+@query(FUZZY_SQL + """, f AS (SELECT p_type AS parent, p_name AS name, count(*) AS files FROM part GROUP BY 1, 2),
+o AS (
+  SELECT r.parent, ratio, name_a, name_b, row_number() OVER (PARTITION BY r.parent ORDER BY ratio DESC, name_a, name_b) AS k,
+         coalesce(x.files, 0) > coalesce(y.files, 0) OR coalesce(x.files, 0) = coalesce(y.files, 0) AND (length(name_a) > length(name_b) OR length(name_a) = length(name_b) AND name_a < name_b) AS first
+  FROM r LEFT JOIN f x ON x.parent = r.parent AND x.name = name_a LEFT JOIN f y ON y.parent = r.parent AND y.name = name_b
+), w AS (
+  SELECT parent, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS gone, CAST(NULL AS VARCHAR) AS primary_name, CAST(NULL AS VARCHAR) AS secondary_name, CAST(NULL AS DOUBLE) AS ratio FROM (SELECT DISTINCT parent FROM o)
+  UNION ALL
+  SELECT o.parent, o.k, CASE WHEN passed OR o.ratio < 0.9 THEN gone ELSE list_append(gone, s) END, CASE WHEN NOT passed THEN p END, CASE WHEN NOT passed THEN s END, o.ratio
+  FROM (SELECT w.gone, o.*, list_contains(w.gone, name_a) OR list_contains(w.gone, name_b) AS passed, CASE WHEN first THEN name_a ELSE name_b END AS p, CASE WHEN first THEN name_b ELSE name_a END AS s
+        FROM w JOIN o ON o.parent = w.parent AND o.k = w.k + 1) o
+)
+SELECT parent, primary_name, secondary_name, ratio, CASE WHEN ratio >= 0.9 THEN 'auto' ELSE 'review' END AS decision FROM w WHERE primary_name IS NOT NULL
+""")
 def fuzzy_greedy(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
     counts = parts.groupBy(F.col("p_type").alias("parent"), F.col("p_name").alias("name")).agg(F.count(F.lit(1)).alias("files"))
