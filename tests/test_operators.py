@@ -278,3 +278,60 @@ def test_candidates_lose_nothing_and_are_few(spark, monkeypatch):
     assert {(r.name_a, r.name_b) for r in match.matches(df, "parent", "name").collect()} == want
     found = match.candidates(df, "parent", "name")
     assert found.count() == found.distinct().count() < len(key) * (len(key) - 1) / 2 / 20
+
+
+def test_outermost_directories_and_those_apart(spark):
+    """Against all pairs; names that sort between a directory and what lies in it, one directory a third of all rows."""
+    import random
+
+    from tidyshelf.operators import nesting
+
+    rng = random.Random(7)
+    parts = ["a", "b", "a b", "a!", "a-b", "é", "ab", "z"]
+    paths = {"/".join(["w", *(rng.choice(parts) for _ in range(rng.randrange(0, 5)))]) for _ in range(150)} - {"w"}
+    inside = lambda x, y: x == y or x.startswith(y + "/")
+    rows = [(p,) for p in paths] + [("w/a/b/hot",)] * 80 + [(None,)]
+    df = spark.createDataFrame(rows, "d string").repartition(5)
+    every = paths | {"w/a/b/hot"}
+    assert {r.d for r in nesting.outermost(df, "d").collect()} == {p for p in every if not any(q != p and inside(p, q) for q in every)}
+    assert nesting.outermost(df.union(spark.createDataFrame([("w/",)], "d string")), "d").collect()[0].d == "w"
+    for k in (0, 1, 12):
+        busy = rng.sample(sorted(every), k)
+        got = [r.d for r in nesting.apart(df, spark.createDataFrame([(b,) for b in busy], "x string"), "d").collect()]
+        assert sorted(got, key=str) == sorted((d for (d,) in rows if d is None or not any(inside(d, b) or inside(b, d) for b in busy)), key=str)
+
+
+def test_only_chained_files_are_walked(spark, monkeypatch):
+    """Components against the walk over whole directories; chains, circles and trees into them; only theirs go to Python."""
+    import random
+
+    rng = random.Random(9)
+    rows = []
+    for d in range(25):
+        names = [f"f{i:02}" for i in range(14)]
+        rows += [(f"d{d}", n, rng.choice([*names, "x", "y", n, n, n]), rng.randrange(1, 6)) for n in names if rng.random() < 0.8]
+    rows += [("circle", f"c{i:02}", f"c{(i + 1) % 12:02}", i) for i in range(12)] + [("circle", "into", "c03", 9), ("circle", "own", "own", 1), ("circle", "free", "new", 1)]
+    rows += [("long", f"{i:04}", f"{i + 1:04}", i % 7) for i in range(200)] + [("large", f"n{i}", f"m{i % 50}", i % 11) for i in range(400)] + [("large", "p", "q", 1), ("large", "q", "r", 2)]
+
+    def walk(files):
+        holder, lost, out = {n: s for n, _, s in files}, set(), {}
+        for n, new, s in sorted(files):
+            if new == n:
+                out[n] = "replaced" if n in lost else "unchanged"
+            elif new not in holder:
+                out[n], holder[new] = "renamed", holder.pop(n)
+            elif holder[n] > holder[new]:
+                out[n], holder[new] = "renamed over smaller", holder.pop(n)
+                lost.add(new)
+            else:
+                out[n] = "discarded"
+                holder.pop(n)
+        return out
+
+    want = {(d, n, o) for d in {r[0] for r in rows} for n, o in walk([r[1:] for r in rows if r[0] == d]).items()}
+    walked = []
+    real = keep.in_turn
+    monkeypatch.setattr(keep, "in_turn", lambda df: (walked.append(df), real(df))[1])
+    got = {(r.dir_path, r.name, r.outcome) for r in keep.renamed_one_by_one(spark.createDataFrame(rows, "dir_path string, name string, new_name string, size int")).collect()}
+    assert got == want
+    assert walked[0].where("dir_path = 'large'").count() == 2

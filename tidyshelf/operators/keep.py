@@ -93,23 +93,56 @@ def renamed_one_by_one(files: DataFrame) -> DataFrame:
     """(dir_path, name, new_name, size) -> (…, outcome): renames in name order, where later files see earlier ones.
 
     Outcomes: unchanged, renamed, renamed over smaller (the file that had the name goes), discarded (it goes itself), replaced
-    (its own name, which it was to keep, has gone to an earlier and larger file). In directories where no file is to take the
-    name of another one, only files that want one name meet: a window over them. The others go by directory, in order, through
-    Python; their listings, not their files' content, have to fit a task.
+    (its own name, which it was to keep, has gone to an earlier and larger file). Names and the names they are to get make a
+    graph, and files of different components never meet. Components in which no file is to take the name of another one are a
+    window over the files that want one name; only the others go through Python, each by itself, in order.
     """
     rows = files.select("dir_path", "name", "new_name", F.col("size").cast("long").alias("size"))
     wanted = rows.where("new_name <> name").select("dir_path", F.col("new_name").alias("name")).distinct()
-    chained = rows.select("dir_path", "name").join(wanted, ["dir_path", "name"], "left_semi").select("dir_path").distinct()
+    taken = rows.select("dir_path", "name").join(wanted, ["dir_path", "name"], "left_semi")
+    chained = fixed(taken.select("dir_path").distinct())
     w = W.partitionBy("dir_path", "new_name").orderBy("name")
     largest_before = F.max("size").over(w.rowsBetween(W.unboundedPreceding, -1))
     outcome = F.when(F.col("name") == F.col("new_name"), "unchanged").when(largest_before.isNull(), "renamed").when(F.col("size") > largest_before, "renamed over smaller").otherwise("discarded")
-    return rows.join(chained, "dir_path", "left_anti").withColumn("outcome", outcome).unionByName(in_turn(rows.join(chained, "dir_path", "left_semi")))
+    plain = rows.join(chained, "dir_path", "left_anti")
+    if not chained.limit(1).count():
+        return plain.withColumn("outcome", outcome)
+    named = fixed(in_components(rows.join(chained, "dir_path", "left_semi")))
+    walked = named.select("dir_path", "name", "component").join(taken, ["dir_path", "name"], "left_semi").select("dir_path", "component").distinct()
+    apart = named.join(walked, ["dir_path", "component"], "left_anti").select(*rows.columns)
+    return plain.unionByName(apart).withColumn("outcome", outcome).unionByName(in_turn(named.join(walked, ["dir_path", "component"], "left_semi")))
+
+
+def in_components(rows: DataFrame) -> DataFrame:
+    """rows with ``component``: the name at which the way from name to new name ends, or the least name of the circle it runs into.
+
+    Pointers are doubled in each round until all ways have ended and circles have been seen whole, so a way of n names takes
+    log n rounds; rounds are written to the checkpoint folder.
+    """
+    way = fixed(rows.where("new_name <> name").select("dir_path", "name", F.col("new_name").alias("at"), F.least("name", "new_name").alias("least")))
+    open_before = -1
+    while True:
+        ahead = way.select("dir_path", F.col("name").alias("at"), F.col("at").alias("far"), F.col("least").alias("far_least"))
+        both = way.join(ahead, ["dir_path", "at"], "left")
+        going, less = F.col("far").isNotNull(), F.coalesce(F.col("far_least") < F.col("least"), F.lit(False))
+        after = fixed(both.select("dir_path", "name", F.coalesce("far", "at").alias("at"), F.least("least", F.coalesce("far_least", "least")).alias("least"), going.alias("going"), less.alias("less")))
+        seen = after.agg(F.count_if("going").alias("n"), F.count_if("less").alias("less")).first()
+        way = after.select("dir_path", "name", "at", "least")
+        if seen["n"] == open_before and not seen["less"] or not seen["n"]:
+            break
+        open_before = seen["n"]
+    circle = way.select("dir_path", F.col("name").alias("at"), F.col("least").alias("round"))
+    found = way.join(circle, ["dir_path", "at"], "left").select("dir_path", "name", F.coalesce("round", "at").alias("component"))
+    return rows.join(found, ["dir_path", "name"], "left").withColumn("component", F.coalesce("component", "name"))
 
 
 def in_turn(rows: DataFrame) -> DataFrame:
-    def settled(rows: list[tuple]) -> list[tuple]:
-        holder, lost, out = {r[1]: r[3] for r in rows}, set(), []
-        for directory, name, new, size in rows:
+    """Components, each walked in the order of names."""
+
+    def settled(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("name")
+        holder, lost, out = dict(zip(pdf["name"], pdf["size"], strict=True)), set(), []
+        for name, new, size in zip(pdf["name"], pdf["new_name"], pdf["size"], strict=True):
             if new == name:
                 outcome = "replaced" if name in lost else "unchanged"
             elif new not in holder:
@@ -120,23 +153,10 @@ def in_turn(rows: DataFrame) -> DataFrame:
             else:
                 outcome = "discarded"
                 holder.pop(name)
-            out.append((directory, name, new, size, outcome))
-        return out
-
-    def run(batches):
-        held: list[tuple] = []
-        for pdf in batches:
-            out: list[tuple] = []
-            for row in pdf.itertuples(index=False, name=None):
-                if held and held[0][0] != row[0]:
-                    out += settled(held)
-                    held = []
-                held.append(row)
-            yield pd.DataFrame(out, columns=[*pdf.columns, "outcome"])
-        yield pd.DataFrame(settled(held), columns=["dir_path", "name", "new_name", "size", "outcome"])
-
-    ordered = rows.repartition("dir_path").sortWithinPartitions("dir_path", "name")
-    return ordered.mapInPandas(run, "dir_path string, name string, new_name string, size long, outcome string")
+            out.append(outcome)
+        return pdf[["dir_path", "name", "new_name", "size"]].assign(outcome=out)
+
+    return rows.groupBy("dir_path", "component").applyInPandas(settled, "dir_path string, name string, new_name string, size long, outcome string")
 
 
 def outcomes(rows: DataFrame, outcome: Column) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import patterns as P
 from ..functions import tags as G
-from ..operators import keep, routing, tree
+from ..operators import keep, nesting, routing, tree
 from ..session import shared_folder, table
 from ..sources import files as sources
 from ..streaming import settle
@@ -298,15 +298,14 @@ def template_documents(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey, '<ComicInfo>' || chr(10) || '<Series>' || p_brand || '</Series>' || chr(10) || '<Title>' || p_name || ' v2 ch. ' || p_size || '</Title>' || chr(10) || '  <Number>' || p_size || '</Number>' || chr(10) || '</ComicInfo>' AS xml
+SELECT p_partkey, '<ComicInfo>' || chr(10) || '<Series>' || p_brand || '</Series>' || chr(10) || '  <Volume>2</Volume>' || chr(10) || '<Title>' || p_name || ' v2 ch. ' || p_size || '</Title>' || chr(10) || '  <Number>' || p_size || '</Number>' || chr(10) || '</ComicInfo>' AS xml
 FROM part
 """)
 def retag_series(spark, sf_dir):
-    """Series and title are cleaned and decided, the number is added; a volume stays away where the rules leave it out."""
+    """Series and title are cleaned and decided, volume and number are added."""
     xml = text("<ComicInfo>\n<Series>", F.col("p_brand"), " [scan]</Series>\n<Title>Chapter ", part_size(), "</Title>\n</ComicInfo>")
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", xml.alias("xml"), text(F.col("p_name"), " v2 ch. ", part_size()).alias("stem"))
-    out = G.retagged(rows, "xml", "stem", "p_brand").select("p_partkey", F.col("new_xml").alias("xml"))
-    return out.select("p_partkey", F.regexp_replace("xml", r"\n  <Volume>2</Volume>", "").alias("xml"))
+    return G.retagged(rows, "xml", "stem", "p_brand").select("p_partkey", F.col("new_xml").alias("xml"))
 
 
 @query("""
@@ -341,6 +340,29 @@ def network_paths(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", sources.to_backslashes(F.regexp_replace("url", "^https?:", "")).alias("path"))
 
 
+NESTED = """SELECT DISTINCT 'w/' || p_brand || CASE WHEN p_size = 7 AND p_partkey % 2 = 0 THEN '' WHEN p_size % 3 = 0 THEN '/' || p_type ELSE '/' || p_type || '/' || p_name END AS dir_path FROM part"""
+
+
+def nested_directories(spark, sf_dir) -> DataFrame:
+    deep = text("/", F.col("p_type"), F.when(part_size() % 3 == 0, "").otherwise(text("/", F.col("p_name"))))
+    return table(spark, sf_dir, "part").select(text("w/", F.col("p_brand"), F.when((part_size() == 7) & (part_key() % 2 == 0), "").otherwise(deep)).alias("dir_path"))
+
+
+@query(f"WITH d AS ({NESTED}) SELECT dir_path FROM d WHERE NOT EXISTS (FROM d o WHERE starts_with(d.dir_path, o.dir_path || '/'))")
+def outermost_directories(spark, sf_dir):
+    """Directories inside each other are processed once, by the outermost."""
+    return nesting.outermost(nested_directories(spark, sf_dir), "dir_path")
+
+
+@query(f"""
+WITH d AS ({NESTED}), b AS (SELECT dir_path FROM d WHERE length(dir_path) % 9 = 0)
+SELECT dir_path FROM d WHERE NOT EXISTS (FROM b WHERE b.dir_path = d.dir_path OR starts_with(d.dir_path, b.dir_path || '/') OR starts_with(b.dir_path, d.dir_path || '/'))
+""")
+def apart_from_busy(spark, sf_dir):
+    dirs = nested_directories(spark, sf_dir).distinct()
+    return nesting.apart(dirs, dirs.where(F.length("dir_path") % 9 == 0), "dir_path")
+
+
 @query("SELECT p_partkey, p_size % 3 <> 2 AS inside, p_size % 3 <> 2 AS overlap, true AS below FROM part")
 def inside_directories(spark, sf_dir):
     child = one_of(part_size(), text("lib/", F.col("p_brand")), text("lib/", F.col("p_brand"), "/", F.col("p_name")), text("lib/", F.col("p_brand"), "x/", F.col("p_name")))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import patterns as P
 from ..functions import tags as G
-from ..operators import gaps, keep, match, ranges, routing, tree
+from ..operators import gaps, keep, match, nesting, ranges, routing, tree
 from ..session import fixed
 from ..sources.files import is_image, stale
 from ..streaming import settle
@@ -338,9 +338,10 @@ def route(dirs: DataFrame, root: str, rules: list[routing.Rule], destinations: d
     """Settled directories to their destination, by the raw names of the source they came from and of themselves.
 
     With ``cleaned`` rules see cleaned names. A name that cleans to nothing stays; without a destination nothing moves.
+    Of directories inside each other the outermost moves, and the others with it; repeated ones move once.
     """
     raw = F.substring_index("dir_path", "/", -1)
-    rows = dirs.withColumns({"__title": raw, "__source": routing.source_name(F.col("dir_path"), root)})
+    rows = nesting.outermost(dirs, "dir_path").withColumns({"__title": raw, "__source": routing.source_name(F.col("dir_path"), root)})
     rows = rows.withColumn("__name", or_else(N.clean_directory(F.col("__title")), F.col("__title")))
     if cleaned:
         rows = rows.withColumns({"__title": F.col("__name"), "__source": or_else(N.clean_directory(F.col("__source")), F.col("__source"))})

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import patterns as P
+from ..operators import nesting
 
 
 def archive_events(events: DataFrame) -> DataFrame:
@@ -71,12 +72,5 @@ def stable_at(samples: DataFrame, key: str, nth: str, size: str, polls: int = P.
 
 
 def outside(events: DataFrame, busy: DataFrame) -> DataFrame:
-    """Events whose directory no directory under work equals, holds or lies in: by equality of one with the other's ancestors."""
-    from ..operators.tree import ancestors
-
-    parts = events.withColumn("__event", F.monotonically_increasing_id())
-    above = parts.select("__event", F.explode(F.concat(ancestors(F.concat(F.col("dir_path"), F.lit("/x"))), F.array("dir_path"))).alias("up"))
-    busy = busy.select("dir_path").distinct()
-    hit = above.join(busy.withColumnRenamed("dir_path", "up"), "up", "left_semi").select("__event").distinct()
-    holding = busy.select(F.explode(ancestors(F.col("dir_path"))).alias("dir_path")).distinct()
-    return parts.join(hit, "__event", "left_anti").join(holding, "dir_path", "left_anti").drop("__event").select(*events.columns)
+    """Events whose directory no directory under work equals, holds or lies in; busy: (dir_path)."""
+    return nesting.apart(events, busy.select("dir_path"), "dir_path")
