@@ -83,3 +83,45 @@ def test_retagging(spark):
     assert "<Title>Bat</Title>" in batch[2] and "<Number>3</Number>" in batch[2] and batch[3] is None
     live = {r.i: r.new_xml for r in G.retagged(rows, "xml", "stem", "parent", "live").collect()}
     assert "<Volume>" not in live[1] and "<Title></Title>" in live[2] and live[3] is None
+
+
+def test_entities_as_html_readers_see_them(spark):
+    import html
+    import random
+
+    rng = random.Random(2)
+    names = ["amp", "lt;", "gt", "quot;", "copy", "copyx", "notit;", "notin;", "nbsp;", "Aacute", "hellip;", "fjlig;", "bne;", "zz;", "no", "AMP", "CounterClockwiseContourIntegral;", "not", "&", ""]
+    codes = ["#38;", "#038", "#x26;", "#X26", "#0;", "#x0", "#128;", "#x80;", "#129;", "#13;", "#11;", "#1;", "#55296;", "#xD800;", "#1114112;", "#99999999999999999999;", "#xFFFFFFFFFF;", "#x1F642;", "#65534;", "#x1FFFE;", "#64976;", "#", "#x", "#x;", "#;", "#12a"]
+    texts = [f"a &{x} b" for x in names + codes] + ["&amp;lt;", "&&amp;&", "no entity", "", "x&", None]
+    texts += ["".join(rng.choice(["&", "amp", ";", "#", "x", "4", "1", "lt", "copy", " ", "é", "<", "n"]) for _ in range(rng.randrange(12))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", N.unescape(F.col("t")).alias("u")).collect():
+        assert r.u == (html.unescape(r.t) if r.t is not None else None), r.t
+    assert "Python" not in df.select(N.sanitize(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tokens_rewritten_one_by_one(spark):
+    """Against replacing with a function, match by match."""
+    import random
+    import re
+
+    from tidyshelf.functions import patterns as P
+
+    token = re.compile(P.NUMBER_TOKEN.replace("(?iU)", ""), re.IGNORECASE)
+    label = re.compile(rf"({P.LABEL}\.?\s*\d+(?:\.\d+)?)\s+{P.LABEL}\.?\s*(\d+(?:\.\d+)?)", re.IGNORECASE)
+
+    def plain(m):
+        try:
+            n = float(m[2])
+        except ValueError:
+            return m[0]
+        return m[1] + (str(int(n)) if n == int(n) else str(n))
+
+    once = lambda m: m[1] if re.search(r"\d+(?:\.\d+)?", m[1])[0] == m[2] else m[0]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["ch", "Ch.", " ", "  ", "v", "vol", "ep ", "part", "0", "00", "5", "12", ".", ".50", "x", "-", "issue", "１２", "٥"]) for _ in range(rng.randrange(14))) for _ in range(600)] + ["", None, "ch 1 ch 2 ch 2", "v1 v1 v1", "ch. 99999999999999999999"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", N.number_tokens(F.col("t")).alias("n"), N.label_once(F.col("t")).alias("l")).collect():
+        if r.t is None or len(re.sub(r"\D", "", r.t)) < 16:
+            assert r.n == (token.sub(plain, r.t) if r.t is not None else None), r.t
+        assert r.l == (label.sub(once, r.t) if r.t is not None else None), r.t

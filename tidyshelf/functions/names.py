@@ -1,14 +1,15 @@
 """Names as columns: cleaning, numbers in names, and the keys by which names are compared.
 
-Everything is built from Spark functions but three steps that they cannot express (HTML entities, Unicode decomposition,
-number tokens rewritten one by one), which are Arrow UDFs over whole batches.
+Everything is built from Spark functions but Unicode decomposition, an Arrow UDF over whole batches. Tokens that are rewritten one
+by one are split out, rewritten as an array and joined again.
 """
 
 from __future__ import annotations
 
-import html
-import re
+import json
 import unicodedata
+from collections.abc import Callable
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,17 +38,60 @@ def chosen_rules(raw: str | None) -> frozenset[str]:
     return P.RULES & asked if asked else P.RULES
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: html.unescape(x) if x is not None and "&" in x else x)
+def bound(c: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of c, where c is worked out once however often fn names it."""
+    return F.get(F.transform(F.array(c), fn), F.lit(0))
+
+
+def rewritten(c: Column, pattern: str, fn: Callable[..., Column], groups: tuple[int, ...] = (0,)) -> Column:
+    """c with each match of pattern replaced by fn(its groups, ...): split at the matches, rewritten, joined again."""
+
+    def replaced(text: Column) -> Column:
+        parts = F.array(F.split(text, pattern, -1), *(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in groups))
+        joined = lambda p: F.concat(F.get(p[0], F.lit(0)), F.array_join(F.transform(p[1], lambda _, i: F.concat(fn(*(F.get(p[k + 1], i) for k in range(len(groups)))), F.get(p[0], i + 1))), ""))
+        return F.when(text.rlike(pattern), bound(parts, joined)).otherwise(text)
+
+    return bound(c, replaced)
+
+
+#: An entity as HTML readers see it: a number, or a name of up to 32 characters.
+ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+#: Numbers that stand for characters of an old code page, as pages were written with it.
+WINDOWS = {13: "\r"} | {k: bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(0x80, 0xA0)}
+
+
+def of_code(n: Column) -> Column:
+    """The character of a code point, after the rules for numbers in HTML."""
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    cp1252 = F.create_map(*(F.lit(x) for k, v in WINDOWS.items() for x in (k, v)))
+    nothing = (n.between(1, 8) | n.between(0xE, 0x1F) | n.between(0x7F, 0x9F) | n.between(0xFDD0, 0xFDEF) | (n == 0xB) | (n.bitwiseAND(0xFFFE) == 0xFFFE))
+    odd = n.isNull() | (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    return F.when(odd, "\ufffd").when(cp1252[n.cast("int")].isNotNull(), cp1252[n.cast("int")]).when(nothing, "").otherwise(char)
+
+
+def entity(s: Column) -> Column:
+    """An entity's characters: by number, by its name, or by the longest of the old names that need no semicolon; else itself."""
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    old = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+    name = s.substr(F.lit(2), F.length(s))
+    short = F.regexp_extract(name, f"^(?:{old})", 0)
+    code = F.when(s.rlike("^&#[xX]"), F.conv(F.regexp_extract(s, "^&#[xX]0*([0-9a-fA-F]{1,8})(?![0-9a-fA-F])", 1), 16, 10)).otherwise(F.regexp_extract(s, "^&#0*([0-9]{1,12})(?![0-9])", 1))
+    zero = s.rlike("^&#[xX]?0+;?$")
+    number = F.when(zero, F.lit(0).cast("long")).otherwise(F.nullif(code, F.lit("")).cast("long"))
+    return (
+        F.when(s.startswith("&#"), of_code(number))
+        .otherwise(F.coalesce(F.try_element_at(names, name), F.when(short != "", F.concat(F.try_element_at(names, short), name.substr(F.length(short) + 1, F.length(name)))), s))
+    )
 
 
 def unescape(c: Column, full: bool = True) -> Column:
-    """Entities as characters: all of them, or only the five of XML without leaving the JVM."""
+    """Entities as characters: all of them, or only the five of XML."""
     if full:
-        return _unescape(c)
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
+        return rewritten(c, ENTITY, entity)
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(name), F.lit(char))
     return c
 
 
@@ -153,21 +197,20 @@ def renamed_for_range(c: Column, start: Column, end: Column) -> Column:
     return F.when(head == "", F.concat(c, F.lit(" "), text)).otherwise(F.concat(head, text, rest))
 
 
-def _plain(m: re.Match) -> str:
-    try:
-        n = float(m[2])
-    except ValueError:
-        return m[0]
-    return m[1] + (str(int(n)) if n == int(n) else str(n))
+#: Digits of other scripts, in the order of their values.
+DIGITS = "".join(chr(z + i) for z in (0x660, 0x6F0, 0x966, 0xFF10) for i in range(10))
 
 
-_NUMBER_TOKEN = re.compile(P.NUMBER_TOKEN.replace("(?iU)", ""), re.IGNORECASE)
+def plain_number(text: Column) -> Column:
+    """A number without needless zeros: 005 as 5, 1.50 as 1.5, 2.0 as 2; null for what is no number, such as 1.2.3."""
+    text = F.translate(text, DIGITS, "0123456789" * 4)
+    bare = F.regexp_replace(F.regexp_replace(text, r"^0+(?=\d)", ""), r"\.0*$|(?<=\.\d{0,30}[1-9])0+$", "")
+    return F.when(text.rlike(r"^[0-9]+(?:\.[0-9]*)?$"), bare)
 
 
-@F.pandas_udf(T.StringType())
-def number_tokens(s: pd.Series) -> pd.Series:
+def number_tokens(c: Column) -> Column:
     """ch. 005 as ch. 5, 1.50 as 1.5; what is no number stays."""
-    return s.map(lambda x: _NUMBER_TOKEN.sub(_plain, x) if x is not None else x)
+    return rewritten(c, P.NUMBER_TOKEN, lambda all_, label, number: F.coalesce(F.concat(label, plain_number(number)), all_), (0, 1, 2))
 
 
 def trimmed(c: Column) -> Column:
@@ -246,21 +289,17 @@ def has_marker(c: Column) -> Column:
 
 # ---- repeated tokens
 
-_DUP_LABEL = re.compile(rf"({P.LABEL}\.?\s*\d+(?:\.\d+)?)\s+{P.LABEL}\.?\s*(\d+(?:\.\d+)?)", re.IGNORECASE)
-_FIRST_NUMBER = re.compile(r"\d+(?:\.\d+)?")
+DUP_LABEL = rf"(?iU)({P.LABEL}\.?\s*\d+(?:\.\d+)?)\s+{P.LABEL}\.?\s*(\d+(?:\.\d+)?)"
 
 
-@F.pandas_udf(T.StringType())
-def _label_once(s: pd.Series) -> pd.Series:
-    def once(m: re.Match) -> str:
-        return m[1] if _FIRST_NUMBER.search(m[1])[0] == m[2] else m[0]
-
-    return s.map(lambda x: _DUP_LABEL.sub(once, x) if x is not None else x)
+def label_once(c: Column) -> Column:
+    """A labelled number that follows itself, once; labels need not be the same."""
+    return rewritten(c, DUP_LABEL, lambda all_, first, number: F.when(F.regexp_extract(first, r"(?U)\d+(?:\.\d+)?", 0) == number, first).otherwise(all_), (0, 1, 2))
 
 
 def without_repeats(c: Column) -> Column:
     """Repeated labelled or bare numbers once, spaced punctuation closed up, lone-sided hyphens joined, single spaces."""
-    c = F.regexp_replace(_label_once(c), r"(?U)\b(\d+(?:\.\d+)?)\s+\1\b", "$1")
+    c = F.regexp_replace(label_once(c), r"(?U)\b(\d+(?:\.\d+)?)\s+\1\b", "$1")
     c = F.regexp_replace(c, r"(?<=([!?.])) +(?=\1)", "")
     c = F.regexp_replace(F.regexp_replace(c, r"(?U)(\S) -(\S)", "$1-$2"), r"(?U)(\S)- (\S)", "$1-$2")
     return strip(F.regexp_replace(c, "  +", " "))

@@ -273,6 +273,13 @@ def range_extract(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", start.alias("start"), end.alias("end"))
 
 
+@query("SELECT p_partkey, p_name || ' é–A' || chr(8230) || ' © ' || p_size || ' &x; <' || chr(9786) || '&' || p_brand AS name FROM part")
+def entity_names(spark, sf_dir):
+    """Entities by name, by number, by old names without a semicolon; unknown ones stay."""
+    name = text(F.col("p_name"), " &eacute;&#8211;&#x41;&hellip; &copy ", part_size(), " &x; &lt;&#x263A;&amp", F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", N.unescape(name).alias("name"))
+
+
 @query("SELECT p_partkey, p_partkey % 5 <> 3 AS generic FROM part")
 def generic_stems(spark, sf_dir):
     stem = one_of(part_key(), text(" Chapter ", part_size()), text("ep. ", part_size()), text(part_size()), text(F.col("p_name"), " ", part_size()), text("Vol.", part_size(), " "))

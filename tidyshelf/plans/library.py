@@ -98,7 +98,7 @@ def with_ranges(rows: DataFrame, directory: str) -> DataFrame:
     Judged by new_name. Of files with one number the last counts; a file that has the range's name already wins over an
     equally large one. rows: contested; those that do not stay take no part.
     """
-    rows = rows.withColumn("number", F.when(F.col("stays"), N.chapter(N.stem(F.col("new_name")))))
+    rows = fixed(rows.withColumn("number", F.when(F.col("stays"), N.chapter(N.stem(F.col("new_name"))))))
     numbered = rows.where("number is not null")
     last = numbered.groupBy(directory, "number").agg(F.max_by("path", F.struct("new_name", "path")).alias("path"))
     found = ranges.suspects(last, directory, "number").withColumnRenamed("suspect", "number").join(last, [directory, "number"]).select("path", "start", "end")
@@ -126,14 +126,14 @@ def clean(files: DataFrame, metadata: DataFrame, done: DataFrame | None = None,
 
     Names are settled as the directories will be once they are renamed and merged. Each file has at most one rename or
     delete and one rewrite, by its path of now; the live profile looks for no ranges. Files of size 0, and those an earlier
-    run has done, are left alone.
+    run has done, are left alone. Names and who keeps them are worked out once, and written to the checkpoint folder.
     """
     todo = files.where((F.col("size") > 0) & (F.col("ext") == ".cbz"))
     if done is not None:
         todo = tree.not_done(todo, done.withColumnRenamed("p", "path"), "path")
-    todo = with_new_name(todo, rules, profile, number_nameless).withColumn("to", under(F.col("parent_path"), F.col("new_dir")))
+    todo = fixed(with_new_name(todo, rules, profile, number_nameless).withColumn("to", under(F.col("parent_path"), F.col("new_dir"))))
     rows = contested(todo, "to", profile)
-    rows = with_ranges(rows, "to") if profile == "batch" else rows.withColumns({"start": F.lit(None).cast("double"), "end": F.lit(None).cast("double")})
+    rows = fixed(with_ranges(rows, "to")) if profile == "batch" else rows.withColumns({"start": F.lit(None).cast("double"), "end": F.lit(None).cast("double")})
     plans = [directory_actions(files, todo.select("dir_path", "to").distinct()), name_actions(rows)]
     if "comicinfo" in rules:
         rows = rows.where("stays").join(readable(metadata), "path", "left").where("readable is null or readable").drop("readable")
@@ -230,7 +230,7 @@ def merge_groups(files: DataFrame, metadata: DataFrame | None = None) -> DataFra
     with metadata the documents: series, title, volume and number by the names that files have in the merged directory.
     Only archives are merged: each other file of a directory that ends is a deletion of its own.
     """
-    inside = merged_directories(files)
+    inside = fixed(merged_directories(files))
     rows = files.where(F.col("ext") == ".cbz").join(inside, "dir_path")
     generic = N.is_generic_stem(F.col("stem")) & (F.col("dir_path") == F.col("up")) & (F.col("up") != F.col("to"))
     w = W.partitionBy("dir_path", generic)
@@ -238,7 +238,7 @@ def merge_groups(files: DataFrame, metadata: DataFrame | None = None) -> DataFra
     named = F.when(generic, F.concat("top_name", F.when(several, F.concat(F.lit(" "), nth)).otherwise(""), F.col("ext"))).otherwise(F.col("name"))
     best = W.partitionBy("to", "new_name").orderBy(F.desc("size"), (F.col("dir_path") == F.col("to")).desc(), "path")
     rows = rows.withColumn("new_name", named).withColumn("stays", F.row_number().over(best) == 1)
-    rows = with_ranges(rows.withColumn("merged_stem", N.stem(F.col("new_name"))), "to").withColumn("dest", under(F.col("to"), F.col("new_name")))
+    rows = fixed(with_ranges(rows.withColumn("merged_stem", N.stem(F.col("new_name"))), "to").withColumn("dest", under(F.col("to"), F.col("new_name"))))
     plans = [
         keep.actions(rows.where("stays and path <> dest"), "move", F.col("path"), F.col("dest"), "merged series", F.col("size")),
         keep.actions(rows.where("not stays"), "delete", F.col("path"), None, "smaller file of the same name", F.col("size")),
