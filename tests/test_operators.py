@@ -332,6 +332,8 @@ def test_only_chained_files_are_walked(spark, monkeypatch):
     walked = []
     real = keep.in_turn
     monkeypatch.setattr(keep, "in_turn", lambda df: (walked.append(df), real(df))[1])
-    got = {(r.dir_path, r.name, r.outcome) for r in keep.renamed_one_by_one(spark.createDataFrame(rows, "dir_path string, name string, new_name string, size int")).collect()}
-    assert got == want
-    assert walked[0].where("dir_path = 'large'").count() == 2
+    df = spark.createDataFrame(rows, "dir_path string, name string, new_name string, size int")
+    for whole in (0, 20, 1000):
+        got = {(r.dir_path, r.name, r.outcome) for r in keep.renamed_one_by_one(df, whole).collect()}
+        assert got == want
+    assert [w.where("dir_path = 'large'").count() for w in walked] == [2, 2, 402]

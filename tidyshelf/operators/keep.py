@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import pairwise
 from operator import and_
 
 import pandas as pd
@@ -89,13 +90,14 @@ def generic_numbering(files: DataFrame, directory: str, order: str, generic: Col
     return rows.withColumns({"nth": nth, "new_name": F.when(several, F.concat(dir_name, F.lit(" "), nth)).otherwise(dir_name)})
 
 
-def renamed_one_by_one(files: DataFrame) -> DataFrame:
+def renamed_one_by_one(files: DataFrame, whole: int = 1000) -> DataFrame:
     """(dir_path, name, new_name, size) -> (…, outcome): renames in name order, where later files see earlier ones.
 
     Outcomes: unchanged, renamed, renamed over smaller (the file that had the name goes), discarded (it goes itself), replaced
     (its own name, which it was to keep, has gone to an earlier and larger file). Names and the names they are to get make a
     graph, and files of different components never meet. Components in which no file is to take the name of another one are a
-    window over the files that want one name; only the others go through Python, each by itself, in order.
+    window over the files that want one name; only the others go through Python, each by itself, in order. Directories of at
+    most ``whole`` files are walked as they are, which comes to the same.
     """
     rows = files.select("dir_path", "name", "new_name", F.col("size").cast("long").alias("size"))
     wanted = rows.where("new_name <> name").select("dir_path", F.col("new_name").alias("name")).distinct()
@@ -107,10 +109,15 @@ def renamed_one_by_one(files: DataFrame) -> DataFrame:
     plain = rows.join(chained, "dir_path", "left_anti")
     if not chained.limit(1).count():
         return plain.withColumn("outcome", outcome)
-    named = fixed(in_components(rows.join(chained, "dir_path", "left_semi")))
+    crowds = rows.join(chained, "dir_path", "left_semi").groupBy("dir_path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole).select("dir_path")
+    crowds = fixed(crowds)
+    few = rows.join(chained.join(crowds, "dir_path", "left_anti"), "dir_path", "left_semi").withColumn("component", F.lit(""))
+    if not crowds.limit(1).count():
+        return plain.withColumn("outcome", outcome).unionByName(in_turn(few))
+    named = fixed(in_components(rows.join(crowds, "dir_path", "left_semi")))
     walked = named.select("dir_path", "name", "component").join(taken, ["dir_path", "name"], "left_semi").select("dir_path", "component").distinct()
     apart = named.join(walked, ["dir_path", "component"], "left_anti").select(*rows.columns)
-    return plain.unionByName(apart).withColumn("outcome", outcome).unionByName(in_turn(named.join(walked, ["dir_path", "component"], "left_semi")))
+    return plain.unionByName(apart).withColumn("outcome", outcome).unionByName(in_turn(few.unionByName(named.join(walked, ["dir_path", "component"], "left_semi").select(*few.columns))))
 
 
 def in_components(rows: DataFrame) -> DataFrame:
@@ -136,27 +143,45 @@ def in_components(rows: DataFrame) -> DataFrame:
     return rows.join(found, ["dir_path", "name"], "left").withColumn("component", F.coalesce("component", "name"))
 
 
+def walk(names: list[str], wanted: list[str], sizes: list[int]) -> list[str]:
+    """The outcomes of one component's files, in the order of names."""
+    holder, lost, out = dict(zip(names, sizes, strict=True)), set(), []
+    for name, new in zip(names, wanted, strict=True):
+        if new == name:
+            outcome = "replaced" if name in lost else "unchanged"
+        elif new not in holder:
+            outcome, holder[new] = "renamed", holder.pop(name)
+        elif holder[name] > holder[new]:
+            outcome, holder[new] = "renamed over smaller", holder.pop(name)
+            lost.add(new)
+        else:
+            outcome = "discarded"
+            holder.pop(name)
+        out.append(outcome)
+    return out
+
+
 def in_turn(rows: DataFrame) -> DataFrame:
-    """Components, each walked in the order of names."""
-
-    def settled(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("name")
-        holder, lost, out = dict(zip(pdf["name"], pdf["size"], strict=True)), set(), []
-        for name, new, size in zip(pdf["name"], pdf["new_name"], pdf["size"], strict=True):
-            if new == name:
-                outcome = "replaced" if name in lost else "unchanged"
-            elif new not in holder:
-                outcome, holder[new] = "renamed", holder.pop(name)
-            elif holder[name] > holder[new]:
-                outcome, holder[new] = "renamed over smaller", holder.pop(name)
-                lost.add(new)
-            else:
-                outcome = "discarded"
-                holder.pop(name)
-            out.append(outcome)
-        return pdf[["dir_path", "name", "new_name", "size"]].assign(outcome=out)
-
-    return rows.groupBy("dir_path", "component").applyInPandas(settled, "dir_path string, name string, new_name string, size long, outcome string")
+    """Components, each walked in the order of names; rows are streamed, and only one component is held."""
+    columns = ["dir_path", "name", "new_name", "size"]
+
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            pdf = pd.concat([*held, pdf], ignore_index=True)
+            turn = (pdf["dir_path"].ne(pdf["dir_path"].shift()) | pdf["component"].ne(pdf["component"].shift())).to_numpy().nonzero()[0]
+            held = [pdf.iloc[turn[-1] :]]  # may go on in the next batch
+            yield settled(pdf.iloc[: turn[-1]], turn)
+        for pdf in held:
+            yield settled(pdf, [0, len(pdf)])
+
+    def settled(pdf: pd.DataFrame, bounds) -> pd.DataFrame:
+        names, wanted, sizes = (pdf[c].tolist() for c in columns[1:])
+        out = [o for a, b in pairwise(bounds) for o in walk(names[a:b], wanted[a:b], sizes[a:b])]
+        return pdf[columns].assign(outcome=pd.Series(out, index=pdf.index, dtype=object))
+
+    ordered = rows.repartition("dir_path", "component").sortWithinPartitions("dir_path", "component", "name")
+    return ordered.mapInPandas(run, "dir_path string, name string, new_name string, size long, outcome string")
 
 
 def outcomes(rows: DataFrame, outcome: Column) -> DataFrame:

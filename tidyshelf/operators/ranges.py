@@ -49,7 +49,8 @@ def intervals(first: Column, last: Column) -> Column:
         out = F.concat(out, F.when(low, cell(lo)).otherwise(none), F.when(high, cell(hi - 1)).otherwise(none))
         return F.struct(F.shiftright(F.when(low, lo + 1).otherwise(lo), 1).alias("lo"), F.shiftright(F.when(high, hi - 1).otherwise(hi), 1).alias("hi"), out.alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), start, up, lambda s: s["out"])
+    levels = F.length(F.bin(last - first + 1))  # as long as the longest interval that fits
+    return F.aggregate(F.sequence(F.lit(0), levels), start, up, lambda s: s["out"])
 
 
 def members(ranges: DataFrame, singles: DataFrame, series: str) -> DataFrame:

@@ -272,7 +272,8 @@ def resolve_ranges(files: DataFrame, entries: DataFrame, processed: str = "Proce
     written to the checkpoint folder once.
     """
     start, end = N.number_range(F.col("stem"))
-    rows = files.where(F.col("ext") == ".cbz").withColumns({"start": start, "end": end, "number": N.chapter(F.col("stem"))})
+    rows = files.where(F.col("ext") == ".cbz").select("dir_path", "path", start.alias("start"), end.alias("end"), N.chapter(F.col("stem")).alias("number"))
+    rows = fixed(rows)
     spans = rows.where("start is not null").select(F.col("dir_path").alias("series"), F.col("path").alias("id"), "start", "end")
     singles = rows.where("start is null and number is not null").groupBy(F.col("dir_path").alias("series"), "number").agg(F.max("path").alias("path"))
     found = fixed(ranges.members(spans, singles, "series"))
