@@ -337,3 +337,31 @@ def test_only_chained_files_are_walked(spark, monkeypatch):
         got = {(r.dir_path, r.name, r.outcome) for r in keep.renamed_one_by_one(df, whole).collect()}
         assert got == want
     assert [w.where("dir_path = 'large'").count() for w in walked] == [2, 2, 402]
+
+
+def test_resumed_runs_skip_what_is_done(spark, monkeypatch):
+    """By bitmaps, few and many hits, and by the plain join; null paths, repeated lines, an empty log."""
+    todo = spark.createDataFrame([(f"p/{i}", i) for i in range(3000)] + [(None, -1), ("p/7", 7)], "path string, __bits int")
+    done = spark.createDataFrame([(f"p/{i}",) for i in range(0, 9000, 3)] + [("p/3",), (None,)], "path string")
+    want = sorted([(f"p/{i}", i) for i in range(3000) if i % 3] + [(None, -1), ("p/7", 7)], key=str)
+    for name, most in (("MOST_PATHS", 100_000), ("MOST_PATHS", 10), ("MOST_BITMAPS", 0)):
+        monkeypatch.setattr(tree, name, most)
+        got = tree.not_done(todo.withColumnRenamed("__bits", "n"), done, "path")
+        assert got.columns == ["path", "n"] and sorted(map(tuple, got.collect()), key=str) == want
+    assert tree.not_done(todo.withColumnRenamed("__bits", "n"), done.limit(0), "path").count() == todo.count()
+
+
+def test_compacted_logs(spark, tmp_path):
+    log = f"file://{tmp_path}/log"
+    for _ in range(3):
+        files.log_progress(spark.createDataFrame([("a",), ("b",)], "p string"), log)
+    files.compact_progress(spark, log)
+    assert sorted(r.p for r in files.progress(spark, log).collect()) == ["a", "b"] and spark.read.text(log).count() == 2
+
+
+def test_long_digit_runs_and_null_keys(spark):
+    names = ["a2", "a10", "a" + "0" * 30 + "3", "a" + "1" * 23, "a" + "1" * 22 + "2", "a" + "9" * 21, "a-1", "b1", "ComicInfo.xml"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").withColumn("k", tree.natural_key(F.col("n")))
+    assert [r.n for r in df.orderBy("k").collect()] == ["ComicInfo.xml", "a-1", "a2", "a" + "0" * 30 + "3", "a10", "a" + "9" * 21, "a" + "1" * 23, "a" + "1" * 22 + "2", "b1"]
+    rows = spark.createDataFrame([(None, "x", 1), (None, "y", 2), ("k", "z", 1)], "key string, name string, size int")
+    assert [r.name for r in keep.losers(rows, ["key"], "size", "name").collect()] == ["x"]

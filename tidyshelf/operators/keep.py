@@ -44,9 +44,14 @@ def losers(files: DataFrame, keys: list[str], size: str, name: str, salts: int =
     best = files.groupBy(*keys).agg(F.max(F.col(size)).alias("__size"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
     spread = lambda df: df.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = files.withColumn("__salt", F.pmod(F.xxhash64(name, size), F.lit(salts)).cast("int"))
-    rows = rows.join(spread(best), [*keys, "__salt"])
+
+    def met(rows: DataFrame, table: DataFrame) -> DataFrame:  # a null key is a key like others
+        table = table.toDF(*(f"__k_{c}" if c in keys else c for c in table.columns[:-1]), "__s")
+        return rows.join(table, reduce(and_, (F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys), F.col("__salt") == F.col("__s"))).drop("__s", *(f"__k_{k}" for k in keys))
+
+    rows = met(rows, spread(best))
     first = rows.where(F.col(size) == F.col("__size")).groupBy(*keys).agg(F.min(name).alias("__name"))
-    return rows.join(spread(first), [*keys, "__salt"]).where((F.col(size) < F.col("__size")) | (F.col(name) != F.col("__name"))).select(*files.columns)
+    return met(rows, spread(first)).where((F.col(size) < F.col("__size")) | (F.col(name) != F.col("__name"))).select(*files.columns)
 
 
 def merged(existing: DataFrame, incoming: DataFrame, keys: list[str], size: str, order: str) -> DataFrame:

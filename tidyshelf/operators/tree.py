@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..session import fixed
 
 
 def ancestors(path: Column) -> Column:
@@ -59,16 +60,45 @@ def marker_pairs(names: DataFrame, name: str, decompose: bool = True) -> DataFra
     return rows.where("marked").select(F.col("name").alias("marked"), "key").join(plain, "key", "left").select("marked", "plain", "key")
 
 
+#: Bits of one of Spark's bitmaps, bits for each path of a log, and the most bitmaps that are sent to every task (32 MB).
+BITS, BITS_A_PATH, MOST_BITMAPS = 32_768, 8, 8192
+#: Paths that are sent to every task.
+MOST_PATHS = 100_000
+
+
 def not_done(candidates: DataFrame, done: DataFrame, path: str) -> DataFrame:
-    """What an interrupted run has left to do."""
-    return candidates.join(done.select(path).where(F.col(path).isNotNull()).distinct(), path, "left_anti")
+    """What an interrupted run has left to do; candidates without a path stay.
+
+    Bitmaps of the log's hashed paths tell of most new candidates that the log cannot hold them, without a shuffle. Only
+    possible hits meet the log exactly: few are sent to where the log is read, many are joined with it. A log too long for
+    bitmaps of a bounded size is joined as a whole.
+    """
+    log = done.select(path).where(F.col(path).isNotNull())
+    buckets = max(1, -(-log.count() * BITS_A_PATH // BITS))
+    if buckets > MOST_BITMAPS:
+        return candidates.join(log.distinct(), path, "left_anti")
+    place = F.pmod(F.xxhash64(F.col(path).cast("string")), F.lit(buckets * BITS))
+    bucket, bit = F.floor(place / BITS).cast("int"), place % BITS
+    maps = log.groupBy(bucket.alias("__bucket")).agg(F.bitmap_construct_agg(bit).alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = candidates.join(F.broadcast(maps), bucket == F.col("__bucket"), "left")
+    maybe = F.coalesce(F.getbit(byte, bit % 8) == 1, F.lit(False))
+    hits = fixed(rows.where(maybe).select(path).distinct())
+    if hits.limit(MOST_PATHS + 1).count() <= MOST_PATHS:
+        found = fixed(log.join(F.broadcast(hits), path, "left_semi").distinct())
+        return candidates.join(F.broadcast(found), path, "left_anti").select(*candidates.columns)
+    rest = rows.where(maybe).join(log.distinct(), path, "left_anti")
+    return rows.where(~maybe).select(*candidates.columns).unionByName(rest.select(*candidates.columns))
 
 
 def natural_key(name: Column) -> Column:
-    """Orders names with numbers by value, metadata first: digit runs padded, lower case."""
+    """Orders names with numbers by value, metadata first: digit runs padded, lower case; runs over 20 digits by their length first."""
     first = F.when(F.lower(name) == "comicinfo.xml", "0").otherwise("1")
     parts = F.split(F.regexp_replace(F.lower(name), r"(\d+)", "\u0001$1\u0001"), "\u0001")
-    return F.concat(first, F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 20, "0")).otherwise(p)), ""))
+    bare = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    long = lambda p: F.concat(F.lit(":"), F.lpad(F.length(bare(p)).cast("string"), 5, "0"), F.lit(":"), bare(p))  # noqa: E731  a colon sorts behind digits
+    padded = lambda p: F.when(~p.rlike(r"^\d+$"), p).when(F.length(bare(p)) <= 20, F.lpad(bare(p), 20, "0")).otherwise(long(p))
+    return F.concat(first, F.array_join(F.transform(parts, padded), ""))
 
 
 ORDERS = ("newest", "oldest", "alpha", "alpha-reverse")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions import names as N
 from ..functions import patterns as P
 from ..operators.routing import Rule
+from ..session import fixed
 from .archives import entries, metadata  # noqa: F401  sources of the library like the others
 
 ARCHIVES = "*.[cC][bB][zZ]"
@@ -81,6 +82,16 @@ def clear_progress(spark: SparkSession, path: str) -> None:
     spark.createDataFrame([], "p string").write.mode("overwrite").json(path)
 
 
+def compact_progress(spark: SparkSession, path: str) -> None:
+    """The log with each path once: written beside the old lines, which go afterwards, so that an interruption loses nothing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [f.getPath() for f in store.listStatus(at) if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+    fixed(progress(spark, path)).write.mode("append").json(path)
+    for f in old:
+        store.delete(f, False)
+
+
 ARRIVAL = "path string, modificationTime timestamp, length long, content binary"
 
 
