@@ -252,3 +252,21 @@ def test_a_file_is_never_put_over_itself(tmp_path):
     (tmp_path / "a").write_text("x")
     apply.put(Stores(), str(tmp_path / "a"), str(tmp_path / "a"))
     assert (tmp_path / "a").read_text() == "x"
+
+
+def test_merged_trees_name_every_file(spark, tmp_path):
+    """Chains, directories inside moving ones, a swap, collisions; then the same on disk."""
+    root = tmp_path / "l"
+    sizes = {"A/1.cbz": 5, "A/in/2.cbz": 3, "B/1.cbz": 5, "B/3.cbz": 1, "C/1.cbz": 4, "C/in/2.cbz": 3, "S/x.cbz": 1, "T/x.cbz": 2, "O/deep/f.cbz": 1, "N/f.cbz": 9, "Z/z.cbz": 1}
+    for name, n in sizes.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("x" * n)
+    files = spark.createDataFrame([(f"{root}/{n}", s) for n, s in sizes.items()], "path string, size long")
+    moves = [("A", "B"), ("B", "C"), ("S", "T"), ("T", "S"), ("O/deep", "O/flat"), ("O", "P")]
+    plan = library.merge_trees(files, spark.createDataFrame([(f"{root}/{a}", f"{root}/{b}") for a, b in moves], "src string, dest string"))
+    short = lambda p: p and p.removeprefix(f"{root}/")
+    got = {(r.op, short(r.src), short(r.dest)) for r in plan.collect() if r.op != "merge_dir"}
+    assert got == {("move", "A/1.cbz", "C/1.cbz"), ("delete", "B/1.cbz", None), ("delete", "C/1.cbz", None), ("delete", "A/in/2.cbz", None), ("move", "B/3.cbz", "C/3.cbz"), ("move", "S/x.cbz", "T/x.cbz"), ("move", "T/x.cbz", "S/x.cbz"), ("move", "O/deep/f.cbz", "P/flat/f.cbz")}
+    assert {(short(r.src), short(r.dest)) for r in plan.where("op = 'merge_dir'").collect()} == {("A", "C"), ("B", "C"), ("S", "T"), ("T", "S"), ("O/deep", "O/flat"), ("O", "P")}
+    apply.apply(plan.where("op <> 'merge_dir'"))
+    assert {n: len((root / n).read_text()) for n in tree_of(root)} == {"C/1.cbz": 5, "C/3.cbz": 1, "C/in/2.cbz": 3, "T/x.cbz": 1, "S/x.cbz": 2, "P/flat/f.cbz": 1, "N/f.cbz": 9, "Z/z.cbz": 1}

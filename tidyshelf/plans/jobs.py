@@ -137,6 +137,24 @@ def merge_counts(spark, sf_dir):
     return library.group_counts(numbered_folders(spark, sf_dir))
 
 
+@query("""
+WITH f AS (SELECT p_brand AS b, p_size % 3 AS k, p_name AS name, max(CAST(floor(p_retailprice * 10) AS BIGINT)) AS size FROM part GROUP BY ALL),
+p AS (SELECT *, 'lib/' || b || CASE k WHEN 0 THEN '' WHEN 1 THEN ' (x)' ELSE ' [y]' END AS d FROM f),
+r AS (SELECT *, d || '/' || name || '.cbz' AS path, row_number() OVER (PARTITION BY b, name ORDER BY size DESC, k = 0 DESC, d || '/' || name || '.cbz') AS rn FROM p)
+SELECT 'move' AS op, path AS src, 'lib/' || b || '/' || name || '.cbz' AS dest, 'merged directory' AS reason, size FROM r WHERE rn = 1 AND k > 0
+UNION ALL SELECT 'delete', path, NULL, CASE WHEN k = 0 THEN 'a larger file takes its place' ELSE 'a file as large has its place' END, size FROM r WHERE rn > 1
+UNION ALL SELECT 'merge_dir', 'lib/' || p_brand || s, 'lib/' || p_brand, 'merged directory', NULL FROM (SELECT DISTINCT p_brand FROM part), (VALUES (' (x)'), (' [y]')) v(s)
+""")
+def merge_trees_plan(spark, sf_dir):
+    """One directory moves into a second, which moves into a third: every file that moves or gives way has its row."""
+    parts = table(spark, sf_dir, "part")
+    directory = text("lib/", F.col("p_brand"), one_of(part_size(), F.lit(""), F.lit(" (x)"), F.lit(" [y]")))
+    files = shelf(parts, directory, text(F.col("p_name"), ".cbz"), price())
+    to = lambda a, b: F.struct(text("lib/", F.col("p_brand"), a).alias("src"), text("lib/", F.col("p_brand"), b).alias("dest"))
+    moves = parts.select("p_brand").distinct().select(F.explode(F.array(to(" (x)", ""), to(" [y]", " (x)"))).alias("m")).select("m.src", "m.dest")
+    return library.merge_trees(files, moves)
+
+
 @query("""
 SELECT 'rewrite' AS op, 'lib/' || p_brand || '/T' || p_partkey || ' ch. ' || p_size || '.cbz' AS src, 'ComicInfo.xml' AS dest, '<ComicInfo><Number>' || p_size || '</Number></ComicInfo>' AS reason, CAST(floor(p_retailprice * 10) AS BIGINT) AS size
 FROM part WHERE p_size % 2 = 1 AND p_partkey % 5 <> 0 AND p_partkey % 7 <> 0

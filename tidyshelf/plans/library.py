@@ -250,6 +250,48 @@ def merge_groups(files: DataFrame, metadata: DataFrame | None = None) -> DataFra
     return union(*plans)
 
 
+def final_targets(moves: DataFrame) -> DataFrame:
+    """(src, dest): where directories end that move into one that moves itself; on a circle each moves one step.
+
+    moves: (src, dest), each src once.
+    """
+    way = moves.where("src <> dest").select(F.lit("").alias("dir_path"), F.col("src").alias("name"), F.col("dest").alias("new_name"), F.lit(0).cast("long").alias("size"))
+    found = fixed(keep.in_components(way))
+    sources = found.select(F.col("name").alias("component"), F.lit(True).alias("moves"))
+    ends = F.when(F.col("moves").isNull(), F.col("component")).otherwise(F.col("new_name"))
+    return found.join(sources, "component", "left").select(F.col("name").alias("src"), ends.alias("dest"))
+
+
+def merge_trees(files: DataFrame, moves: DataFrame, depth: int = 16) -> DataFrame:
+    """Directories merged into others, as a row for each file that moves, gives way or stays behind.
+
+    files: (path, size) of everything that may be met; moves: (src, dest). A file goes by its relative path with the innermost
+    directory that moves, then with those around it. Of all files that come to one path, moved or there already, the largest stays, of
+    equals the one that is there, then the first; the others are deletions. Directories follow as merge_dir rows, empty by then.
+    """
+    targets = fixed(final_targets(moves))
+    rows = files.select("path", "size", F.col("path").alias("at"), F.lit(None).cast("string").alias("last"))
+    for _ in range(depth):  # one round for each directory that moves around another
+        up = F.explode(tree.ancestors(F.col("at"))).alias("src")
+        inner = rows.select("path", "last", up).join(targets, "src").where(F.col("last").isNull() | (F.col("last").startswith(F.concat("src", F.lit("/")))))
+        inner = inner.groupBy("path").agg(F.max_by(F.struct("src", "dest"), F.length("src")).alias("m"))
+        step = rows.join(inner, "path", "left")
+        moved = F.concat(F.col("m")["dest"], F.col("at").substr(F.length(F.col("m")["src"]) + 1, F.length("at")))
+        after = fixed(step.select("path", "size", F.coalesce(moved, "at").alias("at"), F.coalesce(F.col("m")["src"], "last").alias("last"), F.col("m").isNotNull().alias("went")))
+        rows = after.drop("went")
+        if not after.where("went").limit(1).count():
+            break
+    stays = F.col("path") == F.col("at")
+    best = rows.groupBy("at").agg(F.min_by("path", F.struct(-F.col("size"), ~stays, "path")).alias("winner"), F.count(F.lit(1)).alias("n"))
+    met = rows.join(best, "at")
+    lost = F.col("path") != F.col("winner")
+    return union(
+        keep.actions(met.where(~lost & ~stays), "move", F.col("path"), F.col("at"), "merged directory", F.col("size")),
+        keep.actions(met.where(lost), "delete", F.col("path"), None, F.when(stays, "a larger file takes its place").otherwise("a file as large has its place"), F.col("size")),
+        keep.actions(targets, "merge_dir", F.col("src"), F.col("dest"), "merged directory"),
+    )
+
+
 def tag_numbers(files: DataFrame, metadata: DataFrame) -> DataFrame:
     """The number tag from each file's name; files without a number are not read, unchanged documents not written."""
     rows = files.withColumn("number", N.chapter_text(F.col("stem"))).where("number is not null").join(metadata.where("xml is not null"), "path")
