@@ -239,6 +239,18 @@ def separate_plan(spark, sf_dir):
     return library.separate_marked(shelf(table(spark, sf_dir, "part"), text("lib/", name), text("1.cbz"), F.lit(1)))
 
 
+@query("""
+WITH n AS (SELECT p_name, bool_or(p_size % 3 = 0) AS marked, bool_or(p_size % 3 = 1) AS plain FROM part GROUP BY 1)
+SELECT side, 'lib/' || p_name || s AS src, 'lib/_Check/' || p_name || s AS dest FROM n, (VALUES ('marked', ' (Uncensored)'), ('plain', '!')) v(side, s) WHERE marked AND plain
+""")
+def separate_sides(spark, sf_dir):
+    """Only the marked, and only the plain ones, of each pair."""
+    name = text(F.col("p_name"), one_of(part_size(), F.lit(" (Uncensored)"), F.lit("!"), F.lit(" x")))
+    files = shelf(table(spark, sf_dir, "part"), text("lib/", name), text("1.cbz"), F.lit(1))
+    moved = lambda side: library.separate_marked(files, side=side).select(F.lit(side).alias("side"), "src", "dest")
+    return moved("marked").unionByName(moved("plain"))
+
+
 @query("""
 SELECT 'delete' AS op, 'lib/' || p_brand || '/' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '.tmp.cbz' ELSE '.bak.cbz' END AS src, CAST(NULL AS VARCHAR) AS dest, 'left by an interrupted rewrite' AS reason, CAST(floor(p_retailprice * 10) AS BIGINT) AS size
 FROM part WHERE p_partkey % 4 < 2
@@ -269,9 +281,21 @@ LIBRARY_ROWS = "SELECT DISTINCT 'lib/' || p_brand AS series, CAST(p_size AS DOUB
 
 @query(GAPS_SQL.format(rows=LIBRARY_ROWS) + "SELECT regexp_extract(series, '[^/]*$') AS series, first_issue, last_issue, total_found, gap_count, missing, unnumbered, has_gaps, series AS path FROM report")
 def gap_library(spark, sf_dir):
+    return library.gap_report(series_and_root(spark, sf_dir), "lib")
+
+
+def series_and_root(spark, sf_dir) -> DataFrame:
     parts = table(spark, sf_dir, "part")
-    files = shelf(parts, text("lib/", F.col("p_brand")), text("x ch. ", part_size(), ".cbz"), F.lit(1)).unionByName(shelf(parts.where("p_size % 3 = 0"), F.lit("lib"), text("r issue ", part_size(), ".cbz"), F.lit(1)))
-    return library.gap_report(files, "lib")
+    files = shelf(parts, text("lib/", F.col("p_brand")), text("x ch. ", part_size(), ".cbz"), F.lit(1))
+    return files.unionByName(shelf(parts.where("p_size % 3 = 0"), F.lit("lib"), text("r issue ", part_size(), ".cbz"), F.lit(1)))
+
+
+@query(GAPS_SQL.format(rows=LIBRARY_ROWS) + "SELECT CASE series WHEN 'lib' THEN 'series' ELSE 'folder' END AS mode, total_found, gap_count, missing, series AS path FROM report")
+def gap_modes(spark, sf_dir):
+    """The root as one series, and the series in it."""
+    files = series_and_root(spark, sf_dir)
+    found = lambda mode: library.gap_report(files, "lib", mode).select(F.lit(mode).alias("mode"), "total_found", "gap_count", "missing", "path")
+    return found("series").unionByName(found("folder"))
 
 
 # ---- names, documents, lists
