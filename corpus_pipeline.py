@@ -40,7 +40,12 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Of texts that go to a Python worker at a time: batches lie in the JVM beside its heap, and in the worker, in all stages of one session.
+BATCH_BYTES = 4 << 20
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))  # stays set, as the result is lazy
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = table_at(stage(spark, docs, sf_dir), new_dir(spark, name))

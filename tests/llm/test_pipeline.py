@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 
 import corpus_pipeline
 from tidyshelf.llm import language, stages
@@ -74,3 +76,20 @@ def test_row_numbers(spark, tmp_path, odd):
 
 def test_five_stages_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mixing", "packing"] and language is not None
+
+
+def test_an_idle_worker_keeps_no_freed_memory():
+    """In a process of its own: freed blocks below one that lives go back too."""
+    code = """
+import re
+import numpy as np
+from tidyshelf.llm.common import give_back
+held = lambda: int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read())[1]) // 1024
+before = held()
+blocks = [np.ones(12_500) for _ in range(2000)]  # 100 KB each: from the heap, not mapped
+last = blocks[-1]
+del blocks
+give_back()
+print(held() - before)
+"""
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 60

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -49,8 +51,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def give_back() -> None:
-    """At the end of a worker's task: memory that Arrow keeps for reuse goes back, as tasks share an executor."""
+    """At the end of a worker's task: memory that Arrow and the C library keep for reuse goes back, as tasks share an executor.
+
+    Workers live on between tasks; what they keep would stand beside the JVM's heap through stages that need no Python at all.
+    """
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
 
 
 def new_dir(spark: SparkSession, kind: str) -> str:

@@ -270,6 +270,8 @@ def new_links(group: pa.Table, threshold: float) -> pa.Table:
                 p.append(rep_x[i])
                 q.append(rep_y[j])
     kind = group.schema.field("rep").type
+    if group.nbytes > 1 << 20:
+        give_back()
     return pa.table({"p": pa.array(p, kind), "q": pa.array(q, kind)})
 
 
