@@ -365,3 +365,17 @@ def test_long_digit_runs_and_null_keys(spark):
     assert [r.n for r in df.orderBy("k").collect()] == ["ComicInfo.xml", "a-1", "a2", "a" + "0" * 30 + "3", "a10", "a" + "9" * 21, "a" + "1" * 23, "a" + "1" * 22 + "2", "b1"]
     rows = spark.createDataFrame([(None, "x", 1), (None, "y", 2), ("k", "z", 1)], "key string, name string, size int")
     assert [r.name for r in keep.losers(rows, ["key"], "size", "name").collect()] == ["x"]
+
+
+def test_few_and_crowded_series_alike(spark):
+    """Series with few numbers meet their ranges as they are, crowded ones by intervals; neither way shuffles more than once for each step."""
+    rng = random.Random(11)
+    spans = [(f"s{s}", f"r{i}", float(a), float(a + rng.randrange(30))) for s in range(3) for i in range(20) for a in [rng.randrange(-5, 60)]] + [("s0", "big", 0.0, 9999999999.0)]
+    numbers = [(f"s{s}", float(n), f"p{n}") for s in range(3) for n in rng.sample(range(80), (5, 30, 60)[s])]
+    a, b = spark.createDataFrame(spans, "series string, id string, start double, end double"), spark.createDataFrame(numbers, "series string, number double, path string")
+    found = [sorted(map(tuple, ranges.members(a, b, "series", few=few).collect())) for few in (64, 40, 0)]
+    assert found[0] == found[1] == found[2] and found[0]
+    want = sorted((s, i, n) for s, i, x, y in spans for t, n, _ in numbers if s == t and x <= n <= y)
+    assert sorted((r[0], r[1], r[6]) for r in found[0]) == want
+    plan = ranges.missing_runs(ranges.members(a, b, "series"), "series")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "explode(aggregate" not in plan  # it was five joins, and some sixty cells for the big range

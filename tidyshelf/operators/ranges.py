@@ -1,18 +1,25 @@
 """Archives that hold a range of chapters: overlap with single ones, pages, and numbers that look like ranges.
 
-A range is never listed to find which of its numbers exist: it is cut into aligned intervals whose lengths are powers of two,
+A range is never listed to find which of its numbers exist: it meets the few numbers of its series as they are, and where they
+are many it is cut into aligned intervals whose lengths are powers of two,
 at most two of a length, and a single number falls into one interval of each length. So a range of ten thousand million
 numbers costs some sixty keys, and what an equi-join on those keys returns are the numbers that do exist. Their count
-against the range's own decides whether it is whole; runs that are missing follow from neighbours in the series.
+against the range's own decides whether it is whole; runs that are missing lie between neighbours.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..session import fixed
+
+#: Numbers of a series and class up to which ranges meet them one by one.
+FEW = 64
 
 #: Numbers of a range that may be listed one by one where a list is asked for.
 LISTED = 100_000
@@ -53,45 +60,66 @@ def intervals(first: Column, last: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), levels), start, up, lambda s: s["out"])
 
 
-def members(ranges: DataFrame, singles: DataFrame, series: str) -> DataFrame:
+def members(ranges: DataFrame, singles: DataFrame, series: str, few: int = FEW) -> DataFrame:
     """(series, id, first, last, class, q, number, path): the numbers of each range that exist singly.
 
     ranges: (series, id, start, end); singles: (series, number, path), of equal numbers the last path counts. Numbers are
-    q + class tenths; first and last are the range's own q. Ranges that a long does not hold have no members.
+    q + class tenths; first and last are the range's own q. Ranges that a long does not hold have no members. Series of at most
+    ``few`` numbers of a class meet their ranges as they are, which compares no more than a long range has intervals; only the
+    others go by intervals. singles are read twice, first to count them.
     """
     spans = ranges.withColumns({"__t": tenths(F.col("start")), "__steps": steps_of(F.col("start"), F.col("end"))}).where("__t is not null and __steps >= 0")
     first = F.floor(F.col("__t") / 10).cast("long")
     spans = spans.select(series, "id", F.pmod("__t", F.lit(10)).alias("class"), first.alias("first"), F.try_add(first, F.col("__steps")).alias("last")).where("last is not null")
-    cells = spans.withColumn("cell", F.explode(intervals(F.col("first"), F.col("last")))).select("*", "cell.level", "cell.place").drop("cell")
     own = singles.where(F.col("number") == F.round("number", 1)).withColumn("__t", tenths(F.col("number"))).where("__t is not null")
-    own = own.groupBy(series, "number", "__t").agg(F.max("path").alias("path"))
     own = own.select(series, F.pmod("__t", F.lit(10)).alias("class"), F.floor(F.col("__t") / 10).cast("long").alias("q"), "number", "path")
+    crowds = fixed(own.groupBy(series, "class").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > few).select(series, "class"))
+    own = own.groupBy(series, "class", "q").agg(F.max("number").alias("number"), F.max("path").alias("path"))
+    columns = [series, "id", "first", "last", "class", "q", "number", "path"]
+    direct = lambda spans, own: spans.join(own, [series, "class"]).where("q between first and last").select(*columns)
+    if not crowds.limit(1).count():
+        return direct(spans, own)
+    key = [series, "class"]
+    crowded = by_intervals(spans.join(crowds, key, "left_semi"), own.join(crowds, key, "left_semi"), series).select(*columns)
+    return direct(spans.join(crowds, key, "left_anti"), own.join(crowds, key, "left_anti")).unionByName(crowded)
+
+
+def by_intervals(spans: DataFrame, own: DataFrame, series: str) -> DataFrame:
+    """Spans with the numbers inside them, as an equi-join on aligned intervals."""
+    cells = spans.withColumn("cell", F.explode(intervals(F.col("first"), F.col("last")))).select("*", "cell.level", "cell.place").drop("cell")
     levels = cells.groupBy(series, "class").agg(F.collect_set("level").alias("levels"))  # at most 63 a series and class
     keyed = own.join(levels, [series, "class"]).withColumn("level", F.explode("levels")).drop("levels")
     keyed = keyed.withColumn("place", F.floor(F.col("q") / F.pow(F.lit(2.0), "level")).cast("long"))
-    return cells.join(keyed, [series, "class", "level", "place"]).select(series, "id", "first", "last", "class", "q", "number", "path")
+    return cells.join(keyed, [series, "class", "level", "place"])
+
+
+def of_range(series: str) -> WindowSpec:
+    return W.partitionBy(series, "class", "id", "first", "last")
 
 
 def whole(found: DataFrame, series: str) -> DataFrame:
-    """(series, id) of ranges all of whose numbers exist; found: as ``members`` gives them."""
-    counts = found.groupBy(series, "id", "first", "last", "class").agg(F.count(F.lit(1)).alias("n"))
-    return counts.where(F.col("n") == F.col("last") - F.col("first") + 1).select(series, "id")
+    """The rows of ranges all of whose numbers exist; found: as ``members`` gives them."""
+    counted = found.withColumn("__n", F.count(F.lit(1)).over(of_range(series)))
+    return counted.where(F.col("__n") == F.col("last") - F.col("first") + 1).drop("__n")
+
+
+def with_runs(found: DataFrame, series: str) -> DataFrame:
+    """found with ``runs``: the (a, b) that are missing after each member of a range, and before its first."""
+    w = of_range(series).orderBy("q")
+    rows = found.withColumns({"__next": F.lead("q").over(w), "__previous": F.lag("q").over(w)})
+    before = F.when(F.col("__previous").isNull() & (F.col("q") > F.col("first")), F.struct(F.col("first").alias("a"), (F.col("q") - 1).alias("b")))
+    open_ = (F.col("q") < F.col("last")) & (F.col("__next").isNull() | (F.col("__next") > F.col("q") + 1))
+    after = F.when(open_, F.struct((F.col("q") + 1).alias("a"), F.coalesce(F.col("__next") - 1, "last").alias("b")))
+    return rows.withColumn("runs", F.array_compact(F.array(before, after))).drop("__next", "__previous")
 
 
-def missing_runs(found: DataFrame, singles: DataFrame, series: str) -> DataFrame:
+def missing_runs(found: DataFrame, series: str) -> DataFrame:
     """(series, id, from, to, missing): the runs of numbers of each range that do not exist singly; only ranges of which some do.
 
-    What follows a number up to its next neighbour in the series is known without looking at any range; a range cuts that
-    off at its end, and begins with what lies before its first member.
+    found: as ``members`` gives them. A run lies between two members that follow each other, or at an end of the range.
     """
-    numbers = singles.where(F.col("number") == F.round("number", 1)).select(series, "number").distinct().withColumn("__t", tenths(F.col("number"))).where("__t is not null")
-    numbers = numbers.select(series, F.pmod("__t", F.lit(10)).alias("class"), F.floor(F.col("__t") / 10).cast("long").alias("q"))
-    following = numbers.withColumn("next", F.lead("q").over(W.partitionBy(series, "class").orderBy("q")))
-    after = found.join(following, [series, "class", "q"]).where("q < last and (next is null or next > q + 1)")
-    after = after.select(series, "id", "class", (F.col("q") + 1).alias("a"), F.least(F.coalesce("next", F.col("last") + 1) - 1, "last").alias("b"))
-    before = found.groupBy(series, "id", "class", "first").agg((F.min("q") - 1).alias("b")).where("b >= first").select(series, "id", "class", F.col("first").alias("a"), "b")
-    number = lambda c: F.col(c) + F.col("class") / 10
-    runs = after.unionByName(before).select(series, "id", number("a").alias("from"), number("b").alias("to"))
+    runs = with_runs(found, series).select(series, "id", "class", F.explode("runs").alias("r"))
+    runs = runs.select(series, "id", (F.col("r.a") + F.col("class") / 10).alias("from"), (F.col("r.b") + F.col("class") / 10).alias("to"))
     return runs.withColumn("missing", F.when(F.col("from") == F.col("to"), N.format_number(F.col("from"))).otherwise(N.range_text(F.col("from"), F.col("to"))))
 
 
@@ -100,10 +128,10 @@ def overlap(ranges: DataFrame, singles: DataFrame, series: str) -> DataFrame:
 
     missing is null where more than LISTED numbers are missing; the runs, arrays of (from, to), are always there.
     """
-    rows = members(ranges, singles, series)
-    found = rows.groupBy(series, "id").agg(F.array_sort(F.collect_list("number")).alias("found"))
-    gaps = missing_runs(rows, singles, series).groupBy(series, "id").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("runs"))
-    out = found.join(gaps, [series, "id"], "left").withColumn("runs", F.coalesce("runs", F.array().cast("array<struct<from:double,to:double>>")))
+    rows = with_runs(members(ranges, singles, series), series)
+    number = lambda c: c + F.col("class") / 10
+    rows = rows.withColumn("runs", F.transform("runs", lambda r: F.struct(number(r["a"]).alias("from"), number(r["b"]).alias("to"))))
+    out = rows.groupBy(series, "id").agg(F.array_sort(F.collect_list("number")).alias("found"), F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"))
     total = F.aggregate("runs", F.lit(0.0), lambda n, r: n + r["to"] - r["from"] + 1)
     listed = F.flatten(F.transform("runs", lambda r: F.transform(F.sequence(F.lit(0), F.round(r["to"] - r["from"]).cast("int")), lambda k: F.round(r["from"] + k, 1))))
     return out.withColumn("missing", F.when(total <= LISTED, listed)).select(series, "id", "found", "missing", "runs")
@@ -114,12 +142,18 @@ def page_plan(range_pages: DataFrame, single_pages: DataFrame, group: str) -> Da
 
     Both: (group, order, entry, ext, size). A PNG beats another type, else the strictly larger page, else what is there.
     """
-    place = lambda df, side: df.select(
-        F.col(group), F.row_number().over(W.partitionBy(group).orderBy("order", "entry")).alias("pos"), F.struct("entry", "ext", "size").alias(side)
-    )
-    counts = lambda df, name: df.groupBy(group).agg(F.count(F.lit(1)).alias(name))
-    same = counts(range_pages, "a").join(counts(single_pages, "b"), group).where("a = b").select(group, F.col("a").alias("total_pages"))
-    rows = place(range_pages, "now").join(place(single_pages, "other"), [group, "pos"]).join(same, group)
+    page = F.struct("entry", "ext", "size").alias("page")
+    sides = (df.select(group, F.lit(mine).alias("mine"), "order", "entry", page) for df, mine in ((range_pages, True), (single_pages, False)))
+    return better_pages(reduce(DataFrame.unionByName, sides), group)
+
+
+def better_pages(pages: DataFrame, group: str) -> DataFrame:
+    """``page_plan`` of both sides' pages in one table: (group, mine, order, entry, page); they are shuffled once, by group."""
+    every = W.partitionBy(group)
+    rows = pages.where(F.col(group).isNotNull()).withColumns({"a": F.count_if("mine").over(every), "b": F.count_if(~F.col("mine")).over(every)}).where("a = b")
+    rows = rows.withColumn("pos", F.row_number().over(W.partitionBy(group, "mine").orderBy("order", "entry")))
+    side = lambda mine: F.max(F.when(F.col("mine") == mine, F.col("page")))
+    rows = rows.groupBy(group, "pos").agg(side(True).alias("now"), side(False).alias("other"), F.max("a").alias("total_pages"))
     now_png, other_png = F.col("now.ext") == ".png", F.col("other.ext") == ".png"
     wins = F.when(now_png != other_png, other_png).otherwise(F.col("other.size") > F.col("now.size"))
     rows = rows.withColumn("upgraded", wins)

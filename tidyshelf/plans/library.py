@@ -317,15 +317,12 @@ def resolve_ranges(files: DataFrame, entries: DataFrame, processed: str = "Proce
     rows = files.where(F.col("ext") == ".cbz").select("dir_path", "path", start.alias("start"), end.alias("end"), N.chapter(F.col("stem")).alias("number"))
     rows = fixed(rows)
     spans = rows.where("start is not null").select(F.col("dir_path").alias("series"), F.col("path").alias("id"), "start", "end")
-    singles = rows.where("start is null and number is not null").groupBy(F.col("dir_path").alias("series"), "number").agg(F.max("path").alias("path"))
-    found = fixed(ranges.members(spans, singles, "series"))
-    parts = fixed(found.join(ranges.whole(found, "series"), ["series", "id"]).select("series", "id", "number", "path"))
-    whole = parts.select("series", "id").distinct()
-    pages = entries.where(is_image(F.col("ext")))
-    page = [F.concat_ws("!", "path", "entry").alias("entry"), "ext", "size"]
-    mine = pages.join(whole.select(F.col("id").alias("path")), "path").select(F.col("path").alias("group"), F.lit(0.0).alias("order"), *page)
-    other = pages.join(parts.select("path", "id", "number"), "path").select(F.col("id").alias("group"), F.col("number").alias("order"), *page)
-    plan = fixed(ranges.page_plan(mine, other, "group"))
+    singles = rows.where("start is null and number is not null").select(F.col("dir_path").alias("series"), "number", "path")
+    parts = fixed(ranges.whole(ranges.members(spans, singles, "series"), "series").select("series", "id", "number", "path"))
+    theirs = parts.select("path", F.col("id").alias("group"), F.lit(False).alias("mine"), F.col("number").alias("order"))
+    sides = theirs.unionByName(parts.select(F.col("id").alias("path"), F.col("id").alias("group"), F.lit(True).alias("mine"), F.lit(0.0).alias("order")).distinct())
+    pages = entries.where(is_image(F.col("ext"))).join(sides, "path").withColumn("entry", F.concat_ws("!", "path", "entry"))
+    plan = fixed(ranges.better_pages(pages.select("group", "mine", "order", "entry", F.struct("entry", "ext", "size").alias("page")), "group"))
     better = plan.groupBy("group").agg(F.count_if("upgraded").alias("upgraded"), F.max("total_pages").alias("pages"))
     rebuilt = keep.actions(better.where("upgraded > 0"), "rewrite", F.col("group"), None, F.format_string("%d of %d pages", F.col("upgraded"), F.col("pages")))
     name = F.substring_index("path", "/", -1)
@@ -336,10 +333,10 @@ def resolve_ranges(files: DataFrame, entries: DataFrame, processed: str = "Proce
 def incomplete_ranges(files: DataFrame) -> DataFrame:
     """(series, id, missing): runs of chapters that a range archive holds and no single archive does, where some single one does."""
     start, end = N.number_range(F.col("stem"))
-    rows = files.where(F.col("ext") == ".cbz").withColumns({"start": start, "end": end, "number": N.chapter(F.col("stem"))})
-    spans = rows.where("start is not null").select(F.col("dir_path").alias("series"), F.col("path").alias("id"), "start", "end")
-    singles = fixed(rows.where("start is null and number is not null").groupBy(F.col("dir_path").alias("series"), "number").agg(F.max("path").alias("path")))
-    return ranges.missing_runs(fixed(ranges.members(spans, singles, "series")), singles, "series").select("series", "id", "missing")
+    rows = files.where(F.col("ext") == ".cbz").select(F.col("dir_path").alias("series"), F.col("path").alias("id"), start.alias("start"), end.alias("end"), N.chapter(F.col("stem")).alias("number"))
+    rows = fixed(rows)
+    singles = rows.where("start is null and number is not null").select("series", "number", F.col("id").alias("path"))
+    return ranges.missing_runs(ranges.members(rows.where("start is not null"), singles, "series"), "series").select("series", "id", "missing")
 
 
 def separate_marked(files: DataFrame, check: str = "_Check", side: str = "both") -> DataFrame:
