@@ -182,3 +182,19 @@ def test_live_settling(spark, tmp_path):
         time.sleep(0.3)
     q.stop()
     assert [(r.dir_path, r.files, r.stable) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("w/last", 1, True)]
+
+
+def test_actions_are_carried_out_by_tasks(spark, tmp_path):
+    """Swaps, chains, several of one destination and directories, with the swap as jobs: no action runs on the driver."""
+    for n, x in (("a", "1"), ("b", "22"), ("c", "333"), ("w1", "4444"), ("w2", "55555"), ("w3", "6"), ("d/e/f", "7"), ("d/g", "8"), ("k/g", "99")):
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text(x)
+    at = lambda n: f"{tmp_path}/{n}"
+    moves = [("a", "b"), ("b", "a"), ("c", "d2"), ("w1", "w"), ("w2", "w"), ("w3", "w"), ("d/e", "d/h")]
+    rows = [("rename", at(a), at(b), "", 1) for a, b in moves] + [("merge_dir", at("d"), at("k"), "", None)]
+    report = f"{tmp_path}-report"
+    got = {(r.src.removeprefix(f"{tmp_path}/"), r.outcome) for r in apply.carried_out(spark.createDataFrame(rows, PLAN).repartition(3), report).collect()}
+    assert sum(1 for _ in open(f"{report}/staged.txt")) == 3  # all that the driver was told: a list for each task
+    assert {o for s, o in got if s[0] != "w"} == {"done"} and len(got) == 8
+    left = {n: (tmp_path / n).read_text() for n in tree_of(tmp_path)}
+    assert left == {"a": "22", "b": "1", "d2": "333", "w": "55555", "k/h/f": "7", "k/g": "99"}

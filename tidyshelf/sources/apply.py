@@ -1,13 +1,13 @@
 """The sink that carries out planned actions: a data source writer that stages in tasks and swaps when all tasks are done.
 
 Tasks do what costs: they read archives and write new ones beside their targets, under names that only their attempt uses
-(``*.tmp.cbz``, which the plan for leftovers removes). Nothing of the library changes until the commit, which takes the tasks'
-lists in order of kinds: new archives in, deletions, files aside and into place (so chains and swaps are safe), packed folders
-away, directories from the deepest up. A task that is lost or fails leaves the library as it was. A commit that is cut off can
-be followed by the same plan again: what is done already is found to be done.
+(``*.tmp.cbz``, which the plan for leftovers removes). Nothing of the library changes until all of them have ended. Then jobs
+take the tasks' lists in order of kinds: new archives in, deletions, files aside, files into place (so chains and swaps are safe),
+packed folders away, directories from the deepest up. A task that is lost or fails while staging leaves the library as it was. A
+swap that is cut off can be followed by the same plan again: what is done already is found to be done.
 
-Plans may be of millions of rows: lists are files in the report folder, read line by line, and each row's outcome is written
-there: ``done``, ``already`` (an earlier run did it), ``kept`` (a file as large was there, so only the source went), ``absent``
+Plans may be of millions of rows: lists are files in the report folder, the driver sees only their names, and each row's outcome
+is written there: ``done``, ``already`` (an earlier run did it), ``kept`` (a file as large was there, so only the source went), ``absent``
 (neither source nor result is there), ``skipped`` or ``failed`` with the reason. Any store that pyarrow reaches will do; a path in another
 raises before anything is changed.
 """
@@ -23,7 +23,9 @@ from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -36,8 +38,12 @@ from .stores import Stores, Unreachable
 ARCHIVE_ENTRY = re.compile(r"(?is)^(.*?\.cbz)!(.*)$")
 PLAN = "op string, src string, dest string, reason string, size long, pages array<struct<archive: string, entry: string, name: string>>"
 OUTCOME = "op string, src string, dest string, outcome string, why string"
+LINE = "op string, src string, dest string, side string, outcome string, why string, task int, nth long"
 OPS = ("rename", "move", "merge_dir", "delete", "rewrite", "pack", "skip", "rebuild")
 THREADS = 16
+STAGED = "staged.txt"
+#: Lines that one task of a swap gets, about; more lines make more tasks.
+SHARE = 100_000
 
 
 # ---- what tasks write
@@ -179,14 +185,19 @@ def set_aside(stores: Stores, x: dict) -> None:
         stores.move(x["src"], waiting(x["src"], x["dest"]))
 
 
-def put_in_place(stores: Stores, x: dict) -> str:
+def file_in_place(stores: Stores, x: dict) -> str | None:
+    """None for a directory, which is for later."""
     if stores.is_file(aside := waiting(x["src"], x["dest"])):
         return put(stores, aside, x["dest"])
     if stores.is_dir(x["src"]):
-        return merge(stores, x)
+        return None
     return "already" if stores.exists(x["dest"]) else "absent"
 
 
+def directory_left(stores: Stores, x: dict) -> str | None:
+    return "directory" if stores.is_dir(x["src"]) else None
+
+
 def finish_pack(stores: Stores, x: dict) -> str:
     stores.move(x["side"], x["dest"])
     stores.remove_dir(x["src"])
@@ -207,6 +218,54 @@ def merge(stores: Stores, x: dict) -> str:
     return "done"
 
 
+def tried(work: Callable, stores: Stores, x: dict) -> tuple[str | None, str | None]:
+    try:
+        return work(stores, x), None
+    except OSError as e:
+        return "failed", f"{type(e).__name__}: {e}"
+
+
+def in_tasks(lines: DataFrame, by: Column, works: dict[str, Callable], order: list[str], silent: tuple[str, ...] = ()) -> DataFrame:
+    """The outcome of works[op] on each line. Lines with one ``by`` come to one task, one after another in ``order``."""
+    names = ["op", "src", "dest", "side"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stores = Stores()
+        for b in batches:
+            out = []
+            for row in b.astype(object).where(b.notna(), None)[names].itertuples(index=False, name=None):
+                x = dict(zip(names, row, strict=True))
+                outcome, why = tried(works[x["op"]], stores, x)
+                if x["op"] not in silent or outcome == "failed":
+                    out.append((x["op"], x["src"], x["dest"], outcome, why))
+            yield pd.DataFrame(out, columns=["op", "src", "dest", "outcome", "why"], dtype=object)
+
+    wanted = lines.where(F.col("op").isin(*works)).withColumn("by", by)
+    n = max(1, wanted.sparkSession.sparkContext.defaultParallelism, wanted.count() // SHARE)
+    return wanted.repartition(n, "by").sortWithinPartitions("by", *order).select(*names).mapInPandas(run, OUTCOME)
+
+
+def swapped(lines: DataFrame, tell: Callable[[DataFrame], None]) -> None:
+    """What tasks have staged becomes the library, kind after kind. lines: as tasks left them; tell: writes outcomes.
+
+    Archives come in, files go, and files to be moved are set aside in one pass, as each of these touches only its own source.
+    Then files are put in place, those of one destination in the order of the plan, then folders and directories end, from the
+    deepest up. Each pass is a job whose tasks can be repeated: what is done already is found to be done.
+    """
+    open_ = lines.where("outcome is null")
+    tell(lines.where("outcome is not null").select("op", "src", "dest", "outcome", "why"))
+    kind = F.when(F.col("op").isin("rewrite", "rebuild"), 0).when(F.col("op") == "delete", 1).otherwise(2)
+    moves = open_.where("op in ('rename', 'move')")
+    tell(in_tasks(open_.withColumn("kind", kind), F.col("src"), {"rewrite": swap_in, "rebuild": swap_in, "delete": delete, "rename": set_aside, "move": set_aside}, ["kind", "task", "nth"], ("rename", "move")))
+    tell(in_tasks(moves, F.coalesce("dest", "src"), {"rename": file_in_place, "move": file_in_place}, ["task", "nth"]).where("outcome is not null"))
+    tell(in_tasks(open_, F.coalesce("dest", "src"), {"pack": finish_pack}, ["task", "nth"]))
+    ends = fixed(in_tasks(moves, F.coalesce("dest", "src"), {"rename": directory_left, "move": directory_left}, ["task", "nth"]).where("outcome is not null"))
+    trees = fixed(ends.select("op", "src", "dest", F.lit(0).alias("late")).unionByName(open_.where("op = 'merge_dir'").select("op", "src", "dest", F.lit(1).alias("late"))))
+    trees = trees.withColumns({"depth": F.length("src") - F.length(F.replace("src", F.lit("/"))), "side": F.lit(None).cast("string")})
+    for n, late in sorted((tuple(r) for r in trees.select("depth", "late").distinct().collect()), key=lambda x: (-x[0], x[1])):  # as many as the tree is deep
+        tell(in_tasks(trees.where((F.col("depth") == n) & (F.col("late") == late)), F.coalesce("dest", "src"), {"rename": merge, "move": merge, "merge_dir": merge}, ["src"]))
+
+
 @dataclass
 class Listed(WriterCommitMessage):
     """Where a task's lines are."""
@@ -216,7 +275,7 @@ class Listed(WriterCommitMessage):
 
 class ActionWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str]):
-        self.folder = options["path"]
+        self.folder, self.jobs = options["path"], options.get("swap") == "jobs"
 
     def write(self, iterator: Iterator[Row]) -> Listed:
         stores, attempt = Stores(), uuid.uuid4().hex[:12]
@@ -226,8 +285,9 @@ class ActionWriter(DataSourceWriter):
         sides: list[str] = []
         try:
             with store.open_output_stream(at) as out:
-                for row in iterator:
-                    line = staged(stores, row, attempt)
+                task = TaskContext.get()
+                for nth, row in enumerate(iterator):
+                    line = staged(stores, row, attempt) | {"task": task.partitionId() if task else 0, "nth": nth}
                     if line["side"]:
                         sides.append(line["side"])
                     out.write((json.dumps(line) + "\n").encode())
@@ -247,6 +307,18 @@ class ActionWriter(DataSourceWriter):
                     yield from map(json.loads, filter(None, whole))
 
     def commit(self, messages: list) -> None:
+        """The lists that count are named in one file, a line for each task; ``carried_out`` swaps by them, in jobs of its own."""
+        stores = Stores()
+        store, at = stores.at(f"{self.folder}/{STAGED}")
+        store.create_dir(at.rpartition("/")[0], recursive=True)
+        with store.open_output_stream(at) as out:
+            for m in filter(None, messages):
+                out.write((m.path + "\n").encode())
+        if not self.jobs:
+            self.swap_here(messages)
+
+    def swap_here(self, messages: list) -> None:
+        """The swap on the driver, for writes of the data source by itself."""
         stores = Stores()
         _, at = stores.at(f"{self.folder}/outcomes/part-{uuid.uuid4().hex}.jsonl")
         store = stores.at(self.folder)[0]
@@ -294,7 +366,7 @@ class ActionWriter(DataSourceWriter):
             each(open_("rename", "move"), set_aside, silent=True)
             depth = lambda x: x["src"].count("/")
             files = lambda x: stores.is_file(waiting(x["src"], x["dest"])) or not stores.is_dir(x["src"])
-            each((x for x in open_("rename", "move") if files(x)), put_in_place)
+            each((x for x in open_("rename", "move") if files(x)), file_in_place)
             each(open_("pack"), finish_pack)
             for n in sorted({depth(x) for x in open_("rename", "move", "merge_dir")}, reverse=True):  # as many as the tree is deep
                 each((x for x in open_("rename", "move") if depth(x) == n and stores.is_dir(x["src"])), merge)
@@ -330,8 +402,13 @@ def carried_out(plan: DataFrame, report: str | None = None) -> DataFrame:
     if "pages" not in plan.columns:
         plan = plan.withColumn("pages", F.lit(None).cast("array<struct<archive: string, entry: string, name: string>>"))
     spark.dataSource.register(LibraryActions)
-    plan.select("op", "src", "dest", "reason", F.col("size").cast("long").alias("size"), "pages").write.format("library_actions").mode("append").save(report)
-    return spark.read.schema(OUTCOME).json(f"{report}/outcomes")
+    plan.select("op", "src", "dest", "reason", F.col("size").cast("long").alias("size"), "pages").write.format("library_actions").option("swap", "jobs").mode("append").save(report)
+    stores = Stores()
+    with stores.open(f"{report}/{STAGED}") as f:
+        lists = f.read().decode().split()  # as many as the plan had tasks
+    if lists:
+        swapped(spark.read.schema(LINE).json(lists), lambda df: df.write.mode("append").parquet(f"{report}/outcomes"))
+    return spark.read.schema(OUTCOME).parquet(f"{report}/outcomes") if lists else spark.createDataFrame([], OUTCOME)
 
 
 def failures(outcomes: DataFrame) -> int:
