@@ -379,3 +379,11 @@ def test_few_and_crowded_series_alike(spark):
     assert sorted((r[0], r[1], r[6]) for r in found[0]) == want
     plan = ranges.missing_runs(ranges.members(a, b, "series"), "series")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "explode(aggregate" not in plan  # it was five joins, and some sixty cells for the big range
+
+
+def test_tasks_of_renames_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(keep.tasks_for, "__defaults__", (10,))
+    df = spark.createDataFrame([(f"d{i % 50}", f"{i:04d}", f"{i + 50:04d}", i) for i in range(400)], "dir_path string, name string, new_name string, size long")
+    out = keep.renamed_one_by_one(df)
+    assert out.count() == 400
+    assert ", 40), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()  # it was the session's number, whatever the rows

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from ..session import fixed
 
+#: Rows of one task, about, where an order is kept in memory.
+SHARE = 500_000
+
 
 def largest(files: DataFrame, keys: list[str], size: str, name: str, salts: int = 16) -> DataFrame:
     """Groups of two or more: rank 1 (the largest, then the first name) stays. Adds rank, members, keep. Null keys are a group.
@@ -95,6 +98,11 @@ def generic_numbering(files: DataFrame, directory: str, order: str, generic: Col
     return rows.withColumns({"nth": nth, "new_name": F.when(several, F.concat(dir_name, F.lit(" "), nth)).otherwise(dir_name)})
 
 
+def tasks_for(rows: DataFrame, share: int = SHARE) -> int:
+    """How many tasks rows need of which each gets about ``share``; as many as the session's shuffles have, at least."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // share))
+
+
 def renamed_one_by_one(files: DataFrame, whole: int = 1000) -> DataFrame:
     """(dir_path, name, new_name, size) -> (…, outcome): renames in name order, where later files see earlier ones.
 
@@ -105,8 +113,13 @@ def renamed_one_by_one(files: DataFrame, whole: int = 1000) -> DataFrame:
     most ``whole`` files are walked as they are, which comes to the same.
     """
     rows = files.select("dir_path", "name", "new_name", F.col("size").cast("long").alias("size"))
-    wanted = rows.where("new_name <> name").select("dir_path", F.col("new_name").alias("name")).distinct()
-    taken = rows.select("dir_path", "name").join(wanted, ["dir_path", "name"], "left_semi")
+    n = tasks_for(rows)
+    rows = rows.repartition(n, "dir_path")
+    held = F.struct("name", F.lit(True).alias("has"))
+    sought = F.when(F.col("new_name") != F.col("name"), F.struct(F.col("new_name").alias("name"), F.lit(False).alias("has")))
+    names = rows.where("dir_path is not null").select("dir_path", F.explode(F.array_compact(F.array(held, sought))).alias("x")).select("dir_path", "x.name", "x.has")
+    met = names.where("name is not null").groupBy("dir_path", "name").agg(F.bool_or("has").alias("has"), F.bool_and("has").alias("only"))
+    taken = met.where("has and not only").select("dir_path", "name")
     chained = fixed(taken.select("dir_path").distinct())
     w = W.partitionBy("dir_path", "new_name").orderBy("name")
     largest_before = F.max("size").over(w.rowsBetween(W.unboundedPreceding, -1))
@@ -118,11 +131,11 @@ def renamed_one_by_one(files: DataFrame, whole: int = 1000) -> DataFrame:
     crowds = fixed(crowds)
     few = rows.join(chained.join(crowds, "dir_path", "left_anti"), "dir_path", "left_semi").withColumn("component", F.lit(""))
     if not crowds.limit(1).count():
-        return plain.withColumn("outcome", outcome).unionByName(in_turn(few))
+        return plain.withColumn("outcome", outcome).unionByName(in_turn(few.repartition(n, "dir_path", "component")))
     named = fixed(in_components(rows.join(crowds, "dir_path", "left_semi")))
     walked = named.select("dir_path", "name", "component").join(taken, ["dir_path", "name"], "left_semi").select("dir_path", "component").distinct()
     apart = named.join(walked, ["dir_path", "component"], "left_anti").select(*rows.columns)
-    return plain.unionByName(apart).withColumn("outcome", outcome).unionByName(in_turn(few.unionByName(named.join(walked, ["dir_path", "component"], "left_semi").select(*few.columns))))
+    return plain.unionByName(apart).withColumn("outcome", outcome).unionByName(in_turn(few.unionByName(named.join(walked, ["dir_path", "component"], "left_semi").select(*few.columns)).repartition(n, "dir_path", "component")))
 
 
 def in_components(rows: DataFrame) -> DataFrame:
@@ -167,7 +180,7 @@ def walk(names: list[str], wanted: list[str], sizes: list[int]) -> list[str]:
 
 
 def in_turn(rows: DataFrame) -> DataFrame:
-    """Components, each walked in the order of names; rows are streamed, and only one component is held."""
+    """Components, each in one partition, walked in the order of names; rows are streamed, and only one component is held."""
     columns = ["dir_path", "name", "new_name", "size"]
 
     def run(batches):
@@ -185,7 +198,7 @@ def in_turn(rows: DataFrame) -> DataFrame:
         out = [o for a, b in pairwise(bounds) for o in walk(names[a:b], wanted[a:b], sizes[a:b])]
         return pdf[columns].assign(outcome=pd.Series(out, index=pdf.index, dtype=object))
 
-    ordered = rows.repartition("dir_path", "component").sortWithinPartitions("dir_path", "component", "name")
+    ordered = rows.sortWithinPartitions("dir_path", "component", "name")
     return ordered.mapInPandas(run, "dir_path string, name string, new_name string, size long, outcome string")
 
 

@@ -380,7 +380,8 @@ def rename_chains(spark, sf_dir):
 
     nth = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     name = lambda n: F.lpad(n.cast("string"), 3, "0")
-    files = table(spark, sf_dir, "lineitem").withColumn("n", nth)
+    lines = table(spark, sf_dir, "lineitem")
+    files = lines.repartition(keep.tasks_for(lines), "l_orderkey").withColumn("n", nth)
     return keep.renamed_one_by_one(files.select(text("order ", F.col("l_orderkey")).alias("dir_path"), name(F.col("n")).alias("name"), name(F.col("n") + 1).alias("new_name"), F.col("l_extendedprice").cast("long").alias("size")))
 
 
