@@ -1,10 +1,12 @@
 """Data sources: archives, events, the committing sink; stores that cannot be reached."""
 
 import os
+import shutil
 import time
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -116,6 +118,56 @@ def test_event_stream(spark, tmp_path):
     assert len([n for n in os.listdir(tmp_path / "state") if n.startswith("listing")]) <= 2
 
 
+def test_listings_by_tasks(tmp_path):
+    """Tasks list groups of directories; what a batch has listed it tells again, and what a directory held that is gone too."""
+    root = tmp_path / "w"
+    for d in ("S/a", "S/b", "T"):
+        archive(root / d / "1.cbz", ("1", d))
+    archive(root / "0.cbz", ("1", "x"))
+    reader = events.EventReader({"path": str(root), "state": f"{tmp_path}/state", "samples": "1"})
+
+    def told(start, end):
+        parts = reader.partitions({"listing": start}, {"listing": end})
+        rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+        return len(parts), sorted((r["event_type"], r["path"].removeprefix(f"{root}/")) for r in rows)
+
+    assert reader.latestOffset() == {"listing": 1}
+    first = (5, [("created", x) for x in ("0.cbz", "S/a/1.cbz", "S/b/1.cbz", "T/1.cbz")])
+    assert told(0, 1) == first
+    shutil.move(root / "S/a", root / "U")
+    archive(root / "S/b/2.cbz", ("1", "new"))
+    assert told(0, 1) == first and reader.latestOffset() == {"listing": 2}
+    second = [("created", "S/b/2.cbz"), ("created", "U/1.cbz"), ("deleted", "S/a/1.cbz"), ("polled", "0.cbz"), ("polled", "S/b/1.cbz"), ("polled", "T/1.cbz")]
+    assert told(1, 2)[1] == second
+    (root / "0.cbz").unlink()
+    assert told(1, 2)[1] == second
+    assert told(2, 3)[1] == [("deleted", "0.cbz"), ("polled", "S/b/2.cbz"), ("polled", "U/1.cbz")]
+    assert told(3, 4)[1] == []
+    reader.commit({"listing": 4})
+    assert os.listdir(tmp_path / "state") == ["listing-000000000004"]
+
+
+def test_directories_stay_in_their_group():
+    many = {f"d{i}": True for i in range(3000)}
+    groups = events.dealt(many, {})
+    assert len(groups) == 3000 // events.OF_GROUP and max(len(held) for held in groups.values()) <= events.OF_GROUP + 1
+    fewer = {d: True for d in many if d not in ("d5", "d6")} | {"new": True}
+    after = events.dealt(fewer, groups)
+    where = lambda x: {d: g for g, held in x.items() for d, _ in held}
+    assert set(where(after)) == set(fewer) and all(where(groups)[d] == g for d, g in where(after).items() if d != "new")
+    gone = events.dealt({"r": False}, {"0": [["r", False]], "1": [["x", True]], "2": []})
+    assert gone == {"0": [("r", False)], "1": []}
+
+
+def test_moves_of_any_time_zone():
+    schema = pa.schema([("event_type", pa.string()), ("path", pa.string()), ("dest_path", pa.string()), *((c, pa.timestamp("us", "America/New_York")) for c in ("event_time", "dir_ctime")), ("size", pa.int64())])
+    rows = [("created", "b", None, 5, 5, 1), ("deleted", "a", None, 5, 5, 1), ("polled", "c", None, 5, 5, 1), ("created", "n", None, 6, 6, 1)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(r, schema, strict=True)], schema=schema) for r in rows]
+    got = pa.Table.from_batches(list(events.met(iter(batches))), schema)
+    assert sorted((r["event_type"], r["path"], r["dest_path"]) for r in got.to_pylist()) == [("created", "n", None), ("moved", "a", "b"), ("polled", "c", None)]
+    assert pa.Table.from_batches(list(events.met(iter(batches[:1]))), schema).num_rows == 1
+
+
 def test_sink_outcomes(spark, tmp_path):
     archive(tmp_path / "a.cbz", ("1.jpg", "x"))
     (tmp_path / "small").write_text("1")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import re
 from collections.abc import Iterator
 
@@ -87,6 +88,19 @@ class Stores:
         store, at = self.at(path)
         store.delete_dir(at)
 
+    def dirs(self, root: str) -> Iterator[str]:
+        """The directories in a directory; none where it does not exist. On this machine no file is looked at."""
+        store, at = self.at(root)
+        inside = self.known[prefix_of(root)][1].rstrip("/")
+        if isinstance(store, pafs.LocalFileSystem):
+            if os.path.isdir(at):
+                with os.scandir(at) as found:
+                    yield from (prefix_of(root) + x.path for x in found if x.is_dir())
+            return
+        for i in store.get_file_info(pafs.FileSelector(at, allow_not_found=True)):
+            if i.type == pafs.FileType.Directory:
+                yield prefix_of(root) + i.path.removeprefix(inside).rstrip("/")
+
     def files(self, root: str, recursive: bool = True) -> Iterator[tuple[str, int, int]]:
         """(path, size, mtime in microseconds) of the files under a directory; none where it does not exist."""
         store, at = self.at(root)
