@@ -130,6 +130,23 @@ def test_nearest_examples_are_exact():
             assert np.allclose(c[: len(best)], best, atol=3e-6) and (a[len(best) :] == -1).all() and len(set(a[: len(best)])) == len(best) and np.allclose(row[a[: len(best)]], best, atol=3e-6)
 
 
+def test_rows_of_large_groups_change_nothing(monkeypatch):
+    """Whether what a term has in a block is taken as a row or posting by posting; rows are made where they are used."""
+    rng = np.random.default_rng(7)
+    text, term = np.divmod(np.unique(rng.integers(0, 600 * 400, 20_000)), 400)
+    held = toxicity.weighted(text, term, rng.integers(1, 9, len(text)), rng.random(400), 600)
+    asked = tuple(x[held[0] < 100] for x in held)
+    found = []
+    for least in (1, 6, 1000):
+        monkeypatch.setattr(toxicity, "OWN_ROW", least)
+        postings = toxicity.Postings(held, 600, 400)
+        assert postings.own is None
+        found.append(postings.nearest(asked, 100, 15))
+        assert len(postings.own) == (postings.many >= least).sum()
+    assert len(found[0][0]) == 100 and all(np.allclose(c, found[0][1], atol=3e-6) for _, c in found)
+    assert all((a[:, 0] == np.arange(100)).all() for a, _ in found)
+
+
 def test_the_whole_query_equals_brute_force(spark, larger):
     """Neighbours and votes from plain dictionaries over every word and stem of the texts."""
     docs, marks = larger.where("doc_id < 500"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("doc_id < 500")

@@ -7,7 +7,8 @@ counted over all documents, and the contrast of a term is the distance between t
 smoothed by PRIOR texts (delta TF-IDF). Words that no example has would have contrast 0.
 
 Examples stand in blocks of BLOCK, alike ones together. For each term the index holds the blocks that contain it, with the
-largest weight inside and its postings; terms that many examples hold have full rows instead of postings. A text's terms
+largest weight inside and its postings; terms that many examples hold have full rows instead of postings, and where many
+examples of a block hold a term, its postings there are taken as a row (made in the worker, 512 bytes each). A text's terms
 bound its cosine with any example of a block; blocks are visited by falling bound, in rounds of 1, 2, 4, ..., and a block
 whose bound lies below the k-th best cosine is passed over, so the k nearest are exact (ties: first example).
 
@@ -38,6 +39,8 @@ STEMS = (4, 5, 6)
 PRIOR = 4.0
 #: From this share of the examples on, a term has a full row.
 FULL = 1 / 12
+#: From so many postings on, what a term has in a block has a row of the block's width, made where it is used.
+OWN_ROW = 6
 #: Weights are 32-bit numbers; cosines are rounded to this many parts, so that they do not depend on what is computed together.
 PARTS = 10**6
 
@@ -114,6 +117,18 @@ class Postings:
         self.block = (group[self.first] % self.blocks).astype(np.int32)
         self.most = np.maximum.reduceat(self.weight, self.first) if len(group) else np.zeros(0, np.float32)
         self.of_term = np.searchsorted(group[self.first] // self.blocks, np.arange(n_terms + 1)).astype(np.int32)
+        self.own: np.ndarray | None = None  # rows of the groups that have one; not sent to tasks
+        self.own_at = np.full(len(self.first), -1, np.int32)
+        large = np.flatnonzero(self.many >= OWN_ROW)
+        self.own_at[large[np.argsort(self.block[large], kind="stable")]] = np.arange(len(large))  # those of a block lie together
+
+    def own_rows(self) -> np.ndarray:
+        if self.own is None:
+            large = np.flatnonzero(self.own_at >= 0)
+            self.own = np.zeros((len(large), BLOCK), np.float32)
+            at = ranges(self.first[large], self.many[large])
+            self.own[np.repeat(self.own_at[large], self.many[large]), self.inside[at]] = self.weight[at]
+        return self.own
 
     def nearest(self, vectors: Vectors, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """n x k: the examples nearest to each of n texts and their cosines by falling cosine; -1 and 0 where there are fewer."""
@@ -126,6 +141,10 @@ class Postings:
         group, source = ranges(self.of_term[term], many), np.repeat(np.arange(len(term)), many)
         pair = text[source] * self.blocks + self.block[group]
         bound = query @ self.full_most + np.bincount(pair, w[source] * self.most[group], n * self.blocks).reshape(n, self.blocks)
+        cells = n * self.blocks  # pairs of a text and a block; what belongs to one follows one another
+        by_cell = np.argsort(pair.astype(np.uint16) if cells <= 1 << 16 else pair, kind="stable")
+        of_cell = np.searchsorted(pair[by_cell], np.arange(cells + 1))
+        group, w = group[by_cell], w[source[by_cell]]
         rank = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1)
         size = self.blocks * BLOCK
         best = np.full((n, k), -1, np.int64)  # cosine in parts, then the example, the first being the largest
@@ -134,7 +153,7 @@ class Postings:
             kth = np.maximum(best[:, -1] // size, 0) / PARTS
             chosen = (rank >= done) & (rank < done + width) & (bound > 0) & (bound >= kth[:, None] - 2 / PARTS)
             if chosen.any():
-                found = self.cosines(chosen, query, pair, group, w[source])
+                found = self.cosines(chosen, query, of_cell, group, w)
                 q, b = np.nonzero(chosen)
                 keys = np.full((n, width, BLOCK), -1, np.int64)
                 parts = np.rint(found * PARTS).astype(np.int64)
@@ -146,18 +165,27 @@ class Postings:
         at = np.where(best < 0, -1, self.order[np.minimum(size - 1 - best % size, self.n - 1)] if self.n else -1)
         return at, np.maximum(best // size, 0) / PARTS
 
-    def cosines(self, chosen: np.ndarray, query: np.ndarray, pair: np.ndarray, group: np.ndarray, w: np.ndarray) -> np.ndarray:
+    def cosines(self, chosen: np.ndarray, query: np.ndarray, of_cell: np.ndarray, group: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Of each chosen text and block, in their order: the cosines with the block's examples."""
         number = np.cumsum(chosen.ravel()) - 1
-        hit = chosen.ravel()[pair]
-        pair, group, w = pair[hit], group[hit], w[hit]
-        many = self.many[group]
-        at = ranges(self.first[group], many)
-        out = np.bincount(np.repeat(number[pair] * BLOCK, many) + self.inside[at], np.repeat(w, many) * self.weight[at], (number[-1] + 1) * BLOCK).astype(float).reshape(-1, BLOCK)
-        if query.shape[1]:
-            for b in np.flatnonzero(chosen.any(0)):
-                rows = np.flatnonzero(chosen[:, b])
-                out[number[rows * self.blocks + b]] += query[rows] @ self.full[b]
+        cell = np.flatnonzero(chosen.ravel())
+        held = of_cell[cell + 1] - of_cell[cell]
+        hit = ranges(of_cell[cell], held)
+        of, group, w = np.repeat(np.arange(len(cell)), held), group[hit], w[hit]
+        own = self.own_at[group]
+        few = own < 0
+        many = self.many[group[few]]
+        at = ranges(self.first[group[few]], many)
+        out = np.bincount(np.repeat(of[few] * BLOCK, many) + self.inside[at], np.repeat(w[few], many) * self.weight[at], len(cell) * BLOCK).astype(float).reshape(-1, BLOCK)
+        rows, weights, own = self.own_rows(), w[~few], own[~few]
+        ends = np.searchsorted(of[~few], np.arange(len(cell) + 1)).tolist()
+        for b in np.flatnonzero(chosen.any(0)):
+            texts = np.flatnonzero(chosen[:, b])
+            places = number[texts * self.blocks + b]
+            for i in places.tolist():
+                x, y = ends[i], ends[i + 1]
+                out[i] += weights[x:y] @ rows.take(own[x:y], 0)
+            out[places] += query[texts] @ self.full[b]
         return out
 
 
